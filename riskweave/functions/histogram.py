@@ -28,15 +28,30 @@ def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(i >= bins, hi).otherwise(i.cast("double") * step + lo)
 
 
-def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """numpy's bin of ``x`` for edges over [lo, hi]; NULL outside."""
-    norm = F.lit(float(bins)) / (hi - lo)
-    raw = F.floor((x - lo) * norm)
-    i0 = F.when(raw >= bins, F.lit(bins - 1)).otherwise(raw)
-    i1 = F.when(x < _edge(i0, lo, hi, bins), i0 - 1).otherwise(i0)
-    i2 = F.when((x >= _edge(i1 + 1, lo, hi, bins)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
-    inside = (x >= lo) & (x <= hi)
-    return F.when(inside, i2.cast("bigint"))
+def with_bin(df: DataFrame, bins: int, x: str = "_x", lo: str = "_lo", hi: str = "_hi",
+             out: str = "bin") -> DataFrame:
+    """Add ``out``: numpy's bin of ``x`` for edges over [lo, hi]; -1 outside.
+
+    Each step is its own projected column: the correction steps read the
+    previous index twice, and Catalyst keeps a non-trivial expression that
+    is read twice as a separate projection instead of copying it.
+    """
+    xc, loc, hic = F.col(x), F.col(lo), F.col(hi)
+    norm = F.lit(float(bins)) / (hic - loc)
+    df = df.withColumn("_b_raw", F.floor((xc - loc) * norm))
+    df = df.withColumn("_b_i0", F.when(F.col("_b_raw") >= bins, F.lit(bins - 1).cast("bigint"))
+                       .otherwise(F.col("_b_raw")))
+    i0 = F.col("_b_i0")
+    df = df.withColumn("_b_i1", F.when(xc < _edge(i0, loc, hic, bins), i0 - 1).otherwise(i0))
+    i1 = F.col("_b_i1")
+    step_up = (xc >= _edge(i1 + 1, loc, hic, bins)) & (i1 != bins - 1)
+    inside = (xc >= loc) & (xc <= hic)
+    # -1 marks "outside"; a non-nullable bin keeps the outer join below from
+    # inferring an ``isnotnull(bin)`` filter that would copy this expression
+    df = df.withColumn(out, F.coalesce(
+        F.when(inside, F.when(step_up, i1 + 1).otherwise(i1)).cast("bigint"),
+        F.lit(-1).cast("bigint")))
+    return df.drop("_b_raw", "_b_i0", "_b_i1")
 
 
 def _widen(lo0: Column, hi0: Column) -> tuple[Column, Column]:
@@ -73,8 +88,7 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
         stats = src.groupBy(*by).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
         lo_g, hi_g = _widen(F.col("_lo0"), F.col("_hi0"))
         edge_rows = stats.select(*by, lo_g.alias("_lo"), hi_g.alias("_hi"))
-        binned = src.join(edge_rows, by, "inner").select(
-            *by, bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+        binned = with_bin(src.join(edge_rows, by, "inner"), bins).select(*by, "bin")
     else:
         if lo is not None and hi is not None:
             lo_c, hi_c = _widen(F.lit(float(lo)), F.lit(float(hi)))
@@ -83,10 +97,12 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
                                         F.max("_x").alias("hi")).alias("s")).scalar()
             lo_c, hi_c = _widen(stats.getField("lo"), stats.getField("hi"))
         edge_rows = groups.select(*by, lo_c.alias("_lo"), hi_c.alias("_hi"))
-        binned = src.select(*by, bin_index(F.col("_x"), lo_c, hi_c, bins).alias("bin"))
+        binned = with_bin(src.withColumns({"_lo": lo_c, "_hi": hi_c}), bins).select(*by, "bin")
 
-    counts = binned.filter(F.col("bin").isNotNull()).groupBy(*by, "bin") \
-        .agg(F.count(F.lit(1)).alias("frequency"))
+    # bin -1 (values outside a fixed range) forms its own group, which the
+    # left join from the bin list below never picks up. No filter on ``bin``
+    # here: pushed down, it would copy the whole index expression.
+    counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("frequency"))
     all_bins = edge_rows.select(
         *by, "_lo", "_hi",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))

@@ -136,3 +136,55 @@ def with_layers(final_sql: str, *extra_ctes: str) -> str:
     """``WITH <F2>, <layers>, <extra> <final>`` — unused CTEs are free."""
     ctes = ",".join([*LAYERS, *extra_ctes])
     return f"WITH {ctes}\n{final_sql}"
+
+
+def _edge_sql(i: str, bins: int) -> str:
+    return (f"CASE WHEN {i} >= {bins} THEN _hi "
+            f"ELSE CAST({i} AS DOUBLE) * ((_hi - _lo) / {float(bins)}) + _lo END")
+
+
+def histogram_sql(source: str, value: str, bins: int, by: tuple[str, ...] = (),
+                  shared: bool = True, lo: float | None = None, hi: float | None = None,
+                  clip: float | None = None, where: str | None = None) -> str:
+    """DuckDB text of an equal-width histogram with numpy's edge rules: the
+    final ``SELECT`` plus its ``h_*`` CTEs, to be used with ``with_layers``."""
+    by = tuple(by)
+    byc = "".join(f"{b}, " for b in by)
+    x = f"CAST({value} AS DOUBLE)"
+    if clip is not None:
+        x = f"CASE WHEN {x} > {float(clip)} THEN {float(clip)} ELSE {x} END"
+    cond = f"WHERE {where}" if where else ""
+    if lo is not None and hi is not None:
+        stats = (f"SELECT {byc}{float(lo)} AS lo0, {float(hi)} AS hi0 FROM h_src "
+                 + (f"GROUP BY {', '.join(by)}" if by else "HAVING COUNT(*) > 0"))
+    elif by and not shared:
+        stats = f"SELECT {byc}MIN(_x) AS lo0, MAX(_x) AS hi0 FROM h_src GROUP BY {', '.join(by)}"
+    elif by:
+        stats = (f"SELECT {', '.join('g.' + b for b in by)}, s.lo0, s.hi0 FROM "
+                 f"(SELECT DISTINCT {', '.join(by)} FROM h_src) g CROSS JOIN "
+                 f"(SELECT MIN(_x) AS lo0, MAX(_x) AS hi0 FROM h_src) s")
+    else:
+        stats = "SELECT MIN(_x) AS lo0, MAX(_x) AS hi0 FROM h_src HAVING COUNT(*) > 0"
+    using = ", ".join([*by, "bin"])
+    join_on = " AND ".join(f"s.{b} = e.{b}" for b in by) or "TRUE"
+    ctes = f"""
+h_src AS (SELECT {byc}{x} AS _x FROM {source} {cond}),
+h_src2 AS (SELECT * FROM h_src WHERE _x IS NOT NULL),
+h_stats AS ({stats.replace('FROM h_src', 'FROM h_src2')}),
+h_edges AS (SELECT {byc}CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS _lo,
+                   CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS _hi FROM h_stats),
+h_i0 AS (SELECT {''.join('s.' + b + ', ' for b in by)}s._x, e._lo, e._hi,
+           CAST(FLOOR((s._x - e._lo) * ({float(bins)} / (e._hi - e._lo))) AS BIGINT) AS raw
+         FROM h_src2 s JOIN h_edges e ON {join_on}),
+h_i1 AS (SELECT *, CASE WHEN raw >= {bins} THEN {bins - 1} ELSE raw END AS i0 FROM h_i0),
+h_i2 AS (SELECT *, CASE WHEN _x < {_edge_sql('i0', bins)} THEN i0 - 1 ELSE i0 END AS i1 FROM h_i1),
+h_bin AS (SELECT {byc}CASE WHEN _x >= _lo AND _x <= _hi THEN
+            CASE WHEN _x >= {_edge_sql('(i1 + 1)', bins)} AND i1 <> {bins - 1} THEN i1 + 1 ELSE i1 END
+          END AS bin FROM h_i2),
+h_counts AS (SELECT {byc}bin, COUNT(*) AS frequency FROM h_bin WHERE bin IS NOT NULL
+             GROUP BY {byc}bin),
+h_all AS (SELECT {byc}_lo, _hi, r.range AS bin FROM h_edges CROSS JOIN range(0, {bins}) r)"""
+    final = (f"SELECT {byc}bin, {_edge_sql('bin', bins)} AS bin_lo, "
+             f"{_edge_sql('(bin + 1)', bins)} AS bin_hi, COALESCE(frequency, 0) AS frequency "
+             f"FROM h_all LEFT JOIN h_counts USING ({using})")
+    return with_layers(final, ctes.strip().rstrip(","))

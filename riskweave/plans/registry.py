@@ -392,3 +392,253 @@ SELECT risk_segment, ROUND_EVEN(AVG(revolving_util), 3) AS avg_util,
 FROM risk_segments GROUP BY risk_segment"""))
 def p14_segment_indicators(spark, sf):
     return P.segment_indicators(risk(spark, sf))
+
+
+@register("p9_income_histogram", O.histogram_sql("risk_segments", "monthly_income", 60))
+def p9_income_histogram(spark, sf):
+    return P.income_histogram(risk(spark, sf))
+
+
+@register("p10_debt_histogram", O.histogram_sql("risk_segments", "debt_ratio", 60))
+def p10_debt_histogram(spark, sf):
+    return P.debt_histogram(risk(spark, sf))
+
+
+@register("p13_score_histogram_by_class", O.histogram_sql(
+    "risk_segments", "rule_risk_score", 50, by=("is_default",), shared=True))
+def p13_score_histogram_by_class(spark, sf):
+    return P.score_histogram(risk(spark, sf))
+
+
+# =============================================================================
+# D. profiling of the raw table
+# =============================================================================
+
+from ..operators import profile as D  # noqa: E402
+
+
+def _dbl(c: str) -> str:
+    return f"CAST({c} AS DOUBLE)"
+
+
+@register("d1_schema_profile")
+def d1_schema_profile(spark, sf):
+    return D.schema_profile(raw(spark, sf))
+
+
+@register("d2_describe", O.with_layers("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, COUNT({c}) AS count, ROUND(AVG({_dbl(c)}), 6) AS mean, "
+    f"ROUND(STDDEV_SAMP({_dbl(c)}), 6) AS std, ROUND(MIN({_dbl(c)}), 6) AS min, "
+    f"ROUND(QUANTILE_CONT({_dbl(c)}, 0.25), 6) AS p25, "
+    f"ROUND(QUANTILE_CONT({_dbl(c)}, 0.5), 6) AS p50, "
+    f"ROUND(QUANTILE_CONT({_dbl(c)}, 0.75), 6) AS p75, ROUND(MAX({_dbl(c)}), 6) AS max "
+    f"FROM raw_loans" for c in D.PROFILE_COLUMNS)))
+def d2_describe(spark, sf):
+    return D.describe(raw(spark, sf))
+
+
+_RAW_ALL = ["customer_id", *D.PROFILE_COLUMNS]
+
+
+@register("d3_missing_report", O.with_layers(
+    "SELECT column_name, missing_count, ROUND_EVEN(missing_count / n * 100, 2) AS missing_pct "
+    "FROM (" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing_count FROM raw_loans"
+        for c in _RAW_ALL)
+    + ") m CROSS JOIN (SELECT COUNT(*) AS n FROM raw_loans) t WHERE missing_count > 0 "
+      "ORDER BY missing_pct DESC, column_name"))
+def d3_missing_report(spark, sf):
+    return D.missing_report(raw(spark, sf))
+
+
+@register("d4_target_distribution", O.with_layers("""
+SELECT is_default, COUNT(*) AS count,
+  COUNT(*) / (SELECT COUNT(*) FROM raw_loans WHERE is_default IS NOT NULL) * 100 AS pct,
+  (SELECT CASE WHEN COUNT(*) FILTER (WHERE is_default = 1) = 0 THEN NULL
+          ELSE COUNT(*) FILTER (WHERE is_default = 0) / COUNT(*) FILTER (WHERE is_default = 1) END
+   FROM raw_loans WHERE is_default IS NOT NULL) AS imbalance_ratio
+FROM raw_loans WHERE is_default IS NOT NULL GROUP BY is_default"""))
+def d4_target_distribution(spark, sf):
+    return D.target_distribution(raw(spark, sf))
+
+
+def _iqr_sql(c: str) -> str:
+    x = _dbl(c)
+    return f"""
+SELECT '{c}' AS column_name, mn AS min, mx AS max, ROUND(q1, 6) AS q1, ROUND(q3, 6) AS q3,
+  ROUND(q3 + 1.5 * (q3 - q1), 6) AS iqr_upper, n_out AS n_outliers,
+  ROUND_EVEN(n_out / n * 100, 2) AS outlier_pct
+FROM (
+  SELECT s.*, (SELECT COUNT(*) FROM raw_loans r
+               WHERE CAST(r.{c} AS DOUBLE) < s.q1 - 1.5 * (s.q3 - s.q1)
+                  OR CAST(r.{c} AS DOUBLE) > s.q3 + 1.5 * (s.q3 - s.q1)) AS n_out,
+         (SELECT COUNT(*) FROM raw_loans) AS n
+  FROM (SELECT MIN({x}) AS mn, MAX({x}) AS mx, QUANTILE_CONT({x}, 0.25) AS q1,
+               QUANTILE_CONT({x}, 0.75) AS q3 FROM raw_loans) s)"""
+
+
+@register("d5_iqr_outliers", O.with_layers("\nUNION ALL\n".join(
+    _iqr_sql(c) for c in D.PROFILE_COLUMNS if c != "is_default")))
+def d5_iqr_outliers(spark, sf):
+    return D.iqr_outliers(raw(spark, sf))
+
+
+@register("d6_age_sanity", O.with_layers(
+    "SELECT MIN(age) AS age_min, MAX(age) AS age_max, "
+    "COUNT(*) FILTER (WHERE age = 0) AS n_age_zero FROM raw_loans"))
+def d6_age_sanity(spark, sf):
+    return D.age_sanity(raw(spark, sf))
+
+
+@register("d7_age_histogram", O.histogram_sql("raw_loans", "age", 40, where="age > 0"))
+def d7_age_histogram(spark, sf):
+    return D.age_histogram(raw(spark, sf))
+
+
+def _cut_case(x: str, edges, labels) -> str:
+    arms = " ".join(f"WHEN {x} > {lo} AND {x} <= {hi} THEN '{lab}'"
+                    for lo, hi, lab in zip(edges[:-1], edges[1:], labels))
+    return f"CASE {arms} END"
+
+
+def _cut_order_case(x: str, edges) -> str:
+    arms = " ".join(f"WHEN {x} > {lo} AND {x} <= {hi} THEN {i}"
+                    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])))
+    return f"CASE {arms} END"
+
+
+@register("d8_rate_by_age_group", O.with_layers(f"""
+SELECT age_group, age_group_order, AVG(is_default) * 100 AS default_rate_pct FROM (
+  SELECT {_cut_case('age', D.AGE_CUT_EDGES, D.AGE_CUT_LABELS)} AS age_group,
+         {_cut_order_case('age', D.AGE_CUT_EDGES)} AS age_group_order, is_default
+  FROM raw_loans WHERE age BETWEEN 18 AND 100)
+WHERE age_group IS NOT NULL GROUP BY age_group, age_group_order ORDER BY age_group_order"""))
+def d8_rate_by_age_group(spark, sf):
+    return D.rate_by_age_group(raw(spark, sf))
+
+
+@register("d9_income_sanity", O.with_layers("""
+SELECT COUNT(*) FILTER (WHERE x > 30000) AS n_over_30000, COUNT(*) FILTER (WHERE x = 0) AS n_zero,
+  COUNT(*) AS count, ROUND(AVG(x), 6) AS mean, ROUND(STDDEV_SAMP(x), 6) AS std, MIN(x) AS min,
+  ROUND(QUANTILE_CONT(x, 0.25), 6) AS p25, ROUND(QUANTILE_CONT(x, 0.5), 6) AS p50,
+  ROUND(QUANTILE_CONT(x, 0.75), 6) AS p75, MAX(x) AS max
+FROM (SELECT CAST(monthly_income AS DOUBLE) AS x FROM raw_loans) WHERE x IS NOT NULL"""))
+def d9_income_sanity(spark, sf):
+    return D.income_sanity(raw(spark, sf))
+
+
+@register("d10_income_histogram_clipped",
+          O.histogram_sql("raw_loans", "monthly_income", 60, clip=20000))
+def d10_income_histogram_clipped(spark, sf):
+    return D.income_histogram_clipped(raw(spark, sf))
+
+
+_INC_FILLED = "COALESCE(monthly_income, (SELECT MEDIAN(monthly_income) FROM raw_loans))"
+
+
+@register("d11_rate_by_income_band", O.with_layers(f"""
+SELECT income_band, income_band_order, AVG(is_default) * 100 AS default_rate_pct FROM (
+  SELECT {_cut_case(_INC_FILLED, D.INCOME_CUT_EDGES, D.INCOME_CUT_LABELS)} AS income_band,
+         {_cut_order_case(_INC_FILLED, D.INCOME_CUT_EDGES)} AS income_band_order, is_default
+  FROM raw_loans)
+WHERE income_band IS NOT NULL GROUP BY income_band, income_band_order
+ORDER BY income_band_order"""))
+def d11_rate_by_income_band(spark, sf):
+    return D.rate_by_income_band(raw(spark, sf))
+
+
+@register("d12_debt_histogram_clipped", O.histogram_sql("raw_loans", "debt_ratio", 60, clip=2))
+def d12_debt_histogram_clipped(spark, sf):
+    return D.debt_histogram_clipped(raw(spark, sf))
+
+
+@register("d12_util_histogram_clipped",
+          O.histogram_sql("raw_loans", "revolving_util", 60, clip=1))
+def d12_util_histogram_clipped(spark, sf):
+    return D.util_histogram_clipped(raw(spark, sf))
+
+
+@register("d12_util_histogram_by_class", O.histogram_sql(
+    "raw_loans", "revolving_util", 40, by=("is_default",), shared=False, clip=1))
+def d12_util_histogram_by_class(spark, sf):
+    return D.util_histogram_by_class(raw(spark, sf))
+
+
+def _corr_sql() -> str:
+    cols = D.CORRELATION_COLUMNS
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols:
+            if a == b:
+                parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, 1.0::DOUBLE AS corr")
+            else:
+                parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+                             f"ROUND(CORR({_dbl(a)}, {_dbl(b)}), 6) AS corr FROM raw_loans")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("d13_correlation", O.with_layers(_corr_sql()))
+def d13_correlation(spark, sf):
+    return D.correlation(raw(spark, sf))
+
+
+@register("d14_target_correlation", O.with_layers(
+    "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, ROUND(CORR(CAST(is_default AS DOUBLE), {_dbl(c)}), 6) "
+        f"AS corr FROM raw_loans" for c in D.CORRELATION_COLUMNS if c != "is_default")
+    + "\nORDER BY corr DESC, column_name"))
+def d14_target_correlation(spark, sf):
+    return D.target_correlation(raw(spark, sf))
+
+
+@register("d15_box_stats", O.with_layers("""
+SELECT s.is_default, ROUND(q1, 6) AS q1, ROUND(med, 6) AS median, ROUND(q3, 6) AS q3,
+  ROUND(LEAST(COALESCE(MIN(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END), q1), q1), 6) AS whisker_low,
+  ROUND(GREATEST(COALESCE(MAX(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END), q3), q3), 6) AS whisker_high,
+  COUNT(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM (SELECT is_default, CAST(debt_ratio AS DOUBLE) AS x FROM raw_loans WHERE debt_ratio IS NOT NULL) s
+JOIN (SELECT is_default, QUANTILE_CONT(CAST(debt_ratio AS DOUBLE), 0.25) AS q1,
+             QUANTILE_CONT(CAST(debt_ratio AS DOUBLE), 0.5) AS med,
+             QUANTILE_CONT(CAST(debt_ratio AS DOUBLE), 0.75) AS q3
+      FROM raw_loans WHERE debt_ratio IS NOT NULL GROUP BY is_default) q
+  ON s.is_default = q.is_default
+GROUP BY s.is_default, q1, med, q3"""))
+def d15_box_stats(spark, sf):
+    return D.box_stats(raw(spark, sf))
+
+
+@register("d16_value_counts", O.with_layers("\nUNION ALL\n".join(
+    f"SELECT * FROM (SELECT '{c}' AS column_name, CAST({c} AS BIGINT) AS value, COUNT(*) AS count "
+    f"FROM raw_loans WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY {c} LIMIT 10)"
+    for c in D.LATE_COLUMNS)))
+def d16_value_counts(spark, sf):
+    return D.value_counts(raw(spark, sf))
+
+
+@register("d17_rate_by_late_90", O.with_layers("""
+SELECT late_90_plus, AVG(is_default) * 100 AS default_rate_pct FROM raw_loans
+WHERE late_90_plus IS NOT NULL GROUP BY late_90_plus ORDER BY late_90_plus LIMIT 10"""))
+def d17_rate_by_late_90(spark, sf):
+    return D.rate_by_value(raw(spark, sf), "late_90_plus", 10)
+
+
+_PIVOT_INC = ("COALESCE(monthly_income, (SELECT MEDIAN(monthly_income) FROM raw_loans "
+              "WHERE age BETWEEN 18 AND 100))")
+
+
+@register("d18_cut_pivot", O.with_layers(
+    "SELECT age_group, " + ", ".join(
+        f"AVG(CASE WHEN income_band = '{lab}' THEN is_default END) * 100 AS {name}"
+        for lab, name in zip(D.PIVOT_INCOME_LABELS, D.PIVOT_INCOME_COLUMNS))
+    + f" FROM (SELECT {_cut_case('age', D.PIVOT_AGE_EDGES, D.PIVOT_AGE_LABELS)} AS age_group, "
+      f"{_cut_case(_PIVOT_INC, D.PIVOT_INCOME_EDGES, D.PIVOT_INCOME_LABELS)} AS income_band, "
+      "is_default FROM raw_loans WHERE age BETWEEN 18 AND 100) WHERE age_group IS NOT NULL "
+      "GROUP BY age_group"))
+def d18_cut_pivot(spark, sf):
+    return D.cut_pivot(raw(spark, sf))
+
+
+@register("d19_class_counts", O.with_layers(
+    "SELECT is_default, COUNT(*) AS count FROM raw_loans GROUP BY is_default"))
+def d19_class_counts(spark, sf):
+    return D.class_counts(raw(spark, sf))
