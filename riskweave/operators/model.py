@@ -1,12 +1,28 @@
-"""Model frame, split, scaling and Spark ML fits."""
+"""Model frame, split, scaling and Spark ML fits.
+
+Training data never leaves the cluster: the split is a per-class rank, the
+scaler is one aggregate whose 2 x 16 constants become a ``SQLTransformer``
+stage, and both models are Spark ML pipelines (``PipelineModel`` persists
+the feature order with the ``VectorAssembler``). Only fitted parameters and
+a handful of counts reach the driver.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import ml_segment
+from ..session import ensure_checkpoint_dir
+from .prefix import rank_in_bounded_buckets
+
 # The 16 model features, in the reference's order.
 FEATURES = [
     "age", "monthly_income", "num_dependents", "revolving_util", "debt_ratio",
@@ -15,9 +31,22 @@ FEATURES = [
     "income_per_dependent", "estimated_monthly_debt",
 ]
 LABEL = "is_default"
+KEY = "customer_id"
+# split key: (customer_id * 7919) mod a prime — a permutation of each block
+# of consecutive ids, so the rank buckets stay evenly filled
+SPLIT_MULTIPLIER = 7919
+SPLIT_MODULUS = 1000003
+# boosted-trees settings documented by the reference
+GBT_TREES = 200
+GBT_DEPTH = 4
+GBT_STEP = 0.05
+GBT_SUBSAMPLE = 0.8
+GBT_FEATURE_SUBSET = "0.8"
+LR_MAX_ITER = 1000
+SEED = 42
 
 
-def select_features(df: DataFrame, key: str = "customer_id") -> DataFrame:
+def select_features(df: DataFrame, key: str = KEY) -> DataFrame:
     """B2: key, the 16 features in order, and the label."""
     return df.select(key, *FEATURES, LABEL)
 
@@ -25,3 +54,224 @@ def select_features(df: DataFrame, key: str = "customer_id") -> DataFrame:
 def drop_null_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop rows with a NULL in any of ``cols``."""
     return df.na.drop(how="any", subset=list(cols))
+
+
+def assemble(df: DataFrame, features: Sequence[str] = FEATURES,
+             out: str = "features") -> DataFrame:
+    """M1: the feature vector in fixed order."""
+    return VectorAssembler(inputCols=list(features), outputCol=out,
+                           handleInvalid="error").transform(df)
+
+
+def model_frame(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M2: rows with no NULL feature/label, and a one-row report of the
+    counts before, after and dropped (one aggregate, no second scan)."""
+    complete = F.lit(True)
+    for c in [*FEATURES, LABEL]:
+        complete = complete & F.col(c).isNotNull()
+    report = df.agg(F.count(F.lit(1)).alias("rows_before"),
+                    F.count_if(complete).alias("rows_after"))
+    report = report.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
+    return drop_null_rows(select_features(df), [*FEATURES, LABEL]), report
+
+
+def split_key(key: str = KEY) -> Column:
+    return (F.col(key) * SPLIT_MULTIPLIER) % SPLIT_MODULUS
+
+
+def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = LABEL,
+                     key: str = KEY) -> DataFrame:
+    """M3: deterministic stratified split; adds ``split`` = 'test' | 'train'.
+
+    Within each class the rows are ranked by ``(hash(key), key)``; the first
+    ``floor(test_fraction * n_class + 0.5)`` are the test rows. The rank uses
+    the bounded hash as bucket (``rank_in_bounded_buckets``), so no class —
+    however large — is sorted in one task.
+    """
+    h = "_split_h"
+    ranked = rank_in_bounded_buckets(df.withColumn(h, split_key(key)), "_split_rank",
+                                     partition=[label], bucket=h, order=[key])
+    # one row per class; the label is binary, so this side is tiny
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_class"))
+    test_n = F.floor(F.col("_n_class") * F.lit(float(test_fraction)) + F.lit(0.5))
+    out = ranked.join(F.broadcast(sizes), label, "inner").withColumn(
+        "split", F.when(F.col("_split_rank") <= test_n, "test").otherwise("train"))
+    return out.drop(h, "_split_rank", "_n_class")
+
+
+def split_summary(split_df: DataFrame, label: str = LABEL) -> DataFrame:
+    """M3 report: size, defaults and default rate % per split."""
+    return split_df.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(label).cast("bigint").alias("defaults"),
+        (F.avg(label) * 100).alias("default_rate_pct"))
+
+
+# -- M4 scaler ------------------------------------------------------------------------
+
+def scaler_stats(train: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """M4: mean and **population** std per feature (one aggregate), as rows
+    ``(feature, mean, std)``."""
+    wide = train.agg(*[e for c in features for e in (
+        F.avg(F.col(c).cast("double")).alias(f"{c}__mean"),
+        F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__std"))])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"{c}__mean").alias("mean"),
+                 F.col(f"{c}__std").alias("std")) for c in features])))
+
+
+def fit_scaler(train: DataFrame, features: Sequence[str] = FEATURES,
+               suffix: str = "_scaled") -> SQLTransformer:
+    """M4: standardization fitted on ``train`` as a persistable pipeline
+    stage; zero variance divides by 1. Only 2 x 16 numbers reach the driver."""
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in scaler_stats(train, features).collect()}
+    cols = []
+    for c in features:
+        mean, std = stats[c]
+        std = std if std else 1.0
+        cols.append(f"(CAST({c} AS DOUBLE) - ({mean!r})) / ({std!r}) AS {c}{suffix}")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__")
+
+
+# -- M14 weights ---------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class ClassCounts:
+    negatives: int
+    positives: int
+
+    @property
+    def total(self) -> int:
+        return self.negatives + self.positives
+
+    @property
+    def scale_pos_weight(self) -> float:
+        return self.negatives / self.positives if self.positives else 1.0
+
+    def balanced(self, cls: int) -> float:
+        n_c = self.positives if cls == 1 else self.negatives
+        return self.total / (2.0 * n_c) if n_c else 0.0
+
+
+def class_counts(train: DataFrame, label: str = LABEL) -> ClassCounts:
+    row = train.agg(F.count_if(F.col(label) == 0).alias("neg"),
+                    F.count_if(F.col(label) == 1).alias("pos")).first()
+    return ClassCounts(int(row["neg"]), int(row["pos"]))
+
+
+def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
+    """M14 report: per class its count, the balanced weight ``n / (2 n_c)``
+    and the negative/positive ratio used for the boosted trees."""
+    per = train.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
+    n = train.agg(F.count(F.lit(1))).scalar()
+    ratio = train.agg(F.when(F.count_if(F.col(label) == 1) == 0, F.lit(None).cast("double"))
+                      .otherwise(F.count_if(F.col(label) == 0)
+                                 / F.count_if(F.col(label) == 1))).scalar()
+    return per.select(label, "count",
+                      (n / (F.lit(2.0) * F.col("count"))).alias("balanced_weight"),
+                      ratio.alias("scale_pos_weight"))
+
+
+def with_weight(df: DataFrame, w_neg: float, w_pos: float, label: str = LABEL,
+                out: str = "weight") -> DataFrame:
+    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(w_pos)))
+                         .otherwise(F.lit(float(w_neg))))
+
+
+# -- M12 / M13 fits ---------------------------------------------------------------------
+
+def fit_lr(train: DataFrame, features: Sequence[str] = FEATURES,
+           max_iter: int = LR_MAX_ITER) -> PipelineModel:
+    """Scaler + logistic regression with balanced class weights.
+
+    The reference's objective (C = 1, weights ``n / (2 n_c)``) is
+    ``0.5 |w|^2 + sum_i s_i logloss_i``; Spark minimizes
+    ``sum_i s_i logloss_i / sum_i s_i + regParam / 2 |w|^2`` and
+    ``sum_i s_i = n``, so ``regParam = 1 / n`` gives the same optimum.
+    """
+    counts = class_counts(train)
+    weighted = with_weight(train, counts.balanced(0), counts.balanced(1))
+    scaler = fit_scaler(train, features)
+    scaled = [f"{c}_scaled" for c in features]
+    pipe = Pipeline(stages=[
+        scaler,
+        VectorAssembler(inputCols=scaled, outputCol="features_scaled"),
+        LogisticRegression(featuresCol="features_scaled", labelCol=LABEL, weightCol="weight",
+                           maxIter=max_iter, regParam=1.0 / max(counts.total, 1),
+                           elasticNetParam=0.0, standardization=False, fitIntercept=True,
+                           probabilityCol="lr_probability", rawPredictionCol="lr_raw",
+                           predictionCol="lr_prediction"),
+    ])
+    return pipe.fit(weighted)
+
+
+def fit_gbt(train: DataFrame, features: Sequence[str] = FEATURES, trees: int = GBT_TREES,
+            depth: int = GBT_DEPTH, step: float = GBT_STEP, subsample: float = GBT_SUBSAMPLE,
+            feature_subset: str = GBT_FEATURE_SUBSET, seed: int = SEED) -> PipelineModel:
+    """Gradient-boosted trees with positives weighted by neg/pos.
+
+    Same family as the reference's booster, not the same algorithm (columns
+    are sampled per node, first-order fit), so it is compared by AUC only.
+    Node ids are cached and checkpointed into ``spark.checkpoint.dir`` so
+    200 iterations do not build an unbounded lineage.
+    """
+    ensure_checkpoint_dir(train.sparkSession)
+    counts = class_counts(train)
+    weighted = with_weight(train, 1.0, counts.scale_pos_weight)
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=list(features), outputCol="features_raw"),
+        GBTClassifier(featuresCol="features_raw", labelCol=LABEL, weightCol="weight",
+                      maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
+                      featureSubsetStrategy=feature_subset, seed=seed, cacheNodeIds=True,
+                      checkpointInterval=10)
+        .setProbabilityCol("gbt_probability").setRawPredictionCol("gbt_raw")
+        .setPredictionCol("gbt_prediction"),
+    ])
+    return pipe.fit(weighted)
+
+
+def lr_coefficients(lr_model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:
+    """M12 report: intercept and one coefficient per (scaled) feature."""
+    from pyspark.sql import SparkSession
+    lr = lr_model.stages[-1]
+    spark = SparkSession.getActiveSession()
+    rows = [("intercept", float(lr.intercept))] + [
+        (f, float(v)) for f, v in zip(features, lr.coefficients.toArray())]
+    return spark.createDataFrame(rows, "term string, coefficient double")
+
+
+def feature_importance(gbt_model: PipelineModel, features: Sequence[str] = FEATURES,
+                       k: int | None = None) -> DataFrame:
+    """Impurity-based importances, highest first (top ``k`` if given)."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    imp = gbt_model.stages[-1].featureImportances.toArray()
+    df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)],
+                               "feature string, importance double")
+    df = df.orderBy(F.desc("importance"), "feature")
+    return df.limit(k) if k else df
+
+
+def positive_probability(col: str) -> Column:
+    return vector_to_array(F.col(col))[1]
+
+
+def score_table(test: DataFrame, lr_model: PipelineModel, gbt_model: PipelineModel,
+                features: Sequence[str] = FEATURES) -> DataFrame:
+    """Test rows + both PD scores + the ML segment (``model_scores``).
+
+    Both transforms are row-local (no shuffle); the feature columns pass
+    through unchanged.
+    """
+    scored = gbt_model.transform(lr_model.transform(test))
+    return scored.select(
+        KEY, *features, LABEL,
+        positive_probability("lr_probability").alias("pd_score_lr"),
+        positive_probability("gbt_probability").alias("pd_score_xgb"),
+    ).withColumn("ml_risk_segment", ml_segment("pd_score_xgb"))
+
+
+def cached_frame(df: DataFrame) -> DataFrame:
+    """Keep the split frame for the two fits and the scoring (spills to
+    disk; a lost block is recomputed from lineage)."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -642,3 +642,404 @@ def d18_cut_pivot(spark, sf):
     "SELECT is_default, COUNT(*) AS count FROM raw_loans GROUP BY is_default"))
 def d19_class_counts(spark, sf):
     return D.class_counts(raw(spark, sf))
+
+
+# =============================================================================
+# M. modelling and evaluation
+# =============================================================================
+
+from ..operators import applicants as AP  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import model as M  # noqa: E402
+
+# ``split``: the deterministic stratified split of the model frame;
+# ``test_scored``: its test rows with the rule score / 100 standing in for a PD.
+SPLIT_SQL = """
+split AS (
+  SELECT r.*, CASE WHEN ROW_NUMBER() OVER (PARTITION BY is_default
+                          ORDER BY (customer_id * 7919) % 1000003, customer_id)
+                        <= FLOOR(COUNT(*) OVER (PARTITION BY is_default) * CAST(0.2 AS DOUBLE) + 0.5)
+                   THEN 'test' ELSE 'train' END AS split
+  FROM risk_segments r
+),
+test_scored AS (SELECT *, rule_risk_score / 100 AS score FROM split WHERE split = 'test'),
+score_counts AS (
+  SELECT score AS s, COUNT(*) FILTER (WHERE is_default = 1) AS pos,
+         COUNT(*) FILTER (WHERE is_default <> 1) AS neg
+  FROM test_scored GROUP BY score
+)"""
+
+
+def _split(spark, sf) -> DataFrame:
+    frame, _ = M.model_frame(risk(spark, sf))
+    return M.stratified_split(frame)
+
+
+def _test_rule_scored(spark, sf) -> DataFrame:
+    """Test rows with ``score`` = rule score / 100 (no fitted model needed)."""
+    split = M.stratified_split(risk(spark, sf))
+    return split.filter(F.col("split") == "test") \
+        .withColumn("score", F.col("rule_risk_score") / 100)
+
+
+@register("m1_assemble")
+def m1_assemble(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    v = M.assemble(M.select_features(risk(spark, sf)))
+    return v.select("customer_id", vector_to_array("features").alias("features"))
+
+
+_ALL_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in [*M.FEATURES, "is_default"])
+
+
+@register("m2_model_frame", O.with_layers(
+    f"SELECT COUNT(*) AS rows_before, COUNT(*) FILTER (WHERE {_ALL_NOT_NULL}) AS rows_after, "
+    f"COUNT(*) - COUNT(*) FILTER (WHERE {_ALL_NOT_NULL}) AS rows_dropped FROM risk_segments"))
+def m2_model_frame(spark, sf):
+    return M.model_frame(risk(spark, sf))[1]
+
+
+@register("m2_model_frame_app", O.with_layers(
+    f"SELECT COUNT(*) AS rows_before, COUNT(*) FILTER (WHERE {_ALL_NOT_NULL}) AS rows_after, "
+    f"COUNT(*) - COUNT(*) FILTER (WHERE {_ALL_NOT_NULL}) AS rows_dropped "
+    "FROM risk_segments_app"))
+def m2_model_frame_app(spark, sf):
+    return M.model_frame(risk(spark, sf, app=True))[1]
+
+
+@register("m3_stratified_split", O.with_layers(
+    "SELECT split, COUNT(*) AS rows, CAST(SUM(is_default) AS BIGINT) AS defaults, "
+    "AVG(is_default) * 100 AS default_rate_pct FROM split GROUP BY split", SPLIT_SQL))
+def m3_stratified_split(spark, sf):
+    return M.split_summary(_split(spark, sf))
+
+
+@register("m3_split_assignment", O.with_layers(
+    "SELECT customer_id, is_default, split FROM split", SPLIT_SQL))
+def m3_split_assignment(spark, sf):
+    return _split(spark, sf).select("customer_id", "is_default", "split")
+
+
+@register("m4_scaler_stats", O.with_layers("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, ROUND(AVG(CAST({c} AS DOUBLE)), 6) AS mean, "
+    f"ROUND(STDDEV_POP(CAST({c} AS DOUBLE)), 6) AS std FROM split WHERE split = 'train'"
+    for c in M.FEATURES), SPLIT_SQL))
+def m4_scaler_stats(spark, sf):
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    return M.scaler_stats(train).select("feature", sql_round(F.col("mean"), 6).alias("mean"),
+                                        sql_round(F.col("std"), 6).alias("std"))
+
+
+_AUC_SQL = """
+SELECT auc, auc * 2 - 1 AS gini FROM (
+  SELECT CASE WHEN 2.0 * CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE) = 0 THEN NULL
+         ELSE CAST(SUM(CAST(pos AS HUGEINT) * (2 * nb + neg)) AS DOUBLE)
+              / (2.0 * CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE)) END AS auc
+  FROM (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING
+                                                   AND 1 PRECEDING), 0) AS nb
+        FROM score_counts))"""
+
+
+@register("m5_auc_rule_score", O.with_layers(_AUC_SQL, SPLIT_SQL))
+def m5_auc_rule_score(spark, sf):
+    return EV.auc(_test_rule_scored(spark, sf), "is_default", "score")
+
+
+_ROC_SQL = """
+SELECT s AS threshold, fps, tps, CASE WHEN nt = 0 THEN NULL ELSE fps / nt END AS fpr,
+       CASE WHEN pt = 0 THEN NULL ELSE tps / pt END AS tpr
+FROM (
+  SELECT *, LAG(fps) OVER (ORDER BY r) AS fp_p, LEAD(fps) OVER (ORDER BY r) AS fp_n,
+         LAG(tps) OVER (ORDER BY r) AS tp_p, LEAD(tps) OVER (ORDER BY r) AS tp_n,
+         MAX(r) OVER () AS rr, CAST(MAX(fps) OVER () AS DOUBLE) AS nt,
+         CAST(MAX(tps) OVER () AS DOUBLE) AS pt
+  FROM (SELECT s, CAST(SUM(pos) OVER w AS BIGINT) AS tps, CAST(SUM(neg) OVER w AS BIGINT) AS fps,
+               ROW_NUMBER() OVER (ORDER BY s DESC) AS r
+        FROM score_counts WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)))
+WHERE r = 1 OR r = rr OR fp_p - 2 * fps + fp_n <> 0 OR tp_p - 2 * tps + tp_n <> 0
+UNION ALL
+SELECT 'inf'::DOUBLE, 0, 0, CASE WHEN (SELECT SUM(neg) FROM score_counts) = 0 THEN NULL ELSE 0.0 END,
+       CASE WHEN (SELECT SUM(pos) FROM score_counts) = 0 THEN NULL ELSE 0.0 END"""
+
+
+@register("m7_roc_curve_rule_score", O.with_layers(_ROC_SQL, SPLIT_SQL))
+def m7_roc_curve_rule_score(spark, sf):
+    return EV.roc_curve(_test_rule_scored(spark, sf), "is_default", "score")
+
+
+@register("m8_confusion_rule_score", O.with_layers("""
+SELECT a.actual, p.predicted, COUNT(t.is_default) AS count
+FROM (VALUES (0), (1)) a(actual) CROSS JOIN (VALUES (0), (1)) p(predicted)
+LEFT JOIN test_scored t ON t.is_default = a.actual
+  AND (CASE WHEN t.score >= 0.5 THEN 1 ELSE 0 END) = p.predicted
+GROUP BY a.actual, p.predicted""", SPLIT_SQL))
+def m8_confusion_rule_score(spark, sf):
+    return EV.confusion(_test_rule_scored(spark, sf), "is_default", "score", 0.5, True)
+
+
+_REPORT_SQL = """
+c AS (SELECT COUNT(*) FILTER (WHERE is_default = 1 AND score > 0.5)::DOUBLE AS tp,
+             COUNT(*) FILTER (WHERE is_default = 0 AND score > 0.5)::DOUBLE AS fp,
+             COUNT(*) FILTER (WHERE is_default = 1 AND score <= 0.5)::DOUBLE AS fn,
+             COUNT(*) FILTER (WHERE is_default = 0 AND score <= 0.5)::DOUBLE AS tn
+      FROM test_scored),
+pr AS (SELECT *,
+  CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS p1,
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS r1,
+  CASE WHEN tn + fn = 0 THEN 0.0 ELSE tn / (tn + fn) END AS p0,
+  CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS r0,
+  tp + fn AS s1, tn + fp AS s0 FROM c),
+f AS (SELECT *, CASE WHEN p1 + r1 = 0 THEN 0.0 ELSE 2 * p1 * r1 / (p1 + r1) END AS f1,
+                CASE WHEN p0 + r0 = 0 THEN 0.0 ELSE 2 * p0 * r0 / (p0 + r0) END AS f0,
+                s0 + s1 AS n FROM pr)"""
+
+
+@register("m9_classification_report_rule_score", O.with_layers("""
+SELECT '0' AS label, ROUND(p0, 6) AS precision, ROUND(r0, 6) AS recall, ROUND(f0, 6) AS f1_score,
+       CAST(s0 AS BIGINT) AS support FROM f
+UNION ALL SELECT '1', ROUND(p1, 6), ROUND(r1, 6), ROUND(f1, 6), CAST(s1 AS BIGINT) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL,
+       ROUND(CASE WHEN n = 0 THEN 0.0 ELSE (tp + tn) / n END, 6), CAST(n AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', ROUND((p0 + p1) / 2, 6), ROUND((r0 + r1) / 2, 6),
+       ROUND((f0 + f1) / 2, 6), CAST(n AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg',
+       ROUND(CASE WHEN n = 0 THEN 0.0 ELSE (p0 * s0 + p1 * s1) / n END, 6),
+       ROUND(CASE WHEN n = 0 THEN 0.0 ELSE (r0 * s0 + r1 * s1) / n END, 6),
+       ROUND(CASE WHEN n = 0 THEN 0.0 ELSE (f0 * s0 + f1 * s1) / n END, 6),
+       CAST(n AS BIGINT) FROM f""", SPLIT_SQL, _REPORT_SQL))
+def m9_classification_report_rule_score(spark, sf):
+    return EV.classification_report(_test_rule_scored(spark, sf), "is_default", "score",
+                                    0.5, inclusive=False)
+
+
+_ML_SEG_SQL = ("CASE WHEN {s} > 0 AND {s} <= 0.1 THEN 'Low Risk' "
+               "WHEN {s} > 0.1 AND {s} <= 0.3 THEN 'Medium Risk' "
+               "WHEN {s} > 0.3 AND {s} <= 1.0 THEN 'High Risk' END")
+
+
+@register("m10_ml_segment_rule_score", O.with_layers(
+    "SELECT customer_id, rule_risk_score / 100 AS pd_score, "
+    + _ML_SEG_SQL.format(s="rule_risk_score / 100") + " AS ml_risk_segment FROM risk_segments"))
+def m10_ml_segment_rule_score(spark, sf):
+    from ..functions.exprs import ml_segment
+    pd_ = F.col("rule_risk_score") / 100
+    return risk(spark, sf).select("customer_id", pd_.alias("pd_score"),
+                                  ml_segment(pd_).alias("ml_risk_segment"))
+
+
+@register("m11_ml_segment_summary_rule_score", O.with_layers(
+    "SELECT ml_risk_segment, COUNT(*) AS customers, "
+    "ROUND(AVG(is_default) * 100, 2) AS actual_default_rate_pct FROM ("
+    "SELECT is_default, " + _ML_SEG_SQL.format(s="score") + " AS ml_risk_segment "
+    "FROM test_scored) GROUP BY ml_risk_segment "
+    "ORDER BY actual_default_rate_pct DESC, ml_risk_segment", SPLIT_SQL))
+def m11_ml_segment_summary_rule_score(spark, sf):
+    from ..functions.exprs import ml_segment
+    t = _test_rule_scored(spark, sf).withColumn("ml_risk_segment", ml_segment("score"))
+    return EV.ml_segment_summary(t)
+
+
+@register("m14_class_weights", O.with_layers("""
+SELECT is_default, COUNT(*) AS count,
+  (SELECT COUNT(*) FROM split WHERE split = 'train') / (2.0 * COUNT(*)) AS balanced_weight,
+  (SELECT CASE WHEN COUNT(*) FILTER (WHERE is_default = 1) = 0 THEN NULL
+          ELSE COUNT(*) FILTER (WHERE is_default = 0) / COUNT(*) FILTER (WHERE is_default = 1) END
+   FROM split WHERE split = 'train') AS scale_pos_weight
+FROM split WHERE split = 'train' GROUP BY is_default""", SPLIT_SQL))
+def m14_class_weights(spark, sf):
+    return M.class_weights(_split(spark, sf).filter(F.col("split") == "train"))
+
+
+# -- fitted models (rows-only checks) ---------------------------------------------
+
+_FIT_CACHE: dict[tuple, dict] = {}
+
+
+def fitted(spark: SparkSession, sf: str, trees: int = M.GBT_TREES) -> dict:
+    """Fit both models once per (session, data, tree count) and reuse them
+    for every model query of that session."""
+    key = (id(spark._jsparkSession), sf, trees)
+    if key in _FIT_CACHE:
+        return _FIT_CACHE[key]
+    base = risk(spark, sf)
+    frame, report = M.model_frame(base)
+    # the split reads the frame three times (rows, per-hash counts, class
+    # sizes): keep it once instead of re-deriving it from the scans
+    frame = M.cached_frame(frame)
+    split = M.cached_frame(M.stratified_split(frame))
+    train = split.filter(F.col("split") == "train")
+    test = split.filter(F.col("split") == "test")
+    lr = M.fit_lr(train)
+    gbt = M.fit_gbt(train, trees=trees)
+    scores = M.score_table(test, lr, gbt)
+    metrics = (EV.auc(scores, "is_default", "pd_score_lr")
+               .select(F.lit("Logistic Regression").alias("model"), "auc", "gini")
+               .unionByName(EV.auc(scores, "is_default", "pd_score_xgb")
+                            .select(F.lit("Gradient Boosted Trees").alias("model"), "auc",
+                                    "gini")))
+    out = dict(report=report, split=split, train=train, test=test, lr=lr, gbt=gbt,
+               scores=scores, metrics=metrics)
+    _FIT_CACHE[key] = out
+    return out
+
+
+@register("m12_fit_lr")
+def m12_fit_lr(spark, sf):
+    return M.lr_coefficients(fitted(spark, sf)["lr"])
+
+
+@register("m13_fit_gbt")
+def m13_fit_gbt(spark, sf):
+    return fitted(spark, sf)["metrics"]
+
+
+@register("m15_feature_importance")
+def m15_feature_importance(spark, sf):
+    return M.feature_importance(fitted(spark, sf)["gbt"])
+
+
+@register("m15_feature_importance_top5")
+def m15_feature_importance_top5(spark, sf):
+    return M.feature_importance(fitted(spark, sf)["gbt"], k=5)
+
+
+@register("m16_score_table")
+def m16_score_table(spark, sf):
+    return fitted(spark, sf)["scores"]
+
+
+@register("m17_score_histogram")
+def m17_score_histogram(spark, sf):
+    return EV.score_histogram(fitted(spark, sf)["scores"])
+
+
+@register("m18_model_comparison")
+def m18_model_comparison(spark, sf):
+    return EV.model_comparison(fitted(spark, sf)["metrics"])
+
+
+@register("m19_training_summary")
+def m19_training_summary(spark, sf):
+    f = fitted(spark, sf)
+    return EV.training_summary(f["report"], M.split_summary(f["split"]), f["metrics"],
+                               len(M.FEATURES))
+
+
+@register("m11_ml_segment_summary")
+def m11_ml_segment_summary(spark, sf):
+    return EV.ml_segment_summary(fitted(spark, sf)["scores"])
+
+
+@register("m8_confusion_gbt")
+def m8_confusion_gbt(spark, sf):
+    return EV.confusion(fitted(spark, sf)["scores"], "is_default", "pd_score_xgb", 0.5, True)
+
+
+@register("m9_classification_report_lr")
+def m9_classification_report_lr(spark, sf):
+    return EV.classification_report(fitted(spark, sf)["scores"], "is_default", "pd_score_lr")
+
+
+@register("m7_roc_curve_gbt")
+def m7_roc_curve_gbt(spark, sf):
+    return EV.roc_curve(fitted(spark, sf)["scores"], "is_default", "pd_score_xgb")
+
+
+# =============================================================================
+# L. bulk applicant scoring
+# =============================================================================
+
+_APPLICANTS_SQL = "SELECT * FROM feature_engineering"
+
+
+@register("l1_applicant_features", O.with_layers(
+    "SELECT customer_id, total_late_payments, ever_seriously_delinquent, high_util_flag, "
+    "high_debt_flag, income_per_dependent, estimated_monthly_debt FROM feature_engineering"))
+def l1_applicant_features(spark, sf):
+    apps = L.require_age(clean(spark, sf))
+    return AP.applicant_features(apps).select("customer_id", *AP.DERIVED)
+
+
+@register("l2_score_applicants")
+def l2_score_applicants(spark, sf):
+    f = fitted(spark, sf)
+    apps = AP.applicant_features(L.require_age(clean(spark, sf)))
+    scored = AP.assess(AP.score_applicants(apps, f["lr"], f["gbt"]))
+    return scored.select("customer_id", "pd_score_lr", "pd_score_xgb", "pd_segment",
+                         "vs_portfolio", "gap_pct_points", "risk_flags",
+                         "exposure_at_default", "expected_loss")
+
+
+@register("l7_score_breakdown")
+def l7_score_breakdown(spark, sf):
+    f = fitted(spark, sf)
+    apps = AP.applicant_features(L.require_age(clean(spark, sf)))
+    return AP.score_breakdown(AP.score_applicants(apps, f["lr"], f["gbt"]))
+
+
+_PD = "(rule_risk_score / 100)"
+
+
+def _rule_pd(spark, sf) -> DataFrame:
+    return risk(spark, sf).withColumn("pd", F.col("rule_risk_score") / 100)
+
+
+@register("l3_pd_segment", O.with_layers(
+    f"SELECT customer_id, {_PD} AS pd, CASE WHEN {_PD} >= 0.3 THEN 'High Risk' "
+    f"WHEN {_PD} >= 0.1 THEN 'Medium Risk' ELSE 'Low Risk' END AS pd_segment "
+    "FROM risk_segments"))
+def l3_pd_segment(spark, sf):
+    from ..functions.exprs import pd_segment
+    return _rule_pd(spark, sf).select("customer_id", "pd", pd_segment("pd").alias("pd_segment"))
+
+
+@register("l4_vs_portfolio", O.with_layers(
+    f"SELECT customer_id, {_PD} AS pd, CASE WHEN {_PD} > CAST(0.067 AS DOUBLE) THEN 'above' "
+    f"ELSE 'below' END AS vs_portfolio, ABS({_PD} - CAST(0.067 AS DOUBLE)) * 100 "
+    "AS gap_pct_points FROM risk_segments"))
+def l4_vs_portfolio(spark, sf):
+    direction, gap = AP.vs_portfolio("pd")
+    return _rule_pd(spark, sf).select("customer_id", "pd", direction.alias("vs_portfolio"),
+                                      gap.alias("gap_pct_points"))
+
+
+_FLAG_RULES = ["late_90_plus >= 1", "revolving_util > 0.8", "debt_ratio > 0.5",
+               "late_30_59 >= 2", "monthly_income < 2000", "age < 25"]
+_FLAGS_SQL = "\nUNION ALL\n".join(
+    [f"SELECT customer_id, '{t}' AS flag FROM feature_engineering WHERE {r}"
+     for r, t in zip(_FLAG_RULES, AP.FLAG_TEXTS)]
+    + ["SELECT customer_id, 'No significant risk flags detected' AS flag FROM feature_engineering "
+       "WHERE NOT (" + " OR ".join(f"COALESCE({r}, FALSE)" for r in _FLAG_RULES) + ")"])
+
+
+@register("l5_risk_flags", O.with_layers(_FLAGS_SQL))
+def l5_risk_flags(spark, sf):
+    apps = L.require_age(clean(spark, sf))
+    return apps.select("customer_id", F.explode(AP.risk_flags()).alias("flag"))
+
+
+@register("l5_risk_flag_counts", O.with_layers(
+    f"SELECT flag, COUNT(*) AS applicants FROM ({_FLAGS_SQL}) GROUP BY flag"))
+def l5_risk_flag_counts(spark, sf):
+    return AP.flag_counts(L.require_age(clean(spark, sf)))
+
+
+@register("l6_expected_loss", O.with_layers(
+    f"SELECT customer_id, {_PD} AS pd, monthly_income * 12 AS exposure_at_default, "
+    f"{_PD} * CAST(0.45 AS DOUBLE) * (monthly_income * 12) AS expected_loss FROM risk_segments"))
+def l6_expected_loss(spark, sf):
+    ead, el = AP.expected_loss("pd")
+    return _rule_pd(spark, sf).select("customer_id", "pd", ead.alias("exposure_at_default"),
+                                      el.alias("expected_loss"))
+
+
+@register("l6_expected_loss_by_segment", O.with_layers(
+    f"SELECT pd_segment, COUNT(*) AS applicants, ROUND(SUM(monthly_income * 12), 2) "
+    f"AS total_exposure, ROUND(SUM({_PD} * CAST(0.45 AS DOUBLE) * (monthly_income * 12)), 2) "
+    f"AS total_expected_loss FROM (SELECT *, CASE WHEN {_PD} >= 0.3 THEN 'High Risk' "
+    f"WHEN {_PD} >= 0.1 THEN 'Medium Risk' ELSE 'Low Risk' END AS pd_segment "
+    "FROM risk_segments) GROUP BY pd_segment"))
+def l6_expected_loss_by_segment(spark, sf):
+    from ..functions.exprs import pd_segment
+    df = _rule_pd(spark, sf).withColumn("pd_segment", pd_segment("pd"))
+    return AP.expected_loss_by_segment(df, pd_col="pd")
