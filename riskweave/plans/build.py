@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.layers import clean_loans, feature_engineering, risk_segments
 from ..operators.portfolio import portfolio_summary
+from ..operators.prefix import global_row_number
 from ..sources.catalog import materialize
 
 LAYER_ORDER = ("raw_loans", "clean_loans", "feature_engineering", "risk_segments",
@@ -23,15 +24,32 @@ LAYER_ORDER = ("raw_loans", "clean_loans", "feature_engineering", "risk_segments
 
 def build_all(raw: DataFrame, keep_null_age: bool = False, with_row_num: bool = True,
               persist: bool = True, materialize_to: str | None = None) -> dict[str, DataFrame]:
-    """Run every layer in dependency order; returns ``name -> DataFrame``."""
+    """Run every layer in dependency order; returns ``name -> DataFrame``.
+
+    The segments table is computed once without the row number and kept;
+    the summary reads it directly. ``row_num`` (a global order) is then
+    added on top of the kept table, so its quantile sketch and its shuffle
+    read the stored rows instead of re-running the scans and the join.
+    """
     clean = clean_loans(raw)
-    features = feature_engineering(clean, keep_null_age=keep_null_age,
-                                   with_row_num=with_row_num)
-    risk = risk_segments(features)
+    features0 = feature_engineering(clean, keep_null_age=keep_null_age, with_row_num=False)
+    risk0 = risk_segments(features0)
     if materialize_to:
-        risk = materialize(risk, "risk_segments", path=f"{materialize_to.rstrip('/')}/risk_segments")
+        name = "risk_segments_base" if with_row_num else "risk_segments"
+        risk0 = materialize(risk0, name, path=f"{materialize_to.rstrip('/')}/{name}")
     elif persist:
-        risk = risk.persist(StorageLevel.MEMORY_AND_DISK)
-    summary = portfolio_summary(risk)
+        risk0 = risk0.persist(StorageLevel.MEMORY_AND_DISK)
+    summary = portfolio_summary(risk0)
+    if with_row_num:
+        numbered = global_row_number(risk0, "customer_id", "row_num")
+        feature_cols = [*features0.columns, "row_num"]
+        features = numbered.select(*feature_cols)
+        risk = numbered.select(*feature_cols, "rule_risk_score", "risk_segment")
+    else:
+        features, risk = risk0.select(*features0.columns), risk0
+    if materialize_to and with_row_num:
+        risk = materialize(risk, "risk_segments",
+                           path=f"{materialize_to.rstrip('/')}/risk_segments")
     return {"raw_loans": raw, "clean_loans": clean, "feature_engineering": features,
-            "risk_segments": risk, "portfolio_summary": summary}
+            "risk_segments": risk, "portfolio_summary": summary,
+            "risk_segments_unnumbered": risk0}

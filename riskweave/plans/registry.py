@@ -102,9 +102,10 @@ UNION ALL SELECT 'portfolio_summary', COUNT(*) FROM (
   UNION ALL SELECT risk_segment FROM risk_segments GROUP BY risk_segment)"""))
 def a10_layer_row_counts(spark, sf):
     tables = build_all(raw(spark, sf), with_row_num=False, persist=False)
-    counts = [t.agg(F.count(F.lit(1)).alias("row_count"))
+    counts = [tables[name].agg(F.count(F.lit(1)).alias("row_count"))
               .select(F.lit(name).alias("layer"), "row_count")
-              for name, t in tables.items()]
+              for name in ("raw_loans", "clean_loans", "feature_engineering", "risk_segments",
+                           "portfolio_summary")]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
