@@ -75,25 +75,29 @@ def schema_profile(df: DataFrame) -> DataFrame:
 
 # -- D2 / D9: describe --------------------------------------------------------------
 
+def stack_columns(df: DataFrame, cols: Sequence[str], key: str = "column_name",
+                  value: str = "x") -> DataFrame:
+    """One row per (input row, column): ``key, value`` (as double). A scan
+    feeds all columns at once; the grouped aggregate that follows keeps its
+    buffers small enough for whole-stage codegen and merges each column in
+    its own task."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias(key), F.col(c).cast("double").alias(value)) for c in cols])))
+
+
 def describe(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx: bool = False,
              accuracy: int = 100000) -> DataFrame:
     """Pandas ``describe`` per column: count, mean, sample std, min,
-    quartiles (linear interpolation), max — one aggregate for all columns."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _quartiles(x, approx, accuracy).alias(f"{c}__q"),
-                 F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    wide = wide.select(*[
-        e for c in cols for e in (
-            F.col(f"{c}__count"), _r(F.col(f"{c}__mean")).alias(f"{c}__mean"),
-            _r(F.col(f"{c}__std")).alias(f"{c}__std"), _r(F.col(f"{c}__min")).alias(f"{c}__min"),
-            _r(F.col(f"{c}__q")[0]).alias(f"{c}__p25"), _r(F.col(f"{c}__q")[1]).alias(f"{c}__p50"),
-            _r(F.col(f"{c}__q")[2]).alias(f"{c}__p75"), _r(F.col(f"{c}__max")).alias(f"{c}__max"))])
-    return _long(wide, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    quartiles (linear interpolation), max — one scan, grouped by column."""
+    x = F.col("x")
+    agg = stack_columns(df, cols).groupBy("column_name").agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), _quartiles(x, approx, accuracy).alias("q"), F.max(x).alias("max"))
+    return agg.select(
+        "column_name", "count", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"),
+        _r(F.col("min")).alias("min"), _r(F.col("q")[0]).alias("p25"),
+        _r(F.col("q")[1]).alias("p50"), _r(F.col("q")[2]).alias("p75"),
+        _r(F.col("max")).alias("max"))
 
 
 def income_sanity(df: DataFrame) -> DataFrame:
@@ -148,38 +152,29 @@ def class_counts(df: DataFrame, label: str = "is_default") -> DataFrame:
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
                  accuracy: int = 100000) -> DataFrame:
-    """Tukey fences per column. Pass 1 (one aggregate) gets min, max, Q1,
-    Q3 of every column; pass 2 counts values outside the fences, reading
-    the pass-1 row as a scalar subquery."""
+    """Tukey fences per column. Pass 1 gets min, max, Q1, Q3 per column
+    (grouped by column over the stacked rows); pass 2 joins those bounds —
+    one row per profiled column, a fixed-size table, so broadcast — and
+    counts values outside the fences."""
     cols = list(cols or [c for c in PROFILE_COLUMNS if c != "is_default"])
-    stats = df.agg(*[
-        e for c in cols for e in (
-            F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-            F.max(F.col(c).cast("double")).alias(f"{c}__max"),
-            (F.percentile_approx(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75)),
-                                 accuracy) if approx else
-             F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))))
-            .alias(f"{c}__q"))])
-    s = stats.select(F.struct(*stats.columns).alias("s")).scalar()
-    n_rows = df.agg(F.count(F.lit(1))).scalar()
-    counts = []
-    for c in cols:
-        q1, q3 = s.getField(f"{c}__q")[0], s.getField(f"{c}__q")[1]
-        iqr = q3 - q1
-        lower, upper = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-        x = F.col(c).cast("double")
-        counts.append(F.count_if((x < lower) | (x > upper)).alias(f"{c}__n_outliers"))
-    wide = df.agg(*counts).select(
-        *[e for c in cols for e in (
-            s.getField(f"{c}__min").alias(f"{c}__min"),
-            s.getField(f"{c}__max").alias(f"{c}__max"),
-            _r(s.getField(f"{c}__q")[0]).alias(f"{c}__q1"),
-            _r(s.getField(f"{c}__q")[1]).alias(f"{c}__q3"),
-            _r(s.getField(f"{c}__q")[1] + 1.5 * (s.getField(f"{c}__q")[1]
-                                                 - s.getField(f"{c}__q")[0])).alias(f"{c}__iqr_upper"),
-            F.col(f"{c}__n_outliers"),
-            even_round(F.col(f"{c}__n_outliers") / n_rows * 100, 2).alias(f"{c}__outlier_pct"))])
-    return _long(wide, cols, ["min", "max", "q1", "q3", "iqr_upper", "n_outliers", "outlier_pct"])
+    x = F.col("x")
+    stacked = stack_columns(df, cols)
+    q = (F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), accuracy) if approx
+         else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
+    bounds = stacked.groupBy("column_name").agg(
+        F.min(x).alias("min"), F.max(x).alias("max"), q.alias("_q")).select(
+        "column_name", "min", "max", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3"))
+    bounds = bounds.withColumns({
+        "_lo": F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1")),
+        "_hi": F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))})
+    counts = stacked.join(F.broadcast(bounds.select("column_name", "_lo", "_hi")),
+                          "column_name").groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if((x < F.col("_lo")) | (x > F.col("_hi"))).alias("n_outliers"))
+    return bounds.join(counts, "column_name").select(
+        "column_name", "min", "max", _r(F.col("_q1")).alias("q1"), _r(F.col("_q3")).alias("q3"),
+        _r(F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("iqr_upper"),
+        "n_outliers", even_round(F.col("n_outliers") / F.col("_n") * 100, 2).alias("outlier_pct"))
 
 
 def age_sanity(df: DataFrame) -> DataFrame:
@@ -275,19 +270,24 @@ def cut_pivot(df: DataFrame) -> DataFrame:
 
 def correlation(df: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
     """Pearson matrix, pairwise-complete (each ``corr`` skips rows with a
-    NULL in either column), as long rows ``(col_a, col_b, corr)``; all
-    ``n(n-1)/2`` pairs in one aggregate."""
+    NULL in either column), as long rows ``(col_a, col_b, corr)``.
+
+    One scan emits a ``(pair, x, y)`` row per column pair; ``corr`` grouped
+    by pair merges each pair in its own task (a single 55-way ``corr``
+    aggregate is too wide for whole-stage codegen and merges in one task).
+    """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[_r(F.corr(F.col(a).cast("double"), F.col(b).cast("double")))
-                    .alias(f"{a}__{b}") for a, b in pairs])
-    cells = ([F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                       F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
-             + [F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"),
-                         F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
-             + [F.struct(F.lit(a).alias("col_a"), F.lit(a).alias("col_b"),
-                         F.lit(1.0).alias("corr")) for a in cols])
-    return wide.select(F.inline(F.array(*cells)))
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs])))
+    upper = stacked.groupBy("col_a", "col_b").agg(_r(F.corr("x", "y")).alias("corr"))
+    lower = upper.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
+    names = upper.select(F.col("col_a").alias("c")).union(upper.select("col_b")).distinct()
+    diagonal = names.select(F.col("c").alias("col_a"), F.col("c").alias("col_b"),
+                            F.lit(1.0).alias("corr"))
+    return upper.unionByName(lower).unionByName(diagonal)
 
 
 def target_correlation(df: DataFrame, label: str = "is_default",
