@@ -870,8 +870,7 @@ def fitted(spark: SparkSession, sf: str, trees: int = M.GBT_TREES) -> dict:
     split = M.cached_frame(M.stratified_split(frame))
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
-    lr = M.fit_lr(train)
-    gbt = M.fit_gbt(train, trees=trees)
+    lr, gbt = M.fit_models(train, trees=trees)
     scores = M.score_table(test, lr, gbt)
     metrics = (EV.auc(scores, "is_default", "pd_score_lr")
                .select(F.lit("Logistic Regression").alias("model"), "auc", "gini")
