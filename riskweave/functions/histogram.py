@@ -68,8 +68,9 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
     ``lo``/``hi`` fix the range (values outside are not counted); otherwise
     the range is the data's min/max — over all rows when ``shared_edges``
     (one set of edges for every group in ``by``, as a stacked chart does), or
-    per group. ``clip`` applies pandas ``clip(upper=clip)`` first; NULLs are
-    never counted. Output: ``*by, bin, bin_lo, bin_hi, frequency``.
+    per group. ``by`` must be a low-cardinality key (one edge row per group
+    is broadcast). ``clip`` applies pandas ``clip(upper=clip)`` first; NULLs
+    are never counted. Output: ``*by, bin, bin_lo, bin_hi, frequency``.
     """
     by = list(by)
     src = df if where is None else df.filter(where)
@@ -83,12 +84,13 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
 
     per_group = bool(by) and not shared_edges and (lo is None or hi is None)
     if per_group:
-        # one edge row per group; a plain join lets AQE broadcast it when its
-        # measured size is small and shuffle it otherwise
+        # one edge row per group. ``by`` is a low-cardinality key (a class
+        # label), so the edge table is broadcast: a shuffle join on a key with
+        # a handful of values would send all rows to a handful of tasks.
         stats = src.groupBy(*by).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
         lo_g, hi_g = _widen(F.col("_lo0"), F.col("_hi0"))
         edge_rows = stats.select(*by, lo_g.alias("_lo"), hi_g.alias("_hi"))
-        binned = with_bin(src.join(edge_rows, by, "inner"), bins).select(*by, "bin")
+        binned = with_bin(src.join(F.broadcast(edge_rows), by, "inner"), bins).select(*by, "bin")
     else:
         if lo is not None and hi is not None:
             lo_c, hi_c = _widen(F.lit(float(lo)), F.lit(float(hi)))

@@ -153,3 +153,61 @@ def segment_indicators(df: DataFrame) -> DataFrame:
         even_round(F.avg("late_90_plus"), 3).alias("avg_late_90"),
         even_round(F.avg("monthly_income"), 3).alias("avg_income"),
     )
+
+
+def dashboard_tables(df: DataFrame) -> dict[str, DataFrame]:
+    """P6, P7, P8, P11, P12 and P14 from **one** scan of ``df``.
+
+    One ``GROUPING SETS ((), (risk_segment), (age_band, income_band))``
+    aggregate keeps sums and non-null counts (so every mean is the same
+    ``sum / count`` that ``avg`` computes); the result has at most
+    ``1 + 3 + 30`` rows and is cached, and each chart table is derived from
+    it. The per-operator functions above give the same values, one scan each.
+    """
+    cols = {"is_default": "d", "monthly_income": "inc", "debt_ratio": "debt",
+            "revolving_util": "util", "late_90_plus": "l90"}
+    sets = [[], [F.col("risk_segment")], [F.col("age_band"), F.col("income_band")]]
+    small = df.groupingSets(sets, "risk_segment", "age_band", "income_band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_default").cast("bigint").alias("defaults"),
+        *[e for c, k in cols.items() for e in (
+            F.sum(F.col(c).cast("double")).alias(f"s_{k}"), F.count(c).alias(f"n_{k}"))],
+        F.grouping_id().alias("gid")).cache()
+
+    def mean(k: str) -> Column:
+        return F.col(f"s_{k}") / F.col(f"n_{k}")
+
+    everything = small.filter(F.col("gid") == 7)
+    by_seg = small.filter(F.col("gid") == 3)
+    by_cell = small.filter((F.col("gid") == 4) & F.col("age_band").isNotNull()
+                           & F.col("income_band").isNotNull())
+    kpis = everything.select(
+        F.col("n").alias("total_customers"), F.col("defaults").alias("total_defaults"),
+        (mean("d") * 100).alias("default_rate_pct"), mean("inc").alias("avg_monthly_income"),
+        mean("debt").alias("avg_debt_ratio"))
+    cells = by_cell.select("age_band", "income_band",
+                           even_round(mean("d") * 100, 2).alias("default_rate_pct"))
+    wide = by_cell.groupBy("age_band").pivot("income_band", INCOME_BAND_LABELS) \
+        .agg(F.first(mean("d")))
+    heat = wide.select("age_band", *[even_round(F.col(f"`{label}`") * 100, 2).alias(name)
+                                     for label, name in zip(INCOME_BAND_LABELS,
+                                                            INCOME_BAND_COLUMNS)])
+    one = small.agg(
+        F.max(F.when(F.col("gid") == 7, F.col("n"))).alias("_total"),
+        *[F.coalesce(F.max(F.when((F.col("gid") == 3) & (F.col("risk_segment") == s),
+                                  F.col("n"))), F.lit(0).cast("bigint")).alias(f"_n{i}")
+          for i, s in enumerate(RISK_SEGMENTS)])
+    counts = one.select("_total", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("risk_segment"), F.col(f"_n{i}").alias("customers"))
+        for i, s in enumerate(RISK_SEGMENTS)]))).select(
+        "risk_segment", "customers",
+        F.when(F.col("_total") == 0, F.lit(0.0))
+        .otherwise(F.col("customers") / F.col("_total") * 100).alias("share_pct"))
+    rate = by_seg.select("risk_segment", even_round(mean("d") * 100, 2).alias("default_rate_pct"))
+    indicators = by_seg.select(
+        "risk_segment", even_round(mean("util"), 3).alias("avg_util"),
+        even_round(mean("debt"), 3).alias("avg_debt_ratio"),
+        even_round(mean("l90"), 3).alias("avg_late_90"),
+        even_round(mean("inc"), 3).alias("avg_income"))
+    return {"portfolio_kpis": kpis, "heatmap_long": cells, "heatmap": heat,
+            "segment_counts": counts, "segment_default_rate": rate,
+            "segment_indicators": indicators}

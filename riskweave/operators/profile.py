@@ -302,8 +302,9 @@ def target_correlation(df: DataFrame, label: str = "is_default",
 
 def box_stats(df: DataFrame, column: str = "debt_ratio", by: str = "is_default") -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the furthest
-    point within 1.5 IQR of the box, outlier count. The quartile table has
-    one row per group; a plain join lets AQE broadcast it when small."""
+    point within 1.5 IQR of the box, outlier count. ``by`` is a class label:
+    the quartile table has one row per class and is broadcast (a shuffle
+    join on a two-valued key would put all rows in two tasks)."""
     x = F.col(column).cast("double")
     src = df.select(by, x.alias("_x")).filter(F.col("_x").isNotNull())
     q = src.groupBy(by).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -312,7 +313,7 @@ def box_stats(df: DataFrame, column: str = "debt_ratio", by: str = "is_default")
                  F.col("_q")[2].alias("q3"))
     fences = q.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    joined = src.join(fences, by, "inner")
+    joined = src.join(F.broadcast(fences), by, "inner")
     agg = joined.groupBy(by, "q1", "median", "q3", "_lo", "_hi").agg(
         F.min(F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))).alias("_wlo"),
         F.max(F.when(F.col("_x") <= F.col("_hi"), F.col("_x"))).alias("_whi"),

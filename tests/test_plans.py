@@ -38,3 +38,12 @@ def test_row_number_windows_are_partitioned_by_bucket(spark, sf):
     row_windows = [w for w in windows if "customer_id" in w.split("], [")[-1]
                    or "customer_id ASC" in w]
     assert row_windows and all("_rw_bucket" in w for w in row_windows)
+
+
+def test_per_class_tables_are_broadcast(spark, sf):
+    from riskweave.operators import profile as D
+    raw = R.raw(spark, sf)
+    for df in (D.util_histogram_by_class(raw), D.box_stats(raw)):
+        phys = plan_text(df)
+        assert "BroadcastHashJoin" in phys
+        assert not re.search(r"SortMergeJoin \[is_default", phys)

@@ -75,3 +75,15 @@ def test_split_is_disjoint_complete_and_repeatable(risk):
         n_c = risk.filter(F.col("is_default") == cls).count()
         t = split.filter((F.col("is_default") == cls) & (F.col("split") == "test")).count()
         assert t == int(np.floor(0.2 * n_c + 0.5))
+
+
+def test_dashboard_bundle_equals_per_operator_tables(risk):
+    bundle = P.dashboard_tables(risk)
+    singles = {"portfolio_kpis": P.portfolio_kpis, "heatmap_long": P.heatmap_long,
+               "heatmap": P.heatmap, "segment_counts": P.segment_counts,
+               "segment_default_rate": P.segment_default_rate,
+               "segment_indicators": P.segment_indicators}
+    for name, fn in singles.items():
+        one = fn(risk)
+        assert bundle[name].columns == one.columns, name
+        assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
