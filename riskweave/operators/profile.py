@@ -13,9 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.exprs import clip_upper, cut_order, even_round, right_closed_cut, sql_round
+from ..functions.exprs import cut_order, even_round, right_closed_cut, sql_round
 from ..functions.histogram import histogram
 
 # Column lists and bin edges of the profiling notebook.
@@ -300,15 +299,15 @@ def target_correlation(df: DataFrame, label: str = "is_default",
 
 # -- D15 / D16 -------------------------------------------------------------------------
 
-def box_stats(df: DataFrame, column: str = "debt_ratio", by: str = "is_default") -> DataFrame:
+def box_stats(df: DataFrame, column: str = "debt_ratio", by: str = "is_default",
+              approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the furthest
     point within 1.5 IQR of the box, outlier count. ``by`` is a class label:
     the quartile table has one row per class and is broadcast (a shuffle
     join on a two-valued key would put all rows in two tasks)."""
     x = F.col(column).cast("double")
     src = df.select(by, x.alias("_x")).filter(F.col("_x").isNotNull())
-    q = src.groupBy(by).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                            .alias("_q"))
+    q = src.groupBy(by).agg(_quartiles(F.col("_x"), approx, accuracy).alias("_q"))
     q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     fences = q.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),

@@ -13,8 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (AGE_BAND_LABELS, INCOME_BAND_LABELS, clip_upper,
-                               even_round, sql_round)
+from ..functions.exprs import INCOME_BAND_LABELS, sql_round
 from ..operators import layers as L
 from ..operators import portfolio as P
 from ..sources.catalog import preview, row_count

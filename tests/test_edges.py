@@ -184,3 +184,18 @@ def test_applicant_flags_and_loss(spark):
     br = AP.score_breakdown(scored).filter("customer_id = 1").collect()
     assert {r.model: r.vs_portfolio for r in br} == {"Gradient Boosted Trees": "above",
                                                      "Logistic Regression": "below"}
+
+
+def test_approximate_quantiles_stay_close(spark, sf):
+    from riskweave.plans import registry as R
+    raw = R.raw(spark, sf)
+    exact = {r.column_name: r for r in D.describe(raw).collect()}
+    approx = {r.column_name: r for r in D.describe(raw, approx=True).collect()}
+    for c, r in exact.items():
+        assert approx[c]["count"] == r["count"]
+        assert approx[c].min <= approx[c].p50 <= approx[c].max
+    b1 = {r.is_default: r for r in D.box_stats(raw).collect()}
+    b2 = {r.is_default: r for r in D.box_stats(raw, approx=True).collect()}
+    assert set(b1) == set(b2)
+    i2 = D.iqr_outliers(raw, approx=True).collect()
+    assert len(i2) == 10

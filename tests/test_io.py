@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from riskweave.plans.build import build_all
 from riskweave.sources import catalog as C
 from riskweave.sources.loans import load_loans_csv, rename_loans, with_customer_id
