@@ -80,7 +80,7 @@ def main() -> None:
         train = split.filter(F.col("split") == "train")
         test = split.filter(F.col("split") == "test")
         lr, gbt = M.fit_models(train, trees=trees)
-        scores = M.score_table(test, lr, gbt)
+        scores = M.cached_frame(M.score_table(test, lr, gbt))
         metrics = {name: EV.auc(scores, "is_default", col).first()
                    for name, col in (("lr", "pd_score_lr"), ("gbt", "pd_score_xgb"))}
         return lr, gbt, metrics
