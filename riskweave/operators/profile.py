@@ -339,3 +339,59 @@ def value_counts(df: DataFrame, cols: Sequence[str] = LATE_COLUMNS, k: int = 10)
     w = Window.partitionBy("column_name").orderBy("value")
     return counts.withColumn("_rank", F.row_number().over(w)) \
         .filter(F.col("_rank") <= k).drop("_rank")
+
+
+def profile_tables(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx: bool = False,
+                   accuracy: int = 100000) -> dict[str, DataFrame]:
+    """D2, D3, D5 and D6 from **two** scans instead of six.
+
+    One grouped aggregate over the stacked ``(column, value)`` rows of every
+    column keeps row count, non-null count, mean, std, min, quartiles, max
+    and zero count per column (quartiles only for the profiled columns); it
+    has one row per column and is cached. Describe, the missing report, the
+    IQR bounds and the age checks are read from it; only the outlier counts
+    need a second scan against the (broadcast) fences. Values equal the
+    per-operator functions above.
+    """
+    cols = list(cols)
+    every = list(df.columns)
+    x = F.col("x")
+    profiled = F.col("column_name").isin(cols)
+    stats = stack_columns(df, every).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+        _quartiles(F.when(profiled, x), approx, accuracy).alias("q"), F.max(x).alias("max"),
+        F.count_if(x == 0).alias("_zeros")).cache()
+
+    desc = stats.filter(profiled).select(
+        "column_name", "count", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"),
+        _r(F.col("min")).alias("min"), _r(F.col("q")[0]).alias("p25"),
+        _r(F.col("q")[1]).alias("p50"), _r(F.col("q")[2]).alias("p75"),
+        _r(F.col("max")).alias("max"))
+    missing = (stats.select("column_name", (F.col("_rows") - F.col("count")).alias("missing_count"),
+                            "_rows")
+               .select("column_name", "missing_count",
+                       even_round(F.col("missing_count") / F.col("_rows") * 100, 2)
+                       .alias("missing_pct"))
+               .filter(F.col("missing_count") > 0)
+               .orderBy(F.desc("missing_pct"), "column_name"))
+
+    iqr_cols = [c for c in cols if c != "is_default"]
+    q1, q3 = F.col("q")[0], F.col("q")[2]
+    fences = stats.filter(F.col("column_name").isin(iqr_cols)).select(
+        "column_name", "min", "max", "_rows", q1.alias("_q1"), q3.alias("_q3"),
+        (q1 - 1.5 * (q3 - q1)).alias("_lo"), (q3 + 1.5 * (q3 - q1)).alias("_hi"))
+    outside = stack_columns(df, iqr_cols).join(
+        F.broadcast(fences.select("column_name", "_lo", "_hi")), "column_name") \
+        .groupBy("column_name").agg(
+            F.count_if((x < F.col("_lo")) | (x > F.col("_hi"))).alias("n_outliers"))
+    iqr = fences.join(outside, "column_name").select(
+        "column_name", "min", "max", _r(F.col("_q1")).alias("q1"), _r(F.col("_q3")).alias("q3"),
+        _r(F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("iqr_upper"),
+        "n_outliers", even_round(F.col("n_outliers") / F.col("_rows") * 100, 2)
+        .alias("outlier_pct"))
+
+    age = stats.filter(F.col("column_name") == "age").select(
+        F.col("min").cast("bigint").alias("age_min"), F.col("max").cast("bigint").alias("age_max"),
+        F.col("_zeros").alias("n_age_zero"))
+    return {"describe": desc, "missing_report": missing, "iqr_outliers": iqr, "age_sanity": age}

@@ -87,3 +87,16 @@ def test_dashboard_bundle_equals_per_operator_tables(risk):
         one = fn(risk)
         assert bundle[name].columns == one.columns, name
         assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
+
+
+def test_profile_bundle_equals_per_operator_tables(spark, sf):
+    from riskweave.operators import profile as D
+    raw = R.raw(spark, sf).cache()
+    bundle = D.profile_tables(raw)
+    singles = {"describe": D.describe, "missing_report": D.missing_report,
+               "iqr_outliers": D.iqr_outliers, "age_sanity": D.age_sanity}
+    for name, fn in singles.items():
+        one = fn(raw)
+        assert bundle[name].columns == one.columns, name
+        assert [f.dataType for f in bundle[name].schema] == [f.dataType for f in one.schema], name
+        assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
