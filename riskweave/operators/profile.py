@@ -2,9 +2,9 @@
 
 Statistics over many columns are computed in one wide aggregate (one scan,
 one tiny shuffle) and turned into one row per column with ``inline`` —
-never a loop of per-column jobs. Exact percentiles buffer the distinct
-values of a column; pass ``approx=True`` (``percentile_approx``) where that
-set is unbounded.
+never a loop of per-column jobs. Quantiles are exact and distributed
+(``operators/quantile.py``: no task holds a whole column); ``approx=True``
+swaps in the one-pass ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import cut_order, even_round, right_closed_cut, sql_round
 from ..functions.histogram import histogram
+from .quantile import exact_median, exact_quantiles
 
 # Column lists and bin edges of the profiling notebook.
 PROFILE_COLUMNS = [
@@ -44,11 +45,24 @@ def _r(c: Column) -> Column:
     return sql_round(c, STAT_DIGITS)
 
 
-def _quartiles(c: Column, approx: bool, accuracy: int) -> Column:
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if approx:
-        return F.percentile_approx(c, probs, accuracy)
-    return F.percentile(c, probs)
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES,
+                   by: Sequence[str] = (), approx: bool = False,
+                   accuracy: int = 100000) -> DataFrame:
+    """``(column_name, *by, q)``: the quantiles of each column at ``probs``,
+    one row per column and group with a value. Exact (distributed ranks) by
+    default; ``approx`` uses the ``percentile_approx`` sketch (one pass)."""
+    if not approx:
+        return exact_quantiles(df, cols, probs, by=by)
+    by = list(by)
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), *[F.col(b) for b in by],
+                 F.col(c).cast("double").alias("x")) for c in cols])))
+    return stacked.groupBy("column_name", *by).agg(
+        F.percentile_approx("x", F.array(*[F.lit(float(p)) for p in probs]), accuracy)
+        .alias("q"))
 
 
 def _long(one_row: DataFrame, names: Sequence[str], fields: Sequence[str],
@@ -89,9 +103,11 @@ def describe(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx: bool
     """Pandas ``describe`` per column: count, mean, sample std, min,
     quartiles (linear interpolation), max — one scan, grouped by column."""
     x = F.col("x")
-    agg = stack_columns(df, cols).groupBy("column_name").agg(
+    stats = stack_columns(df, cols).groupBy("column_name").agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), _quartiles(x, approx, accuracy).alias("q"), F.max(x).alias("max"))
+        F.min(x).alias("min"), F.max(x).alias("max"))
+    agg = stats.join(quantile_table(df, cols, approx=approx, accuracy=accuracy),
+                     "column_name", "left")
     return agg.select(
         "column_name", "count", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"),
         _r(F.col("min")).alias("min"), _r(F.col("q")[0]).alias("p25"),
@@ -103,14 +119,15 @@ def income_sanity(df: DataFrame) -> DataFrame:
     """Over non-null income: count above 30000, count equal to 0, describe."""
     inc = df.select(F.col("monthly_income").cast("double").alias("x")).filter(
         F.col("x").isNotNull())
-    q = F.percentile(F.col("x"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return inc.agg(
+    stats = inc.agg(
+        F.lit("x").alias("column_name"),
         F.count_if(F.col("x") > 30000).alias("n_over_30000"),
         F.count_if(F.col("x") == 0).alias("n_zero"),
         F.count(F.lit(1)).alias("count"), _r(F.avg("x")).alias("mean"),
-        _r(F.stddev_samp("x")).alias("std"), F.min("x").alias("min"), q.alias("_q"),
-        F.max("x").alias("max"),
-    ).select("n_over_30000", "n_zero", "count", "mean", "std", "min",
+        _r(F.stddev_samp("x")).alias("std"), F.min("x").alias("min"),
+        F.max("x").alias("max"))
+    quartiles = quantile_table(inc, ["x"]).withColumnRenamed("q", "_q")
+    return stats.join(quartiles, "column_name", "left").select("n_over_30000", "n_zero", "count", "mean", "std", "min",
              _r(F.col("_q")[0]).alias("p25"), _r(F.col("_q")[1]).alias("p50"),
              _r(F.col("_q")[2]).alias("p75"), "max")
 
@@ -158,10 +175,9 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     cols = list(cols or [c for c in PROFILE_COLUMNS if c != "is_default"])
     x = F.col("x")
     stacked = stack_columns(df, cols)
-    q = (F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), accuracy) if approx
-         else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-    bounds = stacked.groupBy("column_name").agg(
-        F.min(x).alias("min"), F.max(x).alias("max"), q.alias("_q")).select(
+    bounds = stacked.groupBy("column_name").agg(F.min(x).alias("min"), F.max(x).alias("max")) \
+        .join(quantile_table(df, cols, (0.25, 0.75), approx=approx, accuracy=accuracy)
+              .withColumnRenamed("q", "_q"), "column_name", "left").select(
         "column_name", "min", "max", F.col("_q")[0].alias("_q1"), F.col("_q")[1].alias("_q3"))
     bounds = bounds.withColumns({
         "_lo": F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1")),
@@ -236,7 +252,7 @@ def rate_by_age_group(df: DataFrame) -> DataFrame:
 
 def rate_by_income_band(df: DataFrame) -> DataFrame:
     """Income NULL -> median income, bins (0,2000] ... (10000,999999]."""
-    med = df.agg(F.median("monthly_income")).scalar()
+    med = exact_median(df, "monthly_income")
     return rate_by_cut(df, "monthly_income", INCOME_CUT_EDGES, INCOME_CUT_LABELS,
                        "income_band", fill=med)
 
@@ -253,7 +269,7 @@ def cut_pivot(df: DataFrame) -> DataFrame:
     """Default rate % by age group x income band (median-filled income
     of the age-filtered rows), one row per age group."""
     src = df.filter(F.col("age").between(18, 100))
-    med = src.agg(F.median("monthly_income")).scalar()
+    med = exact_median(src, "monthly_income")
     inc = F.coalesce(F.col("monthly_income"), med)
     cells = src.select(
         right_closed_cut("age", PIVOT_AGE_EDGES, PIVOT_AGE_LABELS).alias("age_group"),
@@ -307,7 +323,8 @@ def box_stats(df: DataFrame, column: str = "debt_ratio", by: str = "is_default",
     join on a two-valued key would put all rows in two tasks)."""
     x = F.col(column).cast("double")
     src = df.select(by, x.alias("_x")).filter(F.col("_x").isNotNull())
-    q = src.groupBy(by).agg(_quartiles(F.col("_x"), approx, accuracy).alias("_q"))
+    q = quantile_table(src, ["_x"], by=[by], approx=approx, accuracy=accuracy) \
+        .withColumnRenamed("q", "_q")
     q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     fences = q.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
@@ -359,9 +376,10 @@ def profile_tables(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx:
     profiled = F.col("column_name").isin(cols)
     stats = stack_columns(df, every).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("_rows"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        _quartiles(F.when(profiled, x), approx, accuracy).alias("q"), F.max(x).alias("max"),
-        F.count_if(x == 0).alias("_zeros")).cache()
+        F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.count_if(x == 0).alias("_zeros")) \
+        .join(quantile_table(df, cols, approx=approx, accuracy=accuracy), "column_name", "left") \
+        .cache()
 
     desc = stats.filter(profiled).select(
         "column_name", "count", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"),

@@ -47,3 +47,16 @@ def test_per_class_tables_are_broadcast(spark, sf):
         phys = plan_text(df)
         assert "BroadcastHashJoin" in phys
         assert not re.search(r"SortMergeJoin \[is_default", phys)
+
+
+def test_profile_quantiles_hold_no_whole_column_buffer(spark, sf):
+    """Exact quantiles come from distributed ranks, never from a
+    ``percentile``/``median`` aggregate that buffers a column in one task."""
+    from riskweave.operators import profile as D
+    raw = R.raw(spark, sf)
+    frames = [D.describe(raw), D.iqr_outliers(raw), D.income_sanity(raw), D.box_stats(raw),
+              D.rate_by_income_band(raw), D.cut_pivot(raw),
+              *D.profile_tables(raw).values()]
+    for df in frames:
+        phys = plan_text(df)
+        assert "percentile(" not in phys and "median(" not in phys, phys
