@@ -59,11 +59,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     bcols = [f"_rw_qb{i}" for i in range(len(cols))]
     bucketed = Bucketizer(splitsArray=_split_points(wide, cols, k), inputCols=cols,
                           outputCols=bcols, handleInvalid="keep").transform(wide)
+    # the shuffles carry a small column index; the name is put back at the end
     stacked = bucketed.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias(key), *[F.col(b) for b in by], F.col(c).alias("_x"),
+        F.struct(F.lit(i).alias("_ci"), *[F.col(b) for b in by], F.col(c).alias("_x"),
                  F.col(bc).alias("_b"))
-        for c, bc in zip(cols, bcols)]))).filter(F.col("_x").isNotNull())
-    group = [key, *by]
+        for i, (c, bc) in enumerate(zip(cols, bcols))]))).filter(F.col("_x").isNotNull())
+    group = ["_ci", *by]
     distinct = stacked.groupBy(*group, "_b", "_x").agg(F.count(F.lit(1)).alias("_m"))
 
     # rank targets per group: (n - 1) * p and its floor / ceiling (0-based)
@@ -90,7 +91,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     for i in pos:
         lo, hi = F.col(f"_v_lo{i}"), F.col(f"_v_hi{i}")
         values.append(lo + (hi - lo) * (F.col(f"_pos{i}") - F.col(f"_lo{i}")))
-    return picked.select(*group, F.array(*values).alias(out))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_ci") + 1)
+    return picked.select(name.alias(key), *by, F.array(*values).alias(out))
 
 
 def exact_median(df: DataFrame, col: str):

@@ -60,3 +60,11 @@ def test_profile_quantiles_hold_no_whole_column_buffer(spark, sf):
     for df in frames:
         phys = plan_text(df)
         assert "percentile(" not in phys and "median(" not in phys, phys
+
+
+def test_value_counts_limits_each_column_before_the_shuffle(spark, sf):
+    """D16 top-k per column: a partial ``WindowGroupLimit`` runs before the
+    exchange, so each task ships at most k rows per column."""
+    from riskweave.operators import profile as D
+    phys = plan_text(D.value_counts(R.raw(spark, sf)))
+    assert re.search(r"WindowGroupLimit \[[^\n]*Partial", phys), phys
