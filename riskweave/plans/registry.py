@@ -421,7 +421,17 @@ def _dbl(c: str) -> str:
     return f"CAST({c} AS DOUBLE)"
 
 
-@register("d1_schema_profile")
+def _schema_sql() -> str:
+    """DuckDB reports the type of each F2 column as it evaluates the table
+    (``typeof`` is the static type, also for a NULL value)."""
+    cols = [c.strip() for c in RAW_COLS.split(",")]
+    parts = [f"SELECT {i} AS position, '{c}' AS column_name, lower(typeof({c})) AS data_type "
+             f"FROM (SELECT * FROM raw_loans LIMIT 1)" for i, c in enumerate(cols)]
+    return (f"SELECT t.*, (SELECT COUNT(*) FROM raw_loans) AS n_rows FROM (\n"
+            + "\nUNION ALL\n".join(parts) + "\n) t")
+
+
+@register("d1_schema_profile", O.with_layers(_schema_sql()))
 def d1_schema_profile(spark, sf):
     return D.schema_profile(raw(spark, sf))
 
@@ -682,7 +692,9 @@ def _test_rule_scored(spark, sf) -> DataFrame:
         .withColumn("score", F.col("rule_risk_score") / 100)
 
 
-@register("m1_assemble")
+@register("m1_assemble", O.with_layers(
+    "SELECT customer_id, [" + ", ".join(_dbl(c) for c in M.FEATURES)
+    + "] AS features FROM risk_segments"))
 def m1_assemble(spark, sf):
     from pyspark.ml.functions import vector_to_array
     v = M.assemble(M.select_features(risk(spark, sf)))
