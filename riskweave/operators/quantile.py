@@ -4,23 +4,23 @@
 aggregation buffer and merge the buffers of a group in a single task, so
 their memory grows with the data. The form here is exact (linear
 interpolation between the two ranks around ``(n - 1) * p``, as pandas and
-SQL ``QUANTILE_CONT`` do) and fully distributed:
+SQL ``QUANTILE_CONT`` do) and fully distributed — a two-pass selection:
 
 1. one sketch pass gives ``k - 1`` equi-depth split points per column (only
    those reach the driver) and each value gets its bucket index, monotone
    in the value;
-2. the stacked ``(column, group, bucket, value)`` rows are counted per
-   distinct value — map-side partial aggregation, so a value that holds a
-   third of the rows is one row per task after the first stage;
-3. a running count in value order per (column, group) comes from the
-   bucketed prefix helper (per-bucket totals, a prefix over the few bucket
-   totals, a window inside each bucket);
-4. per target rank only the distinct value whose rank interval covers it
-   survives the filter — at most two rows per probability and group — and
-   those few rows give the interpolated value.
-
-``by`` must name columns with a bounded number of groups (e.g. a class
-label): the per-group rank targets and bucket offsets are broadcast.
+2. rows are counted per (column, group, bucket) — map-side partial
+   aggregation, so the shuffle carries at most ``#tasks x k`` rows per
+   column and group; a prefix over those few bucket totals gives each
+   bucket its first rank, and the buckets whose rank interval holds a
+   target rank (at most two per probability and group) form a tiny table;
+3. only the rows of those buckets (about ``2 |probs| / k`` of the data) are
+   counted per distinct value and ordered inside their bucket; the values
+   that cover the target ranks give the interpolated quantile.
+
+A value that holds a third of the rows is one row per task after the
+partial aggregation of step 3. ``by`` must name columns with a bounded
+number of groups (e.g. a class label): the bucket table is broadcast.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ from functools import reduce
 from operator import or_
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import default_buckets, running_sum
+from .prefix import default_buckets
 
 
 def _split_points(wide: DataFrame, cols: Sequence[str], k: int) -> list[list[float]]:
@@ -65,28 +65,40 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                  F.col(bc).alias("_b"))
         for i, (c, bc) in enumerate(zip(cols, bcols))]))).filter(F.col("_x").isNotNull())
     group = ["_ci", *by]
-    distinct = stacked.groupBy(*group, "_b", "_x").agg(F.count(F.lit(1)).alias("_m"))
 
-    # rank targets per group: (n - 1) * p and its floor / ceiling (0-based)
-    sizes = distinct.groupBy(*group).agg(F.sum("_m").alias("_n"))
+    # pass 2: bucket totals, each bucket's first rank, the group size
+    totals = stacked.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_t"))
+    in_order = Window.partitionBy(*group).orderBy("_b")
+    spans = totals.select(
+        *group, "_b", "_t",
+        F.coalesce(F.sum("_t").over(in_order.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_t").over(Window.partitionBy(*group)).alias("_n"))
     pos = {i: (F.col("_n") - 1) * F.lit(p) for i, p in enumerate(probs)}
-    targets = sizes.select(*group, *[
-        c for i in pos for c in (pos[i].alias(f"_pos{i}"),
-                                 F.floor(pos[i]).alias(f"_lo{i}"),
-                                 F.ceil(pos[i]).alias(f"_hi{i}"))])
+    spans = spans.select("*", *[c for i in pos for c in (
+        pos[i].alias(f"_pos{i}"), F.floor(pos[i]).alias(f"_lo{i}"),
+        F.ceil(pos[i]).alias(f"_hi{i}"))])
+    ranks = [f"_{side}{i}" for i in pos for side in ("lo", "hi")]
 
-    cum = running_sum(distinct, {"_c": "_m"}, order=["_x"], bucket="_b",
-                      partition=group, broadcast_offsets=True)
-    first = F.col("_c") - F.col("_m")       # rank of the value's first copy
+    def covers(first: Column, end: Column, rank: str) -> Column:
+        return (first <= F.col(rank)) & (F.col(rank) < end)
 
-    def covers(rank: str):
-        return (first <= F.col(rank)) & (F.col(rank) < F.col("_c"))
+    # at most 2 |probs| buckets per group: a bounded table, broadcast
+    hot = F.broadcast(spans.filter(reduce(or_, [
+        covers(F.col("_off"), F.col("_off") + F.col("_t"), r) for r in ranks])).drop("_t"))
 
-    ranks = [f"_{side}{i}" for i in pos for side in ("lo", "hi")]
-    hits = cum.join(F.broadcast(targets), group, "inner").filter(
-        reduce(or_, [covers(r) for r in ranks]))
+    # pass 3: distinct values of the hot buckets only, ordered in their bucket
+    distinct = (stacked.join(hot.select(*group, "_b"), [*group, "_b"], "left_semi")
+                .groupBy(*group, "_b", "_x").agg(F.count(F.lit(1)).alias("_m")))
+    in_bucket = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    cum = distinct.join(hot, [*group, "_b"], "inner").withColumn(
+        "_c", F.col("_off") + F.sum("_m").over(in_bucket))
+    first = F.col("_c") - F.col("_m")       # rank of the value's first copy
+    hits = cum.filter(reduce(or_, [covers(first, F.col("_c"), r) for r in ranks]))
     picked = hits.groupBy(*group, *[f"_pos{i}" for i in pos], *[f"_lo{i}" for i in pos]).agg(
-        *[F.max(F.when(covers(r), F.col("_x"))).alias(f"_v{r}") for r in ranks])
+        *[F.max(F.when(covers(first, F.col("_c"), r), F.col("_x"))).alias(f"_v{r}")
+          for r in ranks])
     values = []
     for i in pos:
         lo, hi = F.col(f"_v_lo{i}"), F.col(f"_v_hi{i}")
@@ -95,7 +107,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return picked.select(name.alias(key), *by, F.array(*values).alias(out))
 
 
-def exact_median(df: DataFrame, col: str):
+def exact_median(df: DataFrame, col: str) -> Column:
     """Scalar-subquery column holding the exact median of ``col`` (NULL when
     the column has no value)."""
     return exact_quantiles(df, [col], [0.5]).select(F.col("q")[0]).scalar()
