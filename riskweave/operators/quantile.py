@@ -75,25 +75,28 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    F.lit(0)).alias("_off"),
         F.sum("_t").over(Window.partitionBy(*group)).alias("_n"))
     pos = {i: (F.col("_n") - 1) * F.lit(p) for i, p in enumerate(probs)}
-    spans = spans.select("*", *[c for i in pos for c in (
+    targets = [c for i in pos for c in (
         pos[i].alias(f"_pos{i}"), F.floor(pos[i]).alias(f"_lo{i}"),
-        F.ceil(pos[i]).alias(f"_hi{i}"))])
+        F.ceil(pos[i]).alias(f"_hi{i}"))]
     ranks = [f"_{side}{i}" for i in pos for side in ("lo", "hi")]
 
     def covers(first: Column, end: Column, rank: str) -> Column:
         return (first <= F.col(rank)) & (F.col(rank) < end)
 
-    # at most 2 |probs| buckets per group: a bounded table, broadcast
-    hot = F.broadcast(spans.filter(reduce(or_, [
-        covers(F.col("_off"), F.col("_off") + F.col("_t"), r) for r in ranks])).drop("_t"))
+    # at most 2 |probs| buckets per group: a bounded table, broadcast. It is
+    # read once, so the bucket-total pass runs once.
+    hot = F.broadcast(spans.select("*", *targets).filter(reduce(or_, [
+        covers(F.col("_off"), F.col("_off") + F.col("_t"), r) for r in ranks]))
+        .select(*group, "_b", "_off", "_n"))
 
-    # pass 3: distinct values of the hot buckets only, ordered in their bucket
-    distinct = (stacked.join(hot.select(*group, "_b"), [*group, "_b"], "left_semi")
-                .groupBy(*group, "_b", "_x").agg(F.count(F.lit(1)).alias("_m")))
+    # pass 3: distinct values of the hot buckets only, ordered in their
+    # bucket (``_off`` and ``_n`` are constant per bucket)
+    distinct = (stacked.join(hot, [*group, "_b"], "inner")
+                .groupBy(*group, "_b", "_off", "_n", "_x").agg(F.count(F.lit(1)).alias("_m")))
     in_bucket = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    cum = distinct.join(hot, [*group, "_b"], "inner").withColumn(
-        "_c", F.col("_off") + F.sum("_m").over(in_bucket))
+    cum = distinct.withColumn("_c", F.col("_off") + F.sum("_m").over(in_bucket)) \
+        .select("*", *targets)
     first = F.col("_c") - F.col("_m")       # rank of the value's first copy
     hits = cum.filter(reduce(or_, [covers(first, F.col("_c"), r) for r in ranks]))
     picked = hits.groupBy(*group, *[f"_pos{i}" for i in pos], *[f"_lo{i}" for i in pos]).agg(

@@ -63,3 +63,12 @@ def test_single_row_and_plan_has_no_single_partition(spark):
     big = spark.range(0, 20000).selectExpr("cast(id % 977 as double) as x")
     plan = exact_quantiles(big, ["x"], [0.5])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_source_is_read_twice_after_the_sketch(spark):
+    """Bucket totals and the hot-bucket rows: two passes over the input
+    (the split-point sketch is its own job before the query)."""
+    df = spark.range(0, 5000).selectExpr("id % 2 as g", "cast(id % 977 as double) as x")
+    plan = exact_quantiles(df, ["x"], [0.25, 0.5], by=["g"]) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 2, plan

@@ -27,6 +27,11 @@ KEYS = [
                                     "with partial aggregation"),
     ("m7_roc_curve_rule_score", "ROC: distinct-score aggregate, bucketed prefix sums, "
                                 "neighbour points by equi-joins on the rank"),
+    ("d15_box_stats", "exact per-class quartiles as a two-pass selection: per-bucket counts "
+                      "(partial aggregation), prefix over the bucket totals, distinct values "
+                      "of the target buckets only; fences broadcast back to the rows"),
+    ("d16_value_counts", "top 10 values per column: partial WindowGroupLimit before the "
+                         "exchange"),
 ]
 
 
