@@ -72,3 +72,24 @@ def test_source_is_read_twice_after_the_sketch(spark):
     plan = exact_quantiles(df, ["x"], [0.25, 0.5], by=["g"]) \
         ._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (") == 2, plan
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float),
+                                 st.floats(-1e6, 1e6, allow_nan=False)),
+                       min_size=1, max_size=400),
+       probs=st.lists(st.floats(0, 1), min_size=1, max_size=4),
+       buckets=st.integers(1, 12))
+def test_exact_quantiles_property(spark, values, probs, buckets):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = exact_quantiles(df, ["x"], probs, n_buckets=buckets).collect()
+    present = [v for v in values if v is not None]
+    if not present:
+        assert rows == []
+        return
+    want = list(np.quantile(np.array(present), probs))
+    assert rows[0].q == pytest.approx(want, rel=1e-9, abs=1e-9)
