@@ -21,6 +21,11 @@ SQL ``QUANTILE_CONT`` do) and fully distributed — a two-pass selection:
 A value that holds a third of the rows is one row per task after the
 partial aggregation of step 3. ``by`` must name columns with a bounded
 number of groups (e.g. a class label): the bucket table is broadcast.
+
+Sizing: ``k`` defaults to ``spark.sql.shuffle.partitions``, so the rows of
+one hot bucket — ordered by one task — are about one shuffle partition's
+worth of a column, the same unit the cluster is sized for; pass a larger
+``n_buckets`` where a column is much larger than the shuffle it feeds.
 """
 
 from __future__ import annotations

@@ -15,6 +15,13 @@ SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType
 NAMES = sorted(E.oracle_sql())
 
 
+def _duck_type(dt) -> str:
+    from pyspark.sql.types import ArrayType
+    if isinstance(dt, ArrayType):
+        return _duck_type(dt.elementType) + "[]"
+    return SPARK_TO_DUCK.get(repr(dt), repr(dt))
+
+
 def _norm(v):
     if isinstance(v, float):
         return "NaN" if math.isnan(v) else repr(v)
@@ -39,7 +46,7 @@ def test_query_matches_oracle(spark, sf, duck, name):
     rows = df.collect()
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
-    stypes = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema}
+    stypes = {f.name: _duck_type(f.dataType) for f in df.schema}
     dtypes = dict(zip(rel.columns, (str(t) for t in rel.types)))
     assert stypes == dtypes
     cols = sorted(df.columns)

@@ -100,3 +100,27 @@ def test_profile_bundle_equals_per_operator_tables(spark, sf):
         assert bundle[name].columns == one.columns, name
         assert [f.dataType for f in bundle[name].schema] == [f.dataType for f in one.schema], name
         assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
+
+
+def test_histogram_bundle_equals_per_chart_histograms(risk):
+    bundle = P.dashboard_histograms(risk)
+    singles = {"income_histogram": P.income_histogram, "debt_histogram": P.debt_histogram,
+               "score_histogram": P.score_histogram}
+    for name, fn in singles.items():
+        one = fn(risk)
+        assert bundle[name].columns == one.columns, name
+        assert [f.dataType for f in bundle[name].schema] == [f.dataType for f in one.schema], name
+        assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
+
+
+def test_histogram_bundle_edge_cases(spark):
+    from riskweave.functions.histogram import data_range_histograms
+    rows = [(i % 3, None if i % 7 == 0 else float(i % 11) * 0.3, 5.0, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "g bigint, x double, const double, empty double")
+    specs = {"x": ("x", 7, None), "xg": ("x", 4, "g"), "const": ("const", 3, None),
+             "empty": ("empty", 5, None)}
+    bundle = data_range_histograms(df, specs)
+    for name, (column, bins, by) in specs.items():
+        one = histogram(df, column, bins, by=[by] if by else [])
+        assert bundle[name].columns == one.columns, name
+        assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
