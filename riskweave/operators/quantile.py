@@ -22,7 +22,8 @@ A value that holds a third of the rows is one row per task after the
 partial aggregation of step 3. ``by`` must name columns with a bounded
 number of groups (e.g. a class label): the bucket table is broadcast.
 
-Sizing: ``k`` defaults to ``spark.sql.shuffle.partitions``, so the rows of
+Sizing: ``k`` defaults to ``spark.sql.shuffle.partitions`` (at least
+``MIN_BUCKETS``), so the rows of
 one hot bucket — ordered by one task — are about one shuffle partition's
 worth of a column, the same unit the cluster is sized for; pass a larger
 ``n_buckets`` where a column is much larger than the shuffle it feeds.
@@ -40,6 +41,10 @@ from pyspark.sql import functions as F
 
 from .prefix import default_buckets
 
+# at least this many value buckets, so the rows that are ordered (the target
+# buckets) stay a small share of a column even with few shuffle partitions
+MIN_BUCKETS = 64
+
 
 def _split_points(wide: DataFrame, cols: Sequence[str], k: int) -> list[list[float]]:
     """Equi-depth split points of each column, padded so every list is a
@@ -59,7 +64,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """One row per (``key``, ``*by``) with at least one non-null value:
     ``out`` is the array of quantiles of the column at ``probs``."""
     cols, by, probs = list(cols), list(by), [float(p) for p in probs]
-    k = n_buckets or default_buckets(df)
+    k = n_buckets or max(default_buckets(df), MIN_BUCKETS)
     wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     bcols = [f"_rw_qb{i}" for i in range(len(cols))]
     bucketed = Bucketizer(splitsArray=_split_points(wide, cols, k), inputCols=cols,
