@@ -127,9 +127,10 @@ def income_sanity(df: DataFrame) -> DataFrame:
         _r(F.stddev_samp("x")).alias("std"), F.min("x").alias("min"),
         F.max("x").alias("max"))
     quartiles = quantile_table(inc, ["x"]).withColumnRenamed("q", "_q")
-    return stats.join(quartiles, "column_name", "left").select("n_over_30000", "n_zero", "count", "mean", "std", "min",
-             _r(F.col("_q")[0]).alias("p25"), _r(F.col("_q")[1]).alias("p50"),
-             _r(F.col("_q")[2]).alias("p75"), "max")
+    return stats.join(quartiles, "column_name", "left").select(
+        "n_over_30000", "n_zero", "count", "mean", "std", "min",
+        _r(F.col("_q")[0]).alias("p25"), _r(F.col("_q")[1]).alias("p50"),
+        _r(F.col("_q")[2]).alias("p75"), "max")
 
 
 # -- D3 / D4 / D19 -----------------------------------------------------------------
@@ -363,12 +364,12 @@ def profile_tables(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx:
     """D2, D3, D5 and D6 from **two** scans instead of six.
 
     One grouped aggregate over the stacked ``(column, value)`` rows of every
-    column keeps row count, non-null count, mean, std, min, quartiles, max
-    and zero count per column (quartiles only for the profiled columns); it
-    has one row per column and is cached. Describe, the missing report, the
-    IQR bounds and the age checks are read from it; only the outlier counts
-    need a second scan against the (broadcast) fences. Values equal the
-    per-operator functions above.
+    column keeps row count, non-null count, mean, std, min, max and zero
+    count per column, joined with the exact quartiles of the profiled
+    columns (``quantile_table``); it has one row per column and is cached.
+    Describe, the missing report, the IQR bounds and the age checks are read
+    from it; only the outlier counts need another scan against the
+    (broadcast) fences. Values equal the per-operator functions above.
     """
     cols = list(cols)
     every = list(df.columns)
