@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exprs import clip_upper
@@ -145,15 +145,19 @@ def data_range_histograms(df: DataFrame,
         for i, (column, _, by) in enumerate(specs.values())]))).filter(F.col("_x").isNotNull())
     bins_of = F.element_at(F.array(*[F.lit(b) for _, b, _ in specs.values()]), F.col("_h") + 1)
 
+    # one row per (histogram, group) carrying the histogram's shared edges
+    # (a window over the histogram id), so one tiny table feeds both the
+    # binning join and the list of bins
     per_group = stacked.groupBy("_h", "_g").agg(F.min("_x").alias("_lo0"),
                                                 F.max("_x").alias("_hi0"))
-    shared = per_group.groupBy("_h").agg(F.min("_lo0").alias("_lo0"), F.max("_hi0").alias("_hi0"))
-    lo, hi = _widen(F.col("_lo0"), F.col("_hi0"))
-    edges = F.broadcast(shared.select("_h", lo.alias("_lo"), hi.alias("_hi"),
-                                      bins_of.alias("_bins")))
-    binned = with_bin(stacked.join(edges, "_h"), F.col("_bins")).select("_h", "_g", "bin")
+    whole = Window.partitionBy("_h")
+    lo, hi = _widen(F.min("_lo0").over(whole), F.max("_hi0").over(whole))
+    edges = F.broadcast(per_group.select("_h", "_g", lo.alias("_lo"), hi.alias("_hi"),
+                                         bins_of.alias("_bins")))
+    binned = with_bin(stacked.join(edges, ["_h", "_g"]), F.col("_bins")).select(
+        "_h", "_g", "bin")
     counts = binned.groupBy("_h", "_g", "bin").agg(F.count(F.lit(1)).alias("frequency"))
-    all_bins = per_group.select("_h", "_g").join(edges, "_h").select(
+    all_bins = edges.select(
         "_h", "_g", "_lo", "_hi", "_bins",
         F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_bins") - 1).cast("bigint")))
         .alias("bin"))
