@@ -16,6 +16,7 @@ Empty bins are filled from ``sequence(0, bins - 1)`` on the edge rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,29 +122,54 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
                     F.coalesce(F.col("frequency"), F.lit(0).cast("bigint")).alias("frequency")))
 
 
+class HistSpec(NamedTuple):
+    """One data-range histogram of a bundle (the arguments of ``histogram``)."""
+    column: str
+    bins: int
+    by: str | None = None
+    clip: float | None = None
+    where: Column | None = None
+    shared_edges: bool = True
+
+
 def data_range_histograms(df: DataFrame,
-                          specs: dict[str, tuple[str, int, str | None]]) -> dict[str, DataFrame]:
+                          specs: dict[str, HistSpec | tuple]) -> dict[str, DataFrame]:
     """Several data-range histograms of ``df`` from **two** scans instead of
     three each.
 
-    ``specs`` maps a name to ``(column, bins, by)``; ``by`` is ``None`` or a
-    low-cardinality column whose groups share one set of edges (a stacked
-    chart). One scan of the stacked ``(histogram, group, value)`` rows keeps
+    ``specs`` maps a name to a ``HistSpec`` (or its fields as a tuple):
+    ``by`` is ``None`` or a low-cardinality column, whose groups share one
+    set of edges (a stacked chart) unless ``shared_edges`` is False;
+    ``clip`` and ``where`` act as in ``histogram``. One scan of the
+    stacked ``(histogram, group, value)`` rows keeps
     min, max and count per histogram and group (a table of at most
     ``#histograms x #groups`` rows, broadcast); the second bins every value
     against its histogram's edges and counts with partial aggregation. The
     result table (``sum(bins) x #groups`` rows) is cached, so the outputs
-    share the two scans. Each equals ``histogram(df, column, bins, by=[by])``.
+    share the two scans. Each equals the matching ``histogram`` call.
     """
+    specs = {name: HistSpec(*spec) for name, spec in specs.items()}
     names = list(specs)
-    by_types = {by: df.schema[by].dataType for _, _, by in specs.values() if by}
+    by_types = {s.by: df.schema[s.by].dataType for s in specs.values() if s.by}
+
+    def value(s: HistSpec) -> Column:
+        x = F.col(s.column).cast("double")
+        if s.clip is not None:
+            x = clip_upper(x, s.clip)
+        return x if s.where is None else F.when(s.where, x)
+
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_h"),
                  # without ``by`` one non-null group, so the join keys match
-                 (F.col(by).cast("string") if by else F.lit("")).alias("_g"),
-                 F.col(column).cast("double").alias("_x"))
-        for i, (column, _, by) in enumerate(specs.values())]))).filter(F.col("_x").isNotNull())
-    bins_of = F.element_at(F.array(*[F.lit(b) for _, b, _ in specs.values()]), F.col("_h") + 1)
+                 (F.col(s.by).cast("string") if s.by else F.lit("")).alias("_g"),
+                 value(s).alias("_x"))
+        for i, s in enumerate(specs.values())]))).filter(F.col("_x").isNotNull())
+
+    def per_histogram(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_h") + 1)
+
+    bins_of = per_histogram([s.bins for s in specs.values()])
+    shared = per_histogram([bool(s.shared_edges) for s in specs.values()])
 
     # one row per (histogram, group) carrying the histogram's shared edges
     # (a window over the histogram id), so one tiny table feeds both the
@@ -151,7 +177,8 @@ def data_range_histograms(df: DataFrame,
     per_group = stacked.groupBy("_h", "_g").agg(F.min("_x").alias("_lo0"),
                                                 F.max("_x").alias("_hi0"))
     whole = Window.partitionBy("_h")
-    lo, hi = _widen(F.min("_lo0").over(whole), F.max("_hi0").over(whole))
+    lo, hi = _widen(F.when(shared, F.min("_lo0").over(whole)).otherwise(F.col("_lo0")),
+                    F.when(shared, F.max("_hi0").over(whole)).otherwise(F.col("_hi0")))
     edges = F.broadcast(per_group.select("_h", "_g", lo.alias("_lo"), hi.alias("_hi"),
                                          bins_of.alias("_bins")))
     binned = with_bin(stacked.join(edges, ["_h", "_g"]), F.col("_bins")).select(
@@ -168,7 +195,7 @@ def data_range_histograms(df: DataFrame,
         F.coalesce(F.col("frequency"), F.lit(0).cast("bigint")).alias("frequency")).cache()
     out = {}
     for i, name in enumerate(names):
-        by = specs[name][2]
+        by = specs[name].by
         keys = [F.col("_g").cast(by_types[by]).alias(by)] if by else []
         out[name] = table.filter(F.col("_h") == i).select(
             *keys, "bin", "bin_lo", "bin_hi", "frequency")

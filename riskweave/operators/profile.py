@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cut_order, even_round, right_closed_cut, sql_round
-from ..functions.histogram import histogram
+from ..functions.histogram import HistSpec, data_range_histograms, histogram
 from .quantile import exact_median, exact_quantiles
 
 # Column lists and bin edges of the profiling notebook.
@@ -228,6 +228,19 @@ def util_histogram_by_class(df: DataFrame, bins: int = 40, clip: float = 1) -> D
                      shared_edges=False)
 
 
+def profile_histograms(df: DataFrame) -> dict[str, DataFrame]:
+    """D7, D10 and D12 (five histograms) from two scans of ``df`` instead
+    of three each; equal to the per-chart functions above."""
+    return data_range_histograms(df, {
+        "age_histogram": HistSpec("age", 40, where=F.col("age") > 0),
+        "income_histogram_clipped": HistSpec("monthly_income", 60, clip=20000),
+        "debt_histogram_clipped": HistSpec("debt_ratio", 60, clip=2),
+        "util_histogram_clipped": HistSpec("revolving_util", 60, clip=1),
+        "util_histogram_by_class": HistSpec("revolving_util", 40, by="is_default", clip=1,
+                                            shared_edges=False),
+    })
+
+
 # -- D8 / D11 / D17 / D18 default rates -----------------------------------------------
 
 def rate_by_cut(df: DataFrame, column: str, edges: Sequence[float], labels: Sequence[str],

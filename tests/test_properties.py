@@ -124,3 +124,19 @@ def test_histogram_bundle_edge_cases(spark):
         one = histogram(df, column, bins, by=[by] if by else [])
         assert bundle[name].columns == one.columns, name
         assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
+
+
+def test_profile_histogram_bundle_equals_per_chart_histograms(spark, sf):
+    from riskweave.operators import profile as D
+    raw = R.raw(spark, sf).cache()
+    bundle = D.profile_histograms(raw)
+    singles = {"age_histogram": D.age_histogram,
+               "income_histogram_clipped": D.income_histogram_clipped,
+               "debt_histogram_clipped": D.debt_histogram_clipped,
+               "util_histogram_clipped": D.util_histogram_clipped,
+               "util_histogram_by_class": D.util_histogram_by_class}
+    for name, fn in singles.items():
+        one = fn(raw)
+        assert bundle[name].columns == one.columns, name
+        assert [f.dataType for f in bundle[name].schema] == [f.dataType for f in one.schema], name
+        assert sorted(map(tuple, bundle[name].collect())) == sorted(map(tuple, one.collect())), name
