@@ -68,3 +68,20 @@ def test_value_counts_limits_each_column_before_the_shuffle(spark, sf):
     from riskweave.operators import profile as D
     phys = plan_text(D.value_counts(R.raw(spark, sf)))
     assert re.search(r"WindowGroupLimit \[[^\n]*Partial", phys), phys
+
+
+def test_histogram_bundle_reads_its_input_twice(spark, monkeypatch):
+    """Edges and counts of every histogram in a bundle: two passes over the
+    input (checked on the final adaptive plan, with the result cache off)."""
+    from pyspark.sql import DataFrame
+    from riskweave.functions.histogram import HistSpec, data_range_histograms
+    monkeypatch.setattr(DataFrame, "cache", lambda self: self)
+    df = spark.range(0, 5000).selectExpr("id % 2 as g", "cast(id % 977 as double) as x",
+                                         "cast(id % 13 as double) as y")
+    out = data_range_histograms(df, {"a": HistSpec("x", 10), "b": HistSpec("y", 5, "g"),
+                                     "c": HistSpec("x", 4, "g", clip=500.0,
+                                                   shared_edges=False)})
+    q = out["a"]
+    q.collect()
+    final = plan_text(q).split("== Initial Plan ==")[0]
+    assert final.count("Range (") == 2, final
