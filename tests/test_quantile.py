@@ -94,3 +94,18 @@ def test_exact_quantiles_property(spark, values, probs, buckets):
         return
     want = list(np.quantile(np.array(present), probs))
     assert rows[0].q == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_approx_quantile_table_matches_on_few_distinct_values(spark):
+    """``approx=True`` (``percentile_approx``) returns actual data values; on
+    columns with few distinct values and probabilities that hit a value
+    exactly it equals the exact table, per column and per group."""
+    from riskweave.operators.profile import quantile_table
+    rows = [(i % 2, float(i % 5), float(i % 3)) for i in range(101)]
+    df = spark.createDataFrame(rows, "g bigint, a double, b double")
+    for by in ([], ["g"]):
+        approx = {(r.column_name, *[r[c] for c in by]): r.q for r in
+                  quantile_table(df, ["a", "b"], (0.0, 1.0), by=by, approx=True).collect()}
+        exact = {(r.column_name, *[r[c] for c in by]): r.q for r in
+                 quantile_table(df, ["a", "b"], (0.0, 1.0), by=by).collect()}
+        assert approx == exact
