@@ -229,11 +229,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
     """``docs`` (same columns) without the hit words, and without documents
     of which more than ``coverage`` of the words are hit. Documents without a
     hit are returned as they are."""
+    names = docs.columns
+
     def rows(batches):
         for batch in batches:
             column = [t if not n else cut_words(t.encode(), np.unpackbits(np.frombuffer(h, np.uint8), count=w).astype(bool)).decode("utf-8", "replace")
                       for t, n, w, h in zip(*(batch.column(c).to_pylist() for c in (text, "n_hit", "n_words", "hits")))]
-            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()) if c == text else batch.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
     marked = mark(docs, benchmark, text, window)
     return marked.filter(F.col("n_hit") <= F.lit(coverage) * F.col("n_words")).mapInArrow(rows, docs.schema)

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "t
         x = x[np.lexsort(x[:, :8].T)]  # the same order on every run
         centers, reach = _centroids(x)
         name = table.column("lang")[0].as_py()
-        return pa.table({"lang": [name] * len(centers), "center": pa.array([c.tobytes() for c in centers], pa.binary()), "reach": reach})
+        return pa.table({"lang": [name] * len(centers), "center": pa.array([c.tobytes() for c in centers], pa.binary()), "reach": reach.astype(np.float64)})
 
     rows = (keep(sample.mapInArrow(represent, "lang string, at binary, x binary"), "lang-sample")
             .groupBy("lang").applyInArrow(cluster, "lang string, center binary, reach double").orderBy("lang", "center").collect())

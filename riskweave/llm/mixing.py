@@ -116,7 +116,7 @@ def settle_rounding(sizes: DataFrame, state: DataFrame) -> DataFrame:
     near = F.greatest(F.abs("lam") * 0.1, F.lit(1e-9))
     state = state.withColumn("lo", F.col("lam") - near).withColumn("hi", F.col("lam") + near)
     for _ in range(3):
-        width = (F.col("hi") - F.col("lo")) / BINS
+        width = F.greatest((F.col("hi") - F.col("lo")) / BINS, F.lit(1e-15))
         where = F.floor((F.col("at") - F.col("lo")) / width)
         bins = (points.join(state.select("key", "lo", "hi"), "key")
                 .withColumn("bin", F.greatest(F.lit(-1), F.least(where, F.lit(BINS))).cast("int"))

@@ -122,10 +122,10 @@ win AS (
          array_to_string(w[s:s + least(len(w), {decontaminate.WINDOW}) - 1], ' ') AS t
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {decontaminate.WINDOW - 1}, 1) + 1)) AS s FROM item WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (
+spot AS (
   SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS t
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc, sizes WHERE len(w) >= n)),
-hit AS (SELECT DISTINCT doc_id, s, n, item_id FROM at JOIN win USING (n, t)),
+hit AS (SELECT DISTINCT doc_id, s, n, item_id FROM spot JOIN win USING (n, t)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
           FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
@@ -136,10 +136,10 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _OP8 = rf"""
 WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-at AS (
+spot AS (
   SELECT doc_id, s, md5(array_to_string(w[s:s + {substring.WINDOW - 1}], ' ')) AS t
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring.WINDOW} + 2)) AS s FROM doc WHERE len(w) >= {substring.WINDOW})),
-repeat AS (SELECT doc_id, s FROM at SEMI JOIN (SELECT t FROM at GROUP BY t HAVING count(*) > 1) USING (t)),
+repeat AS (SELECT doc_id, s FROM spot SEMI JOIN (SELECT t FROM spot GROUP BY t HAVING count(*) > 1) USING (t)),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {substring.WINDOW})) AS p FROM repeat),
 word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM doc),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
