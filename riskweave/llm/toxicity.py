@@ -1,7 +1,7 @@
 """Operator 9, toxicity by a factorization machine over hashed terms.
 
-A document is the set of its distinct words (A-Z lower-cased), each hashed to
-one of 2^HASH_BITS terms. The machine adds a weight a term and the product of
+A document is the set of its distinct words (A-Z lower-cased) and of the first
+PREFIX bytes of longer words, each hashed to one of 2^HASH_BITS terms. The machine adds a weight a term and the product of
 two latent vectors a pair of terms, so a pair such as an insult with a group
 mention can weigh more than its parts.
 
@@ -32,6 +32,7 @@ from .common import cut_blocks, keep, text_buffers, word_hashes, word_spans
 #: Hashed terms, most chosen terms, latent factors, threshold of the prediction.
 HASH_BITS, TERMS, FACTORS, THRESHOLD = 22, 4096, 8, 0.7
 MIN_DOCS, CHI2 = 5, 30.0
+PREFIX = 5
 #: Most rows that the weights are fitted on, and passes over them.
 TRAIN_ROWS, EPOCHS, BATCH = 60_000, 12, 256
 RATE, DECAY, SEED = 0.1, 1e-5, 3
@@ -48,8 +49,12 @@ def terms(column: pa.Array):
     for lo, hi in cut_blocks(offsets, BLOCK):
         part = LOWER[data[offsets[lo]:offsets[hi]]]
         starts, ends, first = word_spans(part, offsets[lo:hi + 1] - offsets[lo], IS_WORD)
-        term = (word_hashes(part, starts, ends) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
         row = np.repeat(np.arange(lo, hi), np.diff(first))
+        long = ends - starts > PREFIX
+        # a prefix is a term apart from the word of the same bytes
+        hashes = np.concatenate([word_hashes(part, starts, ends), ~word_hashes(part, starts[long], starts[long] + PREFIX)])
+        term = (hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        row = np.concatenate([row, row[long]])
         both = np.unique((row << HASH_BITS) | term)
         yield both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 

@@ -415,9 +415,9 @@ def test_toxicity_edges(spark, awkward):
     assert toxicity.fit(awkward, labels.filter("false"), F.lit(True)) is None
 
 
-def test_term_sets_are_the_distinct_words(awkward):
-    for r in toxicity.term_sets(awkward, "doc_id", "text").collect():
-        assert len(r.terms) % 4 == 0
+def test_term_sets_are_the_distinct_words_and_prefixes(spark, awkward):
+    made = spark.createDataFrame([(1, "Worthless worthless, worthy wort")], "doc_id long, text string")
+    assert len(toxicity.term_sets(made, "doc_id", "text").first().terms) == 4 * 4  # three words, one prefix
     sets = {r.key: len(r.terms) // 4 for r in toxicity.term_sets(awkward.filter("doc_id in (5, 28, 1, 2)"), "doc_id", "text").collect()}
     assert sets == {5: 2, 28: 1, 1: 0, 2: 0}
 
