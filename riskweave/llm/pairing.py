@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 #: Members of a block; a task compares two blocks at most.
 BLOCK = 4096
+#: Most crowded groups (a key and a number each) that are broadcast.
+MANY = 100_000
 
 
 def in_blocks(members: DataFrame, key: str, spread: str, block: int = BLOCK) -> DataFrame:
@@ -22,9 +26,12 @@ def in_blocks(members: DataFrame, key: str, spread: str, block: int = BLOCK) ->
     i <= j, and ``block``, the member's own. A group of n rows has
     ceil(n / block) blocks; a member is copied to each pair of its own block
     with another, so groups of one block are not copied at all. Group sizes
-    come from a pre-aggregated count, joined only where they exceed a block."""
-    large = (members.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > block)
-             .select(key, F.ceil(F.col("__n") / block).cast("int").alias("__blocks")))
+    come from a pre-aggregated count; only groups above a block are joined,
+    by broadcast if there are at most MANY of them, so members move once."""
+    large = keep(members.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > block)
+             .select(key, F.ceil(F.col("__n") / block).cast("int").alias("__blocks")), "large-groups")
+    if large.limit(MANY + 1).count() <= MANY:
+        large = F.broadcast(large)
     blocks = F.coalesce(F.col("__blocks"), F.lit(1))
     own = F.pmod(F.xxhash64(F.col(spread), F.lit("block")), blocks).cast("int")
     return (members.join(large, key, "left").withColumn("block", own)
