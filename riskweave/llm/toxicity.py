@@ -59,15 +59,30 @@ def terms(column: pa.Array):
         yield both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
 
 
+def to_gaps(row: np.ndarray, term: np.ndarray, n_rows: int) -> list[bytes]:
+    """Each row's sorted terms as 16-bit gaps; 0xFFFF adds 65535 to the next."""
+    first = np.concatenate([[True], row[1:] != row[:-1]])[:len(row)]
+    gap = term - np.where(first, 0, np.concatenate([[0], term[:-1]])[:len(term)])
+    more, last = np.divmod(gap, 0xFFFF)
+    at = np.cumsum(more + 1)
+    out = np.full(int(at[-1]) if len(at) else 0, 0xFFFF, "<u2")
+    out[at - 1] = last
+    end = np.concatenate([[0], at])[np.searchsorted(row, np.arange(n_rows + 1))]
+    return [out[a:b].tobytes() for a, b in zip(end[:-1], end[1:])]
+
+
+def from_gaps(blob: bytes) -> np.ndarray:
+    gaps = np.frombuffer(blob, "<u2")
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 0xFFFF]
+
+
 def term_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, terms): the distinct terms of each text, as 32-bit numbers."""
+    """(key, terms): the distinct terms of each text, as gaps."""
     def rows(batches):
         for batch in batches:
             parts = list(terms(batch.column(1)))
             row, term = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
-            cut = np.searchsorted(row, np.arange(1, batch.num_rows))
-            sets = [t.astype("<u4").tobytes() for t in np.split(term, cut)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to_gaps(row, term, batch.num_rows), pa.binary())], names=["key", "terms"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         rows, f"key {docs.schema[key].dataType.simpleString()}, terms binary")
@@ -80,7 +95,7 @@ def choose_terms(learn: DataFrame) -> DataFrame:
         n, bad = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
         for batch in batches:
             for blob, label in zip(batch.column("terms").to_pylist(), batch.column("label").to_pylist()):
-                ids = np.frombuffer(blob, "<u4")
+                ids = from_gaps(blob)
                 n[ids] += 1
                 if label:
                     bad[ids] += 1
@@ -161,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_
         for batch in batches:
             sets = []
             for blob in batch.column("terms").to_pylist():
-                at = np.searchsorted(chosen, ids := np.frombuffer(blob, "<u4").astype(np.int64))
+                at = np.searchsorted(chosen, ids := from_gaps(blob))
                 at[at == len(chosen)] = 0
                 sets.append(at[chosen[at] == ids].astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(sets, pa.binary())], names=["order", "label", "terms"])
