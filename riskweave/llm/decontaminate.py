@@ -26,17 +26,20 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, tidy
 
 WINDOW, COVERAGE = 10, 0.5
 #: Item words of one automaton (about two states a word).
 BLOCK_WORDS = 100_000
+#: Documents marked at once.
+ROWS = 512
 #: Bytes that are part of a word once A-Z are lower-cased: 0-9, a-z, non-ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEPARATED = bytes(c if WORD.match(bytes([c])) else 0x20 for c in bytes(range(256)).lower())
@@ -170,24 +173,30 @@ def _blocks(benchmark: DataFrame, key: str, text: str):
         yield block
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted ids of items found) and
-    hits (one bit a word)."""
+def _marked(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item_key: str, item_text: str, finish: Callable | None) -> DataFrame:
+    """The documents after all blocks; ``finish`` makes the last pass's output."""
     marked = docs.drop(*OUT).withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"),
                                           "items": F.array().cast("array<string>"), "hits": F.lit(None).cast("binary")})
-    k = 0
+    previous, k = [], 0
     for block in _blocks(benchmark, item_key, item_text):
-        marked = _mark_block(keep(marked, "marks") if k else marked, text, block, window)
-        k += 1
-    return marked if k else _mark_block(marked, text, [], window)
+        if k:
+            marked = keep(_mark_block(marked, text, previous, window), "marks")
+        previous, k = block, k + 1
+    return _mark_block(marked, text, previous, window, docs if finish else None, finish)
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with n_words, n_hit, items (sorted ids of items found) and
+    hits (one bit a word)."""
+    return _marked(docs, benchmark, text, window, item_key, item_text, None)
 
 
-def _mark_block(docs: DataFrame, text: str, block, window: int) -> DataFrame:
+def _mark_block(docs: DataFrame, text: str, block, window: int, out: DataFrame | None = None, finish: Callable | None = None) -> DataFrame:
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)
 
     def rows(batches):
         automaton = _automaton(name, shared.value, window)
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             column = batch.column(text).cast(pa.binary())
             n_words, n_hit, items, marks = [], [], [], []
             for value, before, so_far in zip(column, batch.column("hits"), batch.column("items")):
@@ -201,9 +210,10 @@ def _mark_block(docs: DataFrame, text: str, block, window: int) -> DataFrame:
                 marks.append(np.packbits(hits).tobytes())
             new = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
                    "items": pa.array(items, pa.list_(pa.string())), "hits": pa.array(marks, pa.binary())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+            marked = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+            yield finish(marked) if finish else marked
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tidy(rows), (docs if out is None else out).schema)
 
 
 def cut_words(text: bytes, hits: np.ndarray) -> bytes:
@@ -231,11 +241,14 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
     hit are returned as they are."""
     names = docs.columns
 
-    def rows(batches):
-        for batch in batches:
-            column = [t if not n else cut_words(t.encode(), np.unpackbits(np.frombuffer(h, np.uint8), count=w).astype(bool)).decode("utf-8", "replace")
-                      for t, n, w, h in zip(*(batch.column(c).to_pylist() for c in (text, "n_hit", "n_words", "hits")))]
-            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()) if c == text else batch.column(c) for c in names], names=names)
-
-    marked = mark(docs, benchmark, text, window)
-    return marked.filter(F.col("n_hit") <= F.lit(coverage) * F.col("n_words")).mapInArrow(rows, docs.schema)
+    def finish(batch):
+        n_words, n_hit = (batch.column(c).to_numpy() for c in ("n_words", "n_hit"))
+        column = batch.column(text)
+        if n_hit.any():
+            column = pa.array([
+                cut_words(t.as_py().encode(), np.unpackbits(np.frombuffer(h.as_py(), np.uint8), count=w).astype(bool)).decode("utf-8", "replace") if n else t.as_py()
+                for t, n, w, h in zip(column, n_hit, n_words.tolist(), batch.column("hits"))], pa.string())
+        cut = pa.RecordBatch.from_arrays([column if c == text else batch.column(c) for c in names], names=names)
+        return cut.filter(pa.array(n_hit <= coverage * n_words))
+
+    return _marked(docs, benchmark, text, window, "item_id", "text", finish)

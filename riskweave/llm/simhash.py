@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, tidy
 from .components import components
 from .pairing import in_blocks, join_labels, whole_groups
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["key", "fingerprint"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(rows, f"key {spark_type}, fingerprint long")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(rows), f"key {spark_type}, fingerprint long")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -160,10 +160,10 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 which, where, home = anchors(part.view(np.uint64), max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(part[which]), pa.array(home)], names=["anchor", "fingerprint", "home"])
 
-    sent = prints.select("fingerprint").mapInArrow(visits, "anchor long, fingerprint long, home boolean")
+    sent = prints.select("fingerprint").mapInArrow(tidy(visits), "anchor long, fingerprint long, home boolean")
     cells = in_blocks(sent, "anchor", "fingerprint").select("anchor", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "fingerprint", "home")
     order = ["anchor", "i", "j"]
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(max_bits), "a long, b long").distinct()
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(_compare(max_bits)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

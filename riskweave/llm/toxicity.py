@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_blocks, keep, text_buffers, word_hashes, word_spans
+from .common import cut_blocks, keep, text_buffers, tidy, word_hashes, word_spans
 
 #: Hashed terms, most chosen terms, latent factors, threshold of the prediction.
 HASH_BITS, TERMS, FACTORS, THRESHOLD = 22, 4096, 8, 0.7
@@ -85,7 +85,7 @@ def term_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to_gaps(row, term, batch.num_rows), pa.binary())], names=["key", "terms"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        rows, f"key {docs.schema[key].dataType.simpleString()}, terms binary")
+        tidy(rows), f"key {docs.schema[key].dataType.simpleString()}, terms binary")
 
 
 def choose_terms(learn: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def choose_terms(learn: DataFrame) -> DataFrame:
             ids = some[at:at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[ids].astype(np.int64)), pa.array(bad[ids].astype(np.int64))], names=["term", "n", "bad"])
 
-    per = learn.select("terms", "label").mapInArrow(count, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    per = learn.select("terms", "label").mapInArrow(tidy(count), "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = learn.agg(F.count("*").alias("rows"), F.sum("label").alias("all_bad"))
     share = F.col("all_bad") / F.col("rows")
     chi2 = (F.col("bad") - F.col("n") * share) ** 2 / (F.col("n") * share * (1 - share))
@@ -187,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_
         model = train(sets, table.column("label").to_numpy().astype(float), len(chosen))
         yield pa.RecordBatch.from_arrays([pa.array([model["b"]]), pa.array([model["w"].tobytes()], pa.binary()), pa.array([model["v"].tobytes()], pa.binary())], names=["b", "w", "v"])
 
-    small = (learn.withColumn("order", F.xxhash64("key")).select("order", "label", "terms").mapInArrow(project, "order long, label int, terms binary")
+    small = (learn.withColumn("order", F.xxhash64("key")).select("order", "label", "terms").mapInArrow(tidy(project), "order long, label int, terms binary")
              .orderBy("order", "label", "terms").limit(TRAIN_ROWS))
-    row = small.coalesce(1).mapInArrow(fitted, "b double, w binary, v binary").first()
+    row = small.coalesce(1).mapInArrow(tidy(fitted), "b double, w binary, v binary").first()
     return {"terms": chosen, "b": row.b, "w": np.frombuffer(row.w), "v": np.frombuffer(row.v).reshape(len(chosen), FACTORS)}
 
 
@@ -219,4 +219,4 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", threshold: fl
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))],
                                              names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(rows, docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
+    return docs.mapInArrow(tidy(rows), docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
