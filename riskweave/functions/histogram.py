@@ -66,6 +66,13 @@ def _widen(lo0: Column, hi0: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
+def _join(left: DataFrame, right: DataFrame, keys, how: str, small: bool = False) -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL: a NULL group is a group."""
+    right = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys]
+    return left.join(F.broadcast(right) if small else right, on, how).drop(*[f"{k}__r" for k in keys])
+
+
 def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
               hi: float | None = None, by: Sequence[str] = (), shared_edges: bool = True,
               clip: float | None = None, where: Column | None = None) -> DataFrame:
@@ -96,7 +103,7 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
         stats = src.groupBy(*by).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
         lo_g, hi_g = _widen(F.col("_lo0"), F.col("_hi0"))
         edge_rows = stats.select(*by, lo_g.alias("_lo"), hi_g.alias("_hi"))
-        binned = with_bin(src.join(F.broadcast(edge_rows), by, "inner"), bins).select(*by, "bin")
+        binned = with_bin(_join(src, edge_rows, by, "inner", small=True), bins).select(*by, "bin")
     else:
         if lo is not None and hi is not None:
             lo_c, hi_c = _widen(F.lit(float(lo)), F.lit(float(hi)))
@@ -115,7 +122,7 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
         *by, "_lo", "_hi",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))
         .alias("bin"))
-    return (all_bins.join(counts, [*by, "bin"], "left")
+    return (_join(all_bins, counts, [*by, "bin"], "left")
             .select(*by, "bin",
                     _edge(F.col("bin"), F.col("_lo"), F.col("_hi"), bins).alias("bin_lo"),
                     _edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), bins).alias("bin_hi"),
@@ -181,14 +188,14 @@ def data_range_histograms(df: DataFrame,
                     F.when(shared, F.max("_hi0").over(whole)).otherwise(F.col("_hi0")))
     edges = F.broadcast(per_group.select("_h", "_g", lo.alias("_lo"), hi.alias("_hi"),
                                          bins_of.alias("_bins")))
-    binned = with_bin(stacked.join(edges, ["_h", "_g"]), F.col("_bins")).select(
+    binned = with_bin(_join(stacked, edges, ["_h", "_g"], "inner"), F.col("_bins")).select(
         "_h", "_g", "bin")
     counts = binned.groupBy("_h", "_g", "bin").agg(F.count(F.lit(1)).alias("frequency"))
     all_bins = edges.select(
         "_h", "_g", "_lo", "_hi", "_bins",
         F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_bins") - 1).cast("bigint")))
         .alias("bin"))
-    table = all_bins.join(counts, ["_h", "_g", "bin"], "left").select(
+    table = _join(all_bins, counts, ["_h", "_g", "bin"], "left").select(
         "_h", "_g", "bin",
         _edge(F.col("bin"), F.col("_lo"), F.col("_hi"), F.col("_bins")).alias("bin_lo"),
         _edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), F.col("_bins")).alias("bin_hi"),

@@ -76,7 +76,8 @@ def model_frame(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_key(key: str = KEY) -> Column:
-    return (F.col(key) * SPLIT_MULTIPLIER) % SPLIT_MODULUS
+    # reduced first, so that no key overflows
+    return F.pmod(F.col(key), F.lit(SPLIT_MODULUS)) * SPLIT_MULTIPLIER % SPLIT_MODULUS
 
 
 def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = LABEL,

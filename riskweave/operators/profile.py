@@ -369,7 +369,7 @@ def value_counts(df: DataFrame, cols: Sequence[str] = LATE_COLUMNS, k: int = 10)
         .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("column_name").orderBy("value")
     return counts.withColumn("_rank", F.row_number().over(w)) \
-        .filter(F.col("_rank") <= k).drop("_rank")
+        .filter(F.col("_rank") <= k).drop("_rank").orderBy("column_name", "value")
 
 
 def profile_tables(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx: bool = False,

@@ -55,12 +55,20 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def ensure_built(spark: SparkSession, name: str, build: Callable[[], DataFrame],
                  path: str | None = None) -> DataFrame:
-    """Build and store a table only when it does not exist yet."""
+    """Build and store a table only when it does not exist yet.
+
+    A folder counts as built only with its ``_SUCCESS`` marker; one that holds
+    anything else is an error and never overwritten, and so is a folder that
+    cannot be read."""
     if path:
-        try:
+        jvm = spark._jvm.org.apache.hadoop.fs
+        folder = jvm.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(jvm.Path(folder, "_SUCCESS")):
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - missing path: build it
-            return materialize(build(), name, path=path)
+        if fs.exists(folder) and len(fs.listStatus(folder)):
+            raise FileExistsError(f"{path} is not empty and not a finished table")
+        return materialize(build(), name, path=path)
     if spark.catalog.tableExists(name):
         return spark.table(name)
     return materialize(build(), name)

@@ -41,8 +41,13 @@ CSV_SCHEMA = T.StructType([
 
 
 def read_loans(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA) -> DataFrame:
-    """A1: CSV scan with header and an explicit schema (no inference pass)."""
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
+    """A1: CSV scan with an explicit schema (no inference pass), matched to
+    the header by name, so columns may be missing or in any order. ``NA`` is
+    NULL; any other value that does not fit its type is an error."""
+    types = {f.name.lower(): f.dataType for f in schema.fields}
+    header = spark.read.csv(path, header=True).columns
+    found = T.StructType([T.StructField(c, types.get(c.lower(), T.StringType()), True) for c in header])
+    return spark.read.csv(path, header=True, schema=found, enforceSchema=True, nullValue="NA", mode="FAILFAST")
 
 
 def rename_loans(df: DataFrame) -> DataFrame:
