@@ -22,7 +22,6 @@ from riskweave.operators import evaluate as EV  # noqa: E402
 from riskweave.operators import model as M  # noqa: E402
 from riskweave.operators import portfolio as P  # noqa: E402
 from riskweave.operators import profile as D  # noqa: E402
-from riskweave.operators.layers import require_age  # noqa: E402
 from riskweave.plans.build import build_all  # noqa: E402
 from riskweave.session import local_session  # noqa: E402
 from riskweave.sources.fixture import raw_loans  # noqa: E402
@@ -91,7 +90,7 @@ def main() -> None:
 
     # q6: bulk applicant scoring with segment, flags and expected loss
     def scoring():
-        apps = AP.applicant_features(require_age(tables["clean_loans"]))
+        apps = AP.applicant_features(AP.clean_applicants(raw))
         scored = AP.assess(AP.score_applicants(apps, lr, gbt))
         return AP.expected_loss_by_segment(scored).collect()
     timed("q6_bulk_scoring", scoring)

@@ -107,10 +107,11 @@ def ml_segment(score: Column | str = "pd_score_xgb") -> Column:
 
 
 def pd_segment(score: Column | str) -> Column:
-    """Left-closed PD segment of the applicant form: >=.3 High, >=.1 Medium."""
+    """Left-closed PD segment of the applicant form: >=.3 High, >=.1 Medium;
+    no score, no segment."""
     s = _c(score)
     return (F.when(s >= 0.3, "High Risk").when(s >= 0.1, "Medium Risk")
-            .otherwise("Low Risk"))
+            .when(s.isNotNull(), "Low Risk"))
 
 
 def safe_div(num: Column, den: Column, default: float | None = 0.0) -> Column:

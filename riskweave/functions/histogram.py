@@ -91,19 +91,14 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
     if clip is not None:
         x = clip_upper(x, clip)
     src = src.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
-    groups = src.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    if not by:
-        groups = groups.filter(F.col("_n") > 0)
-
-    per_group = bool(by) and not shared_edges and (lo is None or hi is None)
-    if per_group:
+    if bool(by) and not shared_edges and (lo is None or hi is None):
         # one edge row per group. ``by`` is a low-cardinality key (a class
         # label), so the edge table is broadcast: a shuffle join on a key with
         # a handful of values would send all rows to a handful of tasks.
         stats = src.groupBy(*by).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"))
         lo_g, hi_g = _widen(F.col("_lo0"), F.col("_hi0"))
-        edge_rows = stats.select(*by, lo_g.alias("_lo"), hi_g.alias("_hi"))
-        binned = with_bin(_join(src, edge_rows, by, "inner", small=True), bins).select(*by, "bin")
+        edged = _join(src, stats.select(*by, lo_g.alias("_lo"), hi_g.alias("_hi")), by,
+                      "inner", small=True)
     else:
         if lo is not None and hi is not None:
             lo_c, hi_c = _widen(F.lit(float(lo)), F.lit(float(hi)))
@@ -111,22 +106,23 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float | None = None,
             stats = src.select(F.struct(F.min("_x").alias("lo"),
                                         F.max("_x").alias("hi")).alias("s")).scalar()
             lo_c, hi_c = _widen(stats.getField("lo"), stats.getField("hi"))
-        edge_rows = groups.select(*by, lo_c.alias("_lo"), hi_c.alias("_hi"))
-        binned = with_bin(src.withColumns({"_lo": lo_c, "_hi": hi_c}), bins).select(*by, "bin")
-
-    # bin -1 (values outside a fixed range) forms its own group, which the
-    # left join from the bin list below never picks up. No filter on ``bin``
-    # here: pushed down, it would copy the whole index expression.
-    counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("frequency"))
-    all_bins = edge_rows.select(
-        *by, "_lo", "_hi",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))
-        .alias("bin"))
-    return (_join(all_bins, counts, [*by, "bin"], "left")
+        edged = src.withColumns({"_lo": lo_c, "_hi": hi_c})
+
+    # bin -1 (values outside a fixed range) is counted too and so keeps its
+    # group in the result. No filter on ``bin`` here: pushed down, it would
+    # copy the whole index expression.
+    group = [*by, "_lo", "_hi"]
+    counts = with_bin(edged, bins).groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("frequency"))
+    # at most bins + 1 entries a group
+    filled = counts.groupBy(*group).agg(F.map_from_entries(
+        F.collect_list(F.struct("bin", "frequency"))).alias("_counts"))
+    return (filled.select("*", F.explode(F.sequence(
+                F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
             .select(*by, "bin",
                     _edge(F.col("bin"), F.col("_lo"), F.col("_hi"), bins).alias("bin_lo"),
                     _edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), bins).alias("bin_hi"),
-                    F.coalesce(F.col("frequency"), F.lit(0).cast("bigint")).alias("frequency")))
+                    F.coalesce(F.try_element_at("_counts", F.col("bin")),
+                               F.lit(0).cast("bigint")).alias("frequency")))
 
 
 class HistSpec(NamedTuple):

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (LOSS_GIVEN_DEFAULT, NO_FLAG_TEXT, PORTFOLIO_BASE_RATE,
                                pd_segment, sql_round)
-from .layers import engineered_columns
-from .model import positive_probability
+from .layers import clean_columns, engineered_columns
+from .model import FEATURES, positive_probability
 
 # The risk flags of the applicant page (text without the
 # display icons), each with its rule.
@@ -34,6 +34,21 @@ DERIVED = ["total_late_payments", "ever_seriously_delinquent", "high_util_flag",
            "high_debt_flag", "income_per_dependent", "estimated_monthly_debt"]
 
 
+def clean_applicants(raw: DataFrame, key: str = "customer_id") -> DataFrame:
+    """The cleaning rules C2-C5 for every applicant: an invalid age becomes
+    NULL, and the row stays, to be rejected with a reason when scored."""
+    return raw.select(key, *clean_columns())
+
+
+def reject_reason() -> Column:
+    """Why a row cannot be scored: the form inputs without a usable number
+    (NULL or NaN); NULL for a row that can be."""
+    missing = F.array_compact(F.array(*[
+        F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(c))
+        for c in APPLICANT_INPUTS]))
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.concat_ws(", ", missing)))
+
+
 def applicant_features(df: DataFrame) -> DataFrame:
     """L1: the six engineered model inputs (E3-E8, same rules and rounding
     as the feature layer)."""
@@ -43,19 +58,30 @@ def applicant_features(df: DataFrame) -> DataFrame:
 
 def score_applicants(df: DataFrame, lr_model: PipelineModel,
                      gbt_model: PipelineModel) -> DataFrame:
-    """L2: PD from both models; the model's helper columns are dropped."""
-    keep = df.columns
-    scored = gbt_model.transform(lr_model.transform(df))
-    return scored.select(*keep,
-                         positive_probability("lr_probability").alias("pd_score_lr"),
-                         positive_probability("gbt_probability").alias("pd_score_xgb"))
+    """L2: PD from both models; the model's helper columns are dropped.
+
+    Every applicant comes back: a row that lacks an input has NULL scores and
+    its ``reject_reason``. The models see zeros in place of its features, so
+    one incomplete row does not fail a batch or a stream.
+    """
+    reason = F.col("reject_reason")
+    given = df.withColumn("reject_reason", reject_reason()) \
+        .withColumn("_rw_given", F.struct(*FEATURES))
+    filled = given.withColumns({
+        c: F.when(reason.isNull(), F.col(c)).otherwise(F.lit(0)) for c in FEATURES})
+    scored = gbt_model.transform(lr_model.transform(filled))
+    return scored.select(
+        *[F.col("_rw_given")[c].alias(c) if c in FEATURES else F.col(c)
+          for c in df.columns if c != "reject_reason"], "reject_reason",
+        *[F.when(reason.isNull(), positive_probability(f"{m}_probability")).alias(out)
+          for m, out in (("lr", "pd_score_lr"), ("gbt", "pd_score_xgb"))])
 
 
 def vs_portfolio(pd_col: Column | str, base: float = PORTFOLIO_BASE_RATE) -> tuple[Column, Column]:
     """L4: direction against the portfolio average and the absolute gap in
     percentage points."""
     p = F.col(pd_col) if isinstance(pd_col, str) else pd_col
-    direction = F.when(p > base, "above").otherwise("below")
+    direction = F.when(p > base, "above").when(p <= base, "below")
     return direction, F.abs(p - F.lit(base)) * 100
 
 

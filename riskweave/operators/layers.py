@@ -73,15 +73,18 @@ def require_age(df: DataFrame) -> DataFrame:
 
 def clean_loans(raw: DataFrame) -> DataFrame:
     """The cleaning layer as one filter + one projection."""
-    return drop_invalid_age(raw).select(
-        "customer_id",
-        "is_default",
+    return drop_invalid_age(raw).select("customer_id", "is_default", *clean_columns())
+
+
+def clean_columns() -> list[Column]:
+    """C2-C5 as columns (the applicant scorer reuses them without C1)."""
+    return [
         null_out_of_range_age("age").alias("age"),
         impute_income().alias("monthly_income"),
         impute_dependents().alias("num_dependents"),
         cap("revolving_util", 1.0, lower=0.0).alias("revolving_util"),
         *[cap(name, upper).alias(name) for name, upper in CAPS.items()],
-    )
+    ]
 
 
 # -- E1..E10: engineered features -------------------------------------------------

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ml_segment
 from ..session import ensure_checkpoint_dir
 from .prefix import rank_in_bounded_buckets
+from .profile import class_counts as count_classes, count_totals
 
 # The 16 model features, in the reference's order.
 FEATURES = [
@@ -162,14 +163,10 @@ def class_counts(train: DataFrame, label: str = LABEL) -> ClassCounts:
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     """M14 report: per class its count, the balanced weight ``n / (2 n_c)``
     and the negative/positive ratio used for the boosted trees."""
-    per = train.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    n = train.agg(F.count(F.lit(1))).scalar()
-    ratio = train.agg(F.when(F.count_if(F.col(label) == 1) == 0, F.lit(None).cast("double"))
-                      .otherwise(F.count_if(F.col(label) == 0)
-                                 / F.count_if(F.col(label) == 1))).scalar()
-    return per.select(label, "count",
-                      (n / (F.lit(2.0) * F.col("count"))).alias("balanced_weight"),
-                      ratio.alias("scale_pos_weight"))
+    n, neg, pos = count_totals(label)
+    return count_classes(train, label).select(
+        label, "count", (n / (F.lit(2.0) * F.col("count"))).alias("balanced_weight"),
+        F.when(pos > 0, neg / pos).alias("scale_pos_weight"))
 
 
 def with_weight(df: DataFrame, w_neg: float, w_pos: float, label: str = LABEL,

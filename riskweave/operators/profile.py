@@ -150,14 +150,10 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 def target_distribution(df: DataFrame, label: str = "is_default") -> DataFrame:
     """Count and share % per class, with the neg/pos imbalance ratio."""
-    y = F.col(label)
-    src = df.filter(y.isNotNull())
-    total = src.agg(F.count(F.lit(1))).scalar()
-    ratio = src.agg(F.when(F.count_if(y == 1) == 0, F.lit(None).cast("double"))
-                    .otherwise(F.count_if(y == 0) / F.count_if(y == 1))).scalar()
-    return src.groupBy(label).agg(F.count(F.lit(1)).alias("count")).select(
-        label, "count", (F.col("count") / total * 100).alias("pct"),
-        ratio.alias("imbalance_ratio"))
+    counts = class_counts(df.filter(F.col(label).isNotNull()), label)
+    total, neg, pos = count_totals(label)
+    return counts.select(label, "count", (F.col("count") / total * 100).alias("pct"),
+                         F.when(pos > 0, neg / pos).alias("imbalance_ratio"))
 
 
 def class_counts(df: DataFrame, label: str = "is_default") -> DataFrame:
@@ -165,6 +161,14 @@ def class_counts(df: DataFrame, label: str = "is_default") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
 
 
+def count_totals(label: str) -> tuple[Column, Column, Column]:
+    """Over a table of ``class_counts`` (one row per class): all rows, and
+    those of the classes 0 and 1."""
+    every = Window.partitionBy(F.lit(1))
+    return tuple(F.sum(F.when(c, F.col("count")).otherwise(0)).over(every)
+                 for c in (F.lit(True), F.col(label) == 0, F.col(label) == 1))
+
+
 # -- D5 / D6 -----------------------------------------------------------------------
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,

@@ -90,19 +90,19 @@ def _band(value: str, bands: tuple[list, list]) -> str:
     return f"[{', '.join(repr(x) for x in labels)}][1 + {reached}]"
 
 
-def _clean_sql() -> str:
+def _clean_sql(name: str, where: str) -> str:
     # a NULL comes out as the bound, so only values within it pass unchanged
     capped = ", ".join(f"IF({c} <= {cap}, {c}, {cap}) AS {c}" for c, cap in _CAPS.items())
     return f"""
-clean_loans AS (
+{name} AS (
   SELECT * EXCLUDE (adult) REPLACE (IF(adult, age, NULL) AS age, {capped},
     IFNULL(monthly_income, 3500) AS monthly_income, IFNULL(num_dependents, 0) AS num_dependents,
     IF(revolving_util >= 0, IF(revolving_util <= 1, revolving_util, 1), 0) AS revolving_util)
-  FROM (SELECT *, age BETWEEN 18 AND 100 AS adult FROM raw_loans) WHERE age >= 1
+  FROM (SELECT *, age BETWEEN 18 AND 100 AS adult FROM raw_loans) WHERE {where}
 )"""
 
 
-def _features_sql(name: str, where: str) -> str:
+def _features_sql(name: str, where: str, source: str = "clean_loans") -> str:
     flags = ", ".join(f"CAST(IFNULL({rule}, FALSE) AS INTEGER) AS {flag}" for flag, rule in (
         ("ever_seriously_delinquent", "late_90_plus > 0"), ("high_util_flag", "revolving_util > 0.8"),
         ("high_debt_flag", "debt_ratio > 0.5")))
@@ -114,7 +114,7 @@ def _features_sql(name: str, where: str) -> str:
     IFNULL(ROUND(monthly_income / NULLIF(num_dependents, 0), 2), monthly_income) AS income_per_dependent,
     ROUND(debt_ratio * monthly_income, 2) AS estimated_monthly_debt,
     RANK() OVER (ORDER BY customer_id) AS row_num
-  FROM clean_loans c WHERE {where}
+  FROM {source} c WHERE {where}
 )"""
 
 
@@ -150,13 +150,17 @@ def _risk_sql(name: str, source: str) -> str:
 )"""
 
 
-CLEAN = _clean_sql()
+CLEAN = _clean_sql("clean_loans", "age >= 1")
 FEATURES = _features_sql("feature_engineering", "age IS NOT NULL")
 FEATURES_APP = _features_sql("feature_engineering_app", "TRUE")
 RISK = _risk_sql("risk_segments", "feature_engineering")
 RISK_APP = _risk_sql("risk_segments_app", "feature_engineering_app")
 
-LAYERS = [RAW_LOANS, CLEAN, FEATURES, FEATURES_APP, RISK, RISK_APP]
+#: every applicant, also those whose age is invalid
+APPLICANTS = (_clean_sql("clean_applicants", "TRUE") + ","
+              + _features_sql("applicants", "TRUE", "clean_applicants"))
+
+LAYERS = [RAW_LOANS, CLEAN, FEATURES, FEATURES_APP, RISK, RISK_APP, APPLICANTS]
 
 
 def with_layers(final_sql: str, *extra_ctes: str) -> str:

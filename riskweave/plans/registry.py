@@ -962,32 +962,39 @@ def m7_roc_curve_gbt(spark, sf):
 # L. bulk applicant scoring
 # =============================================================================
 
-_APPLICANTS_SQL = "SELECT * FROM feature_engineering"
+def _applicants(spark, sf) -> DataFrame:
+    """Every applicant, cleaned and with the derived inputs."""
+    return AP.applicant_features(AP.clean_applicants(raw(spark, sf)))
 
 
 @register("l1_applicant_features", O.with_layers(
     "SELECT customer_id, total_late_payments, ever_seriously_delinquent, high_util_flag, "
-    "high_debt_flag, income_per_dependent, estimated_monthly_debt FROM feature_engineering"))
+    "high_debt_flag, income_per_dependent, estimated_monthly_debt FROM applicants"))
 def l1_applicant_features(spark, sf):
-    apps = L.require_age(clean(spark, sf))
-    return AP.applicant_features(apps).select("customer_id", *AP.DERIVED)
+    return _applicants(spark, sf).select("customer_id", *AP.DERIVED)
 
 
 @register("l2_score_applicants")
 def l2_score_applicants(spark, sf):
     f = fitted(spark, sf)
-    apps = AP.applicant_features(L.require_age(clean(spark, sf)))
-    scored = AP.assess(AP.score_applicants(apps, f["lr"], f["gbt"]))
+    scored = AP.assess(AP.score_applicants(_applicants(spark, sf), f["lr"], f["gbt"]))
     return scored.select("customer_id", "pd_score_lr", "pd_score_xgb", "pd_segment",
                          "vs_portfolio", "gap_pct_points", "risk_flags",
-                         "exposure_at_default", "expected_loss")
+                         "exposure_at_default", "expected_loss", "reject_reason")
+
+
+@register("l2_scorable_and_rejected", O.with_layers(
+    "SELECT CASE WHEN age IS NULL THEN 'missing age' END AS reject_reason, COUNT(*) AS applicants "
+    "FROM applicants GROUP BY reject_reason"))
+def l2_scorable_and_rejected(spark, sf):
+    return (_applicants(spark, sf).groupBy(AP.reject_reason().alias("reject_reason"))
+            .agg(F.count(F.lit(1)).alias("applicants")))
 
 
 @register("l7_score_breakdown")
 def l7_score_breakdown(spark, sf):
     f = fitted(spark, sf)
-    apps = AP.applicant_features(L.require_age(clean(spark, sf)))
-    return AP.score_breakdown(AP.score_applicants(apps, f["lr"], f["gbt"]))
+    return AP.score_breakdown(AP.score_applicants(_applicants(spark, sf), f["lr"], f["gbt"]))
 
 
 _PD = "(rule_risk_score / 100)"
@@ -1019,22 +1026,21 @@ def l4_vs_portfolio(spark, sf):
 _FLAG_RULES = ["late_90_plus >= 1", "revolving_util > 0.8", "debt_ratio > 0.5",
                "late_30_59 >= 2", "monthly_income < 2000", "age < 25"]
 _FLAGS_SQL = "\nUNION ALL\n".join(
-    [f"SELECT customer_id, '{t}' AS flag FROM feature_engineering WHERE {r}"
+    [f"SELECT customer_id, '{t}' AS flag FROM applicants WHERE {r}"
      for r, t in zip(_FLAG_RULES, AP.FLAG_TEXTS)]
-    + ["SELECT customer_id, 'No significant risk flags detected' AS flag FROM feature_engineering "
+    + ["SELECT customer_id, 'No significant risk flags detected' AS flag FROM applicants "
        "WHERE NOT (" + " OR ".join(f"COALESCE({r}, FALSE)" for r in _FLAG_RULES) + ")"])
 
 
 @register("l5_risk_flags", O.with_layers(_FLAGS_SQL))
 def l5_risk_flags(spark, sf):
-    apps = L.require_age(clean(spark, sf))
-    return apps.select("customer_id", F.explode(AP.risk_flags()).alias("flag"))
+    return _applicants(spark, sf).select("customer_id", F.explode(AP.risk_flags()).alias("flag"))
 
 
 @register("l5_risk_flag_counts", O.with_layers(
     f"SELECT flag, COUNT(*) AS applicants FROM ({_FLAGS_SQL}) GROUP BY flag"))
 def l5_risk_flag_counts(spark, sf):
-    return AP.flag_counts(L.require_age(clean(spark, sf)))
+    return AP.flag_counts(_applicants(spark, sf))
 
 
 @register("l6_expected_loss", O.with_layers(

@@ -3,7 +3,8 @@
 The lookup form of the reference scores one applicant at a time; here new
 applicant files arriving in a folder are scored as they land. Every step
 (engineered features, both model transforms, segment, flags, expected loss)
-is row-local, so the stream needs no state, no watermark and no shuffle; the
+is row-local, so the stream needs no state, no watermark and no shuffle. An
+applicant without an input comes out with ``reject_reason`` and no score. The
 checkpoint folder gives exactly-once output to the file sink and lets a
 restarted job resume after the last committed batch.
 """
@@ -25,7 +26,8 @@ APPLICANT_SCHEMA = T.StructType(
                      else T.LongType(), True) for c in APPLICANT_INPUTS])
 
 OUTPUT_COLUMNS = ["customer_id", "pd_score_lr", "pd_score_xgb", "pd_segment", "vs_portfolio",
-                  "gap_pct_points", "risk_flags", "exposure_at_default", "expected_loss"]
+                  "gap_pct_points", "risk_flags", "exposure_at_default", "expected_loss",
+                  "reject_reason"]
 
 
 def score_frame(applicants: DataFrame, lr: PipelineModel, gbt: PipelineModel) -> DataFrame:

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions.histogram import histogram
+from riskweave.operators import applicants as AP
 from riskweave.operators.model import split_key
 from riskweave.operators.profile import value_counts
+from riskweave.plans import registry as R
 from riskweave.sources.catalog import ensure_built
 from riskweave.sources.loans import load_loans_csv
 
@@ -50,3 +52,19 @@ def test_value_counts_are_sorted(spark):
     df = spark.createDataFrame([(3, 1), (1, 2), (2, 2), (1, 9)], "b long, a long")
     rows = [(r.column_name, r.value) for r in value_counts(df, ["b", "a"]).collect()]
     assert rows == sorted(rows) and len(rows) == 6
+
+
+def test_every_applicant_is_scored_or_rejected(spark, sf):
+    raw = R.raw(spark, sf)
+    apps = AP.applicant_features(AP.clean_applicants(raw))
+    odd = apps.limit(1).withColumns({"customer_id": F.lit(-1).cast("bigint"), "debt_ratio": F.lit(None).cast("double")})
+    f = R.fitted(spark, sf, trees=2)
+    got = AP.assess(AP.score_applicants(apps.unionByName(odd), f["lr"], f["gbt"])).select(
+        "customer_id", "age", "debt_ratio", "pd_score_lr", "pd_score_xgb", "pd_segment", "vs_portfolio", "reject_reason").collect()
+    assert len(got) == raw.count() + 1
+    for r in got:
+        whole = r.age is not None and r.debt_ratio is not None
+        assert (r.reject_reason is None) == whole
+        assert all((v is not None) == whole for v in (r.pd_score_lr, r.pd_score_xgb, r.pd_segment, r.vs_portfolio))
+    assert "debt_ratio" in next(r.reject_reason for r in got if r.customer_id == -1)
+    assert any(r.reject_reason == "missing age" for r in got)
