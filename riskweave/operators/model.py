@@ -90,15 +90,19 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = LAB
     the bounded hash as bucket (``rank_in_bounded_buckets``), so no class —
     however large — is sorted in one task.
     """
-    h = "_split_h"
-    ranked = rank_in_bounded_buckets(df.withColumn(h, split_key(key)), "_split_rank",
-                                     partition=[label], bucket=h, order=[key])
+    h, group = "_split_h", "_split_class"
+    # a NULL label is a class and a NULL key a bucket of its own: the joins
+    # below are on values that are never NULL, so no row leaves
+    keyed = df.withColumns({h: F.coalesce(split_key(key), F.lit(-1)),
+                            group: F.coalesce(F.col(label).cast("string"), F.lit("null"))})
+    ranked = rank_in_bounded_buckets(keyed, "_split_rank", partition=[group], bucket=h,
+                                     order=[key])
     # one row per class; the label is binary, so this side is tiny
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_class"))
+    sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("_n_class"))
     test_n = F.floor(F.col("_n_class") * F.lit(float(test_fraction)) + F.lit(0.5))
-    out = ranked.join(F.broadcast(sizes), label, "inner").withColumn(
+    out = ranked.join(F.broadcast(sizes), group, "inner").withColumn(
         "split", F.when(F.col("_split_rank") <= test_n, "test").otherwise("train"))
-    return out.drop(h, "_split_rank", "_n_class")
+    return out.drop(h, group, "_split_rank", "_n_class")
 
 
 def split_summary(split_df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -302,25 +302,43 @@ def cut_pivot(df: DataFrame) -> DataFrame:
 # -- D13 / D14 correlations ------------------------------------------------------------
 
 def correlation(df: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson matrix, pairwise-complete (each ``corr`` skips rows with a
-    NULL in either column), as long rows ``(col_a, col_b, corr)``.
-
-    One scan emits a ``(pair, x, y)`` row per column pair; ``corr`` grouped
-    by pair merges each pair in its own task (a single 55-way ``corr``
-    aggregate is too wide for whole-stage codegen and merges in one task).
+    """Pearson matrix, pairwise-complete (rows with a NULL in either
+    column are skipped), as long rows ``(col_a, col_b, corr)``; NULL, also on
+    the diagonal, where a column is constant or has no value.
+
+    One scan emits a ``(pair, x, y)`` row per column pair; grouping by pair
+    merges each pair in its own task (a single 55-way aggregate is too wide
+    for whole-stage codegen and merges in one task). The diagonal needs only
+    the columns' variances, a second narrow aggregate.
     """
     cols = list(cols)
+    variances = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"_v{i}")
+                         for i, c in enumerate(cols)])
+    diagonal = variances.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
+                 F.when(F.col(f"_v{i}") > 0, F.lit(1.0)).alias("corr"))
+        for i, c in enumerate(cols)])))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return diagonal
+
+    def both(c: str, other: str) -> Column:
+        return F.when(F.col(other).isNotNull(), F.col(c).cast("double"))
+
     stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), both(a, b).alias("x"),
+                 both(b, a).alias("y"))
         for a, b in pairs])))
-    upper = stacked.groupBy("col_a", "col_b").agg(_r(F.corr("x", "y")).alias("corr"))
-    lower = upper.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
-    names = upper.select(F.col("col_a").alias("c")).union(upper.select("col_b")).distinct()
-    diagonal = names.select(F.col("c").alias("col_a"), F.col("c").alias("col_b"),
-                            F.lit(1.0).alias("corr"))
-    return upper.unionByName(lower).unionByName(diagonal)
+    moments = stacked.groupBy("a", "b").agg(F.covar_pop("x", "y").alias("_xy"),
+                                            F.stddev_pop("x").alias("_x"),
+                                            F.stddev_pop("y").alias("_y"))
+    # the branch guards the division: ANSI mode raises on x / 0
+    upper = moments.select("a", "b", _r(F.when(
+        (F.col("_x") > 0) & (F.col("_y") > 0), F.col("_xy") / F.col("_x") / F.col("_y"))).alias("c"))
+    return upper.select(F.inline(F.array(
+        F.struct(F.col("a").alias("col_a"), F.col("b").alias("col_b"), F.col("c").alias("corr")),
+        F.struct(F.col("b").alias("col_a"), F.col("a").alias("col_b"), F.col("c").alias("corr")))
+    )).unionByName(diagonal)
 
 
 def target_correlation(df: DataFrame, label: str = "is_default",

@@ -579,11 +579,8 @@ def _corr_sql() -> str:
     parts = []
     for i, a in enumerate(cols):
         for b in cols:
-            if a == b:
-                parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, 1.0::DOUBLE AS corr")
-            else:
-                parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
-                             f"ROUND(CORR({_dbl(a)}, {_dbl(b)}), 6) AS corr FROM raw_loans")
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+                         f"ROUND(CORR({_dbl(a)}, {_dbl(b)}), 6) AS corr FROM raw_loans")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -870,7 +867,8 @@ _FIT_CACHE: dict[tuple, dict] = {}
 def fitted(spark: SparkSession, sf: str, trees: int = M.GBT_TREES) -> dict:
     """Fit both models once per (session, data, tree count) and reuse them
     for every model query of that session."""
-    key = (id(spark._jsparkSession), sf, trees)
+    # the application's id: ids of Python objects are used again
+    key = (spark.sparkContext.applicationId, sf, trees)
     if key in _FIT_CACHE:
         return _FIT_CACHE[key]
     base = risk(spark, sf)

@@ -1,13 +1,14 @@
 """Rows are neither lost, shifted nor deleted: NULL groups, partly written
 folders, CSV headers, large keys, and the order of sorted results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions.histogram import histogram
 from riskweave.operators import applicants as AP
-from riskweave.operators.model import split_key
-from riskweave.operators.profile import value_counts
+from riskweave.operators.model import split_key, stratified_split
+from riskweave.operators.profile import correlation, value_counts
 from riskweave.plans import registry as R
 from riskweave.sources.catalog import ensure_built
 from riskweave.sources.loans import load_loans_csv
@@ -68,3 +69,20 @@ def test_every_applicant_is_scored_or_rejected(spark, sf):
         assert all((v is not None) == whole for v in (r.pd_score_lr, r.pd_score_xgb, r.pd_segment, r.vs_portfolio))
     assert "debt_ratio" in next(r.reject_reason for r in got if r.customer_id == -1)
     assert any(r.reject_reason == "missing age" for r in got)
+
+
+def test_split_keeps_rows_without_label_or_key(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(20, None), (21, None), (None, 1)], "customer_id long, is_default int")
+    got = stratified_split(df).collect()
+    assert len(got) == 13 and {r.split for r in got} == {"train", "test"}
+    assert sum(r.is_default is None for r in got) == 2
+
+
+def test_correlation_of_constant_empty_and_single_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0, None), (2.0, 4.0, 5.0, None), (3.0, None, 5.0, None), (4.0, 9.0, 5.0, None)],
+                               "a double, b double, c double, d double")
+    got = {(r.col_a, r.col_b): r["corr"] for r in correlation(df, ["a", "b", "c", "d"]).collect()}
+    assert len(got) == 16 and got["a", "a"] == got["b", "b"] == 1.0
+    assert got["a", "b"] == got["b", "a"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 9])[0, 1], abs=1e-6)
+    assert all(v is None for (x, y), v in got.items() if {x, y} & {"c", "d"})
+    assert [tuple(r) for r in correlation(df, ["a"]).collect()] == [("a", "a", 1.0)]
