@@ -270,6 +270,16 @@ def feature_importance(gbt_model: PipelineModel, features: Sequence[str] = FEATU
     return df.limit(k) if k else df
 
 
+def boosted_trees(gbt_model: PipelineModel) -> DataFrame:
+    """M13 report: one row per fitted tree with its weight, depth and nodes."""
+    from pyspark.sql import SparkSession
+    gbt = gbt_model.stages[-1]
+    rows = [(i, float(w), int(t.depth), int(t.numNodes))
+            for i, (w, t) in enumerate(zip(gbt.treeWeights, gbt.trees))]
+    return SparkSession.getActiveSession().createDataFrame(
+        rows, "tree int, weight double, depth int, nodes int")
+
+
 def positive_probability(col: str) -> Column:
     return vector_to_array(F.col(col))[1]
 

@@ -901,7 +901,7 @@ def m12_fit_lr(spark, sf):
 
 @register("m13_fit_gbt")
 def m13_fit_gbt(spark, sf):
-    return fitted(spark, sf)["metrics"]
+    return M.boosted_trees(fitted(spark, sf)["gbt"])
 
 
 @register("m15_feature_importance")
@@ -951,6 +951,21 @@ def m9_classification_report_lr(spark, sf):
     return EV.classification_report(fitted(spark, sf)["scores"], "is_default", "pd_score_lr")
 
 
+@register("m8_confusion_lr")
+def m8_confusion_lr(spark, sf):
+    return EV.confusion(fitted(spark, sf)["scores"], "is_default", "pd_score_lr", 0.5, True)
+
+
+@register("m9_classification_report_gbt")
+def m9_classification_report_gbt(spark, sf):
+    return EV.classification_report(fitted(spark, sf)["scores"], "is_default", "pd_score_xgb")
+
+
+@register("m7_roc_curve_lr")
+def m7_roc_curve_lr(spark, sf):
+    return EV.roc_curve(fitted(spark, sf)["scores"], "is_default", "pd_score_lr")
+
+
 @register("m7_roc_curve_gbt")
 def m7_roc_curve_gbt(spark, sf):
     return EV.roc_curve(fitted(spark, sf)["scores"], "is_default", "pd_score_xgb")
