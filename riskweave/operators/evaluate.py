@@ -2,21 +2,22 @@
 
 Ranking metrics first collapse the scored rows to one row per distinct score
 (``pos``, ``neg`` counts — map-side partial aggregation, so a score shared by
-a third of the rows is one row after the first stage). Cumulative counts over
-the score order come from the bucketed prefix sums of ``prefix.py``; the
-AUC numerator is an exact integer, so the result does not depend on the
-order in which partitions are summed.
+a third of the rows is one row after the first stage). The scored rows are
+read once: the sketch of the score order, the bucket totals and the points
+all come from the shuffle of that table. The AUC numerator is an exact
+integer, so the result does not depend on the order in which partitions are
+summed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import safe_div, sql_round
 from ..functions.histogram import histogram
-from .prefix import equi_depth_bucket, running_sum
+from .prefix import N_BUCKETS, split_points, with_bucket
 
 # Industry reference bands of the model comparison table and the
 # Gini grading of the modelling notebook.
@@ -35,21 +36,54 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
             .agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg")))
 
 
+def ranked_scores(df: DataFrame, label: str, score: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct scores, highest first: ``s, pos, neg`` with the running
+    counts ``tps, fps`` (own row included), the totals ``P, N`` and the next
+    row's counts ``pos_next, neg_next`` (NULL on the last row); and the
+    one-row table of ``P, N``.
+
+    Buckets of scores are counted first; the table of bucket totals (at most
+    ``N_BUCKETS`` rows, so it is broadcast) holds what a bucket needs from
+    the others: the counts before it and the first row of the next one.
+    """
+    g = score_counts(df, label, score).withColumn("_x", -F.col("s"))
+    totals = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                   split_points("_x", N_BUCKETS).alias("splits"))
+    known = totals.select(F.struct("*")).scalar()
+    g = g.withColumn("_k", known).select("s", "pos", "neg", "_x", "_k.P", "_k.N", "_k.splits")
+    g = with_bucket(g, F.col("_x"), "splits", N_BUCKETS, "_b")
+    per_bucket = g.groupBy("_b").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"),
+                                     F.min_by("pos", "_x").alias("_pos1"),
+                                     F.min_by("neg", "_x").alias("_neg1"))
+    every = Window.orderBy("_b")
+    before = every.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_pos", "_neg")],
+        *[F.lead(c).over(every).alias(c) for c in ("_pos1", "_neg1")])
+    inside = Window.partitionBy("_b").orderBy("_x")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = g.join(F.broadcast(offsets), "_b").select(
+        "s", "pos", "neg", "P", "N",
+        (F.col("_pos0") + F.sum("pos").over(upto)).alias("tps"),
+        (F.col("_neg0") + F.sum("neg").over(upto)).alias("fps"),
+        F.coalesce(F.lead("pos").over(inside), F.col("_pos1")).alias("pos_next"),
+        F.coalesce(F.lead("neg").over(inside), F.col("_neg1")).alias("neg_next"))
+    return points, totals.select("P", "N")
+
+
 def auc(df: DataFrame, label: str = "is_default", score: str = "score") -> DataFrame:
     """M5 + M6: ROC AUC with ties counted half (the rank-sum form) and
     Gini = 2 AUC - 1, as one row.
 
-    ``AUC = sum_s pos(s) * (2 * neg(< s) + neg(s)) / (2 P N)``; the sum is
-    exact in DECIMAL(38, 0).
+    Twice the pairs in right order, ties once, are each score's negatives
+    times the positives not below it, plus its positives times the negatives
+    below it; the sum is exact in DECIMAL(38, 0).
     """
-    g = score_counts(df, label, score)
-    g = equi_depth_bucket(g, "s", out="_b")
-    g = running_sum(g, {"neg_below": F.col("neg")}, order=["s"], bucket="_b",
-                    broadcast_offsets=True, inclusive=False)
+    points, _ = ranked_scores(df, label, score)
     dec = T.DecimalType(38, 0)
-    term = F.col("pos").cast(dec) * (F.lit(2).cast(dec) * F.col("neg_below").cast(dec)
-                                     + F.col("neg").cast(dec))
-    tot = g.agg(F.sum(term).alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    term = (F.col("neg").cast(dec) * F.col("tps").cast(dec)
+            + F.col("pos").cast(dec) * (F.col("N") - F.col("fps")).cast(dec))
+    tot = points.agg(F.sum(term).alias("num"), F.max("P").alias("P"), F.max("N").alias("N"))
     den = F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")
     a = F.when(den == 0, F.lit(None).cast("double")).otherwise(F.col("num").cast("double") / den)
     return tot.select(a.alias("auc")).select("auc", (F.col("auc") * 2 - 1).alias("gini"))
@@ -62,40 +96,23 @@ def roc_curve(df: DataFrame, label: str = "is_default", score: str = "score",
     collinear intermediate points dropped (second differences of both
     ``fps`` and ``tps`` zero), as the usual library default does.
 
-    Neighbours come from equi-joins on the point rank (rank - 1, rank + 1),
-    not from a global ``lag``/``lead`` window.
+    A second difference of a running count is the next row's own count less
+    this row's, so only the next row is needed.
     """
-    g = score_counts(df, label, score).withColumn("_neg_s", -F.col("s"))
-    g = equi_depth_bucket(g, "_neg_s", out="_b")
-    g = running_sum(g, {"tps": F.col("pos"), "fps": F.col("neg"),
-                        "r": F.lit(1).cast("bigint")},
-                    order=["_neg_s"], bucket="_b", broadcast_offsets=True)
-    pts = g.select(F.col("s").alias("threshold"), "fps", "tps", "r")
-    totals = pts.agg(F.max("r").alias("R"), F.max("tps").alias("P"),
-                     F.max("fps").alias("N")).select(F.struct("*").alias("t")).scalar()
+    points, totals = ranked_scores(df, label, score)
     if drop_intermediate:
-        prev = pts.select((F.col("r") + 1).alias("r"), F.col("fps").alias("fps_p"),
-                          F.col("tps").alias("tps_p"))
-        nxt = pts.select((F.col("r") - 1).alias("r"), F.col("fps").alias("fps_n"),
-                         F.col("tps").alias("tps_n"))
-        j = pts.join(prev, "r", "left").join(nxt, "r", "left")
-        d2f = F.col("fps_p") - 2 * F.col("fps") + F.col("fps_n")
-        d2t = F.col("tps_p") - 2 * F.col("tps") + F.col("tps_n")
-        keep = ((F.col("r") == 1) | (F.col("r") == totals.getField("R"))
-                | (d2f != 0) | (d2t != 0))
-        pts = j.filter(keep).select("threshold", "fps", "tps")
-    else:
-        pts = pts.select("threshold", "fps", "tps")
-    origin = df.sparkSession.range(1).select(
-        F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("fps"),
-        F.lit(0).cast("bigint").alias("tps"))
-    allp = pts.unionByName(origin)
-    return allp.select(
+        first = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
+        points = points.filter(first | F.col("pos_next").isNull()
+                               | (F.col("pos_next") != F.col("pos"))
+                               | (F.col("neg_next") != F.col("neg")))
+    origin = totals.select(F.lit(float("inf")).alias("threshold"),
+                           F.lit(0).cast("bigint").alias("fps"),
+                           F.lit(0).cast("bigint").alias("tps"), "N", "P")
+    every = points.select(F.col("s").alias("threshold"), "fps", "tps", "N", "P").unionByName(origin)
+    return every.select(
         "threshold", "fps", "tps",
-        safe_div(F.col("fps").cast("double"), totals.getField("N").cast("double"), None)
-        .alias("fpr"),
-        safe_div(F.col("tps").cast("double"), totals.getField("P").cast("double"), None)
-        .alias("tpr"))
+        safe_div(F.col("fps").cast("double"), F.col("N").cast("double"), None).alias("fpr"),
+        safe_div(F.col("tps").cast("double"), F.col("P").cast("double"), None).alias("tpr"))
 
 
 def predicted(score: Column, threshold: float = 0.5, inclusive: bool = True) -> Column:

@@ -16,12 +16,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ml_segment
 from ..session import ensure_checkpoint_dir
-from .prefix import rank_in_bounded_buckets
 from .profile import class_counts as count_classes, count_totals
 
 # The 16 model features, in the reference's order.
@@ -85,24 +84,54 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = LAB
                      key: str = KEY) -> DataFrame:
     """M3: deterministic stratified split; adds ``split`` = 'test' | 'train'.
 
-    Within each class the rows are ranked by ``(hash(key), key)``; the first
-    ``floor(test_fraction * n_class + 0.5)`` are the test rows. The rank uses
-    the bounded hash as bucket (``rank_in_bounded_buckets``), so no class —
-    however large — is sorted in one task.
+    Within each class the rows are ordered by ``(hash(key), key)``; the first
+    ``floor(test_fraction * n_class + 0.5)`` are the test rows, rows of an
+    equal key staying together. The frame is never shuffled: counts per
+    class and hash give the hash at which a class's test rows end, counts per
+    key of that hash alone (a millionth of the class) the key, and each row
+    is compared with its class's two values.
+
+    A NULL label is a class, and a NULL key comes before all others.
+    ``label`` is a class label: the table of ends, one row per class, is a
+    scalar.
     """
-    h, group = "_split_h", "_split_class"
-    # a NULL label is a class and a NULL key a bucket of its own: the joins
-    # below are on values that are never NULL, so no row leaves
+    h, group, k = "_split_h", "_split_class", "_split_key"
     keyed = df.withColumns({h: F.coalesce(split_key(key), F.lit(-1)),
-                            group: F.coalesce(F.col(label).cast("string"), F.lit("null"))})
-    ranked = rank_in_bounded_buckets(keyed, "_split_rank", partition=[group], bucket=h,
-                                     order=[key])
-    # one row per class; the label is binary, so this side is tiny
-    sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("_n_class"))
-    test_n = F.floor(F.col("_n_class") * F.lit(float(test_fraction)) + F.lit(0.5))
-    out = ranked.join(F.broadcast(sizes), group, "inner").withColumn(
-        "split", F.when(F.col("_split_rank") <= test_n, "test").otherwise("train"))
-    return out.drop(h, group, "_split_rank", "_n_class")
+                            group: F.coalesce(F.col(label).cast("string"), F.lit("null")),
+                            k: F.coalesce(F.col(key), F.lit(-1))})
+    per_hash = keyed.groupBy(group, h).agg(F.count(F.lit(1)).alias("n"))
+    # prefix over 1024 ranges of hashes, then inside each range
+    part = F.floor(F.col(h) / (SPLIT_MODULUS // 1023)).cast("int")
+    per_part = per_hash.groupBy(group, part.alias("_part")).agg(F.sum("n").alias("n"))
+    in_class = Window.partitionBy(group)
+    parts = per_part.select(
+        group, "_part",
+        F.floor(F.sum("n").over(in_class) * F.lit(float(test_fraction)) + F.lit(0.5)).alias("test"),
+        (F.sum("n").over(in_class.orderBy("_part")) - F.col("n")).alias("_before"), "n")
+    last = parts.filter("_before < test and test <= _before + n").drop("n")
+    upto = (F.col("_before") + F.sum("n").over(Window.partitionBy(group, "_part").orderBy(h)))
+    ends = (per_hash.withColumn("_part", part).join(F.broadcast(last), [group, "_part"])
+            .withColumn("_upto", upto)
+            .filter((F.col("_upto") - F.col("n") < F.col("test")) & (F.col("test") <= F.col("_upto")))
+            .select(group, F.col(h).alias("_h_end"),
+                    (F.col("test") - F.col("_upto") + F.col("n")).alias("_left")))
+    # null-safe equality: plain equality on computed columns sends the
+    # optimizer's constraint inference through every feature expression
+    same = F.col(group).eqNullSafe(F.col("_class"))
+    ends = ends.withColumnRenamed(group, "_class")
+    tied = keyed.select(group, h, k).join(
+        F.broadcast(ends), same & F.col(h).eqNullSafe(F.col("_h_end")))
+    per_key = tied.groupBy(group, "_h_end", "_left", k).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy(k)) - F.col("n")
+    end = (per_key.withColumn("_before", before).filter("_before < _left")
+           .groupBy(F.col(group).alias("_class"), "_h_end").agg(F.max(k).alias("_k_end")))
+    # one entry a class, read as a scalar: no join, so the rows stay in place
+    ends_of = end.agg(F.map_from_entries(F.collect_list(F.struct(
+        "_class", F.struct(F.col("_h_end").alias(h), F.col("_k_end").alias(k)))))).scalar()
+    # a class with no test row has no end
+    is_test = F.coalesce(F.struct(h, k) <= F.try_element_at(ends_of, F.col(group)), F.lit(False))
+    return keyed.withColumn("split", F.when(is_test, "test").otherwise("train")) \
+        .select(*df.columns, "split")
 
 
 def split_summary(split_df: DataFrame, label: str = LABEL) -> DataFrame:

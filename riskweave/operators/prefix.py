@@ -13,59 +13,65 @@ buckets instead:
    offset plus a window inside ``partitionBy(bucket)``.
 
 The big data is shuffled once, by bucket; the join and the window share that
-partitioning. Bucket ids come either from a column with a bounded domain
-(e.g. a hash modulo a prime) or from equi-depth splits of the key
-(``approxQuantile`` + ``Bucketizer``), so no bucket holds more than about
-``rows / n_buckets`` rows of a unique key.
+partitioning. Buckets are equi-depth: split points come from one
+``percentile_approx`` sketch that is part of the plan (a scalar subquery, so
+nothing runs while the plan is built), and a row finds its bucket by binary
+search in that array. No bucket holds more than about ``rows / n_buckets``
+rows of a unique key; the number of buckets does not depend on the session.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of a global order.
+N_BUCKETS = 1024
 _BUCKET = "_rw_bucket"
 _OFFSET = "_rw_off_"
 
 
-def default_buckets(df: DataFrame) -> int:
-    """One bucket per shuffle partition — the cluster's sizing of a task."""
-    try:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        n = 200
-    return max(1, n)
+def split_points(x: Column | str, n_buckets: int) -> Column:
+    """Aggregate: the ``n_buckets - 1`` equi-depth split points of ``x`` as an
+    ascending array (a quantile sketch, merged map-side)."""
+    probs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
+    return F.percentile_approx(x, probs, F.lit(4 * n_buckets))
 
 
-def equi_depth_bucket(df: DataFrame, key: str, n_buckets: int | None = None,
-                      rel_err: float | None = None, out: str = _BUCKET) -> DataFrame:
-    """Add ``out``: index of the equi-depth bucket of ``key`` (ascending).
+def with_bucket(df: DataFrame, x: Column, splits: str, n_buckets: int, out: str) -> DataFrame:
+    """Add ``out``: how many entries of the array column ``splits`` are not
+    above ``x`` (0 for NULL, as NULL sorts first). ``n_buckets`` is a power of
+    two. The binary search is one expression over its step widths: a chain of
+    projections would stay in generated code but takes the optimizer seconds."""
+    steps = [n_buckets >> i for i in range(1, n_buckets.bit_length())]
 
-    The split points are ``n_buckets - 1`` approximate quantiles (one
-    distributed sketch pass; only the split points reach the driver). NULL
-    keys go to the last bucket.
-    """
-    n = n_buckets or default_buckets(df)
-    if n <= 1:
-        return df.withColumn(out, F.lit(0.0))
-    err = rel_err if rel_err is not None else 1.0 / (4.0 * n)
-    qs = df.approxQuantile(key, [i / n for i in range(1, n)], err)
-    splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    tmp = "_rw_key_dbl"
-    bucketed = Bucketizer(splits=splits, inputCol=tmp, outputCol=out,
-                          handleInvalid="keep").transform(
-        df.withColumn(tmp, F.col(key).cast("double")))
-    return bucketed.drop(tmp)
+    def step(at: Column, width: Column) -> Column:
+        return at + F.when(F.get(splits, at + width - F.lit(1)) <= x, width).otherwise(F.lit(0))
+
+    found = F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)
+    return df.withColumn(out, found).drop(splits)
+
+
+def power_of_two(n: int) -> int:
+    """The smallest power of two that is ``n`` at least, and at least 2."""
+    return 1 << max(1, (int(n) - 1).bit_length())
+
+
+def equi_depth_bucket(df: DataFrame, key: str, n_buckets: int = N_BUCKETS,
+                      out: str = _BUCKET) -> DataFrame:
+    """Add ``out``: index of the equi-depth bucket of ``key`` (ascending,
+    NULL first)."""
+    n = power_of_two(n_buckets)
+    x = F.col(key).cast("double")
+    splits = df.select(x.alias("x")).agg(split_points("x", n)).scalar()
+    return with_bucket(df.withColumn("_rw_splits", splits), x, "_rw_splits", n, out)
 
 
 def running_sum(df: DataFrame, values: dict[str, Column | str], order: Sequence[str],
                 bucket: str, partition: Sequence[str] = (),
-                broadcast_offsets: bool = True, inclusive: bool = True) -> DataFrame:
+                broadcast_offsets: bool = False, inclusive: bool = True) -> DataFrame:
     """Add a running sum per entry of ``values`` (``out name -> value``).
 
     Rows are ordered by ``partition``, then ``bucket``, then ``order``;
@@ -97,20 +103,11 @@ def running_sum(df: DataFrame, values: dict[str, Column | str], order: Sequence[
 
 
 def global_row_number(df: DataFrame, key: str, out: str = "row_num",
-                      n_buckets: int | None = None) -> DataFrame:
+                      n_buckets: int = N_BUCKETS) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY key)`` without a single-partition
-    exchange. ``key`` should be unique (ties are numbered arbitrarily)."""
+    exchange. ``key`` should be unique (ties are numbered arbitrarily). The
+    offsets have one row per bucket, so they are broadcast."""
     bucketed = equi_depth_bucket(df, key, n_buckets)
     ranked = running_sum(bucketed, {out: F.lit(1).cast("bigint")}, order=[key],
                          bucket=_BUCKET, broadcast_offsets=True)
     return ranked.drop(_BUCKET)
-
-
-def rank_in_bounded_buckets(df: DataFrame, out: str, partition: Sequence[str],
-                            bucket: str, order: Sequence[str]) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY partition ORDER BY bucket, order)``
-    where ``bucket`` has a bounded domain (e.g. ``hash % prime``): the
-    offsets table is bounded by ``#partitions x |domain|`` and joined by a
-    shuffle that the rank window reuses."""
-    return running_sum(df, {out: F.lit(1).cast("bigint")}, order=order,
-                       bucket=bucket, partition=partition, broadcast_offsets=False)

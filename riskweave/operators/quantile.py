@@ -6,9 +6,9 @@ their memory grows with the data. The form here is exact (linear
 interpolation between the two ranks around ``(n - 1) * p``, as pandas and
 SQL ``QUANTILE_CONT`` do) and fully distributed — a two-pass selection:
 
-1. one sketch pass gives ``k - 1`` equi-depth split points per column (only
-   those reach the driver) and each value gets its bucket index, monotone
-   in the value;
+1. one sketch pass gives ``k - 1`` equi-depth split points per column and
+   group, and each value gets its bucket index, monotone in the value; the
+   sketch is part of the plan, so nothing runs while the plan is built;
 2. rows are counted per (column, group, bucket) — map-side partial
    aggregation, so the shuffle carries at most ``#tasks x k`` rows per
    column and group; a prefix over those few bucket totals gives each
@@ -22,11 +22,8 @@ A value that holds a third of the rows is one row per task after the
 partial aggregation of step 3. ``by`` must name columns with a bounded
 number of groups (e.g. a class label): the bucket table is broadcast.
 
-Sizing: ``k`` defaults to ``spark.sql.shuffle.partitions`` (at least
-``MIN_BUCKETS``), so the rows of
-one hot bucket — ordered by one task — are about one shuffle partition's
-worth of a column, the same unit the cluster is sized for; pass a larger
-``n_buckets`` where a column is much larger than the shuffle it feeds.
+``stacked_quantiles`` takes any set of (key, group, value) rows, so one
+selection can serve several reports (``profile.profile_report``).
 """
 
 from __future__ import annotations
@@ -35,46 +32,61 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import default_buckets
+from .prefix import power_of_two, split_points, with_bucket
 
-# at least this many value buckets, so the rows that are ordered (the target
-# buckets) stay a small share of a column even with few shuffle partitions
-MIN_BUCKETS = 64
-
-
-def _split_points(wide: DataFrame, cols: Sequence[str], k: int) -> list[list[float]]:
-    """Equi-depth split points of each column, padded so every list is a
-    valid ``Bucketizer`` split set (strictly increasing, at least 3)."""
-    found = (wide.approxQuantile(list(cols), [i / k for i in range(1, k)], 1.0 / (4.0 * k))
-             if k > 1 else [[] for _ in cols])
-    out = []
-    for pts in found:
-        inner = sorted(set(float(p) for p in pts))
-        out.append([float("-inf")] + (inner or [0.0]) + [float("inf")])
-    return out
+#: Value buckets per column and group: the rows that are ordered (the target
+#: buckets) are about ``2 |probs| / N_BUCKETS`` of a column.
+N_BUCKETS = 256
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = (), key: str = "column_name", out: str = "q",
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int = N_BUCKETS) -> DataFrame:
     """One row per (``key``, ``*by``) with at least one non-null value:
     ``out`` is the array of quantiles of the column at ``probs``."""
-    cols, by, probs = list(cols), list(by), [float(p) for p in probs]
-    k = n_buckets or max(default_buckets(df), MIN_BUCKETS)
-    wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    bcols = [f"_rw_qb{i}" for i in range(len(cols))]
-    bucketed = Bucketizer(splitsArray=_split_points(wide, cols, k), inputCols=cols,
-                          outputCols=bcols, handleInvalid="keep").transform(wide)
+    cols, by = list(cols), list(by)
     # the shuffles carry a small column index; the name is put back at the end
-    stacked = bucketed.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_ci"), *[F.col(b) for b in by], F.col(c).alias("_x"),
-                 F.col(bc).alias("_b"))
-        for i, (c, bc) in enumerate(zip(cols, bcols))]))).filter(F.col("_x").isNotNull())
-    group = ["_ci", *by]
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_ci"), *[F.col(b) for b in by],
+                 F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])))
+    q = stacked_quantiles(stacked, ["_ci", *by], probs, out, n_buckets)
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_ci") + 1)
+    return q.select(name.alias(key), *by, out)
+
+
+def sketch_groups(stacked: DataFrame, group: Sequence[str], n_buckets: int = N_BUCKETS,
+                  *more: Column) -> DataFrame:
+    """Split points ``_splits`` of ``x`` per group, with ``more`` aggregates
+    of the same pass."""
+    return stacked.groupBy(*group).agg(split_points("x", power_of_two(n_buckets)).alias("_splits"),
+                                       *more)
+
+
+def stacked_quantiles(stacked: DataFrame, group: Sequence[str], probs: Sequence[float],
+                      out: str = "q", n_buckets: int = N_BUCKETS,
+                      splits: DataFrame | None = None) -> DataFrame:
+    """Quantiles of the column ``x`` (double) per ``group``, NULLs skipped.
+    ``splits`` may hold the groups' ``sketch_groups`` already."""
+    group, probs = list(group), [float(p) for p in probs]
+    k = power_of_two(n_buckets)
+    stacked = stacked.filter(F.col("x").isNotNull())
+    if splits is None:
+        splits = sketch_groups(stacked, group, k)
+    # a NULL group is a group, so the joins must match it
+    tags = {g: f"_g{i}" for i, g in enumerate(group)}
+
+    def join(left: DataFrame, right: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+        right = right.withColumnsRenamed({**tags, **{c: f"_g{c}" for c in also}})
+        on = [F.col(g).eqNullSafe(F.col(t)) for g, t in tags.items()]
+        on += [F.col(c) == F.col(f"_g{c}") for c in also]
+        return left.join(F.broadcast(right), reduce(lambda a, b: a & b, on)).drop(
+            *tags.values(), *[f"_g{c}" for c in also])
+
+    stacked = with_bucket(join(stacked, splits.select(*group, "_splits")), F.col("x"),
+                          "_splits", k, "_b").withColumnRenamed("x", "_x")
 
     # pass 2: bucket totals, each bucket's first rank, the group size
     totals = stacked.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_t"))
@@ -95,13 +107,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     # at most 2 |probs| buckets per group: a bounded table, broadcast. It is
     # read once, so the bucket-total pass runs once.
-    hot = F.broadcast(spans.select("*", *targets).filter(reduce(or_, [
-        covers(F.col("_off"), F.col("_off") + F.col("_t"), r) for r in ranks]))
-        .select(*group, "_b", "_off", "_n"))
+    hot = spans.select("*", *targets).filter(reduce(or_, [
+        covers(F.col("_off"), F.col("_off") + F.col("_t"), r) for r in ranks])) \
+        .select(*group, "_b", "_off", "_n")
 
     # pass 3: distinct values of the hot buckets only, ordered in their
     # bucket (``_off`` and ``_n`` are constant per bucket)
-    distinct = (stacked.join(hot, [*group, "_b"], "inner")
+    distinct = (join(stacked, hot, ["_b"])
                 .groupBy(*group, "_b", "_off", "_n", "_x").agg(F.count(F.lit(1)).alias("_m")))
     in_bucket = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -116,8 +128,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     for i in pos:
         lo, hi = F.col(f"_v_lo{i}"), F.col(f"_v_hi{i}")
         values.append(lo + (hi - lo) * (F.col(f"_pos{i}") - F.col(f"_lo{i}")))
-    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_ci") + 1)
-    return picked.select(name.alias(key), *by, F.array(*values).alias(out))
+    return picked.select(*group, F.array(*values).alias(out))
 
 
 def exact_median(df: DataFrame, col: str) -> Column:

@@ -11,12 +11,14 @@ recomputes from the written table instead of from the raw scan).
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.layers import clean_loans, feature_engineering, risk_segments
 from ..operators.portfolio import portfolio_summary
+from ..operators import model as M
 from ..operators.prefix import global_row_number
-from ..sources.catalog import materialize
+from ..sources.catalog import finished, load_model, materialize, save_model
 
 LAYER_ORDER = ("raw_loans", "clean_loans", "feature_engineering", "risk_segments",
                "portfolio_summary")
@@ -53,3 +55,60 @@ def build_all(raw: DataFrame, keep_null_age: bool = False, with_row_num: bool =
     return {"raw_loans": raw, "clean_loans": clean, "feature_engineering": features,
             "risk_segments": risk, "portfolio_summary": summary,
             "risk_segments_unnumbered": risk0}
+
+
+def train_and_score(risk: DataFrame, trees: int = M.GBT_TREES) -> dict:
+    """The model frame and its report, the split, both
+    models fitted on the train rows and the scored test rows."""
+    frame, report = M.model_frame(risk)
+    # the split counts the frame before it marks the rows: keep it once
+    frame = M.cached_frame(frame)
+    split = M.cached_frame(M.stratified_split(frame))
+    train, test = (split.filter(F.col("split") == name) for name in ("train", "test"))
+    lr, gbt = M.fit_models(train, trees=trees)
+    scores = M.cached_frame(M.score_table(test, lr, gbt))
+    return dict(report=report, frame=frame, split=split, train=train, test=test, lr=lr, gbt=gbt,
+                scores=scores)
+
+
+BUILT_TABLES = ("clean_loans", "feature_engineering", "risk_segments", "portfolio_summary",
+                "model_scores")
+BUILT_MODELS = ("lr_model", "gbt_model")
+
+
+def build_pipeline(raw: DataFrame, path: str, trees: int = M.GBT_TREES) -> dict:
+    """The whole build as one call: every layer, the scored test rows
+    (``model_scores``) and both fitted models are written below ``path``, a
+    folder all executors share. Returns what ``load_pipeline`` does.
+    ``model_scores`` is written last."""
+    spark, root = raw.sparkSession, path.rstrip("/")
+    layers = build_all(raw, materialize_to=root)
+    risk = layers["risk_segments"]
+    features = [c for c in risk.columns if c not in ("rule_risk_score", "risk_segment")]
+    materialize(layers["clean_loans"], "clean_loans", path=f"{root}/clean_loans")
+    materialize(risk.select(features), "feature_engineering", path=f"{root}/feature_engineering")
+    materialize(layers["portfolio_summary"], "portfolio_summary", path=f"{root}/portfolio_summary")
+    fitted = train_and_score(risk, trees=trees)
+    save_model(fitted["lr"], f"{root}/lr_model")
+    save_model(fitted["gbt"], f"{root}/gbt_model")
+    materialize(fitted["scores"], "model_scores", path=f"{root}/model_scores")
+    for kept in ("frame", "split", "scores"):
+        fitted[kept].unpersist()
+    return load_pipeline(spark, root)
+
+
+def load_pipeline(spark: SparkSession, path: str) -> dict:
+    """The tables and models that ``build_pipeline`` wrote."""
+    root = path.rstrip("/")
+    return {**{t: spark.read.parquet(f"{root}/{t}") for t in BUILT_TABLES},
+            **{m: load_model(f"{root}/{m}") for m in BUILT_MODELS}}
+
+
+def ensure_pipeline(raw: DataFrame, path: str, trees: int = M.GBT_TREES) -> dict:
+    """Load the whole set, or build it if any part of it is unfinished. A
+    part that cannot be looked up is an error, not a missing part."""
+    spark, root = raw.sparkSession, path.rstrip("/")
+    parts = [f"{root}/{t}" for t in BUILT_TABLES] + [f"{root}/{m}/metadata" for m in BUILT_MODELS]
+    if all(finished(spark, p) for p in parts):
+        return load_pipeline(spark, root)
+    return build_pipeline(raw, root, trees)

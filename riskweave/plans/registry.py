@@ -658,6 +658,7 @@ def d19_class_counts(spark, sf):
 from ..operators import applicants as AP  # noqa: E402
 from ..operators import evaluate as EV  # noqa: E402
 from ..operators import model as M  # noqa: E402
+from .build import train_and_score  # noqa: E402
 
 # ``split``: the deterministic stratified split of the model frame;
 # ``test_scored``: its test rows with the rule score / 100 standing in for a PD.
@@ -848,6 +849,53 @@ def m11_ml_segment_summary_rule_score(spark, sf):
     return EV.ml_segment_summary(t)
 
 
+_TWO_MODELS_SQL = f"""
+m AS (SELECT 'Logistic Regression' AS model, auc, gini FROM ({_AUC_SQL}) a
+      UNION ALL
+      SELECT 'Gradient Boosted Trees', 1 - auc, 2 * (1 - auc) - 1 FROM ({_AUC_SQL}) b)"""
+
+
+def _rule_metrics(spark, sf) -> DataFrame:
+    """AUC and Gini of the rule score, and of its complement as a second model."""
+    one = EV.auc(_test_rule_scored(spark, sf), "is_default", "score").select("auc")
+    a = F.col("auc")
+    return one.select(F.inline(F.array(
+        F.struct(F.lit("Logistic Regression").alias("model"), a.alias("auc"), (a * 2 - 1).alias("gini")),
+        F.struct(F.lit("Gradient Boosted Trees").alias("model"), (1 - a).alias("auc"),
+                 ((1 - a) * 2 - 1).alias("gini")))))
+
+
+@register("m17_score_histogram_rule_score", O.histogram_sql(
+    "risk_segments", "rule_risk_score / 100", 60, by=("is_default",), shared=True))
+def m17_score_histogram_rule_score(spark, sf):
+    return EV.score_histogram(_rule_pd(spark, sf), "pd")
+
+
+@register("m18_model_comparison_rule_score", O.with_layers("""
+SELECT model, auc, gini, CASE WHEN gini > 0.8 THEN 'Excellent' WHEN gini > 0.7 THEN 'Strong'
+       WHEN gini > 0.6 THEN 'Good' ELSE 'Below good' END AS assessment FROM m
+UNION ALL SELECT * FROM (VALUES
+""" + ", ".join(f"('{n}', {a}::DOUBLE, {g}::DOUBLE, '{t}')" for n, a, g, t in EV.INDUSTRY_BANDS) + ") v",
+    SPLIT_SQL, _TWO_MODELS_SQL))
+def m18_model_comparison_rule_score(spark, sf):
+    return EV.model_comparison(_rule_metrics(spark, sf))
+
+
+@register("m19_training_summary_rule_score", O.with_layers("""
+SELECT (SELECT COUNT(*) FROM risk_segments) AS dataset_rows,
+       (SELECT COUNT(*) FROM split WHERE split = 'train') AS train_rows,
+       (SELECT COUNT(*) FROM split WHERE split = 'test') AS test_rows, 16 AS n_features,
+       MAX(auc) FILTER (WHERE model = 'Logistic Regression') AS lr_auc,
+       MAX(gini) FILTER (WHERE model = 'Logistic Regression') AS lr_gini,
+       MAX(auc) FILTER (WHERE model = 'Gradient Boosted Trees') AS gbt_auc,
+       MAX(gini) FILTER (WHERE model = 'Gradient Boosted Trees') AS gbt_gini
+FROM m""", SPLIT_SQL, _TWO_MODELS_SQL))
+def m19_training_summary_rule_score(spark, sf):
+    frame, report = M.model_frame(risk(spark, sf))
+    return EV.training_summary(report, M.split_summary(M.stratified_split(frame)),
+                               _rule_metrics(spark, sf), len(M.FEATURES))
+
+
 @register("m14_class_weights", O.with_layers("""
 SELECT is_default, COUNT(*) AS count,
   (SELECT COUNT(*) FROM split WHERE split = 'train') / (2.0 * COUNT(*)) AS balanced_weight,
@@ -871,25 +919,14 @@ def fitted(spark: SparkSession, sf: str, trees: int = M.GBT_TREES) -> dict:
     key = (spark.sparkContext.applicationId, sf, trees)
     if key in _FIT_CACHE:
         return _FIT_CACHE[key]
-    base = risk(spark, sf)
-    frame, report = M.model_frame(base)
-    # the split reads the frame three times (rows, per-hash counts, class
-    # sizes): keep it once instead of re-deriving it from the scans
-    frame = M.cached_frame(frame)
-    split = M.cached_frame(M.stratified_split(frame))
-    train = split.filter(F.col("split") == "train")
-    test = split.filter(F.col("split") == "test")
-    lr, gbt = M.fit_models(train, trees=trees)
-    # ``model_scores`` is a stored table in the reference too; every metric
-    # below reads it (twice each: quantile sketch + pass), so keep it
-    scores = M.cached_frame(M.score_table(test, lr, gbt))
+    out = train_and_score(risk(spark, sf), trees=trees)
+    scores = out["scores"]
     metrics = (EV.auc(scores, "is_default", "pd_score_lr")
                .select(F.lit("Logistic Regression").alias("model"), "auc", "gini")
                .unionByName(EV.auc(scores, "is_default", "pd_score_xgb")
                             .select(F.lit("Gradient Boosted Trees").alias("model"), "auc",
                                     "gini")))
-    out = dict(report=report, split=split, train=train, test=test, lr=lr, gbt=gbt,
-               scores=scores, metrics=metrics)
+    out["metrics"] = metrics
     _FIT_CACHE[key] = out
     return out
 
@@ -1017,6 +1054,18 @@ def _rule_pd(spark, sf) -> DataFrame:
     return risk(spark, sf).withColumn("pd", F.col("rule_risk_score") / 100)
 
 
+@register("l7_score_breakdown_rule_score", O.with_layers(f"""
+SELECT customer_id, model, pd_score,
+       CASE WHEN pd_score > CAST(0.067 AS DOUBLE) THEN 'above' ELSE 'below' END AS vs_portfolio,
+       ABS(pd_score - CAST(0.067 AS DOUBLE)) * 100 AS gap_pct_points
+FROM (SELECT customer_id, 'Gradient Boosted Trees' AS model, {_PD} AS pd_score FROM risk_segments
+      UNION ALL SELECT customer_id, 'Logistic Regression', 1 - {_PD} FROM risk_segments)"""))
+def l7_score_breakdown_rule_score(spark, sf):
+    scored = _rule_pd(spark, sf).select("customer_id", F.col("pd").alias("pd_score_xgb"),
+                                        (1 - F.col("pd")).alias("pd_score_lr"))
+    return AP.score_breakdown(scored)
+
+
 @register("l3_pd_segment", O.with_layers(
     f"SELECT customer_id, {_PD} AS pd, CASE WHEN {_PD} >= 0.3 THEN 'High Risk' "
     f"WHEN {_PD} >= 0.1 THEN 'Medium Risk' ELSE 'Low Risk' END AS pd_segment "

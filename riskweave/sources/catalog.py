@@ -53,6 +53,19 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def _folder(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a table written to its end (``_SUCCESS``); any
+    error of the file system is raised."""
+    fs, folder = _folder(spark, path)
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
+
+
 def ensure_built(spark: SparkSession, name: str, build: Callable[[], DataFrame],
                  path: str | None = None) -> DataFrame:
     """Build and store a table only when it does not exist yet.
@@ -61,11 +74,9 @@ def ensure_built(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     anything else is an error and never overwritten, and so is a folder that
     cannot be read."""
     if path:
-        jvm = spark._jvm.org.apache.hadoop.fs
-        folder = jvm.Path(path)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(jvm.Path(folder, "_SUCCESS")):
+        if finished(spark, path):
             return spark.read.parquet(path)
+        fs, folder = _folder(spark, path)
         if fs.exists(folder) and len(fs.listStatus(folder)):
             raise FileExistsError(f"{path} is not empty and not a finished table")
         return materialize(build(), name, path=path)

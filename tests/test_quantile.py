@@ -65,13 +65,17 @@ def test_single_row_and_plan_has_no_single_partition(spark):
     assert "SinglePartition" not in plan
 
 
-def test_source_is_read_twice_after_the_sketch(spark):
-    """Bucket totals and the hot-bucket rows: two passes over the input
-    (the split-point sketch is its own job before the query)."""
+def test_source_is_read_three_times_and_planning_runs_no_job(spark):
+    """The sketch, the bucket totals and the hot-bucket rows are three passes
+    of one plan; no job runs before the action."""
     df = spark.range(0, 5000).selectExpr("id % 2 as g", "cast(id % 977 as double) as x")
-    plan = exact_quantiles(df, ["x"], [0.25, 0.5], by=["g"]) \
-        ._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Range (") == 2, plan
+    tracker, group = spark.sparkContext.statusTracker(), "quantile-planning"
+    spark.sparkContext.setJobGroup(group, "planning")
+    q = exact_quantiles(df, ["x"], [0.25, 0.5], by=["g"])
+    assert not tracker.getJobIdsForGroup(group)
+    q.collect()
+    final = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Range (") == 3, final
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402
