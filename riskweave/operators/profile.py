@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -301,44 +303,74 @@ def cut_pivot(df: DataFrame) -> DataFrame:
 
 # -- D13 / D14 correlations ------------------------------------------------------------
 
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per task and pair of columns (positions i <= j) the count, means and
+    centred products over the rows where both are present. A task multiplies
+    its value and presence matrices batch by batch, shifted by its first
+    batch's medians so that no digits cancel."""
+    n_cols = len(cols)
+    upper = np.triu_indices(n_cols)
+
+    def rows(batches):
+        total, shift = 0.0, None
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[:n_cols]])
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[:n_cols]]).astype(float)
+            values[there == 0] = 0.0
+            if not len(values):
+                continue
+            if shift is None:
+                # medians: exact for a constant column, so its products are 0
+                shift = np.array([np.median(v[t > 0]) if t.any() else 0.0 for v, t in zip(values.T, there.T)])
+            x = (values - shift) * there
+            total = total + np.stack([there.T @ there, x.T @ there, there.T @ x,
+                                      (x * x).T @ there, there.T @ (x * x), x.T @ x])
+        if shift is None:
+            return
+        n, sx, sy, sxx, syy, sxy = total[(slice(None), *upper)]
+        of = np.maximum(n, 1)
+        mx, my = sx / of, sy / of
+        i, j = upper
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i), pa.array(j), pa.array(n), pa.array(mx + shift[i]), pa.array(my + shift[j]),
+             pa.array(sxx - sx * mx), pa.array(syy - sy * my), pa.array(sxy - sx * my)],
+            names=["i", "j", "n", "mx", "my", "cxx", "cyy", "cxy"])
+
+    return df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)]).mapInArrow(
+        rows, "i long, j long, n double, mx double, my double, cxx double, cyy double, cxy double")
+
+
 def correlation(df: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
     """Pearson matrix, pairwise-complete (rows with a NULL in either
     column are skipped), as long rows ``(col_a, col_b, corr)``; NULL, also on
     the diagonal, where a column is constant or has no value.
 
-    One scan emits a ``(pair, x, y)`` row per column pair; grouping by pair
-    merges each pair in its own task (a single 55-way aggregate is too wide
-    for whole-stage codegen and merges in one task). The diagonal needs only
-    the columns' variances, a second narrow aggregate.
+    One scan: every task reduces its rows to one row of moments per pair
+    (``pair_moments``), and only these are shuffled and merged.
     """
     cols = list(cols)
-    variances = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"_v{i}")
-                         for i, c in enumerate(cols)])
-    diagonal = variances.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
-                 F.when(F.col(f"_v{i}") > 0, F.lit(1.0)).alias("corr"))
-        for i, c in enumerate(cols)])))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if not pairs:
-        return diagonal
-
-    def both(c: str, other: str) -> Column:
-        return F.when(F.col(other).isNotNull(), F.col(c).cast("double"))
-
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), both(a, b).alias("x"),
-                 both(b, a).alias("y"))
-        for a, b in pairs])))
-    moments = stacked.groupBy("a", "b").agg(F.covar_pop("x", "y").alias("_xy"),
-                                            F.stddev_pop("x").alias("_x"),
-                                            F.stddev_pop("y").alias("_y"))
+    pair = Window.partitionBy("i", "j")
+    merged = pair_moments(df, cols).filter("n > 0").select("*", *[
+        (F.col(m) - F.min(m).over(pair)).alias(f"d{m}")
+        for m in ("mx", "my")])
+    total = F.greatest(F.sum("n"), F.lit(1.0))
+
+    def product(a: str, b: str) -> Column:
+        da, db, n = F.col(f"dm{a}"), F.col(f"dm{b}"), F.col("n")
+        return F.sum(F.col(f"c{a}{b}") + n * da * db) - F.sum(n * da) * F.sum(n * db) / total
+
+    moments = merged.groupBy("i", "j").agg(product("x", "x").alias("_xx"), product("y", "y").alias("_yy"),
+                                           product("x", "y").alias("_xy"))
     # the branch guards the division: ANSI mode raises on x / 0
-    upper = moments.select("a", "b", _r(F.when(
-        (F.col("_x") > 0) & (F.col("_y") > 0), F.col("_xy") / F.col("_x") / F.col("_y"))).alias("c"))
-    return upper.select(F.inline(F.array(
-        F.struct(F.col("a").alias("col_a"), F.col("b").alias("col_b"), F.col("c").alias("corr")),
-        F.struct(F.col("b").alias("col_a"), F.col("a").alias("col_b"), F.col("c").alias("corr")))
-    )).unionByName(diagonal)
+    c = _r(F.when((F.col("_xx") > 0) & (F.col("_yy") > 0),
+                  F.col("_xy") / F.sqrt("_xx") / F.sqrt("_yy")))
+    name = F.array(*[F.lit(x) for x in cols])
+    found = moments.select("i", "j", c.alias("corr"))
+    every = F.sequence(F.lit(0), F.lit(len(cols) - 1))
+    grid = df.sparkSession.range(1).select(F.explode(every).alias("_i")).select("_i", F.explode(every).alias("_j"))
+    # the grid keeps the cells of an empty table
+    return grid.join(found, (F.least("_i", "_j") == F.col("i")) & (F.greatest("_i", "_j") == F.col("j")), "left").select(
+        F.element_at(name, F.col("_i") + 1).alias("col_a"), F.element_at(name, F.col("_j") + 1).alias("col_b"), "corr")
 
 
 def target_correlation(df: DataFrame, label: str = "is_default",

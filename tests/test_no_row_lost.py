@@ -86,3 +86,14 @@ def test_correlation_of_constant_empty_and_single_columns(spark):
     assert got["a", "b"] == got["b", "a"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 9])[0, 1], abs=1e-6)
     assert all(v is None for (x, y), v in got.items() if {x, y} & {"c", "d"})
     assert [tuple(r) for r in correlation(df, ["a"]).collect()] == [("a", "a", 1.0)]
+
+
+def test_correlation_of_constants_over_many_tasks_and_of_an_empty_table(spark):
+    df = spark.range(0, 3000, 1, 7).selectExpr("0.1D as a", "cast(id as double) as b", "if(id % 3 = 0, null, id * id) as c")
+    got = {(r.col_a, r.col_b): r["corr"] for r in correlation(df, ["a", "b", "c"]).collect()}
+    x = np.array([i for i in range(3000) if i % 3], float)
+    assert got["b", "c"] == got["c", "b"] == pytest.approx(np.corrcoef(x, x * x)[0, 1], abs=1e-6)
+    assert got["b", "b"] == got["c", "c"] == 1.0 and all(v is None for k, v in got.items() if "a" in k)
+    none = correlation(df.limit(0), ["a", "b"]).collect()
+    assert len(none) == 4 and all(r["corr"] is None for r in none)
+    assert "Generate" not in correlation(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
