@@ -104,16 +104,18 @@ def distinct(hashes: np.ndarray):
     return ranked[at], place, np.diff(np.append(at, len(ranked))) > 1
 
 
-def slices(chunk: int, hashes: np.ndarray, buckets: int):
+def slices(chunk: int, hashes: np.ndarray, buckets: int, counts: bool = False):
     """The rows that a chunk sends: bucket, chunk, its distinct hashes, and a
-    bit for each that occurs more than once in the chunk."""
-    unique, _, many = distinct(hashes)
+    bit for each that occurs more than once in the chunk (or its count)."""
+    unique, place, many = distinct(hashes)
+    if counts:
+        many = np.bincount(place, minlength=len(unique)).astype("<u4")
     of = bucket_of(unique[:, 0], buckets).astype(np.int64)
     some, first = np.unique(of, return_index=True)
     end = np.append(first[1:], len(of))
     return pa.RecordBatch.from_arrays(
         [pa.array(some), pa.array(np.full(len(some), chunk)), pa.array([unique[a:b].tobytes() for a, b in zip(first, end)], pa.binary()),
-         pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(first, end)], pa.binary())], names=["bucket", "chunk", "hashes", "many"])
+         pa.array([(many[a:b] if counts else np.packbits(many[a:b])).tobytes() for a, b in zip(first, end)], pa.binary())], names=["bucket", "chunk", "hashes", "many"])
 
 
 def _answer(width: int):
@@ -129,6 +131,23 @@ def _answer(width: int):
     return rows
 
 
+def answer_counts(crowd: int):
+    """Answers of two planes of bits to slices with counts: which hashes occur
+    more than once, and which ``crowd`` times or more; and how often the
+    latter occur in the slice."""
+    def rows(table: pa.Table) -> pa.Table:
+        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)[:, None]
+        parts = [np.frombuffer(m, "<u4") for m in table.column("many").to_pylist()]
+        counts = np.concatenate(parts).astype(np.int64)
+        _, place, _ = distinct(hashes)
+        times = np.bincount(place, weights=counts)[place]
+        at = np.cumsum([len(p) for p in parts])[:-1]
+        bits = [np.packbits(a).tobytes() + np.packbits(b).tobytes() for a, b in zip(np.split(times > 1, at), np.split(times >= crowd, at))]
+        crowded = [int(c.sum()) for c in np.split(np.where(times >= crowd, counts, 0), at)]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary()), "crowded": pa.array(crowded, pa.int64())})
+    return rows
+
+
 def with_answers(chunks: DataFrame, emit: Callable, width: int, name: str) -> DataFrame:
     """``chunks`` with a column ``name``: the answers of all its slices, in
     the order of the buckets. ``emit`` maps batches of chunks to slices."""
@@ -138,16 +157,20 @@ def with_answers(chunks: DataFrame, emit: Callable, width: int, name: str) -> Da
 def asked(chunks: DataFrame, sent: DataFrame, answer: Callable, name: str) -> DataFrame:
     """``chunks`` joined to what ``answer`` makes of each bucket of ``sent``:
     a row (chunk, bucket, bits) for each row sent."""
-    answers = sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, bits binary")
+    return joined(chunks, sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, bits binary"), name)
+
+
+def joined(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     per_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias(name))
     return chunks.join(per_chunk, "chunk", "left")
 
 
-def shared_mask(hashes: np.ndarray, buckets: int, answers) -> np.ndarray:
-    """Which of a chunk's hashes are shared, from its column of answers."""
+def shared_mask(hashes: np.ndarray, buckets: int, answers, plane: int = 0) -> np.ndarray:
+    """Which of a chunk's hashes are shared, from its column of answers (or
+    what another plane of their bits tells)."""
     if not len(hashes):
         return np.zeros(0, bool)
     unique, place, _ = distinct(hashes)
     n = np.unique(bucket_of(unique[:, 0], buckets), return_counts=True)[1]
-    bits = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=c) for a, c in zip(answers, n, strict=True)]
+    bits = [np.unpackbits(np.frombuffer(a["bits"], np.uint8)[plane * (-(-c // 8)):], count=c) for a, c in zip(answers, n, strict=True)]
     return np.concatenate(bits).astype(bool)[place]

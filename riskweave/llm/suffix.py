@@ -5,8 +5,13 @@ else, in three passes over packed chunks (see ``repeats``):
 
 1. Every window names the smallest hash of its GRAM-byte pieces; equal windows
    name the same one, about one position in 85 is named, and only runs of
-   windows whose hash is named at two positions can hold a repeat.
-2. These runs (the region of bytes that their windows cover) are sent to
+   windows whose hash is named at two positions can hold a repeat. A hash
+   named at CROWD positions or more is crowded, such as one of a passage
+   shorter than the window in many texts that go on differently. Windows that
+   name a crowded hash are counted each by 128 bits of their own hash, through
+   the same exchange of chunks and buckets, which decides them: no task gets
+   all surroundings of such a passage.
+2. The other runs (the region of bytes that their windows cover) are sent to
    shards by that hash, so equal windows always meet in one shard. A shard
    keeps equal regions once with their number, and builds the suffix array of
    the rest by induced sorting: suffixes are classified as larger (L) or
@@ -36,12 +41,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, mix
-from .repeats import LEVEL, asked, bucket_of, n_buckets, pack, shared_mask, slices, unpack, with_answers
+from .common import BYTES, WINDOWS2, keep, mix
+from .repeats import LEVEL, answer_counts, asked, bucket_of, joined, n_buckets, pack, shared_mask, slices, unpack, with_answers
 
 WINDOW, GRAM = 200, 32
 #: Region bytes that a shard is expected to hold, if SHARE of the input is in regions.
 SHARD, SHARE = 2 << 20, 0.5
+#: Positions from which on a name is crowded: the regions of one with fewer have
+#: at most 2 * window - GRAM bytes each, 1.5 MB together.
+CROWD = 4096
 
 
 # --- suffix arrays -----------------------------------------------------------
@@ -260,6 +268,11 @@ def regions(least: np.ndarray, shared: np.ndarray):
     return first[use], end[use], least[first[use]]
 
 
+def window_hashes(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """128 bits (n x 2) for the window at each of the positions."""
+    return np.stack([mix(p.slices(p.sums(p.table[data]), at, at + window)) for p in (BYTES, WINDOWS2)], axis=1)
+
+
 def _decide(window: int):
     """Answers of one shard: a bit for each window of each region sent."""
     def rows(table: pa.Table) -> pa.Table:
@@ -310,22 +323,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             for chunk, _, _, data, offsets in unpack(batch):
                 _, hashes = named(data, offsets, window)
                 if len(hashes):
-                    yield slices(chunk, hashes[:, None], buckets)
+                    yield slices(chunk, hashes[:, None], buckets, counts=True)
+
+    def crowds(hashes, answers):
+        return np.unique(hashes[shared_mask(hashes[:, None], buckets, answers or [], 1)])
 
     def found(data, offsets, answers):
-        """Regions in the order of their shards."""
+        """Regions in the order of their shards, and starts of crowded windows."""
         least, hashes = named(data, offsets, window)
-        shared = np.unique(hashes[shared_mask(hashes[:, None], buckets, answers or [])])
-        a, b, name = regions(least, shared)
+        shared, crowded = np.unique(hashes[shared_mask(hashes[:, None], buckets, answers or [])]), crowds(hashes, answers)
+        a, b, name = regions(least, np.setdiff1d(shared, crowded, assume_unique=True))
         shard = bucket_of(mix(name), shards).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        return a[order], b[order], shard[order]
+        return a[order], b[order], shard[order], np.flatnonzero(np.isin(least, crowded))
+
+    def send_crowded(batches):
+        for batch in batches:
+            for (chunk, _, _, data, offsets), answers in zip(unpack(batch), batch.column("names")):
+                least, hashes = named(data, offsets, window)
+                at = np.flatnonzero(np.isin(least, crowds(hashes, answers.as_py())))
+                if len(at):
+                    yield slices(chunk, window_hashes(data, at, window), crowd_buckets)
 
     def send_regions(batches):
         zipped = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for (chunk, _, _, data, offsets), answers in zip(unpack(batch), batch.column("names")):
-                a, b, shard = found(data, offsets, answers.as_py())
+                a, b, shard, _ = found(data, offsets, answers.as_py())
                 raw = data.tobytes()
                 some, first = np.unique(shard, return_index=True)
                 blobs, sizes = [], []
@@ -338,9 +362,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     def finish(batches):
         for batch in batches:
-            for (_, keys, _, data, offsets), answers, decided in zip(unpack(batch), batch.column("names"), batch.column("repeats")):
-                a, b, shard = found(data, offsets, answers.as_py())
+            for (_, keys, _, data, offsets), answers, counted, decided in zip(unpack(batch), batch.column("names"), batch.column("crowded"), batch.column("repeats")):
+                a, b, shard, at = found(data, offsets, answers.as_py())
                 cover = np.zeros(len(data) + 1, np.int64)
+                if len(at):
+                    at = at[shared_mask(window_hashes(data, at, window), crowd_buckets, counted.as_py())]
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + window, -1)
                 if len(a):
                     n = np.add.reduceat(b - a, np.unique(shard, return_index=True)[1])
                     bits = np.concatenate([np.unpackbits(np.frombuffer(d["bits"], np.uint8), count=c) for d, c in zip(decided.as_py(), n, strict=True)])
@@ -359,7 +387,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(texts, pa.binary())],
                                                  names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    marked = with_answers(chunks, send_names, 1, "names")
+    sent = chunks.mapInArrow(send_names, "bucket long, chunk long, hashes binary, many binary")
+    answers = keep(sent.groupBy("bucket").applyInArrow(answer_counts(CROWD), "chunk long, bucket long, bits binary, crowded long"), "names")
+    # each position is the name of up to this many windows; four times BUCKET, as many are equal within a chunk
+    crowded = (answers.agg(F.sum("crowded")).first()[0] or 0) * (window - GRAM + 1)
+    crowd_buckets = n_buckets(crowded / 4, 2)
+    marked = joined(chunks, answers.select("chunk", "bucket", "bits"), "names")
+    if crowded:
+        marked = with_answers(marked, send_crowded, 2, "crowded")
+    else:
+        marked = marked.withColumn("crowded", F.lit(None).cast("array<struct<bucket:bigint,bits:binary>>"))
     sent = marked.mapInArrow(send_regions, "bucket long, chunk long, regions binary, lengths binary")
     return asked(marked, sent, _decide(window), "repeats").mapInArrow(
         finish, f"key {key_type}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("key", key)

@@ -322,6 +322,46 @@ def test_cover_holds_all_differences():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
 
+def _sent(monkeypatch, df, column, run):
+    """What ``run`` deals out to buckets in rows with ``column``."""
+    made, kind = [], type(df)
+    plain = kind.mapInArrow
+
+    def spy(self, f, schema, *args, **kwargs):
+        out = plain(self, f, schema, *args, **kwargs)
+        if column in out.columns:
+            made.append(out)
+        return out
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", spy)
+        return run(), made
+
+
+def test_suffix_array_bounds_shards_of_a_short_passage(spark, monkeypatch):
+    """A passage shorter than the window, with other text around it in each
+    document: none of that may meet in one shard; repeats stay repeats."""
+    passage, rng = _phrase(18, 21), np.random.default_rng(22)
+    around = [("".join(map(chr, rng.integers(97, 123, 200))), "".join(map(chr, rng.integers(97, 123, 200)))) for _ in range(300)]
+    texts = [a + passage + b for a, b in around] + [around[3][0] + passage + around[4][1], around[7][0] + passage + around[7][1], around[9][0][100:] + passage + around[9][1][:60]]
+    assert 100 < len(passage) < suffix.WINDOW
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix, "CROWD", 64, raising=False)
+    monkeypatch.setattr(suffix, "SHARD", 1 << 14)
+    got, sent = _sent(monkeypatch, df, "lengths", lambda: {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix.remove_repeats(df).collect()})
+    raw = [t.encode() for t in texts]
+    assert got == {i: (sum(g), bytes(c for c, x in zip(t, g) if not x)) for i, (t, g) in enumerate(zip(raw, _repeats(raw, 200, bytes)))}
+    held = defaultdict(int)
+    for r in sent[0].collect():
+        held[r.bucket] += int(np.frombuffer(r.lengths, "<i4").sum())
+    assert max(held.values(), default=0) <= 64 * (2 * suffix.WINDOW - suffix.GRAM)
+
+
+def test_suffix_array_with_all_names_crowded(awkward, monkeypatch):
+    one = _multi(_rows(suffix.remove_repeats(awkward)))
+    monkeypatch.setattr(suffix, "CROWD", 2)
+    assert one == _multi(_rows(suffix.remove_repeats(awkward)))
+
+
 def test_small_chunks_and_many_buckets_change_nothing(awkward, monkeypatch):
     from riskweave.llm import repeats
     one = (_multi(_rows(substring.remove_repeats(awkward))), _multi(_rows(suffix.remove_repeats(awkward))))
