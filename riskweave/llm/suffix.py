@@ -323,15 +323,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             for chunk, _, _, data, offsets in unpack(batch):
                 _, hashes = named(data, offsets, window)
                 if len(hashes):
-                    yield slices(chunk, hashes[:, None], buckets, counts=True)
+                    yield slices(chunk, spread(hashes), buckets, counts=True)
+
+    def spread(hashes):
+        # names are minima, nearly all near zero: buckets go by other bits
+        return mix(hashes)[:, None]
 
     def crowds(hashes, answers):
-        return np.unique(hashes[shared_mask(hashes[:, None], buckets, answers or [], 1)])
+        return np.unique(hashes[shared_mask(spread(hashes), buckets, answers or [], 1)])
 
     def found(data, offsets, answers):
         """Regions in the order of their shards, and starts of crowded windows."""
         least, hashes = named(data, offsets, window)
-        shared, crowded = np.unique(hashes[shared_mask(hashes[:, None], buckets, answers or [])]), crowds(hashes, answers)
+        shared, crowded = np.unique(hashes[shared_mask(spread(hashes), buckets, answers or [])]), crowds(hashes, answers)
         a, b, name = regions(least, np.setdiff1d(shared, crowded, assume_unique=True))
         shard = bucket_of(mix(name), shards).astype(np.int64)
         order = np.argsort(shard, kind="stable")

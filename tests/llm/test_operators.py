@@ -356,6 +356,14 @@ def test_suffix_array_bounds_shards_of_a_short_passage(spark, monkeypatch):
     assert max(held.values(), default=0) <= 64 * (2 * suffix.WINDOW - suffix.GRAM)
 
 
+def test_suffix_array_names_fill_buckets_alike(documents, monkeypatch):
+    """Names are minima of many hashes: their leading bits are all but zero."""
+    monkeypatch.setattr(suffix, "n_buckets", lambda total, width: 12)
+    _, sent = _sent(monkeypatch, documents, "hashes", lambda: suffix.remove_repeats(documents))
+    held = {r.bucket: r.n for r in sent[0].groupBy("bucket").agg((F.sum(F.length("hashes")) / 8).alias("n")).collect()}
+    assert len(held) == 12 and max(held.values()) < 1.2 * sum(held.values()) / 12
+
+
 def test_suffix_array_with_all_names_crowded(awkward, monkeypatch):
     one = _multi(_rows(suffix.remove_repeats(awkward)))
     monkeypatch.setattr(suffix, "CROWD", 2)
