@@ -36,7 +36,7 @@ ROUNDS, SEED = 12, 5
 ROWS, CHARS = 128, 1 << 20
 OUT = ["lang_pred", "score", "distance", "rejected"]
 
-IS_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
+IS_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -45,7 +45,7 @@ def _counts(texts: list[str]) -> np.ndarray:
     flat = np.frombuffer(("\0" + "\0".join(texts) + "\0").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     # lower() may change lengths: the separators tell where texts end
     cut = flat == 0
-    letter = (flat >= 1 << 16) | IS_LETTER[np.minimum(flat, 0xFFFF)]
+    letter = IS_LETTER[flat]
     c = np.where(letter, flat, np.uint32(32))
     # one space for any run of others; separators stay
     use = letter | cut | np.concatenate([[False], letter[:-1]])

@@ -412,6 +412,14 @@ def test_language_edges(awkward):
     assert [r.lang_pred for r in far] == ["und"]
 
 
+def test_language_astral_symbols_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "plain words here", "en"), (2, "andere worte hier", "de"), (3, "\U0001F600 \U0001F680\U0001F44D", None),
+                                (4, "\U00010330\U00010331 \U00010332", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, language.fit(df, F.lit(True))).collect()}
+    assert got[3] == ("und", 0.0)
+    assert got[4][0] != "und"  # Gothic letters
+
+
 def test_language_counts_pieces_of_long_texts_whole(monkeypatch):
     import pyarrow as pa
     text = "Der schnelle Fuchs springt. " * 50
