@@ -9,9 +9,9 @@ learned from (the RADIUS quantile) is marked rejected; ``reject=True`` turns
 its prediction into ``und``.
 
 Document frequencies come from all learning rows, added up in the tasks
-first. Centroids are fitted on a sample of about SAMPLE rows a language,
-chosen by a hash of the id (the one bound, and a parameter), in one task a
-language. The model is CLUSTERS vectors of 2^HASH_BITS numbers a language.
+first. Centroids are fitted on a sample of about SAMPLE rows a language, and
+never more, chosen by a hash of id and text (the one bound, and a parameter),
+in one task a language; of equal rows their share of copies is taken. The model is CLUSTERS vectors of 2^HASH_BITS numbers a language.
 
 Null texts and texts without a letter are ``und`` with score 0; rows without
 a language are not learned from; without learning rows all are ``und``;
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -141,9 +141,17 @@ def fit(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "t
     idf = _document_frequencies(learn)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
-    rate = learn.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(float(SAMPLE)) / F.col("n")).alias("rate"))
-    u = F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 11) * F.lit(2.0**-53)
-    sample = learn.withColumn("u", u).join(rate, "lang").filter("u < rate").select("lang", "text")
+    rate = learn.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")).alias("rate"))
+    learn = learn.withColumn("row", F.xxhash64("key", "text"))
+    # n equal rows get n * rate places, rounded by one draw
+    u = F.shiftrightunsigned(F.xxhash64("row", F.lit("sample")), 32) * F.lit(2.0**-32)
+    places = (learn.groupBy("lang", "row").agg(F.count("*").alias("n")).join(F.broadcast(rate), "lang")  # one row a language
+              .select("lang", "row", F.floor(F.col("n") * F.col("rate") + u).cast("int").alias("places")).filter("places > 0"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("row", "copy"), "row", "copy")
+    sample = (learn.join(F.broadcast(places), ["lang", "row"])  # about SAMPLE rows a language
+              .groupBy("lang", "row").agg(F.max("text").alias("text"), F.max("places").alias("places"))
+              .withColumn("copy", F.explode(F.sequence(F.lit(1), "places")))
+              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE).select("lang", "text"))
 
     def represent(batches):
         for batch in batches:

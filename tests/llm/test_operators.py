@@ -412,6 +412,21 @@ def test_language_edges(awkward):
     assert [r.lang_pred for r in far] == ["und"]
 
 
+def test_language_sample_of_rows_without_id(spark, monkeypatch):
+    """SAMPLE bounds each language, and rows without or with equal ids are drawn each."""
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:04d}")
+    rows = [(None, f"wort {word(i)}", "de") for i in range(1500)] + [(7, f"mot {word(i)}", "fr") for i in range(1500)]
+    rows += [(None, "same words", "en")] * 1200 + [(i, f"other {word(i)}", "en") for i in range(400)] + [(None, "few", "it")] * 30
+    kept, keep = {}, language.keep
+    monkeypatch.setattr(language, "SAMPLE", 200)
+    monkeypatch.setattr(language, "keep", lambda df, tag: kept.setdefault(tag, keep(df, tag)))
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), F.lit(True))
+    found = kept["lang-sample"].groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("x").alias("texts")).collect()
+    n, texts = {r.lang: r.n for r in found}, {r.lang: r.texts for r in found}
+    assert all(150 <= n[k] <= 200 for k in ("de", "fr", "en")) and n["it"] == 30
+    assert texts["de"] > 120 and texts["fr"] > 120 and 25 <= texts["en"] <= 75
+
+
 def test_language_astral_symbols_are_no_letters(spark):
     df = spark.createDataFrame([(1, "plain words here", "en"), (2, "andere worte hier", "de"), (3, "\U0001F600 \U0001F680\U0001F44D", None),
                                 (4, "\U00010330\U00010331 \U00010332", None)], "doc_id long, text string, lang string")
