@@ -239,16 +239,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
     """``docs`` (same columns) without the hit words, and without documents
     of which more than ``coverage`` of the words are hit. Documents without a
     hit are returned as they are."""
-    names = docs.columns
+    # under names that no mark has; all columns get their own back
+    names = [f"column_{i}" for i in range(len(docs.columns))]
+    text_at = names[docs.columns.index(text)]
 
     def finish(batch):
         n_words, n_hit = (batch.column(c).to_numpy() for c in ("n_words", "n_hit"))
-        column = batch.column(text)
+        column = batch.column(text_at)
         if n_hit.any():
             column = pa.array([
                 cut_words(t.as_py().encode(), np.unpackbits(np.frombuffer(h.as_py(), np.uint8), count=w).astype(bool)).decode("utf-8", "replace") if n else t.as_py()
                 for t, n, w, h in zip(column, n_hit, n_words.tolist(), batch.column("hits"))], pa.string())
-        cut = pa.RecordBatch.from_arrays([column if c == text else batch.column(c) for c in names], names=names)
+        cut = pa.RecordBatch.from_arrays([column if c == text_at else batch.column(c) for c in names], names=names)
         return cut.filter(pa.array(n_hit <= coverage * n_words))
 
-    return _marked(docs, benchmark, text, window, "item_id", "text", finish)
+    return _marked(docs.toDF(*names), benchmark, text_at, window, "item_id", "text", finish).toDF(*docs.columns)

@@ -561,6 +561,16 @@ def test_decontamination_removes_spans(spark):
     assert got == {1: "Keep this, ; and that.", 2: rows[1][1], 4: None, 5: "", 6: _phrase(40, 8) + " " + _phrase(50, 7)}
 
 
+def test_decontamination_keeps_columns_named_like_marks(spark, sf, awkward):
+    item = _phrase(30, 9)
+    docs = spark.createDataFrame([("seen", "a " + item + " b", 7, "i", 1.5), (None, "clean", None, "j", 2.5)], "n_hit string, text string, n_words long, items string, hits double")
+    got = decontaminate.remove(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), coverage=0.99)
+    assert got.schema == docs.schema
+    assert _multi(_rows(got)) == _multi([("seen", "a b", 7, "i", 1.5), (None, "clean", None, "j", 2.5)])
+    out = corpus_pipeline.keep(corpus_pipeline.decontaminate(spark, awkward, sf), "test")
+    assert out.columns == awkward.columns and {r.n_hit for r in out.collect()} == {"b", None, ""}
+
+
 # 10 --------------------------------------------------------------------------
 
 def _links(rows, threshold=0.9):
