@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, language, mixing, sharding, simhash, substring, suffix, toxicity, warc
+from . import alignment, decontaminate, embedding, filters, language, mixing, quality, sharding, simhash, substring, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,23 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -77,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_sharding, op3_warc_revisits, op4_simhash, op5_suffix_array, op6_language,
-                            op7_decontaminate, op8_substring, op9_toxicity, op10_embedding, pipeline)}
+                            op7_decontaminate, op8_substring, op9_toxicity, op10_embedding, op11_filter_audit, op12_alignment, op13_quality, pipeline)}
 
 #: Slots are filled by a recursive query that holds the table as a list.
 _OP2 = f"""
@@ -147,5 +164,42 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM doc LEFT JOIN kept USING (doc_id)
 """
 
-#: Operators that no SQL text expresses (iterations, fitted models, XXH64) have none; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op2_sharding": _OP2, "op3_warc_revisits": _OP3, "op7_decontaminate": _OP7, "op8_substring": _OP8}
+#: Every step of every order against every document's failed filters.
+_OP11 = rf"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS original FROM doc GROUP BY t),
+mark AS (
+  SELECT doc_id, part, len(w) < {filters.MIN_WORDS} AS fa, 100 * len(list_distinct(w)) < {filters.DISTINCT_SHARE} * len(w) AS fb,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {filters.CAPITAL_SHARE} * length(t) AS fc,
+         regexp_matches(t, '{filters.SYMBOLS}') AS fd, coalesce(doc_id > original, false) AS fe
+  FROM doc JOIN first USING (t)),
+label AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f, i: [fa, fb, fc, fd, fe][i]) AS f, count(*) AS n,
+         count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM mark LEFT JOIN label USING (doc_id) GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s, o[s] AS own, o[1:s - 1] AS before FROM orders, range(1, 6) r(s)),
+counted AS (
+  SELECT part, array_to_string(o, '') AS filter_order, s::INTEGER AS step, own,
+         sum(n) FILTER (WHERE NOT list_has_any(f, before) AND NOT list_contains(f, own)) AS kept,
+         sum(n) FILTER (WHERE NOT list_has_any(f, before) AND list_contains(f, own)) AS removed,
+         sum(n) FILTER (WHERE list_has_any(f, before) AND list_contains(f, own)) AS redundant,
+         sum(n) FILTER (WHERE f = [own]) AS unique_fails,
+         sum(good) FILTER (WHERE NOT list_has_any(f, before) AND list_contains(f, own)) AS good_lost,
+         sum(toxic) FILTER (WHERE NOT list_has_any(f, before) AND list_contains(f, own)) AS toxic_lost
+  FROM fails, steps GROUP BY part, o, s, own)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM counted
+"""
+
+#: Operators that no SQL text expresses (iterations, fitted models, tokenizers, XXH64) have none; tests hold them against brute force.
+ORACLE: dict[str, str] = {"op2_sharding": _OP2, "op3_warc_revisits": _OP3, "op7_decontaminate": _OP7, "op8_substring": _OP8, "op11_filter_audit": _OP11}
