@@ -17,8 +17,9 @@ from ..functions.exprs import INCOME_BAND_LABELS, sql_round
 from ..operators import layers as L
 from ..operators import portfolio as P
 from ..sources.catalog import preview, row_count
-from ..sources.fixture import raw_loans
-from ..sources.loans import CSV_TO_ENGINE, rename_loans
+from ..sources.fixture import raw_loans, read_table
+from ..sources.loans import (CSV_SCHEMA, CSV_TO_ENGINE, parse_loan_lines, rename_loans,
+                             split_good_and_rejected, with_customer_id, with_row_ids)
 from . import oracle as O
 from .build import build_all
 
@@ -74,6 +75,46 @@ def a2_rename_loans(spark, sf):
     return rename_loans(as_csv)
 
 
+def _csv_lines(df: DataFrame) -> DataFrame:
+    """The rows of ``raw_loans`` as lines of the CSV file: ``line, customer_id``."""
+    header = [f.name for f in CSV_SCHEMA.fields]
+    to_csv = {CSV_TO_ENGINE.get(h, "customer_id"): h for h in header}
+    named = df.select(*[F.col(e).alias(h) for e, h in to_csv.items()])
+    return named.select(F.to_csv(F.struct(*header)).alias("line"), F.col("_c0").alias("customer_id"))
+
+
+@register("a1_csv_round_trip", O.with_layers(f"SELECT {RAW_COLS} FROM raw_loans"))
+def a1_csv_round_trip(spark, sf):
+    """Every row as a line of CSV text, parsed back with its types."""
+    parsed = parse_loan_lines(_csv_lines(raw(spark, sf)).select("line"), [f.name for f in CSV_SCHEMA.fields])
+    good, _ = split_good_and_rejected(parsed)
+    return with_customer_id(rename_loans(good))
+
+
+@register("a1_rejects", O.with_layers("""
+SELECT customer_id,
+  concat_ws('; ',
+    CASE WHEN customer_id % 89 = 4 THEN 'not 12 fields' END,
+    CASE WHEN customer_id % 101 = 6 THEN '_c0: x' || customer_id || ' is no bigint' END,
+    CASE WHEN customer_id % 103 = 7 THEN 'age: old is no bigint' END) AS reason
+FROM raw_loans WHERE customer_id % 89 = 4 OR customer_id % 101 = 6 OR customer_id % 103 = 7"""))
+def a1_rejects(spark, sf):
+    """Some lines get a field too many, a key or an age that is no number:
+    the rejected lines, each with all its reasons."""
+    lines = _csv_lines(raw(spark, sf)).select("customer_id", "line")
+    k, line = F.col("customer_id"), F.col("line")
+    line = F.when(k % 103 == 7, F.regexp_replace(line, r"^((?:[^,]*,){3})[^,]*", "$1old")).otherwise(line)
+    line = F.concat(F.when(k % 101 == 6, "x").otherwise(""), line, F.when(k % 89 == 4, ",7").otherwise(""))
+    parsed = parse_loan_lines(lines.select("customer_id", line.alias("line")), [f.name for f in CSV_SCHEMA.fields])
+    return split_good_and_rejected(parsed, "customer_id")[1].drop("line")
+
+
+@register("a3_row_key", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey, o_totalprice FROM orders")
+def a3_row_key(spark, sf):
+    """The number of each row of the order files; they are written in key order."""
+    return with_row_ids(read_table(spark, sf, "orders")).select("row_id", "o_orderkey", "o_totalprice")
+
+
 @register("a5_raw_loans", O.with_layers(f"SELECT {RAW_COLS} FROM raw_loans"))
 def a5_raw_loans(spark, sf):
     return raw(spark, sf)

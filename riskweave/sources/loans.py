@@ -3,7 +3,9 @@ row index), renamed to engine names, with a row key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,15 +60,109 @@ def rename_loans(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
+#: What a field holds that has no value.
+NULL_FIELDS = ("", "NA")
+
+
+def parse_loan_lines(lines: DataFrame, header: Sequence[str], schema: T.StructType = CSV_SCHEMA) -> DataFrame:
+    """A1: CSV lines (column ``line``) to typed columns, named by ``header``
+    and typed by ``schema`` (names it lacks are strings), with ``_reasons``:
+    why the line cannot be a row, one entry a fault, empty for a good line.
+
+    A fault is another number of fields than the header has, or a value that
+    does not fit its column's type; the columns of such values are NULL.
+    Nothing is dropped, and other columns of ``lines`` are kept."""
+    types = {f.name.lower(): f.dataType for f in schema.fields}
+    fields = [f"f{i}" for i in range(len(header))]
+    as_text = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, "broken"]])
+    parsed = lines.withColumn("_csv", F.from_csv("line", as_text.simpleString()[7:-1].replace(":", " "), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    typed, reasons = [], [F.when(F.col("_csv.broken").isNotNull(), f"not {len(header)} fields")]
+    for name, field in zip(header, fields):
+        text, want = F.col(f"_csv.{field}"), types.get(name.lower(), T.StringType())
+        text = F.when(~text.isin(*NULL_FIELDS), text)
+        value = text if isinstance(want, T.StringType) else text.try_cast(want)
+        typed.append(value.alias(name))
+        reasons.append(F.when(text.isNotNull() & value.isNull(), F.concat(
+            F.lit(f"{name}: "), text, F.lit(f" is no {want.simpleString()}"))))
+    return parsed.select(*typed, *lines.columns, F.array_compact(F.array(*reasons)).alias("_reasons"))
+
+
+def split_good_and_rejected(parsed: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """A1: (rows without a fault, rejects as ``(*keep, line, reason)``) of
+    ``parse_loan_lines``: every line is in one of the two."""
+    good = parsed.filter(F.size("_reasons") == 0).drop("_reasons", "line")
+    return good, parsed.filter(F.size("_reasons") > 0).select(*keep, "line", F.array_join("_reasons", "; ").alias("reason"))
+
+
+def scan_loans(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """A1 and A3: (good rows, rejects) of the CSV files below ``path``.
+
+    A bad line does not fail the load: it goes to the rejects with its file
+    and the reason. Both hold ``row_id`` (``with_row_ids``: the line's number
+    over all files, the header not counted). The header is the first file's;
+    lines equal to it and empty lines are no data. Records are one line each."""
+    header = spark.read.csv(path, header=True).columns
+    first = spark.read.text(path).first()
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    lines = lines.filter((F.col("line") != F.lit(first.value if first else "")) & (F.trim("line") != ""))
+    numbered = with_row_ids(lines, also=("file",))
+    return split_good_and_rejected(parse_loan_lines(numbered, header, schema), "row_id", "file")
+
+
+def with_row_ids(df: DataFrame, out: str = "row_id", also: Sequence[str] = ()) -> DataFrame:
+    """A3: ``df``, a scan of files (filters may follow it), with the number of
+    each row in the order of file path and place in the file, from 0.
+
+    Unlike ``monotonically_increasing_id`` the number depends neither on how
+    splits are dealt to tasks nor on their size, so a recomputed partition and
+    a scan with other settings give the same ids. Each row's file and split
+    come from the scan's hidden metadata; one narrow pass counts the rows of
+    each split, a prefix over the splits (a row for each, so one task) gives
+    the first number, and the number within the split comes from the scan's
+    own running id. ``also`` may name ``file`` to keep the path."""
+    from_scan = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                          F.monotonically_increasing_id().alias("_mid"))
+    splits = from_scan.groupBy("_file", "_start").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    if _splits_at_most(df) <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    return from_scan.join(offsets, ["_file", "_start"]).select(
+        (F.col("_off") + F.col("_mid")).alias(out), *[F.col("_file").alias(c) for c in also], *df.columns)
+
+
+#: Most splits whose offsets (two numbers and a path each) are broadcast.
+MAX_BROADCAST_SPLITS = 100_000
+
+
+def _splits_at_most(scan: DataFrame) -> int:
+    """A bound of the number of splits of a scan: whole files, and pieces of a
+    full split's size, of which a task reads one."""
+    return len(scan.inputFiles()) + scan.rdd.getNumPartitions()
+
+
 def with_customer_id(df: DataFrame, index_col: str = "_c0") -> DataFrame:
     """A3: the row key. Taken from the CSV index column when present (+0, as
-    the index), else a unique id assigned at ingest — write the result once,
-    since ``monotonically_increasing_id`` depends on the partitioning."""
+    the index), else the row's number in its files (``with_row_ids``)."""
     if index_col in df.columns:
         return df.withColumnRenamed(index_col, "customer_id")
-    return df.select(F.monotonically_increasing_id().alias("customer_id"), "*")
+    if not df.inputFiles():
+        # rows that come from no file have no place in one
+        return df.select(F.monotonically_increasing_id().alias("customer_id"), "*")
+    return with_row_ids(df, "customer_id")
 
 
 def load_loans_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1-A3 in one call: the ``raw_loans`` table from the reference's CSV."""
+    """A1-A3 in one call: the ``raw_loans`` table from the reference's CSV;
+    a line that does not fit is an error."""
     return with_customer_id(rename_loans(read_loans(spark, path)))
+
+
+def ingest_loans_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A1-A3 in one call: (``raw_loans``, the rejected lines with reasons)."""
+    good, rejects = scan_loans(spark, path)
+    good = rename_loans(good.drop("file"))
+    if "_c0" in good.columns:
+        return with_customer_id(good.drop("row_id")), rejects
+    return good.withColumnRenamed("row_id", "customer_id"), rejects
