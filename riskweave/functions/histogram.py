@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exprs import clip_upper
+from ..sources.kept import cached
 
 
 def _bins(bins: int | Column) -> Column:
@@ -191,11 +192,11 @@ def data_range_histograms(df: DataFrame,
         "_h", "_g", "_lo", "_hi", "_bins",
         F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_bins") - 1).cast("bigint")))
         .alias("bin"))
-    table = _join(all_bins, counts, ["_h", "_g", "bin"], "left").select(
+    table = cached(_join(all_bins, counts, ["_h", "_g", "bin"], "left").select(
         "_h", "_g", "bin",
         _edge(F.col("bin"), F.col("_lo"), F.col("_hi"), F.col("_bins")).alias("bin_lo"),
         _edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), F.col("_bins")).alias("bin_hi"),
-        F.coalesce(F.col("frequency"), F.lit(0).cast("bigint")).alias("frequency")).cache()
+        F.coalesce(F.col("frequency"), F.lit(0).cast("bigint")).alias("frequency")))
     out = {}
     for i, name in enumerate(names):
         by = specs[name].by

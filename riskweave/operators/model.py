@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ml_segment
 from ..session import ensure_checkpoint_dir
 from .profile import class_counts as count_classes, count_totals
+from ..sources.kept import cached
 
 # The 16 model features, in the reference's order.
 FEATURES = [
@@ -330,6 +331,5 @@ def score_table(test: DataFrame, lr_model: PipelineModel, gbt_model: PipelineMod
 
 def cached_frame(df: DataFrame) -> DataFrame:
     """Keep the split frame for the two fits and the scoring (spills to
-    disk; a lost block is recomputed from lineage)."""
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    disk; a lost block is recomputed from lineage) until the scope ends."""
+    return cached(df)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import INCOME_BAND_LABELS, RISK_SEGMENTS, even_round, sql_round
 from ..functions.histogram import data_range_histograms, histogram
+from ..sources.kept import cached
 
 DIMENSIONS = ("age_band", "income_band", "risk_segment")
 # pivot column names for the income bands (labels hold '$', '<', '>')
@@ -177,11 +178,11 @@ def dashboard_tables(df: DataFrame) -> dict[str, DataFrame]:
     cols = {"is_default": "d", "monthly_income": "inc", "debt_ratio": "debt",
             "revolving_util": "util", "late_90_plus": "l90"}
     sets = [[], [F.col("risk_segment")], [F.col("age_band"), F.col("income_band")]]
-    small = df.groupingSets(sets, "risk_segment", "age_band", "income_band").agg(
+    small = cached(df.groupingSets(sets, "risk_segment", "age_band", "income_band").agg(
         F.count(F.lit(1)).alias("n"), F.sum("is_default").cast("bigint").alias("defaults"),
         *[e for c, k in cols.items() for e in (
             F.sum(F.col(c).cast("double")).alias(f"s_{k}"), F.count(c).alias(f"n_{k}"))],
-        F.grouping_id().alias("gid")).cache()
+        F.grouping_id().alias("gid")))
 
     def mean(k: str) -> Column:
         return F.col(f"s_{k}") / F.col(f"n_{k}")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import cut_order, even_round, right_closed_cut, sql_round
 from ..functions.histogram import HistSpec, data_range_histograms, histogram
 from .quantile import exact_median, exact_quantiles
+from ..sources.kept import cached
 
 # Column lists and bin edges of the profiling notebook.
 PROFILE_COLUMNS = [
@@ -442,12 +443,11 @@ def profile_tables(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx:
     every = list(df.columns)
     x = F.col("x")
     profiled = F.col("column_name").isin(cols)
-    stats = stack_columns(df, every).groupBy("column_name").agg(
+    stats = cached(stack_columns(df, every).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("_rows"), F.count(x).alias("count"), F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.count_if(x == 0).alias("_zeros")) \
-        .join(quantile_table(df, cols, approx=approx, accuracy=accuracy), "column_name", "left") \
-        .cache()
+        .join(quantile_table(df, cols, approx=approx, accuracy=accuracy), "column_name", "left"))
 
     desc = stats.filter(profiled).select(
         "column_name", "count", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"),

@@ -18,6 +18,7 @@ from ..operators import layers as L
 from ..operators import portfolio as P
 from ..sources.catalog import preview, row_count
 from ..sources.fixture import raw_loans, read_table
+from ..sources.kept import on_release
 from ..sources.loans import (CSV_SCHEMA, CSV_TO_ENGINE, parse_loan_lines, rename_loans,
                              split_good_and_rejected, with_customer_id, with_row_ids)
 from . import oracle as O
@@ -969,6 +970,7 @@ def fitted(spark: SparkSession, sf: str, trees: int = M.GBT_TREES) -> dict:
                                     "gini")))
     out["metrics"] = metrics
     _FIT_CACHE[key] = out
+    on_release(lambda: _FIT_CACHE.pop(key, None))
     return out
 
 

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kept import cached
+from .snapshots import Snapshots
+
+__all__ = ["materialize", "load", "list_tables", "preview", "row_count", "finished", "ensure_built", "cached",
+           "save_model", "load_model"]
+
+#: The one part of a folder that holds a single table.
+TABLE = "table"
+
 
 def materialize(df: DataFrame, name: str, path: str | None = None,
                 fmt: str = "parquet") -> DataFrame:
     """A4: create-or-replace a table and return a DataFrame that reads it.
 
-    With ``path`` the data goes to that (shared) folder and a temp view of
-    the written files is registered; without it a managed table is
-    (re)written with ``saveAsTable``. Reading back cuts the lineage.
+    With ``path`` the data goes to a new version in that (shared) folder,
+    which becomes the table by one rename (``Snapshots``): readers see the old
+    table or the new one, a write that fails leaves the old one, and ``df``
+    may read the table it replaces. A temp view of the written files is
+    registered. Without ``path`` a managed table is (re)written with
+    ``saveAsTable``. Reading back cuts the lineage.
     """
     spark = df.sparkSession
     if path:
-        df.write.mode("overwrite").format(fmt).save(path)
-        out = spark.read.format(fmt).load(path)
+        out = Snapshots(spark, path).replace(df, TABLE, fmt=fmt)
         out.createOrReplaceTempView(name)
         return out
     df.write.mode("overwrite").format(fmt).saveAsTable(name)
@@ -29,8 +39,12 @@ def materialize(df: DataFrame, name: str, path: str | None = None,
 
 def load(spark: SparkSession, name: str, path: str | None = None,
          fmt: str = "parquet") -> DataFrame:
-    """A5: read a whole table (by catalog name, or by path)."""
+    """A5: read a whole table (by catalog name, or by path: the current
+    version of a folder that ``materialize`` wrote, or a plain folder)."""
     if path:
+        snapshots = Snapshots(spark, path)
+        if snapshots.versions():
+            return snapshots.read(TABLE)
         return spark.read.format(fmt).load(path)
     return spark.table(name)
 
@@ -70,14 +84,17 @@ def ensure_built(spark: SparkSession, name: str, build: Callable[[], DataFrame],
                  path: str | None = None) -> DataFrame:
     """Build and store a table only when it does not exist yet.
 
-    A folder counts as built only with its ``_SUCCESS`` marker; one that holds
-    anything else is an error and never overwritten, and so is a folder that
-    cannot be read."""
+    A folder counts as built with a published version, or as a plain folder
+    with a ``_SUCCESS`` marker; one that holds anything else but versions that
+    were never published is an error and never overwritten, and so is a
+    folder that cannot be read."""
     if path:
+        if Snapshots(spark, path).versions():
+            return load(spark, name, path)
         if finished(spark, path):
             return spark.read.parquet(path)
         fs, folder = _folder(spark, path)
-        if fs.exists(folder) and len(fs.listStatus(folder)):
+        if fs.exists(folder) and any(s.getPath().getName() not in ("_versions", "_manifests") for s in fs.listStatus(folder)):
             raise FileExistsError(f"{path} is not empty and not a finished table")
         return materialize(build(), name, path=path)
     if spark.catalog.tableExists(name):
@@ -85,12 +102,6 @@ def ensure_built(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     return materialize(build(), name)
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Keep a table that several consumers read (memory, spill to disk;
-    a lost block is recomputed from lineage)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def save_model(model, path: str) -> str:
     """Persist a fitted Spark ML model or pipeline (feature order lives
     in its ``VectorAssembler`` stage)."""

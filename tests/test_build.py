@@ -8,6 +8,7 @@ from riskweave.operators import model as M
 from riskweave.plans import build as B
 from riskweave.plans import registry as R
 from riskweave.sources.fixture import raw_loans
+from riskweave.sources.snapshots import Snapshots
 
 
 def test_build_pipeline_stores_tables_and_models(spark, sf, tmp_path, monkeypatch):
@@ -24,7 +25,8 @@ def test_build_pipeline_stores_tables_and_models(spark, sf, tmp_path, monkeypatc
     monkeypatch.setattr(B, "build_pipeline", lambda *a: calls.append(a))
     B.ensure_pipeline(raw, str(tmp_path / "out"), trees=2)
     assert not calls
-    (tmp_path / "out" / "gbt_model" / "metadata" / "_SUCCESS").unlink()
+    parts = Snapshots(spark, str(tmp_path / "out")).manifest()["parts"]
+    (tmp_path / "out" / parts["gbt_model"]["folder"] / "metadata" / "_SUCCESS").unlink()
     B.ensure_pipeline(raw, str(tmp_path / "out"), trees=2)
     assert len(calls) == 1
 
