@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import cut_order, even_round, right_closed_cut, sql_round
 from ..functions.histogram import HistSpec, data_range_histograms, histogram
-from .quantile import exact_median, exact_quantiles
+from .quantile import exact_quantiles
+from .selection import MAX_GROUPS, Target, select_quantiles
 from ..sources.kept import cached
 
 # Column lists and bin edges of the profiling notebook.
@@ -104,7 +105,10 @@ def stack_columns(df: DataFrame, cols: Sequence[str], key: str = "column_name",
 def describe(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx: bool = False,
              accuracy: int = 100000) -> DataFrame:
     """Pandas ``describe`` per column: count, mean, sample std, min,
-    quartiles (linear interpolation), max — one scan, grouped by column."""
+    quartiles (linear interpolation), max, grouped by column: two scans
+    (``profile_reports``), one with ``approx``."""
+    if not approx:
+        return profile_reports(df, ["describe"], cols)["describe"]
     x = F.col("x")
     stats = stack_columns(df, cols).groupBy("column_name").agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
@@ -120,20 +124,8 @@ def describe(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx: bool
 
 def income_sanity(df: DataFrame) -> DataFrame:
     """Over non-null income: count above 30000, count equal to 0, describe."""
-    inc = df.select(F.col("monthly_income").cast("double").alias("x")).filter(
-        F.col("x").isNotNull())
-    stats = inc.agg(
-        F.lit("x").alias("column_name"),
-        F.count_if(F.col("x") > 30000).alias("n_over_30000"),
-        F.count_if(F.col("x") == 0).alias("n_zero"),
-        F.count(F.lit(1)).alias("count"), _r(F.avg("x")).alias("mean"),
-        _r(F.stddev_samp("x")).alias("std"), F.min("x").alias("min"),
-        F.max("x").alias("max"))
-    quartiles = quantile_table(inc, ["x"]).withColumnRenamed("q", "_q")
-    return stats.join(quartiles, "column_name", "left").select(
-        "n_over_30000", "n_zero", "count", "mean", "std", "min",
-        _r(F.col("_q")[0]).alias("p25"), _r(F.col("_q")[1]).alias("p50"),
-        _r(F.col("_q")[2]).alias("p75"), "max")
+    return profile_reports(df, ["income_sanity"])["income_sanity"]
+
 
 
 # -- D3 / D4 / D19 -----------------------------------------------------------------
@@ -181,6 +173,8 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     one row per profiled column, a fixed-size table, so broadcast — and
     counts values outside the fences."""
     cols = list(cols or [c for c in PROFILE_COLUMNS if c != "is_default"])
+    if not approx:
+        return profile_reports(df, ["iqr_outliers"], cols)["iqr_outliers"]
     x = F.col("x")
     stacked = stack_columns(df, cols)
     bounds = stacked.groupBy("column_name").agg(F.min(x).alias("min"), F.max(x).alias("max")) \
@@ -273,9 +267,7 @@ def rate_by_age_group(df: DataFrame) -> DataFrame:
 
 def rate_by_income_band(df: DataFrame) -> DataFrame:
     """Income NULL -> median income, bins (0,2000] ... (10000,999999]."""
-    med = exact_median(df, "monthly_income")
-    return rate_by_cut(df, "monthly_income", INCOME_CUT_EDGES, INCOME_CUT_LABELS,
-                       "income_band", fill=med)
+    return profile_reports(df, ["rate_by_income_band"])["rate_by_income_band"].orderBy("income_band_order")
 
 
 def rate_by_value(df: DataFrame, column: str = "late_90_plus", k: int = 10) -> DataFrame:
@@ -289,17 +281,7 @@ def rate_by_value(df: DataFrame, column: str = "late_90_plus", k: int = 10) -> D
 def cut_pivot(df: DataFrame) -> DataFrame:
     """Default rate % by age group x income band (median-filled income
     of the age-filtered rows), one row per age group."""
-    src = df.filter(F.col("age").between(18, 100))
-    med = exact_median(src, "monthly_income")
-    inc = F.coalesce(F.col("monthly_income"), med)
-    cells = src.select(
-        right_closed_cut("age", PIVOT_AGE_EDGES, PIVOT_AGE_LABELS).alias("age_group"),
-        right_closed_cut(inc, PIVOT_INCOME_EDGES, PIVOT_INCOME_LABELS).alias("income_band"),
-        "is_default").filter(F.col("age_group").isNotNull())
-    wide = cells.groupBy("age_group").pivot("income_band", PIVOT_INCOME_LABELS) \
-        .agg(F.avg("is_default") * 100)
-    return wide.select("age_group", *[F.col(f"`{label}`").alias(name) for label, name
-                                      in zip(PIVOT_INCOME_LABELS, PIVOT_INCOME_COLUMNS)])
+    return profile_reports(df, ["cut_pivot"])["cut_pivot"]
 
 
 # -- D13 / D14 correlations ------------------------------------------------------------
@@ -388,8 +370,11 @@ def box_stats(df: DataFrame, column: str = "debt_ratio", by: str = "is_default",
               approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the furthest
     point within 1.5 IQR of the box, outlier count. ``by`` is a class label:
-    the quartile table has one row per class and is broadcast (a shuffle
-    join on a two-valued key would put all rows in two tasks)."""
+    the tables of bounds and fences have one row per class and are broadcast
+    (a shuffle join on a two-valued key would put all rows in two tasks) once
+    their rows are counted; beyond ``MAX_GROUPS`` they are joined."""
+    if not approx:
+        return profile_reports(df, ["box_stats"], box=(column, by))["box_stats"]
     x = F.col(column).cast("double")
     src = df.select(by, x.alias("_x")).filter(F.col("_x").isNotNull())
     q = quantile_table(src, ["_x"], by=[by], approx=approx, accuracy=accuracy) \
@@ -398,7 +383,7 @@ def box_stats(df: DataFrame, column: str = "debt_ratio", by: str = "is_default",
                  F.col("_q")[2].alias("q3"))
     fences = q.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lo"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    joined = src.join(F.broadcast(fences), by, "inner")
+    joined = src.join(fences, by, "inner")
     agg = joined.groupBy(by, "q1", "median", "q3", "_lo", "_hi").agg(
         F.min(F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))).alias("_wlo"),
         F.max(F.when(F.col("_x") <= F.col("_hi"), F.col("_x"))).alias("_whi"),
@@ -427,57 +412,154 @@ def value_counts(df: DataFrame, cols: Sequence[str] = LATE_COLUMNS, k: int = 10)
         .filter(F.col("_rank") <= k).drop("_rank").orderBy("column_name", "value")
 
 
-def profile_tables(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS, approx: bool = False,
-                   accuracy: int = 100000) -> dict[str, DataFrame]:
-    """D2, D3, D5 and D6 from **two** scans instead of six.
-
-    One grouped aggregate over the stacked ``(column, value)`` rows of every
-    column keeps row count, non-null count, mean, std, min, max and zero
-    count per column, joined with the exact quartiles of the profiled
-    columns (``quantile_table``); it has one row per column and is cached.
-    Describe, the missing report, the IQR bounds and the age checks are read
-    from it; only the outlier counts need another scan against the
-    (broadcast) fences. Values equal the per-operator functions above.
-    """
-    cols = list(cols)
-    every = list(df.columns)
+#: The reports that one selection serves.
+REPORTS = ("describe", "missing_report", "age_sanity", "iqr_outliers", "income_sanity", "rate_by_income_band",
+           "box_stats", "cut_pivot")
+IQR = 1.5
+
+
+def profile_reports(df: DataFrame, want: Sequence[str] = REPORTS, cols: Sequence[str] = PROFILE_COLUMNS,
+                    box: tuple[str, str] = ("debt_ratio", "is_default")) -> dict[str, DataFrame]:
+    """D2, D3, D5, D6, D9, D11, D15 and D18, all or some, from **three**
+    scans of ``df`` together:
+
+    1. one aggregate over the stacked values of every column: counts, moments,
+       extremes and bounds of the quartiles (``select_quantiles``);
+    2. the values between the bounds, which give the exact quartiles;
+    3. what needs them (``_against_quartiles``): rows beyond the fences,
+       whiskers, and default rates by bands of the median-filled income.
+
+    Reports without such counts take two scans. The statistics table has a
+    row per column and class and is kept, so the reports share the scans."""
+    want, cols = list(want), list(cols)
+    column, by = box
+    needs = set(want)
+    plain = list(cols) if needs & {"describe", "iqr_outliers"} else []
+    if "missing_report" in needs:
+        plain += [c for c in df.columns if c not in plain]
+    if needs & {"income_sanity", "rate_by_income_band"} and "monthly_income" not in plain:
+        plain.append("monthly_income")
+    if "age_sanity" in needs and "age" not in plain:
+        plain.append("age")
+    targets = [Target(c, F.col(c)) for c in plain]
+    if "box_stats" in needs:
+        targets.append(Target("__box", F.col(column), F.col(by)))
+    if "cut_pivot" in needs:
+        targets.append(Target("__adult_income", F.when(F.col("age").between(18, 100), F.col("monthly_income"))))
     x = F.col("x")
-    profiled = F.col("column_name").isin(cols)
-    stats = cached(stack_columns(df, every).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("_rows"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.count_if(x == 0).alias("_zeros")) \
-        .join(quantile_table(df, cols, approx=approx, accuracy=accuracy), "column_name", "left"))
-
-    desc = stats.filter(profiled).select(
-        "column_name", "count", _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"),
-        _r(F.col("min")).alias("min"), _r(F.col("q")[0]).alias("p25"),
-        _r(F.col("q")[1]).alias("p50"), _r(F.col("q")[2]).alias("p75"),
-        _r(F.col("max")).alias("max"))
-    missing = (stats.select("column_name", (F.col("_rows") - F.col("count")).alias("missing_count"),
-                            "_rows")
-               .select("column_name", "missing_count",
-                       even_round(F.col("missing_count") / F.col("_rows") * 100, 2)
-                       .alias("missing_pct"))
-               .filter(F.col("missing_count") > 0)
-               .orderBy(F.desc("missing_pct"), "column_name"))
-
-    iqr_cols = [c for c in cols if c != "is_default"]
-    q1, q3 = F.col("q")[0], F.col("q")[2]
-    fences = stats.filter(F.col("column_name").isin(iqr_cols)).select(
-        "column_name", "min", "max", "_rows", q1.alias("_q1"), q3.alias("_q3"),
-        (q1 - 1.5 * (q3 - q1)).alias("_lo"), (q3 + 1.5 * (q3 - q1)).alias("_hi"))
-    outside = stack_columns(df, iqr_cols).join(
-        F.broadcast(fences.select("column_name", "_lo", "_hi")), "column_name") \
-        .groupBy("column_name").agg(
-            F.count_if((x < F.col("_lo")) | (x > F.col("_hi"))).alias("n_outliers"))
-    iqr = fences.join(outside, "column_name").select(
-        "column_name", "min", "max", _r(F.col("_q1")).alias("q1"), _r(F.col("_q3")).alias("q3"),
-        _r(F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))).alias("iqr_upper"),
-        "n_outliers", even_round(F.col("n_outliers") / F.col("_rows") * 100, 2)
-        .alias("outlier_pct"))
-
-    age = stats.filter(F.col("column_name") == "age").select(
-        F.col("min").cast("bigint").alias("age_min"), F.col("max").cast("bigint").alias("age_max"),
-        F.col("_zeros").alias("n_age_zero"))
-    return {"describe": desc, "missing_report": missing, "iqr_outliers": iqr, "age_sanity": age}
+    stats = select_quantiles(df, targets, QUARTILES, [
+        F.count(F.lit(1)).alias("_rows"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+        F.max(x).alias("max"), F.count_if(x == 0).alias("n_zero"), F.count_if(x > 30000).alias("n_over_30000")])
+    name = F.element_at(F.array(*[F.lit(t.name) for t in targets]), F.col("_t") + 1)
+    stats = stats.withColumn("column_name", name)
+    counted = set(want) & {"iqr_outliers", "rate_by_income_band", "box_stats", "cut_pivot"}
+    if len(want) > 1 or counted:
+        stats = cached(stats)
+    q = [F.col("q")[k] for k in range(3)]
+    described = [_r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"), _r(F.col("min")).alias("min"),
+                 *[_r(c).alias(n) for c, n in zip(q, ("p25", "p50", "p75"))], _r(F.col("max")).alias("max")]
+    of = {t.name: stats.filter(F.col("_t") == i) for i, t in enumerate(targets)}
+    out = {}
+    if "describe" in needs:
+        out["describe"] = stats.filter(F.col("column_name").isin(cols)).select("column_name", F.col("n").alias("count"), *described)
+    if "missing_report" in needs:
+        gaps = stats.filter(F.col("column_name").isin(list(df.columns)))
+        out["missing_report"] = gaps.select(
+            "column_name", (F.col("_rows") - F.col("n")).alias("missing_count"),
+            even_round((F.col("_rows") - F.col("n")) / F.col("_rows") * 100, 2).alias("missing_pct")) \
+            .filter(F.col("missing_count") > 0).orderBy(F.desc("missing_pct"), "column_name")
+    if "age_sanity" in needs:
+        # an empty table has no row of statistics, but one report row
+        out["age_sanity"] = of["age"].agg(F.max("min").cast("bigint").alias("age_min"), F.max("max").cast("bigint").alias("age_max"),
+                                          F.coalesce(F.max("n_zero"), F.lit(0)).alias("n_age_zero"))
+    if "income_sanity" in needs:
+        one = of["monthly_income"].agg(*[
+            F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n_over_30000", "n_zero", "n")], F.max("mean").alias("mean"),
+            F.max("std").alias("std"), F.max("min").alias("min"), F.max("max").alias("max"), F.max("q").alias("q"))
+        out["income_sanity"] = one.select("n_over_30000", "n_zero", F.col("n").alias("count"),
+                                          _r(F.col("mean")).alias("mean"), _r(F.col("std")).alias("std"), "min",
+                                          *[_r(c).alias(n) for c, n in zip(q, ("p25", "p50", "p75"))], "max")
+    if counted:
+        out |= _against_quartiles(df, counted, stats, of, [c for c in cols if c != "is_default"], column, by)
+    return {w: out[w] for w in want}
+
+
+def _against_quartiles(df: DataFrame, want: set[str], stats: DataFrame, of: dict[str, DataFrame],
+                       fenced: Sequence[str], column: str, by: str) -> dict[str, DataFrame]:
+    """The reports that compare rows with quartiles, from one more scan. Each
+    row gives one fact per report (and fenced column): ``(report, key)`` and
+    what is summed; keys are columns, classes or bands, so the counts are few.
+    Quartiles of the fixed columns are scalars of ``stats``; those of classes
+    are a joined table, broadcast if its rows are counted and few."""
+    label = F.col("is_default")
+    null = F.lit(None)
+
+    def fact(report: str, key: Column, value=null, out=null, low=null, high=null) -> Column:
+        return F.struct(F.lit(report).alias("report"), key.cast("string").alias("key"), value.cast("double").alias("value"),
+                        out.cast("boolean").alias("out"), low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+    def fences(q: Column) -> tuple[Column, Column]:
+        return q[0] - IQR * (q[2] - q[0]), q[2] + IQR * (q[2] - q[0])
+
+    src, facts = df, []
+    if "iqr_outliers" in want:
+        # one map of a fixed list of columns
+        src = src.withColumn("_qs", stats.filter(F.col("column_name").isin(list(fenced))).agg(
+            F.map_from_entries(F.collect_list(F.struct("column_name", "q")))).scalar())
+        for c in fenced:
+            lo, hi = fences(F.try_element_at("_qs", F.lit(c)))
+            v = F.col(c).cast("double")
+            facts.append(fact("iqr_outliers", F.lit(c), out=(v < lo) | (v > hi)))
+    if "rate_by_income_band" in want:
+        src = src.withColumn("_median", of["monthly_income"].agg(F.max(F.col("q")[1])).scalar())
+        facts.append(fact("rate_by_income_band", cut_order(F.coalesce("monthly_income", "_median"), INCOME_CUT_EDGES), label))
+    if "cut_pivot" in want:
+        src = src.withColumn("_adult_median", of["__adult_income"].agg(F.max(F.col("q")[1])).scalar())
+        adult = F.col("age").between(18, 100)
+        cell = F.concat_ws("/", right_closed_cut("age", PIVOT_AGE_EDGES, PIVOT_AGE_LABELS),
+                           F.coalesce(right_closed_cut(F.coalesce("monthly_income", "_adult_median"), PIVOT_INCOME_EDGES, PIVOT_INCOME_LABELS), F.lit("")))
+        known = adult & right_closed_cut("age", PIVOT_AGE_EDGES, PIVOT_AGE_LABELS).isNotNull()
+        facts.append(fact("cut_pivot", F.when(known, cell), label))
+    if "box_stats" in want:
+        groups = of["__box"].select(F.col("_g").alias("_class"), F.col("q").alias("_box"))
+        few = of["__box"].count() <= MAX_GROUPS
+        src = src.join(F.broadcast(groups) if few else groups, F.col(by).cast("string").eqNullSafe(F.col("_class")), "left")
+        lo, hi = fences(F.col("_box"))
+        v = F.col(column).cast("double")
+        facts.append(fact("box_stats", F.col(by), out=(v < lo) | (v > hi), low=F.when(v >= lo, v), high=F.when(v <= hi, v)))
+    table = src.select(F.inline(F.array(*facts))).groupBy("report", "key").agg(
+        F.count("value").alias("values"), F.sum("value").alias("total"), F.count_if("out").alias("n_outliers"),
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    if len(want) > 1:
+        table = cached(table)
+    rate = (F.col("total") / F.col("values") * 100).alias("default_rate_pct")
+    out = {}
+    if "iqr_outliers" in want:
+        q1, q3 = F.col("q")[0], F.col("q")[2]
+        out["iqr_outliers"] = stats.filter(F.col("column_name").isin(list(fenced))).join(
+            table.filter("report = 'iqr_outliers'").select(F.col("key").alias("column_name"), "n_outliers"), "column_name").select(
+            "column_name", "min", "max", _r(q1).alias("q1"), _r(q3).alias("q3"), _r(q3 + IQR * (q3 - q1)).alias("iqr_upper"),
+            "n_outliers", even_round(F.col("n_outliers") / F.col("_rows") * 100, 2).alias("outlier_pct"))
+    if "rate_by_income_band" in want:
+        order = F.col("key").cast("int")
+        out["rate_by_income_band"] = table.filter("report = 'rate_by_income_band' and key is not null").select(
+            F.element_at(F.array(*[F.lit(b) for b in INCOME_CUT_LABELS]), order + 1).alias("income_band"),
+            order.alias("income_band_order"), rate).orderBy("income_band_order")
+    if "cut_pivot" in want:
+        cells = table.filter("report = 'cut_pivot' and key is not null").select(
+            F.split("key", "/", 2)[0].alias("age_group"), F.split("key", "/", 2)[1].alias("income_band"), rate)
+        wide = cells.groupBy("age_group").pivot("income_band", PIVOT_INCOME_LABELS).agg(F.max("default_rate_pct"))
+        out["cut_pivot"] = wide.select("age_group", *[F.col(f"`{band}`").alias(n) for band, n in zip(PIVOT_INCOME_LABELS, PIVOT_INCOME_COLUMNS)])
+    if "box_stats" in want:
+        q1, q3 = F.col("q")[0], F.col("q")[2]
+        found = of["__box"].filter("n > 0").join(table.filter("report = 'box_stats'").select("key", "n_outliers", "low", "high"),
+                                                 F.col("_g") == F.col("key"))
+        out["box_stats"] = found.select(
+            F.col("_g").cast(df.schema[by].dataType).alias(by), _r(q1).alias("q1"), _r(F.col("q")[1]).alias("median"), _r(q3).alias("q3"),
+            _r(F.least(F.coalesce("low", q1), q1)).alias("whisker_low"), _r(F.greatest(F.coalesce("high", q3), q3)).alias("whisker_high"), "n_outliers")
+    return out
+
+
+def profile_tables(df: DataFrame, cols: Sequence[str] = PROFILE_COLUMNS) -> dict[str, DataFrame]:
+    """D2, D3, D5 and D6 from the three scans of ``profile_reports``."""
+    return profile_reports(df, ["describe", "missing_report", "iqr_outliers", "age_sanity"], cols)
