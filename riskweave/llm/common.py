@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from riskweave.session import ensure_checkpoint_dir
@@ -33,6 +34,13 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(rows: Callable) -> Callable:
     """``rows`` (a function for mapInArrow) that gives freed memory back to
     the system when a task ends: workers are kept for later tasks, and two of
@@ -41,9 +49,7 @@ def tidy(rows: Callable) -> Callable:
         try:
             yield from rows(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
     return wrapped
 
 
@@ -130,7 +136,10 @@ class Poly:
         return (sums[hi] - sums[lo]) * self.inverse[lo]
 
 
-BYTES, WINDOWS, WINDOWS2 = Poly(11), Poly(12), Poly(13)
+BYTES, WINDOWS, WINDOWS2, BYTES2 = Poly(11), Poly(12), Poly(13), Poly(14)
+#: Bytes up to which a word is hashed by polynomials: sums modulo 2^64 lose
+#: bits on long words of a doubling pattern (all of them from 1,024 bytes on).
+POLY_WORD = 16
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -139,6 +148,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(BYTES.slices(sums, starts, ends) + (ends - starts).astype(np.uint64))
 
 
+def word_states(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes of each word's bytes (words x 2)."""
+    size = (ends - starts).astype(np.uint64)
+    out = np.stack([mix(p.slices(p.sums(p.table[data]), starts, ends) + size) for p in (BYTES, BYTES2)], axis=1)
+    long = np.flatnonzero(ends - starts > POLY_WORD)
+    if len(long):
+        raw = data.tobytes()
+        digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())])
+        out[long] = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    return out
+
+
+def under_own_names(docs: DataFrame, step: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """``step`` applied to ``docs`` under column names that no operator uses,
+    and its result with the columns of ``docs`` alone, each its own. ``step``
+    also gets the inner name of every column, so that columns called like an
+    operator's output keep their values."""
+    inner = [f"column_{i}" for i in range(len(docs.columns))]
+    return step(docs.toDF(*inner), dict(zip(docs.columns, inner))).select(*inner).toDF(*docs.columns)
+
+
 def hash_in_text_windows(values: np.ndarray, first: np.ndarray, width: int, poly: Poly = WINDOWS):
     """Hashes of all windows of ``width`` consecutive values, at every start;
     and a mask of the starts whose window stays inside its text."""

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, tidy
+from .common import keep, tidy, under_own_names
 from .components import components
 from .pairing import in_blocks, join_labels, whole_groups
 
@@ -176,3 +176,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     ids = keep(found.join(least, "component").select("fingerprint", "component_id"), "simhash-ids")
     return rows.join(ids, "fingerprint").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each group of near-duplicates, all columns as they are: that
+    with the smallest id (null ids last; of equal ids that with the smallest
+    hash of the text). Rows are told apart by a number of their own, so an id
+    that several texts share keeps one row in each of their groups, and rows
+    without id are grouped like all others."""
+    def chosen(rows: DataFrame, at: dict[str, str]) -> DataFrame:
+        numbered = keep(rows.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+        found = near_duplicates(numbered, "row", at[text], shingle, max_bits).select("row", "component_id")
+        ids = numbered.select("row", F.col(at[key]).alias("id"), F.xxhash64(at[text]).alias("hash"))
+        best = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "row")).alias("best"))
+        return numbered.join(best.select(F.col("best.row").alias("row")), "row", "left_semi")
+
+    return under_own_names(docs, chosen)

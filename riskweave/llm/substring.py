@@ -6,7 +6,8 @@ at one shift k < v, equal runs of W - v + 1 words that start at cover
 positions of both documents. So runs are hashed at cover positions only (5
 of 21), runs that occur twice are anchors, and each anchor is extended: the
 windows of W words that hold it at a shift below v are hashed in full
-(128 bits) and compared over all documents. A window is a repeat if its full
+(two sums of independent states, 64 bits each) and compared over all
+documents. A window is a repeat if its full
 hash starts anywhere else, same document included; every word of a repeat is
 removed, and windows are judged on the input.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WINDOWS, WINDOWS2, hash_in_text_windows, is_word_table, word_hashes, word_spans
+from .common import SPACE, WINDOWS, WINDOWS2, hash_in_text_windows, is_word_table, word_spans, word_states
 from .repeats import n_buckets, pack, shared_mask, slices, unpack, with_answers
 
 WINDOW = 35
@@ -37,12 +38,12 @@ WORD_BYTES = 6
 
 def _words(data, offsets):
     starts, ends, first = word_spans(data, offsets, IS_WORD)
-    return starts, ends, first, word_hashes(data, starts, ends)
+    return starts, ends, first, word_states(data, starts, ends)
 
 
 def _anchors(values: np.ndarray, first: np.ndarray, window: int):
     """Positions and hashes of the runs at cover positions of each text."""
-    hashes, inside = hash_in_text_windows(values, first, window - PERIOD + 1)
+    hashes, inside = hash_in_text_windows(values[:, 0], first, window - PERIOD + 1)
     at = np.arange(len(hashes))
     phase = (at - first[np.searchsorted(first, at, "right") - 1]) % PERIOD
     at = at[inside & np.isin(phase, COVER)]
@@ -52,14 +53,14 @@ def _anchors(values: np.ndarray, first: np.ndarray, window: int):
 def _candidates(values: np.ndarray, first: np.ndarray, anchors: np.ndarray, window: int):
     """Starts and full hashes of the windows that hold an anchor at a shift
     below the period."""
-    full, inside = hash_in_text_windows(values, first, window)
+    full, inside = hash_in_text_windows(values[:, 0], first, window)
     if not len(full):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     reach = np.zeros(len(values) + 1, np.int64)  # windows starting in [anchor - PERIOD + 1, anchor]
     np.add.at(reach, np.maximum(anchors - PERIOD + 1, 0), 1)
     np.add.at(reach, anchors + 1, -1)
     at = np.flatnonzero(inside & (np.cumsum(reach)[:len(full)] > 0))
-    second, _ = hash_in_text_windows(values, first, window, WINDOWS2)
+    second, _ = hash_in_text_windows(values[:, 1], first, window, WINDOWS2)
     return at, np.stack([full[at], second[at]], axis=1)
 
 

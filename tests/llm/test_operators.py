@@ -318,6 +318,19 @@ def test_substring_dedup(docs):
     assert _multi(got) == _multi(want)
 
 
+def test_substring_tells_long_words_apart(spark):
+    """Two words of a doubling pattern, equal in polynomials modulo 2^64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    same = " ".join(["w"] * 34)
+    df = spark.createDataFrame([(1, f"{same} {word}"), (2, f"{same} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeats(df).collect()] == [0, 0]
+    df = spark.createDataFrame([(1, f"{same} {word}"), (2, f"{same} {word}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeats(df).collect()] == [35, 35]
+
+
 def test_cover_holds_all_differences():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
@@ -641,15 +654,31 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_pipeline_edges(spark, sf, awkward):
-    plain = awkward.select("doc_id", "text", "lang", "source", "n_chars", "size", "score")
-    for docs in (plain, plain.filter("false")):
+    """Columns called like outputs keep type and value through every stage."""
+    odd = awkward.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in (
+        "predicted", "rate", "copies", "taken", "target", "source_size", "items", "n_words", "hits", "component_id", "fingerprint", "row")})
+    extra = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for docs in (odd, odd.filter("false")):
         for name, stage in corpus_pipeline.STAGES:
             out = corpus_pipeline.keep(stage(spark, docs, sf), "test")
             if name != "sharding":
-                assert out.columns == docs.columns
+                assert out.dtypes == docs.dtypes
+                values = {r.doc_id: tuple(r[c] for c in extra) for r in docs.collect()}
+                assert all(values[r.doc_id] == tuple(r[c] for c in extra) for r in out.collect() if r.doc_id is not None)
+            else:
+                assert out.drop("slot", "shard").dtypes == docs.drop("slot", "shard").dtypes
             docs = out
 
 
+def test_near_duplicates_by_row(spark, sf):
+    """An id with two texts loses neither; copies without id go."""
+    a, b, c = (_phrase(60, seed) for seed in (41, 42, 43))
+    rows = [(1, a, "x"), (2, a, "x"), (1, b, "y"), (None, c, "z"), (None, c, "z"), (None, a, "x"), (3, None, "n"), (None, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = Counter((r.doc_id, r.text, r.row) for r in corpus_pipeline.near_duplicates(spark, df, sf).collect())
+    assert got == Counter({(1, a, "x"): 1, (1, b, "y"): 1, (None, c, "z"): 1, (3, None, "n"): 1})
+
+
 # SQL -------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["op2_sharding", "op3_warc_revisits", "op7_decontaminate", "op8_substring"])
