@@ -3,39 +3,31 @@ and read again as the next one's input.
 
 The stages return the columns of ``documents`` (the last adds ``slot`` and
 ``shard``). Null texts, empty tables, repeated rows and extra columns pass as
-the operators define; rows whose id is null are never near-duplicates.
+the operators define, and columns called like an operator's output keep their
+values; rows without id, and rows that share one, are told apart.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave.llm import decontaminate as decontamination
 from riskweave.llm import mixing, sharding, simhash
 from riskweave.llm import toxicity as toxic
-from riskweave.llm.common import keep
+from riskweave.llm.common import keep, under_own_names
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, fitted on the labelled ones, scores at or
     above its threshold go."""
     model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return toxic.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return under_own_names(docs, lambda rows, at: toxic.score(rows, model, at["text"]).filter("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, once."""
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(groups, "doc_id", "left_semi")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    # only ids that occur more than once need one of their rows chosen
-    once = first.join(repeated, "doc_id", "left_anti")
-    several = first.join(repeated, "doc_id", "left_semi").withColumn(
-        "__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])))
-    return (once.select(docs.columns).unionByName(several.filter("__row = 1").select(docs.columns))
-            .unionByName(docs.filter("doc_id is null")))
+    """Of each group one row stays, that with the smallest id."""
+    return simhash.survivors(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, kept or left out so that the sources meet their targets."""
-    return mixing.repeat_rows(mixing.mix(docs)).select(docs.columns)
+    return under_own_names(docs, lambda rows, at: mixing.repeat_rows(mixing.mix(rows, at["text"], at["source"], at["doc_id"])))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
