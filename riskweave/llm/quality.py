@@ -204,19 +204,22 @@ SHAPES = {"mean": (WIDTH,), "scale": (WIDTH,), "W": (WIDTH, HIDDEN), "wb": (HIDD
           "w": (GATES,), "c": (HIDDEN,), "b": ()}
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str, text: str, label: str) -> DataFrame:
-    """(draw, label, text): the rows that the weights are fitted on."""
+def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str, text: str, label: str,
+           rows: int | None = None, size: int | None = None, longest: int | None = None) -> DataFrame:
+    """(draw, label, text): the rows that weights are fitted on, within the
+    three bounds (rows, bytes in all, bytes of a text)."""
+    rows, size, longest = rows or TRAIN_ROWS, size or TRAIN_BYTES, longest or TRAIN_TEXT
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)") \
         .groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     allowed = docs.filter(learn_from).select(F.col(key).alias("key"), whole.alias("text"), F.xxhash64(F.col(key), whole).alias("draw"))
-    narrow = keep(allowed.select("key", "draw", F.octet_length("text").alias("bytes")).filter(F.col("bytes") <= TRAIN_TEXT)
+    narrow = keep(allowed.select("key", "draw", F.octet_length("text").alias("bytes")).filter(F.col("bytes") <= longest)
                   .distinct().join(marks, "key").select("draw", "bytes", "label"), "quality-rows")
     total = narrow.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
-    share = min(1.0, TRAIN_ROWS / max(1, total.rows), TRAIN_BYTES / max(1, total.bytes or 0))
+    share = min(1.0, rows / max(1, total.rows), size / max(1, total.bytes or 0))
     cut = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
-    chosen = narrow.filter(F.col("draw") <= F.lit(cut)).groupBy("draw").agg(F.first("label").alias("label")).orderBy("draw").limit(TRAIN_ROWS)
-    # TRAIN_ROWS rows of two numbers; equal rows meet before their texts are shuffled
+    chosen = narrow.filter(F.col("draw") <= F.lit(cut)).groupBy("draw").agg(F.first("label").alias("label")).orderBy("draw").limit(rows)
+    # that many rows of two numbers; equal rows meet before their texts are shuffled
     return allowed.join(F.broadcast(chosen), "draw").groupBy("draw").agg(F.first("label").alias("label"), F.first("text").alias("text"))
 
 

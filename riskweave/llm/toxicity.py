@@ -5,19 +5,24 @@ PREFIX bytes of longer words, each hashed to one of 2^HASH_BITS terms. The machi
 two latent vectors a pair of terms, so a pair such as an insult with a group
 mention can weigh more than its parts.
 
-Fitting: every labelled row allowed by ``learn_from`` is counted. Counts by
-term and label choose the terms whose frequency differs between the labels
-(chi-squared above CHI2, at least MIN_DOCS documents, TERMS at most, the most
-different first); a document of any length is then judged by terms that say
-something. The weights are fitted in one task by mini-batch AdaGrad on the
-chosen terms of at most TRAIN_ROWS rows, those with the smallest hash of
-their id: this sample is the one bound, and it is a parameter. The model (at
-most TERMS rows of FACTORS + 1 numbers) goes to the scoring tasks.
+Fitting: the weights are fitted in one task by mini-batch AdaGrad on all
+hashed terms of a sample of the labelled rows allowed by ``learn_from``:
+TRAIN_ROWS rows at most, TRAIN_BYTES of text in expectation, no text above
+TRAIN_TEXT bytes (``quality.sample``; these bounds are parameters). No term is
+left out; what tells little is held down by regularisation instead. The
+weights of a term have a prior whose width follows what the sample says about
+it: near 1 for a term that many rows hold, or whose frequency differs between
+the labels by EVIDENCE standard deviations, near 0 for one that few rows hold.
+A term alike in both labels but frequent stays free to weigh in a pair. The
+additive weights also have an L1 penalty (their proximal form keeps what never
+adds up at zero). The model, at most 2^HASH_BITS rows of FACTORS + 1 floats,
+goes to the scoring tasks.
 
 Null and empty texts hold no terms and get the model's base score; labels
-that are null are not learned from; repeated rows count each; without labels
-of both kinds every score is 0; an empty table gives an empty result; other
-columns pass through, and a column called like an output column is replaced.
+that are null, or contradict each other for an id, are not learned from; equal
+rows (id and text) are learned from once; without labels of both kinds every
+score is 0; an empty table gives an empty result; other columns pass through,
+and a column called like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -28,14 +33,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_blocks, keep, text_buffers, tidy, word_hashes, word_spans
+from .quality import sample
 
-#: Hashed terms, most chosen terms, latent factors, threshold of the prediction.
-HASH_BITS, TERMS, FACTORS, THRESHOLD = 22, 4096, 8, 0.7
-MIN_DOCS, CHI2 = 5, 30.0
+#: Hashed terms, latent factors, threshold of the prediction.
+HASH_BITS, FACTORS, THRESHOLD = 20, 8, 0.7
 PREFIX = 5
-#: Most rows that the weights are fitted on, and passes over them.
-TRAIN_ROWS, EPOCHS, BATCH = 60_000, 12, 256
-RATE, DECAY, SEED = 0.1, 1e-5, 3
+#: The bounds of the sample that the weights are fitted on.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 24_000, 60 << 20, 1 << 20
+#: Batches of BATCH rows, and passes over the rows: STEPS batches in all, but
+#: no fewer and no more passes than these.
+BATCH, STEPS, FEWEST, MOST = 128, 1000, 5, 12
+#: Steps of the additive weights and of the vectors, and their penalties.
+RATE, VECTOR_RATE, L1, L2, VECTOR_L2, SEED = 1.0, 0.1, 0.2, 0.01, 0.05, 3
+#: Widths of the priors: rows that halve one, deviations of full evidence, and
+#: the share of all rows by which a term without any gets a third.
+FEW, EVIDENCE, FREQUENT = 3, 6.0, 2.0
 #: Bytes of text handled at once.
 BLOCK = 1 << 20
 
@@ -88,31 +100,6 @@ def term_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         tidy(rows), f"key {docs.schema[key].dataType.simpleString()}, terms binary")
 
 
-def choose_terms(learn: DataFrame) -> DataFrame:
-    """(term) that tell the labels apart, from all rows of (terms, label).
-    Counted within each task before the shuffle."""
-    def count(batches):
-        n, bad = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
-        for batch in batches:
-            for blob, label in zip(batch.column("terms").to_pylist(), batch.column("label").to_pylist()):
-                ids = from_gaps(blob)
-                n[ids] += 1
-                if label:
-                    bad[ids] += 1
-        some = np.flatnonzero(n)
-        for at in range(0, len(some), 1 << 16):
-            ids = some[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[ids].astype(np.int64)), pa.array(bad[ids].astype(np.int64))], names=["term", "n", "bad"])
-
-    per = learn.select("terms", "label").mapInArrow(tidy(count), "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = learn.agg(F.count("*").alias("rows"), F.sum("label").alias("all_bad"))
-    share = F.col("all_bad") / F.col("rows")
-    chi2 = (F.col("bad") - F.col("n") * share) ** 2 / (F.col("n") * share * (1 - share))
-    return (per.filter(F.col("n") >= MIN_DOCS).crossJoin(F.broadcast(total))  # one row
-            .filter((F.col("all_bad") > 0) & (F.col("all_bad") < F.col("rows")))
-            .withColumn("chi2", chi2).filter(F.col("chi2") >= CHI2).orderBy(F.col("chi2").desc(), "term").limit(TERMS).select("term"))
-
-
 def _interactions(v: np.ndarray, indptr: np.ndarray, index: np.ndarray):
     """Sums of the latent vectors and of their squares of each document."""
     def total(x):
@@ -127,7 +114,7 @@ def _interactions(v: np.ndarray, indptr: np.ndarray, index: np.ndarray):
 def raw_score(model: dict, indptr: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Log-odds of documents given as a sparse matrix of model terms."""
     sums, squares = _interactions(model["v"], indptr, index)
-    at = np.concatenate([[0.0], np.cumsum(model["w"][index])])
+    at = np.concatenate([[0.0], np.cumsum(model["w"][index], dtype=np.float64)])
     return model["b"] + at[indptr[1:]] - at[indptr[:-1]] + 0.5 * (sums**2 - squares).sum(1)
 
 
@@ -135,62 +122,78 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def prior_widths(df: np.ndarray, bad: np.ndarray, rows: int, share: float) -> np.ndarray:
+    """Of terms that ``df`` of ``rows`` rows hold, ``bad`` of them toxic, when
+    ``share`` of all rows are."""
+    deviation = (bad - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
+    return df / (df + FEW) * np.maximum(np.minimum(1, (deviation / EVIDENCE) ** 2), df / (df + FREQUENT * rows))
+
+
 def train(sets: list[np.ndarray], labels: np.ndarray, n_terms: int) -> dict:
-    """Mini-batch AdaGrad on the log loss. ``sets``: model terms of each row."""
+    """Mini-batch AdaGrad on the log loss. ``sets``: the terms of each row,
+    below ``n_terms``. The weights returned hold the widths of their priors."""
     rng = np.random.default_rng(SEED)
-    share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
-    model = {"b": float(np.log(share / (1 - share))), "w": np.zeros(n_terms), "v": rng.normal(0, 0.05, (n_terms, FACTORS))}
-    gb, gw, gv = 1e-8, np.full(n_terms, 1e-8), np.full((n_terms, FACTORS), 1e-8)
-    for _ in range(EPOCHS):
+    bound = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    terms = np.concatenate(sets).astype(np.int64)
+    share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
+    df = np.bincount(terms, minlength=n_terms)
+    bad = np.bincount(terms, weights=np.repeat(labels, np.diff(bound)), minlength=n_terms)
+    width = prior_widths(df, bad, len(sets), share).astype(np.float32)
+    b, gb = np.log(share / (1 - share)), 1e-8
+    z, seen, w = (np.zeros(n_terms, np.float32) for _ in range(3))
+    v = rng.normal(0, 0.05, (n_terms, FACTORS)).astype(np.float32)
+    gv = np.ones((n_terms, FACTORS), np.float32)
+    for _ in range(int(np.clip(np.ceil(STEPS * BATCH / len(sets)), FEWEST, MOST))):
         order = rng.permutation(len(sets))
         for lo in range(0, len(order), BATCH):
             rows = order[lo:lo + BATCH]
-            size = np.array([len(sets[r]) for r in rows])
-            indptr, index = np.concatenate([[0], np.cumsum(size)]), np.concatenate([sets[r] for r in rows]).astype(np.int64)
-            error = _sigmoid(raw_score(model, indptr, index)) - labels[rows]
-            each = np.repeat(error, size)
-            sums, _ = _interactions(model["v"], indptr, index)
-            dw, dv = DECAY * model["w"] * len(rows), DECAY * model["v"] * len(rows)
-            np.add.at(dw, index, each)
-            np.add.at(dv, index, each[:, None] * (np.repeat(sums, size, axis=0) - model["v"][index]))
-            db = error.sum()
+            size = bound[rows + 1] - bound[rows]
+            indptr = np.concatenate([[0], np.cumsum(size)])
+            if not indptr[-1]:
+                continue
+            at = terms[np.repeat(bound[rows] - indptr[:-1], size) + np.arange(indptr[-1])]
+            used, place = np.unique(at, return_inverse=True)
+            x = width[used]
+            scaled = {"b": b, "w": w[used] * x, "v": v[used] * x[:, None]}
+            error = (_sigmoid(raw_score(scaled, indptr, place)) - labels[rows]).astype(np.float32)
+            sums, _ = _interactions(scaled["v"], indptr, place)
+            each = np.repeat(error, size) * x[place]
+            by_term = np.argsort(place, kind="stable")
+            first = np.searchsorted(place[by_term], np.arange(len(used)))
+            dw = np.add.reduceat(each[by_term], first)
+            dv = np.add.reduceat((each[:, None] * (np.repeat(sums, size, axis=0) - scaled["v"][place]))[by_term], first, axis=0) + VECTOR_L2 * v[used]
+            db = float(error.sum())
             gb += db * db
-            gw += dw * dw
-            gv += dv * dv
-            model["b"] -= RATE * db / np.sqrt(gb)
-            model["w"] -= RATE * dw / np.sqrt(gw)
-            model["v"] -= RATE * dv / np.sqrt(gv)
-    return model
+            b -= RATE * db / np.sqrt(gb)
+            # follow the regularised leader: zero until the sum of gradients passes L1
+            z[used] += dw - (np.sqrt(seen[used] + dw * dw) - np.sqrt(seen[used])) / RATE * w[used]
+            seen[used] += dw * dw
+            w[used] = np.sign(z[used]) * np.maximum(np.abs(z[used]) - L1, 0) / -((1 + np.sqrt(seen[used])) / RATE + L2)
+            gv[used] += dv * dv
+            v[used] -= VECTOR_RATE * dv / np.sqrt(gv[used])
+    return {"b": float(b), "w": w * width, "v": v * width[:, None]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
     """The model from the rows of ``docs`` for which ``learn_from`` (a
     condition on ``docs``) holds and that have a label; None without two kinds."""
-    marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
-    learn = keep(term_sets(docs.filter(learn_from), key, text).join(marks, "key"), "toxic-learn")
-    chosen = np.sort(np.array([r.term for r in choose_terms(learn).collect()], np.int64))  # TERMS at most
-    if not len(chosen):
-        return None
-
-    def project(batches):
-        for batch in batches:
-            sets = []
-            for blob in batch.column("terms").to_pylist():
-                at = np.searchsorted(chosen, ids := from_gaps(blob))
-                at[at == len(chosen)] = 0
-                sets.append(at[chosen[at] == ids].astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(sets, pa.binary())], names=["order", "label", "terms"])
-
     def fitted(batches):
-        table = pa.Table.from_batches(list(batches))
-        sets = [np.frombuffer(x, "<u2") for x in table.column("terms").to_pylist()]
-        model = train(sets, table.column("label").to_numpy().astype(float), len(chosen))
-        yield pa.RecordBatch.from_arrays([pa.array([model["b"]]), pa.array([model["w"].tobytes()], pa.binary()), pa.array([model["v"].tobytes()], pa.binary())], names=["b", "w", "v"])
-
-    small = (learn.withColumn("order", F.xxhash64("key")).select("order", "label", "terms").mapInArrow(tidy(project), "order long, label int, terms binary")
-             .orderBy("order", "label", "terms").limit(TRAIN_ROWS))
-    row = small.coalesce(1).mapInArrow(tidy(fitted), "b double, w binary, v binary").first()
-    return {"terms": chosen, "b": row.b, "w": np.frombuffer(row.w), "v": np.frombuffer(row.v).reshape(len(chosen), FACTORS)}
+        batches = list(batches)
+        table = pa.Table.from_batches(batches) if batches else None
+        if table is None or len(set(table.column("label").to_pylist())) < 2:
+            return
+        table = table.sort_by("draw")
+        sets = [from_gaps(x) for x in table.column("terms").to_pylist()]
+        held, terms = np.unique(np.concatenate(sets), return_inverse=True)
+        model = train(np.split(terms, np.cumsum([len(s) for s in sets])[:-1]), table.column("label").to_numpy().astype(float), len(held))
+        yield pa.RecordBatch.from_arrays([pa.array([model["b"]]), *[pa.array([x.tobytes()], pa.binary()) for x in (held, model["w"], model["v"])]],
+                                         names=["b", "terms", "w", "v"])
+
+    rows = sample(docs, labels, learn_from, key, text, label, TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT)
+    sets = keep(term_sets(rows.withColumn("pair", F.struct("draw", "label")), "pair", "text").select("key.draw", "key.label", "terms"), "toxic-learn")
+    row = sets.coalesce(1).mapInArrow(tidy(fitted), "b double, terms binary, w binary, v binary").first()
+    return row and {"b": row.b, "terms": np.frombuffer(row.terms, np.int64), "w": np.frombuffer(row.w, np.float32),
+                    "v": np.frombuffer(row.v, np.float32).reshape(-1, FACTORS)}
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -202,14 +205,13 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", threshold: fl
 
     def rows(batches):
         model = shared.value
-        chosen = model["terms"]
+        place = np.full(1 << HASH_BITS, -1, np.int32)
+        place[model["terms"]] = np.arange(len(model["terms"]))
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for row, term in terms(batch.column(text)):
-                where = np.searchsorted(chosen, term)
-                where[where == len(chosen)] = 0
-                known = chosen[where] == term
-                row, where = row[known], where[known]
+                where = place[term]
+                row, where = row[where >= 0], where[where >= 0]
                 n = np.bincount(row, minlength=batch.num_rows)
                 use = np.flatnonzero(n)
                 if len(use):

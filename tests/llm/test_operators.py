@@ -488,6 +488,43 @@ def test_toxicity_learns_pairs():
     assert model["v"][0] @ model["v"][1] > 1
 
 
+def test_toxicity_learns_pairs_of_neutral_terms(spark):
+    """Label 1 if both or neither of two words occur: neither tells anything alone."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(6000):
+        a, b = rng.random(2) < 0.5
+        filler = " ".join(f"word{k}" for k in rng.integers(0, 400, 8))
+        rows.append((i, f"{'mira ' if a else ''}{filler}{' kest' if b else ''}"))
+        labels.append((i, int(a == b), 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    model = toxicity.fit(docs, marks, F.col("doc_id") < 4000)
+    got = toxicity.score(docs, model).collect()
+    truth = {i: y for i, y, _ in labels}
+    assert np.mean([(r.score >= 0.5) == truth[r.doc_id] for r in got if r.doc_id >= 4000]) > 0.95
+
+
+def test_toxicity_scores_by_hand(spark, sf, docs):
+    """Every score recomputed pair by pair from the model."""
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    if model is None:
+        assert docs.count() == 0
+        return
+    place = {t: k for k, t in enumerate(model["terms"].tolist())}
+    for r in toxicity.score(docs.filter("length(text) < 3000 or text is null"), model).collect():
+        found = set()
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", (r.text or "").encode().lower()):
+            data, n = np.frombuffer(word, np.uint8), np.array([len(word)])
+            found.add(int(toxicity.word_hashes(data, np.array([0]), n)[0] >> np.uint64(64 - toxicity.HASH_BITS)))
+            if len(word) > toxicity.PREFIX:
+                found.add(int(~toxicity.word_hashes(data, np.array([0]), np.array([toxicity.PREFIX]))[0] >> np.uint64(64 - toxicity.HASH_BITS)))
+        known = sorted(place[t] for t in found if t in place)
+        v = model["v"][known].astype(float)
+        log_odds = model["b"] + model["w"][known].astype(float).sum() + sum(v[i] @ v[j] for i in range(len(v)) for j in range(i))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-min(60, max(-60, log_odds)))), abs=1e-5)
+
+
 def test_toxicity_edges(spark, awkward):
     labels = spark.createDataFrame([(i, i % 2 if i % 7 else None, "x") for i in range(36)] + [(None, 1, "x"), (12, 0, "x")], "doc_id long, toxic int, text string")
     model = toxicity.fit(awkward, labels, F.lit(True))
