@@ -3,8 +3,8 @@
 Ranking metrics first collapse the scored rows to one row per distinct score
 (``pos``, ``neg`` counts — map-side partial aggregation, so a score shared by
 a third of the rows is one row after the first stage). The scored rows are
-read once: the sketch of the score order, the bucket totals and the points
-all come from the shuffle of that table. The AUC numerator is an exact
+read twice: once for the sketch of the score order with the totals, once for
+the bucket totals and the points. The AUC numerator is an exact
 integer, so the result does not depend on the order in which partitions are
 summed.
 """
@@ -115,6 +115,31 @@ def roc_curve(df: DataFrame, label: str = "is_default", score: str = "score",
         safe_div(F.col("tps").cast("double"), F.col("P").cast("double"), None).alias("tpr"))
 
 
+def roc_curve_reduced(df: DataFrame, label: str = "is_default", score: str = "score", cells: int = 200) -> DataFrame:
+    """M7: a ROC curve of at most ``2 * cells + 2`` points, however many scores
+    there are. Both axes are divided into ``cells`` parts; a threshold is kept
+    if it is the first to enter a part on either, or the last. A threshold
+    left out has the ``fpr`` and ``tpr`` of the kept one before it, each to
+    within ``1 / cells``.
+
+    A point needs only its own running counts (those of the point before are
+    less its own), so the reduction is a filter, and the kept rows of any
+    partition are those of the whole."""
+    points, totals = ranked_scores(df, label, score)
+
+    def enters(upto: str, own: str, total: str) -> Column:
+        # integers, so that all engines agree
+        return F.expr(f"{upto} * {cells} div greatest({total}, 1)") > F.expr(f"({upto} - {own}) * {cells} div greatest({total}, 1)")
+
+    kept = points.filter(enters("tps", "pos", "P") | enters("fps", "neg", "N") | F.col("pos_next").isNull())
+    origin = totals.select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("fps"),
+                           F.lit(0).cast("bigint").alias("tps"), "N", "P")
+    return kept.select(F.col("s").alias("threshold"), "fps", "tps", "N", "P").unionByName(origin).select(
+        "threshold", "fps", "tps",
+        safe_div(F.col("fps").cast("double"), F.col("N").cast("double"), None).alias("fpr"),
+        safe_div(F.col("tps").cast("double"), F.col("P").cast("double"), None).alias("tpr"))
+
+
 def predicted(score: Column, threshold: float = 0.5, inclusive: bool = True) -> Column:
     return F.when(score >= threshold if inclusive else score > threshold, F.lit(1)) \
         .otherwise(F.lit(0))

@@ -17,7 +17,8 @@ partitioning. Buckets are equi-depth: split points come from one
 ``percentile_approx`` sketch that is part of the plan (a scalar subquery, so
 nothing runs while the plan is built), and a row finds its bucket by binary
 search in that array. No bucket holds more than about ``rows / n_buckets``
-rows of a unique key; the number of buckets does not depend on the session.
+rows of a unique key; the number of buckets follows the size of the input, not
+the session.
 """
 
 from __future__ import annotations
@@ -102,11 +103,27 @@ def running_sum(df: DataFrame, values: dict[str, Column | str], order: Sequence[
     return out.drop(*tmp.values(), *[_OFFSET + n for n in cols])
 
 
+#: Input bytes for which one more bucket is used, and the bounds of their number.
+BUCKET_BYTES, FEWEST_BUCKETS, MOST_BUCKETS = 32 << 20, 64, 1 << 16
+
+
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets the size of what ``df`` reads asks for: one for each
+    BUCKET_BYTES of its sources, by the plan's statistics, so no job runs.
+    Up to MOST_BUCKETS of them (2 TB of files) a task orders about the rows of
+    BUCKET_BYTES, beyond that proportionally more."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return power_of_two(min(MOST_BUCKETS, max(FEWEST_BUCKETS, -(-size // BUCKET_BYTES))))
+
+
 def global_row_number(df: DataFrame, key: str, out: str = "row_num",
-                      n_buckets: int = N_BUCKETS) -> DataFrame:
+                      n_buckets: int | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY key)`` without a single-partition
     exchange. ``key`` should be unique (ties are numbered arbitrarily). The
-    offsets have one row per bucket, so they are broadcast."""
+    offsets have one row per bucket, so they are broadcast. By default the
+    number of buckets follows the size of the input (``buckets_for``)."""
+    n_buckets = n_buckets or buckets_for(df)
     bucketed = equi_depth_bucket(df, key, n_buckets)
     ranked = running_sum(bucketed, {out: F.lit(1).cast("bigint")}, order=[key],
                          bucket=_BUCKET, broadcast_offsets=True)

@@ -819,6 +819,45 @@ def m7_roc_curve_rule_score(spark, sf):
     return EV.roc_curve(_test_rule_scored(spark, sf), "is_default", "score")
 
 
+@register("m7_roc_reduced_rule_score", O.with_layers("""
+SELECT CAST('Infinity' AS DOUBLE) AS threshold, 0::BIGINT AS fps, 0::BIGINT AS tps,
+  CASE WHEN n = 0 THEN NULL ELSE 0.0::DOUBLE END AS fpr, CASE WHEN p = 0 THEN NULL ELSE 0.0::DOUBLE END AS tpr
+FROM (SELECT coalesce(SUM(pos), 0) AS p, coalesce(SUM(neg), 0) AS n FROM score_counts)
+UNION ALL
+SELECT s, fps, tps, CASE WHEN n = 0 THEN NULL ELSE fps::DOUBLE / n END, CASE WHEN p = 0 THEN NULL ELSE tps::DOUBLE / p END
+FROM (SELECT s, pos, neg, SUM(pos) OVER (ORDER BY s DESC)::BIGINT AS tps, SUM(neg) OVER (ORDER BY s DESC)::BIGINT AS fps,
+             SUM(pos) OVER ()::BIGINT AS p, SUM(neg) OVER ()::BIGINT AS n, MIN(s) OVER () AS last FROM score_counts)
+WHERE tps * 20 // greatest(p, 1) > (tps - pos) * 20 // greatest(p, 1)
+   OR fps * 20 // greatest(n, 1) > (fps - neg) * 20 // greatest(n, 1) OR s = last""", SPLIT_SQL))
+def m7_roc_reduced_rule_score(spark, sf):
+    """At most 42 points, each axis to within a twentieth."""
+    return EV.roc_curve_reduced(_test_rule_scored(spark, sf), "is_default", "score", cells=20)
+
+
+#: The coefficients at which the gradient query is taken: intercept, features.
+_AT = (-0.1, 0.05)
+_FRAME = ", ".join(f"({c} - m{i}) / d{i} AS z{i}" for i, c in enumerate(M.FEATURES))
+
+
+@register("m12_gradient", O.with_layers(f"""
+SELECT u.term, ROUND(u.gradient, 4) AS gradient FROM (
+  SELECT unnest([{", ".join(["'intercept'", *[f"'{c}'" for c in M.FEATURES]])}]) AS term,
+         unnest([SUM(s * (p - y)), {", ".join(f"SUM(s * (p - y) * z{i}) + {_AT[1]}" for i in range(len(M.FEATURES)))}]) AS gradient
+  FROM (SELECT *, 1 / (1 + exp(-({_AT[0]} + {_AT[1]} * ({" + ".join(f"z{i}" for i in range(len(M.FEATURES)))})))) AS p,
+               CASE WHEN y = 1 THEN n / (2.0 * pos) ELSE n / (2.0 * (n - pos)) END AS s
+        FROM (SELECT CAST(is_default AS DOUBLE) AS y, {_FRAME}, n, pos FROM train, moments))) u""", SPLIT_SQL + f""",
+train AS (SELECT * FROM split WHERE split = 'train'),
+moments AS (SELECT COUNT(*)::DOUBLE AS n, (COUNT(*) FILTER (WHERE is_default = 1))::DOUBLE AS pos,
+  {", ".join(f"AVG(CAST({c} AS DOUBLE)) AS m{i}, CASE WHEN STDDEV_POP(CAST({c} AS DOUBLE)) > 0 THEN STDDEV_POP(CAST({c} AS DOUBLE)) ELSE 1.0 END AS d{i}"
+             for i, c in enumerate(M.FEATURES))} FROM train)"""))
+def m12_gradient(spark, sf):
+    """The gradient of the logistic regression's objective at fixed coefficients."""
+    from ..operators.newton import logistic_gradient
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    beta = [_AT[0]] + [_AT[1]] * len(M.FEATURES)
+    return logistic_gradient(train, beta).select("term", sql_round(F.col("gradient"), 4).alias("gradient"))
+
+
 @register("m8_confusion_rule_score", O.with_layers("""
 SELECT a.actual, p.predicted, COUNT(t.is_default) AS count
 FROM (VALUES (0), (1)) a(actual) CROSS JOIN (VALUES (0), (1)) p(predicted)

@@ -54,6 +54,15 @@ def test_sorted_results_come_back_in_order(spark, sf, name, key):
     assert len(rows) > 1 and [key(r) for r in rows] == sorted(key(r) for r in rows)
 
 
+def test_summary_and_slices_come_back_in_order(spark, sf):
+    key = lambda r: (r.dimension, -r.default_rate_pct, r.segment)
+    rows = E.queries()["p4_portfolio_summary"](spark, sf).collect()
+    assert len(rows) == 14 and [key(r) for r in rows] == sorted(key(r) for r in rows)
+    for name in ("b7_portfolio_slice_age", "b7_portfolio_slice_income"):
+        rows = E.queries()[name](spark, sf).collect()
+        assert len(rows) > 3 and [key(r) for r in rows] == sorted(key(r) for r in rows)
+
+
 def test_split_sizes_with_ties_and_one_class(spark):
     df = spark.range(0, 1000).select(F.col("id").alias("customer_id"), (F.col("id") % 3 == 0).cast("int").alias("is_default"))
     got = {(r.is_default, r.split): r["count"] for r in M.stratified_split(df).groupBy("is_default", "split").count().collect()}

@@ -63,3 +63,35 @@ def test_pipeline_models_round_trip(spark, fitted):
                                                          fitted["gbt"]).collect())
     b = sorted(r.pd_score_xgb for r in M.score_table(fitted["test"], fitted["lr"], back).collect())
     assert a == b
+
+
+def test_logistic_fit_is_the_newton_optimum(spark, fitted):
+    from riskweave.operators.newton import logistic_gradient, newton_logistic
+    train = fitted["train"]
+    best = newton_logistic(train)
+    got = {r.term: r.coefficient for r in M.lr_coefficients(fitted["lr"]).collect()}
+    for term, value in zip(["intercept", *M.FEATURES], best):
+        assert got[term] == pytest.approx(value, abs=5e-6), term  # the fit's own limit
+    assert all(abs(r.gradient) < 1e-6 for r in logistic_gradient(train, best).collect())
+
+
+def test_reduced_roc_stays_within_its_error(spark, fitted):
+    import numpy as np
+    for cells in (10, 50):
+        whole = EV.roc_curve(fitted["scores"], "is_default", "pd_score_xgb", drop_intermediate=False).toPandas().sort_values("threshold", ascending=False)
+        few = EV.roc_curve_reduced(fitted["scores"], "is_default", "pd_score_xgb", cells=cells).toPandas().sort_values("threshold", ascending=False)
+        assert len(few) <= 2 * cells + 2 < len(whole)
+        at = np.searchsorted(-few.threshold.to_numpy(), -whole.threshold.to_numpy(), "right") - 1
+        for rate in ("fpr", "tpr"):
+            assert np.abs(whole[rate].to_numpy() - few[rate].to_numpy()[at]).max() <= 1 / cells
+        assert few[["fpr", "tpr"]].iloc[-1].tolist() == [1, 1] and few[["fpr", "tpr"]].iloc[0].tolist() == [0, 0]
+
+
+def test_row_numbers_take_as_many_buckets_as_the_input_asks_for(spark, sf, monkeypatch):
+    from riskweave.operators import prefix
+    raw = R.raw(spark, sf)
+    assert prefix.buckets_for(raw) == prefix.FEWEST_BUCKETS
+    monkeypatch.setattr(prefix, "BUCKET_BYTES", 300)
+    assert prefix.FEWEST_BUCKETS < prefix.buckets_for(raw) <= prefix.MOST_BUCKETS
+    rows = prefix.global_row_number(raw.select("customer_id"), "customer_id").collect()
+    assert sorted((r.customer_id, r.row_num) for r in rows) == [(r.customer_id, i) for i, r in enumerate(sorted(rows, key=lambda r: r.customer_id), 1)]

@@ -7,7 +7,8 @@ import pytest
 
 from riskweave.operators import layers as L
 from riskweave.plans import registry as R
-from riskweave.streaming.scoring import APPLICANT_SCHEMA, score_frame, start_scoring_stream
+from riskweave.streaming import scoring
+from riskweave.streaming.scoring import APPLICANT_SCHEMA, score_frame, start_scoring_batches, start_scoring_stream
 
 
 def test_stream_matches_batch(spark, sf):
@@ -28,3 +29,33 @@ def test_stream_matches_batch(spark, sf):
     assert [x[0] for x in a] == [x[0] for x in b]
     for x, y in zip(a, b):
         assert x[1] == pytest.approx(y[1]) and x[2] == pytest.approx(y[2])
+
+
+def test_a_stopped_stream_finds_every_applicant_once(spark, sf, tmp_path, monkeypatch):
+    """It stops while the second batch is half written, and is started again."""
+    f = R.fitted(spark, sf, trees=10)
+    apps = R.raw(spark, sf).select(*[c.name for c in APPLICANT_SCHEMA])
+    src, sink, rejects, ckpt = (str(tmp_path / x) for x in ("in", "out", "rejects", "ckpt"))
+    apps.repartition(4).write.parquet(src)
+    start = lambda: start_scoring_batches(spark, src, sink, rejects, ckpt, f["lr"], f["gbt"], available_now=True, max_files_per_trigger=1)
+    whole = scoring.write_batch
+
+    def dies(df, batch_id, sink_dir, rejects_dir):
+        whole(df.limit(10) if batch_id == 1 else df, batch_id, sink_dir, rejects_dir)
+        if batch_id == 1:
+            raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(scoring, "write_batch", dies)
+        query = start()
+        with pytest.raises(Exception):
+            query.awaitTermination(300)
+    assert spark.read.parquet(sink).select("batch_id").distinct().count() == 2
+    query = start()
+    query.awaitTermination(300)
+    assert query.exception() is None
+    scored, rejected = spark.read.parquet(sink), spark.read.parquet(rejects)
+    ids = sorted(r.customer_id for df in (scored, rejected) for r in df.select("customer_id").collect())
+    assert ids == sorted(r.customer_id for r in apps.select("customer_id").collect())
+    assert rejected.count() > 0 and rejected.filter("reject_reason is null").isEmpty()
+    assert scored.filter("pd_score_xgb is null").isEmpty() and scored.select("batch_id").distinct().count() == 4
