@@ -28,7 +28,9 @@ read. A text is encoded whole, so one text must fit in a task.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -37,12 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_blocks, keep, text_buffers, tidy
+from .common import cut_blocks, give_back, keep, text_buffers, tidy
 
 #: The tokenizers' files, as every executor finds them.
 FILE_A, FILE_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes and rows of a chunk (a longer text is one of its own); bytes encoded at once.
-CHUNK, CHUNK_ROWS, BLOCK = 4 << 20, 16384, 1 << 19
+#: Bytes and rows of a chunk (a longer text is one of its own); bytes encoded
+#: and tokens aligned at once.
+CHUNK, CHUNK_ROWS, BLOCK, TOKENS = 2 << 20, 16384, 1 << 18, 1 << 17
 
 
 def byte_characters() -> dict[str, int]:
@@ -53,8 +56,18 @@ def byte_characters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(others)}}
 
 
+#: How byte-level BPE cuts a text into words (a fixed value of its file format).
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters, whose classes no Unicode version changed, and
+#: without longer runs of other characters than white space, are cut into words
+#: and encoded alike by both libraries that read byte-level BPE.
+NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]|[^\t\n\r ]{512}")
+
+
 class ByteLevel:
-    """A byte-level BPE file of the tokenizers library."""
+    """A byte-level BPE file of the tokenizers library. Where its merges are
+    its ids in order, plain texts (no NOT_PLAIN) go to the faster tiktoken, built from
+    the same file's entries; all others to the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -67,8 +80,35 @@ class ByteLevel:
         for piece, i in entries.items():
             self.pieces[i] = bytes(to_byte[c] for c in piece) if all(c in to_byte for c in piece) else piece.encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.fast = self._fast(path, entries)
+
+    def _fast(self, path: str, entries: dict[str, int]):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in file["model"].get("merges", [])]
+        bytes_first = {entries.get(c) for c in byte_characters()} == set(range(256))
+        in_order = bytes_first and all(entries.get(a + b) == 256 + k for k, (a, b) in enumerate(merges))
+        cutter = file.get("pre_tokenizer") or {}
+        plain = (file["model"].get("type") == "BPE" and not file.get("normalizer") and cutter.get("type") == "ByteLevel"
+                 and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and not file["model"].get("dropout")
+                 and not file["model"].get("ignore_merges"))
+        if not (in_order and plain):
+            return None
+        import tiktoken
+        ranks = {self.pieces[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list:
+        if self.fast is None:
+            return self._whole(texts)
+        out = [None if NOT_PLAIN.search(t) else self.fast.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
+        others = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(others, self._whole([texts[k] for k in others])):
+            out[k] = ids
+        return out
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)] if texts else []
 
 
 class Pieces:
@@ -120,8 +160,8 @@ def encode_texts(column: pa.Array, path_a: str, path_b: str):
         both = []
         for path in (path_a, path_b):
             ids = tokenizer(path).encode(texts)
-            flat = np.array([i for t in ids for i in t], np.int64)
             n = _bounds([len(t) for t in ids])
+            flat = np.concatenate([np.asarray(t, np.int64) for t in ids]) if ids else np.zeros(0, np.int64)
             at = _bounds(piece_lengths(path)[flat])[n].tolist()
             _, _, joined = piece_bytes(path).take(pa.array(flat)).buffers()
             joined = memoryview(joined or b"").cast("B")  # Arrow's bytes are signed
@@ -225,10 +265,27 @@ def _written(n_a: int, n_b: int) -> pa.Array:
 
 
 def unpack(chunks, r: int, types, lengths):
-    """(keys, n_a, n_b, alignment) of row ``r`` of a batch of chunks."""
+    """(keys, n_a, n_b, alignment) of runs of texts of row ``r`` of a batch of
+    chunks, TOKENS tokens at once (or one longer text)."""
+    keys = chunks.column("keys")[r].values
     n_a, n_b = (np.array(chunks.column(c)[r].values, np.int64) for c in ("n_a", "n_b"))
-    a, b = (np.frombuffer(chunks.column(c)[r].as_buffer(), t).astype(np.int64) for c, t in zip("ab", types))
-    return chunks.column("keys")[r].values, n_a, n_b, Aligned(a, n_a, b, n_b, *lengths)
+    a, b = (np.frombuffer(chunks.column(c)[r].as_buffer(), t) for c, t in zip("ab", types))
+    at_a, at_b = _bounds(n_a), _bounds(n_b)
+    for lo, hi in cut_blocks(at_a + at_b, TOKENS):
+        yield keys.slice(lo, hi - lo), n_a[lo:hi], n_b[lo:hi], Aligned(
+            a[at_a[lo]:at_a[hi]].astype(np.int64), n_a[lo:hi], b[at_b[lo]:at_b[hi]].astype(np.int64), n_b[lo:hi], *lengths)
+
+
+def _pairs(found: Aligned, n_b_ids: int):
+    """The distinct linked pairs of texts, sorted, and how many texts hold each."""
+    pair = found.link_a * n_b_ids + found.link_b
+    text = np.repeat(np.arange(len(found.first_link) - 1), np.diff(found.first_link))
+    order = np.lexsort((text, pair))
+    pair, text = pair[order], text[order]
+    new_pair = np.concatenate([[True], pair[1:] != pair[:-1]])[:len(pair)]
+    new = new_pair | np.concatenate([[True], text[1:] != text[:-1]])[:len(pair)]
+    at = np.flatnonzero(new_pair)
+    return pair[at], np.add.reduceat(new, at, dtype=np.int64) if len(at) else at
 
 
 def chunk_pairs(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -238,19 +295,14 @@ def chunk_pairs(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
         types, lengths = (id_type(path_a), id_type(path_b)), (piece_lengths(path_a), piece_lengths(path_b))
         for batch in batches:
             for r in range(batch.num_rows):
-                _, _, _, found = unpack(batch, r, types, lengths)
-                pair = found.link_a * len(lengths[1]) + found.link_b
-                text = np.repeat(np.arange(len(found.first_link) - 1), np.diff(found.first_link))
-                order = np.lexsort((text, pair))
-                pair, text = pair[order], text[order]
-                new_pair = np.concatenate([[True], pair[1:] != pair[:-1]])[:len(pair)]
-                new = new_pair | np.concatenate([[True], text[1:] != text[:-1]])[:len(pair)]
-                at = np.flatnonzero(new_pair)
-                docs = np.add.reduceat(new, at, dtype=np.int64) if len(at) else at
+                parts = [_pairs(found, len(lengths[1])) for _, _, _, found in unpack(batch, r, types, lengths)]
+                pair, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+                docs = np.zeros(len(pair), np.int64)
+                np.add.at(docs, place, np.concatenate([n for _, n in parts]))
                 chunk = batch.column("chunk")[r].as_py()
-                for lo in range(0, len(at), 1 << 16):
-                    some = at[lo:lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(pair[some]), pa.array(docs[lo:lo + (1 << 16)])],
+                for lo in range(0, len(pair), 1 << 16):
+                    some = pair[lo:lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some), pa.array(docs[lo:lo + (1 << 16)])],
                                                      names=["chunk", "pair", "docs"])
 
     return keep(chunks.select("chunk", "keys", "n_a", "n_b", "a", "b").mapInArrow(tidy(rows), "chunk long, pair long, docs long"), "token-pairs")
@@ -283,13 +335,12 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", path_a: str
         pair, n, best = pair[order], told.column("docs").to_numpy()[order], told.column("best").to_numpy()[order]
         parts = []
         for r in range(held.num_rows):
-            keys, n_a, n_b, found = unpack(held, r, types, lengths)
-            at = np.searchsorted(pair, found.link_a * n_b_ids + found.link_b)
-            total, wins = (_bounds(x[at])[found.first_link] for x in (n, best))
-            parts.append(pa.table([keys, pa.array(n_a), pa.array(n_b), *[pa.array(np.diff(x)) for x in (found.first_group, found.first_link, wins, total)],
-                                   found.groups(n_a_ids, n_b_ids).cast(pa.string())], names=["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]))
-        if not parts:  # answers without their chunk: there are none
-            raise ValueError("a chunk is missing")
+            for keys, n_a, n_b, found in unpack(held, r, types, lengths):
+                at = np.searchsorted(pair, found.link_a * n_b_ids + found.link_b)
+                total, wins = (_bounds(x[at])[found.first_link] for x in (n, best))
+                parts.append(pa.table([keys, pa.array(n_a), pa.array(n_b), *[pa.array(np.diff(x)) for x in (found.first_group, found.first_link, wins, total)],
+                                       found.groups(n_a_ids, n_b_ids).cast(pa.string())], names=["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]))
+        give_back()
         return pa.concat_tables(parts)
 
     key_type = docs.schema[key].dataType.simpleString()

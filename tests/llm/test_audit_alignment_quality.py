@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 from riskweave.llm import alignment, filters, quality
@@ -115,11 +116,13 @@ def test_contraction_is_the_sum_over_cells():
 def _aligned(rows):
     """Token by token: groups by common ends, links by all overlapping pairs."""
     ta, tb = alignment.tokenizer(alignment.FILE_A), alignment.tokenizer(alignment.FILE_B)
+    slow = Tokenizer.from_file(alignment.FILE_A)
+    slow.encode_special_tokens = True
     found, held = [], Counter()
     for r in rows:
         text = r.text or ""
         whole = (" " + text).encode()
-        a, b = ta.encode([text])[0], tb.encode([text])[0]
+        a, b = slow.encode(" " + text, add_special_tokens=False).ids, tb.encode([text])[0]
         if not text or b"".join(ta.pieces[i] for i in a) != whole or b"".join(tb.pieces[i] for i in b) != whole:
             found.append((r.doc_id, [], [], [], []))
             continue
@@ -172,9 +175,24 @@ def test_alignment_small_chunks_change_nothing(spark, awkward, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK", 700)
     monkeypatch.setattr(alignment, "CHUNK_ROWS", 3)
     monkeypatch.setattr(alignment, "BLOCK", 300)
+    monkeypatch.setattr(alignment, "TOKENS", 100)
     assert _multi(_rows(alignment.align(awkward.coalesce(1))[0])) == want
 
 
+def test_fast_encoding_is_that_of_the_file(documents):
+    """Plain texts, and random ones of their characters, give the same ids."""
+    t = alignment.tokenizer(alignment.FILE_A)
+    assert t.fast is not None
+    rng = np.random.default_rng(7)
+    letters = [chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)]]
+    weights = np.array([8.0 if c in " \t\n\r'aestlmdrv019.," else 1.0 for c in letters])
+    made = ["".join(rng.choice(letters, rng.integers(1, 120), p=weights / weights.sum())) for _ in range(3000)]
+    texts = [x for x in made + [r.text for r in documents.collect() if r.text] if not alignment.NOT_PLAIN.search(x)]
+    assert len(texts) > 3000
+    for x, fast, whole in zip(texts, t.encode(texts), t._whole(texts)):
+        assert list(fast) == whole, x
+
+
 def test_alignment_query_digests_groups(spark, sf, documents):
     got = {r.doc_id: r for r in E.queries()["op12_alignment"](spark, sf).collect()}
     for r in _rows(alignment.align(documents)[0]):
