@@ -12,7 +12,8 @@ Rounding: copies = floor(r_i + u_i), u_i in [0, 1) from a hash of the id, so
 reruns agree and no document exceeds CAP times its size. The rounded sum
 steps up with lambda, so after Newton lambda_s is moved, within a narrow
 bracket found by histograms, to where the rounded sum meets the target; what
-is left is at most about one document.
+is left is at most about one document. Rows that agree in source, size and id
+(such as copies, or rows without id) step apart, at evenly spaced u_i.
 
 Null and empty texts have size 0, rate 1 and take nothing; a null source is a
 source of its own, last in order; repeated rows count each; an empty table
@@ -79,8 +80,10 @@ def _copies(lam: Column) -> Column:
 
 def solve_dual(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(key, source_size, target, lam): Newton on the dual. One step reads
-    the (key, n, count) table once and aggregates by key."""
-    counts = keep(sizes.filter("n > 0").groupBy("key", "n").agg(F.count("*").alias("c")), "mix-counts")
+    the (key, n, count) table once and aggregates by key. ``sizes`` may hold
+    how many rows each row stands for, as c."""
+    each = F.col("c") if "c" in sizes.columns else F.lit(1)
+    counts = keep(sizes.filter("n > 0").groupBy("key", "n").agg(F.sum(each).cast("long").alias("c")), "mix-counts")
     state = keep(targets.select("*", F.lit(0.0).alias("lam"), F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi")), "mix-state")
     n, r = F.col("n"), F.col("r")
     for _ in range(MAX_STEPS):
@@ -112,7 +115,7 @@ def settle_rounding(sizes: DataFrame, state: DataFrame) -> DataFrame:
     histograms of these points (around the dual's solution, then inside the
     bin of the target) leave a bracket a billionth as wide."""
     points = sizes.filter("n > 0").select(
-        "key", "n", F.explode(F.array(*[F.log(F.lit(float(k)) - F.col("u")) / F.col("n") for k in range(1, CAP + 1)])).alias("at"))
+        "key", (F.col("n") * F.col("c")).alias("n"), F.explode(F.array(*[F.log(F.lit(float(k)) - F.col("u")) / F.col("n") for k in range(1, CAP + 1)])).alias("at"))
     near = F.greatest(F.abs("lam") * 0.1, F.lit(1e-9))
     state = state.withColumn("lo", F.col("lam") - near).withColumn("hi", F.col("lam") + near)
     for _ in range(3):
@@ -140,9 +143,9 @@ def settle_rounding(sizes: DataFrame, state: DataFrame) -> DataFrame:
                              F.col("lam")), "mix-round")
     # take the end of the bracket that comes nearer; at either end the sum is exact
     ends = (sizes.join(state.select("key", "lo", "hi"), "key")
-            .groupBy("key").agg(F.sum(F.col("n") * _copies(F.col("lo"))).alias("at_lo"),
-                                F.sum(F.col("n") * _copies(F.col("hi"))).alias("at_hi"),
-                                F.sum(F.col("n") * _copies((F.col("lo") + F.col("hi")) / 2)).alias("at_mid")))
+            .groupBy("key").agg(F.sum(F.col("c") * F.col("n") * _copies(F.col("lo"))).alias("at_lo"),
+                                F.sum(F.col("c") * F.col("n") * _copies(F.col("hi"))).alias("at_hi"),
+                                F.sum(F.col("c") * F.col("n") * _copies((F.col("lo") + F.col("hi")) / 2)).alias("at_mid")))
     off = {x: F.abs(F.col(f"at_{x}") - F.col("target")) for x in ("lo", "hi", "mid")}
     return keep(state.join(ends, "key", "left").select(
         "key", "source_size", "target",
@@ -150,6 +153,47 @@ def settle_rounding(sizes: DataFrame, state: DataFrame) -> DataFrame:
         .when(off["hi"] <= off["lo"], F.col("hi")).otherwise(F.col("lo")).alias("lam")), "mix-lambda")
 
 
+#: Units that rows alike are dealt to, rows that one task numbers, and the most
+#: groups of rows alike that are broadcast.
+UNITS, NUMBERED, BROADCAST = 4096, 100_000, 100_000
+
+
+def _without(every: DataFrame, alike: DataFrame) -> DataFrame:
+    """The rows that no other agrees with."""
+    return every.alias("a").join(alike.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("key", "n", "id")], "left_anti")
+
+
+def _units(alike: DataFrame) -> DataFrame:
+    """Rows alike as UNITS units at most, each of c rows that step together:
+    the m rows of a group step at evenly spaced points, up to UNITS of them."""
+    units = F.least(F.col("m"), F.lit(UNITS))
+    dealt = alike.withColumn("units", units).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), units - 1)))
+    return dealt.select("source", "key", "n", ((F.col("t") + F.col("u")) / F.col("units")).alias("u"), "id",
+                        (F.floor(F.col("m") / F.col("units")) + F.when(F.col("t") < F.col("m") % F.col("units"), 1).otherwise(0)).cast("long").alias("c"))
+
+
+def _numbered(rows: DataFrame, alike: DataFrame, key: str, broadcast: bool) -> DataFrame:
+    """``rows`` with __u of those alike replaced by their unit's. Only rows
+    alike are shuffled, NUMBERED of them to a task: each takes a lot, the rows
+    of a lot are numbered, and the lots' counts before it are added."""
+    groups = alike.select(F.col("key").alias("__k"), F.col("n").alias("__m_n"), F.col("id").alias("__id"), F.col("m").alias("__m"))
+    groups = F.broadcast(groups) if broadcast else groups
+    found = rows.join(groups, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__n") == F.col("__m_n")) & F.col(key).eqNullSafe(F.col("__id")), "left")
+    plain = found.filter("__m is null").select(rows.columns)
+    lots = F.ceil(F.col("__m") / NUMBERED)
+    several = keep(found.filter("__m is not null").withColumn("__lot", F.pmod(F.monotonically_increasing_id(), lots)), "mix-several")
+    group = ["__k", "__m_n", "__id"]
+    counted = several.groupBy(*group, "__lot").agg(F.count("*").alias("c"))
+    before = Window.partitionBy(*group).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select(*[F.col(c).alias(f"{c}2") for c in (*group, "__lot")], F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy(*group, "__lot").orderBy("__lot"))
+    units = F.least(F.col("__m"), F.lit(UNITS))
+    placed = several.withColumn("__rank", inside).join(
+        offsets, [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in (*group, "__lot")])
+    unit = (F.col("__off") + F.col("__rank") - 1) % units
+    return plain.unionByName(placed.withColumn("__u", (unit + F.col("__u")) / units).select(rows.columns))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
         weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken.
@@ -160,12 +204,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     u = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("mix")), 11) * F.lit(2.0**-53)
     shape = [F.col(source).cast("string").alias("source"), _key(F.col(source)).alias("key"),
-             n_words(F.col(text)).alias("n"), u.alias("u")]
-    sizes = keep(docs.select(*shape), "mix-sizes")
-    state = settle_rounding(sizes, solve_dual(sizes, source_targets(sizes, weights, share)))
+             n_words(F.col(text)).alias("n"), u.alias("u"), F.col(key).alias("id")]
+    every = keep(docs.select(*shape), "mix-sizes")
+    # rows that agree in source, size and id would all step at one lambda
+    alike = keep(every.filter("n > 0").groupBy("source", "key", "n", "u", "id").agg(F.count("*").alias("m")).filter("m > 1"), "mix-alike")
+    n_alike = alike.count()
+    sizes = every.withColumn("c", F.lit(1).cast("long"))
+    if n_alike:
+        sizes = keep(_without(every, alike).withColumn("c", F.lit(1).cast("long")).unionByName(_units(alike)), "mix-units")
+    state = settle_rounding(sizes, solve_dual(sizes, source_targets(every, weights, share)))
     out = ["size", "source_size", "target", "rate", "copies", "taken"]
     mine = {c: f"__{c}" for c in ("key", "n", "u")}
     rows = docs.drop(*out).withColumns({mine["key"]: shape[1], mine["n"]: shape[2], mine["u"]: shape[3]})
+    if n_alike:
+        rows = _numbered(rows, alike, key, n_alike <= BROADCAST)
     lam = state.select(F.col("key").alias(mine["key"]), F.col("source_size").alias("__s"),
                        F.col("target").alias("__t"), F.col("lam").alias("__lam"))
     n, r = F.col(mine["n"]), _rate(F.col("__lam"), F.col(mine["n"]))
