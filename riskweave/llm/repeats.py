@@ -118,7 +118,8 @@ def slices(chunk: int, hashes: np.ndarray, buckets: int, counts: bool = False):
          pa.array([(many[a:b] if counts else np.packbits(many[a:b])).tobytes() for a, b in zip(first, end)], pa.binary())], names=["bucket", "chunk", "hashes", "many"])
 
 
-def _answer(width: int):
+def answer(width: int):
+    """The answers of a bucket of hashes of ``width`` words each."""
     def rows(table: pa.Table) -> pa.Table:
         blobs = table.column("hashes").to_pylist()
         hashes = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, width)
@@ -151,13 +152,13 @@ def answer_counts(crowd: int):
 def with_answers(chunks: DataFrame, emit: Callable, width: int, name: str) -> DataFrame:
     """``chunks`` with a column ``name``: the answers of all its slices, in
     the order of the buckets. ``emit`` maps batches of chunks to slices."""
-    return asked(chunks, chunks.mapInArrow(emit, "bucket long, chunk long, hashes binary, many binary"), _answer(width), name)
+    return asked(chunks, chunks.mapInArrow(emit, "bucket long, chunk long, hashes binary, many binary"), answer(width), name)
 
 
-def asked(chunks: DataFrame, sent: DataFrame, answer: Callable, name: str) -> DataFrame:
-    """``chunks`` joined to what ``answer`` makes of each bucket of ``sent``:
+def asked(chunks: DataFrame, sent: DataFrame, decide: Callable, name: str) -> DataFrame:
+    """``chunks`` joined to what ``decide`` makes of each bucket of ``sent``:
     a row (chunk, bucket, bits) for each row sent."""
-    return joined(chunks, sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, bits binary"), name)
+    return joined(chunks, sent.groupBy("bucket").applyInArrow(decide, "chunk long, bucket long, bits binary"), name)
 
 
 def joined(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:

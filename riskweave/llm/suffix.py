@@ -41,8 +41,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, WINDOWS2, keep, mix
-from .repeats import LEVEL, answer_counts, asked, bucket_of, joined, n_buckets, pack, shared_mask, slices, unpack, with_answers
+from .common import BYTES, WINDOWS2, keep, mix, shared_path
+from .repeats import LEVEL, answer, answer_counts, asked, bucket_of, joined, n_buckets, pack, shared_mask, slices, unpack
 
 WINDOW, GRAM = 200, 32
 #: Region bytes that a shard is expected to hold, if SHARE of the input is in regions.
@@ -341,33 +341,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         order = np.argsort(shard, kind="stable")
         return a[order], b[order], shard[order], np.flatnonzero(np.isin(least, crowded))
 
-    def send_crowded(batches):
-        for batch in batches:
-            for (chunk, _, _, data, offsets), answers in zip(unpack(batch), batch.column("names")):
-                least, hashes = named(data, offsets, window)
-                at = np.flatnonzero(np.isin(least, crowds(hashes, answers.as_py())))
-                if len(at):
-                    yield slices(chunk, window_hashes(data, at, window), crowd_buckets)
-
-    def send_regions(batches):
+    def mark(batches):
+        """What a chunk needs later, each found once. Kind 0: the runs and the
+        starts of crowded windows, kept for the chunk; 1: a shard's regions;
+        2: a bucket's hashes of crowded windows."""
         zipped = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for (chunk, _, _, data, offsets), answers in zip(unpack(batch), batch.column("names")):
-                a, b, shard, _ = found(data, offsets, answers.as_py())
+                a, b, shard, at = found(data, offsets, answers.as_py())
+                rows = [(0, 0, np.stack([a, b, shard]).astype("<i8").tobytes(), b"", at.astype("<i8").tobytes(), b"")]
                 raw = data.tobytes()
                 some, first = np.unique(shard, return_index=True)
-                blobs, sizes = [], []
-                for lo, hi in zip(first, np.append(first[1:], len(shard))):
-                    blobs.append(zipped.compress(b"".join([raw[x:y + window - 1] for x, y in zip(a[lo:hi].tolist(), b[lo:hi].tolist())])))
-                    sizes.append((b[lo:hi] - a[lo:hi] + window - 1).astype("<i4").tobytes())
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), chunk)), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())],
-                                                     names=["bucket", "chunk", "regions", "lengths"])
+                for k, lo, hi in zip(some.tolist(), first, np.append(first[1:], len(shard))):
+                    blob = zipped.compress(b"".join([raw[x:y + window - 1] for x, y in zip(a[lo:hi].tolist(), b[lo:hi].tolist())]))
+                    rows.append((1, k, blob, (b[lo:hi] - a[lo:hi] + window - 1).astype("<i4").tobytes(), b"", b""))
+                if len(at):
+                    counted = slices(chunk, window_hashes(data, at, window), crowd_buckets)
+                    rows += [(2, k, b"", b"", h, m) for k, h, m in zip(*[counted.column(c).to_pylist() for c in ("bucket", "hashes", "many")])]
+                kind, bucket, *blobs = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kind, pa.int32()), pa.array(bucket, pa.int64()), pa.array(np.full(len(rows), chunk)), *[pa.array(x, pa.binary()) for x in blobs]],
+                    names=["kind", "bucket", "chunk", "regions", "lengths", "hashes", "many"])
 
     def finish(batches):
         for batch in batches:
-            for (_, keys, _, data, offsets), answers, counted, decided in zip(unpack(batch), batch.column("names"), batch.column("crowded"), batch.column("repeats")):
-                a, b, shard, at = found(data, offsets, answers.as_py())
+            columns = [batch.column(c) for c in ("runs", "starts", "crowded", "repeats")]
+            for (_, keys, _, data, offsets), runs, at, counted, decided in zip(unpack(batch), *columns):
+                a, b, shard = np.frombuffer(runs.as_py(), "<i8").reshape(3, -1)
+                at = np.frombuffer(at.as_py(), "<i8")
                 cover = np.zeros(len(data) + 1, np.int64)
                 if len(at):
                     at = at[shared_mask(window_hashes(data, at, window), crowd_buckets, counted.as_py())]
@@ -396,11 +397,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     # each position is the name of up to this many windows; four times BUCKET, as many are equal within a chunk
     crowded = (answers.agg(F.sum("crowded")).first()[0] or 0) * (window - GRAM + 1)
     crowd_buckets = n_buckets(crowded / 4, 2)
-    marked = joined(chunks, answers.select("chunk", "bucket", "bits"), "names")
-    if crowded:
-        marked = with_answers(marked, send_crowded, 2, "crowded")
-    else:
-        marked = marked.withColumn("crowded", F.lit(None).cast("array<struct<bucket:bigint,bits:binary>>"))
-    sent = marked.mapInArrow(send_regions, "bucket long, chunk long, regions binary, lengths binary")
-    return asked(marked, sent, _decide(window), "repeats").mapInArrow(
+    schema = "kind int, bucket long, chunk long, regions binary, lengths binary, hashes binary, many binary"
+    marked = joined(chunks, answers.select("chunk", "bucket", "bits"), "names").mapInArrow(mark, schema)
+    path = shared_path(docs, "marks")
+    marked.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    marks = docs.sparkSession.read.schema(schema).parquet(path)
+    runs = marks.filter("kind = 0").select("chunk", F.col("regions").alias("runs"), F.col("hashes").alias("starts"))
+    counted = marks.filter("kind = 2").select("bucket", "chunk", "hashes", "many")
+    regions_sent = marks.filter("kind = 1").select("bucket", "chunk", "regions", "lengths")
+    whole = asked(asked(chunks.join(runs, "chunk"), counted, answer(2), "crowded"), regions_sent, _decide(window), "repeats")
+    return whole.mapInArrow(
         finish, f"key {key_type}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("key", key)

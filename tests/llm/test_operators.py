@@ -107,6 +107,28 @@ def test_mixing(docs):
     assert _multi((r.doc_id, r["size"], r.taken) for r in got) == _multi((r.doc_id, r["size"], r.taken) for r in again)
 
 
+@pytest.mark.parametrize("units, numbered", [(4096, 100_000), (7, 50)])
+def test_mixing_of_equal_rows(spark, monkeypatch, units, numbered):
+    """A source of equal rows, also without id, meets its target as others do."""
+    monkeypatch.setattr(mixing, "UNITS", units)
+    monkeypatch.setattr(mixing, "NUMBERED", numbered)
+    rows = [(i, _phrase(20 + i % 60, i), "a") for i in range(800)] + [(5, _phrase(40, 1), "b")] * 1000 + [(None, _phrase(30, 2), "c")] * 500 + [(None, "", "c")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken in (0, r["size"], 2 * r["size"])
+    assert sum(target.values()) == pytest.approx(1.5 * sum(r["size"] for r in got))
+    for source, n in (("a", 80), ("b", 40), ("c", 30)):
+        steps = 1 if units == 4096 else 1 + 1000 // units
+        assert abs(taken[source] - target[source]) <= n * steps
+    again = mixing.mix(df.repartition(2)).collect()
+    assert Counter((r.doc_id, r["size"], r.taken) for r in got) == Counter((r.doc_id, r["size"], r.taken) for r in again)
+
+
 def test_mixing_dual_meets_the_constraints_before_rounding(documents):
     sizes = documents.select(F.col("source"), F.concat(F.lit("s"), "source").alias("key"), mixing.n_words(F.col("text")).alias("n")).cache()
     n = defaultdict(list)
