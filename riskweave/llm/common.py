@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from riskweave.session import ensure_checkpoint_dir
+from riskweave.sources.kept import kept_folder
 
 #: Separators of the words that mixing, SimHash and substring dedup use, as bytes.
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -28,8 +29,9 @@ def shared_path(df_or_spark, tag: str) -> str:
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage
-    with files that every executor sees, so a lost executor loses nothing."""
-    path = shared_path(df, tag)
+    with files that every executor sees, so a lost executor loses nothing.
+    Inside a ``scope`` the folder is deleted when that ends."""
+    path = kept_folder(df.sparkSession, shared_path(df, tag))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

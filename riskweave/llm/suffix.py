@@ -41,6 +41,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.sources.kept import kept_folder
+
 from .common import BYTES, WINDOWS2, keep, mix, shared_path
 from .repeats import LEVEL, answer, answer_counts, asked, bucket_of, joined, n_buckets, pack, shared_mask, slices, unpack
 
@@ -399,7 +401,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     crowd_buckets = n_buckets(crowded / 4, 2)
     schema = "kind int, bucket long, chunk long, regions binary, lengths binary, hashes binary, many binary"
     marked = joined(chunks, answers.select("chunk", "bucket", "bits"), "names").mapInArrow(mark, schema)
-    path = shared_path(docs, "marks")
+    path = kept_folder(docs.sparkSession, shared_path(docs, "marks"))
     marked.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     marks = docs.sparkSession.read.schema(schema).parquet(path)
     runs = marks.filter("kind = 0").select("chunk", F.col("regions").alias("runs"), F.col("hashes").alias("starts"))

@@ -10,9 +10,12 @@ refer to the original. Reading these again joins each revisit record to its
 response, for the payload's length.
 
 Archives are gzip files written by Spark's text sink: a record ends with two
-line breaks, which is the sink's line separator. They are read with Spark's
-binaryFile source, so they may lie in any store, and are parsed by
-Content-Length, so payloads may hold anything.
+line breaks, which is the sink's line separator, and a file has FILE_RECORDS
+records at most. They are read with Spark's binaryFile source, so they may lie
+in any store, and are parsed by Content-Length, so payloads may hold any
+bytes: they are carried as bytes and written as they were. Rewritten records
+keep their date, HTTP status and HTTP headers. binaryFile takes files up to
+2 GB; a larger archive is an error.
 
 A null payload counts as empty; empty payloads equal each other; line breaks
 in a url are percent-encoded; a null url or page id leaves its header out and
@@ -42,6 +45,9 @@ END = "\r\n\r\n"
 #: Payloads of fewer bytes are never made revisits.
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
+#: Most records of a file written, and lots that the revisits of an original
+#: are dealt to when it is looked up.
+FILE_RECORDS, LOTS = 4096, 16
 #: Rows and payload bytes of a batch that leaves the parser.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -66,13 +72,13 @@ def _size(x: Column) -> Column:
     return F.octet_length(x).cast("long")
 
 
-def _record(record_type: Column, block: Column, date: str) -> Column:
+def _record(record_type: Column, block: Column, date: Column) -> Column:
     """The text of a record from the columns of HEADER and its block."""
     revisit = record_type == "revisit"
     url = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
     return F.concat(
         F.lit(f"{VERSION}\r\n"), _header("WARC-Type", record_type), _header("WARC-Record-ID", F.concat(F.lit("<"), F.col("record_id"), F.lit(">"))),
-        _header("WARC-Target-URI", url), _header("WARC-Date", F.lit(date)),
+        _header("WARC-Target-URI", url), _header("WARC-Date", date),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _header("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
         _header("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), F.col("refers_to"), F.lit(">")))),
@@ -87,7 +93,7 @@ def _http(payload_bytes: Column) -> Column:
 
 
 def _write(records: Column, rows: DataFrame, path: str) -> str:
-    rows.select(records.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    rows.select(records.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     return path
 
 
@@ -98,11 +104,11 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
                         base32_sha1(payload).alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"),
                         # an id for the record, fixed once it is written
                         F.concat(F.lit("urn:record:"), F.monotonically_increasing_id().cast("string")).alias("record_id"))
-    return _write(_record(F.lit("response"), F.concat(_http(_size(F.col("payload"))), F.col("payload")), date), rows, path)
+    return _write(_record(F.lit("response"), F.concat(_http(_size(F.col("payload"))), F.col("payload")), F.lit(date)), rows, path)
 
 
 def _parse(content: bytes) -> Iterator[tuple]:
-    """(headers, payload) of each record of one archive file."""
+    """(WARC headers, HTTP head, payload) of each record of one archive file."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)
     while line := stream.readline():
         if not line.strip():
@@ -117,19 +123,22 @@ def _parse(content: bytes) -> Iterator[tuple]:
         block = stream.read(size)
         if len(block) != size:
             raise ValueError(f"record {head.get('warc-record-id')} is cut short")
-        yield head, block.partition(END.encode())[2]
+        http, _, payload = block.partition(END.encode())
+        yield head, http, payload
 
 
-def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, payloads: bool = False, raw: bool = False) -> DataFrame:
     """The records of all archives below ``path``: the columns of HEADER, and
-    the payload if asked for. ``intact``: the payload has the digest named."""
-    schema = HEADER + (", payload string" if payloads else "")
+    if asked for the payload as text (bytes that are no UTF-8 are replaced) or,
+    ``raw``, date, HTTP head and payload as they are. ``intact``: the payload
+    has the digest named."""
+    schema = HEADER + (", payload string" if payloads else "") + (", date string, http binary, payload binary" if raw else "")
 
     def rows(batches):
         out, held = [], 0
         for batch in batches:
             for content in batch.column("content"):
-                for head, payload in _parse(content.as_py()):
+                for head, http, payload in _parse(content.as_py()):
                     named = head.get("warc-payload-digest", "").removeprefix("sha1:")
                     kind = head["warc-type"]
                     digest = _b32(payload) if kind == "response" else named
@@ -137,13 +146,14 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
                     out.append((head["warc-record-id"].strip("<>"), kind, None if page is None else int(page), head.get("warc-target-uri"),
                                 named, len(payload) if kind == "response" else None,
                                 head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None, digest == named)
-                               + ((payload.decode("utf-8", "replace"),) if payloads else ()))
-                    held += len(payload) if payloads else 0
+                               + ((payload.decode("utf-8", "replace"),) if payloads else ())
+                               + ((head.get("warc-date"), http, payload) if raw else ()))
+                    held += len(payload) if payloads or raw else 0
                     if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
-                        yield _batch(out, payloads)
+                        yield _batch(out, payloads, raw)
                         out, held = [], 0
         if out:
-            yield _batch(out, payloads)
+            yield _batch(out, payloads, raw)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(rows, schema)
@@ -154,9 +164,10 @@ def _b32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
+def _batch(rows: list[tuple], payloads: bool, raw: bool) -> pa.RecordBatch:
     fields = [("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()),
               ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("intact", pa.bool_())] + [("payload", pa.string())] * payloads
+    fields += [("date", pa.string()), ("http", pa.binary()), ("payload", pa.binary())] * raw
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
@@ -173,12 +184,14 @@ def deduplicate(spark: SparkSession, source: str, path: str, min_bytes: int = MI
     """Write the archives of ``source`` below ``path`` again, payloads once."""
     headers = keep(read_records(spark, source), "warc-headers")
     revisits = keep(resolve(headers, min_bytes), "warc-revisits").withColumnRenamed("refers_to", "original")
-    rows = (read_records(spark, source, payloads=True).drop("refers_to").join(revisits, "record_id", "left")
+    rows = (read_records(spark, source, raw=True).drop("refers_to").join(revisits, "record_id", "left")
             .withColumnRenamed("original", "refers_to"))
     revisit = F.col("refers_to").isNotNull()
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.col("record_type"))
-    block = F.when(revisit, _http(F.lit(0))).otherwise(F.concat(_http(_size(F.col("payload"))), F.col("payload")))
-    return _write(_record(kind, block, date), rows, path)
+    # bytes as text of the same bytes, which the sink writes as they are
+    head = F.concat(F.col("http").cast("string"), F.lit(END))
+    block = F.when(revisit, head).otherwise(F.concat(head, F.col("payload").cast("string")))
+    return _write(_record(kind, block, F.coalesce("date", F.lit(date))), rows, path)
 
 
 def read_resolved(spark: SparkSession, path: str) -> DataFrame:
@@ -187,11 +200,18 @@ def read_resolved(spark: SparkSession, path: str) -> DataFrame:
     (the original's page id), url."""
     records = keep(read_records(spark, path), "warc-records")
     revisit = F.col("record_type") == "revisit"
-    originals = (records.filter(~revisit).join(records.filter(revisit).select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")
-                 .select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("original_bytes")))
-    return records.join(originals, "refers_to", "left").select(
+    lot = F.pmod(F.xxhash64("record_id"), F.lit(LOTS))
+    revisits = records.filter(revisit).withColumn("lot", lot)
+    known = revisits.select(F.col("refers_to").alias("record_id")).distinct()
+    originals = (records.filter(~revisit).join(known, "record_id", "left_semi")
+                 .select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("original"), F.col("payload_bytes").alias("original_bytes"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))).alias("lot")))
+    # responses refer to nothing and take no part in the join
+    found = revisits.join(originals, ["refers_to", "lot"], "left").select(
         "page_id", F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"), "payload_digest", "record_type",
         F.col("original").alias("refers_to"), "url")
+    return found.unionByName(records.filter(~revisit).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "url"))
 
 
 def archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -1,6 +1,7 @@
 """Filter audit, token alignment and quality against brute force, on the
 smallest tables and on awkward rows."""
 
+import os
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
+from riskweave import session
 from riskweave.llm import alignment, filters, quality
+from riskweave.sources import kept
 
 from test_operators import SCHEMA, WORD, _awkward, _multi, _rows, _sha
 
@@ -199,6 +202,15 @@ def test_alignment_query_digests_groups(spark, sf, documents):
         assert got[r[0]].groups_sha256 == (_sha(r[7].encode()) if r[1] else "")
 
 
+def test_a_scope_leaves_no_folder(spark, labels, awkward):
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with kept.scope(spark):
+        assert filters.audit(awkward, labels).count() > 0
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
+
+
 # 13 --------------------------------------------------------------------------
 
 def test_quality_on_held_out_documents(spark):

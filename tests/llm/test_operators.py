@@ -3,6 +3,7 @@ and on rows made to be awkward: nulls, empty and long texts, ties, repeated
 rows, empty tables, and extra columns with clashing names."""
 
 import base64
+import gzip
 import hashlib
 import math
 import os
@@ -203,6 +204,26 @@ def test_warc_round_trip_and_smallest_size(spark):
     assert sorted((r.page_id, r.record_type) for r in small) == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response")]
 
 
+def test_warc_keeps_bytes_and_http_headers(spark, tmp_path, monkeypatch):
+    """Payloads that are no UTF-8, in archives of others."""
+    monkeypatch.setattr(warc, "FILE_RECORDS", 2)
+    http = b"HTTP/1.1 203 Other\r\nX-Own: \xe9"
+    records = []
+    for i, payload in enumerate([b"caf\xe9", b"caf\xe9", b"\xff\r\n\r\n\x00", b""]):
+        block, digest = http + b"\r\n\r\n" + payload, base64.b32encode(hashlib.sha1(payload).digest())
+        records.append(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nX-Page-Id: %d\r\nWARC-Date: 2020-01-0%dT00:00:00Z\r\n"
+                       b"WARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, i, i + 1, digest, len(block), block))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    out = warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.gz"))) >= 2
+    rows = {r.page_id: r for r in warc.read_records(spark, out, raw=True).collect()}
+    assert all(bytes(r.http) == http and r.date == f"2020-01-0{i + 1}T00:00:00Z" for i, r in rows.items())
+    assert {i: bytes(r.payload) for i, r in rows.items() if r.record_type == "response"} == {1: b"caf\xe9", 2: b"\xff\r\n\r\n\x00", 3: b""}
+    assert rows[0].record_type == "revisit" and all(r.intact for r in rows.values())
+    assert {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.read_resolved(spark, out).collect()} == {0: (4, 1), 1: (4, None), 2: (6, None), 3: (0, None)}
+
+
 # 4 ---------------------------------------------------------------------------
 
 def _fingerprint(text, k=3):
