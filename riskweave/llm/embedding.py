@@ -17,8 +17,9 @@ probability ``recall``, more similar pairs nearly always.
 
 Vectors that are null, empty, zero, or hold null or non-finite components
 link with nothing and are components of their own; vectors of different
-length never link; repeated rows come back each and link with each other; an
-empty table gives an empty result; extra columns are not read.
+length never link; repeated rows come back each and link with each other
+(vectors are told apart by 128-bit hashes when links return to rows); an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -162,8 +163,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
            .withColumn("component", F.coalesce("component", "cls"))
            .withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n") - 1))
     least = per.groupBy("component").agg(F.min("least").alias("component_id"))
-    per = keep(per.join(least, "component").select("vector", "n_links", "component_id"), "lsh-classes")
-    out = rows.join(per, "vector", "left")
-    component = F.when(F.col("vector").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+    # rows find their class by 128 bits of their vector, so that vectors stay
+    # where they are; rows without a valid one take no part in the join
+    named = [F.xxhash64("vector", F.lit(i)).alias(f"hash{i}") for i in (0, 1)]
+    per = keep(per.join(least, "component").select(*named, "n_links", "component_id"), "lsh-classes")
+    valid = F.col("vector").isNotNull()
+    found = rows.filter(valid).select("key", *named).join(per, ["hash0", "hash1"]).select("key", "n_links", "component_id")
+    alone = rows.filter(~valid).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    return found.unionByName(alone).select(
+        F.col("key").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id",
+        F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -694,6 +694,28 @@ def test_embedding(spark, sf):
                 (r.vec_id, n[i], root[r.vec_id]) for i, r in enumerate(source))
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_embedding_recall_of_pairs_at_the_threshold(spark, kind):
+    """1,000 pairs of cosine 0.900 to 0.910 among 10,000 vectors."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(9000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=(1000, 32))
+    away -= (away * x[:1000]).sum(1)[:, None] * x[:1000]
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cosine = rng.uniform(0.9001, 0.91, 1000)[:, None]
+    every = np.concatenate([x, cosine * x[:1000] + np.sqrt(1 - cosine**2) * away])
+    if kind == "float":
+        every = every.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], f"vec_id long, embedding array<{kind}>")
+    got = {r.vec_id: r for r in embedding.near_duplicates(df).collect()}
+    unit = every / np.linalg.norm(every, axis=1)[:, None]
+    near = np.triu(unit @ unit.T >= 0.9, 1)
+    links = sum(r.n_links for r in got.values()) / 2
+    assert 1000 <= near.sum() and 0.95 * near.sum() <= links <= near.sum()
+    assert sum(got[9000 + i].component_id <= i for i in range(1000)) >= 950
+
+
 def test_embedding_blocks_change_nothing(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     whole = _multi(_rows(embedding.near_duplicates(df)))
