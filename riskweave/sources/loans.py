@@ -165,4 +165,4 @@ def ingest_loans_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     good = rename_loans(good.drop("file"))
     if "_c0" in good.columns:
         return with_customer_id(good.drop("row_id")), rejects
-    return good.withColumnRenamed("row_id", "customer_id"), rejects
+    return good.select(F.col("row_id").alias("customer_id"), *[c for c in good.columns if c != "row_id"]), rejects
