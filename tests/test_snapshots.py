@@ -113,8 +113,9 @@ def _nothing_cached(spark):
     return spark._jsc.getPersistentRDDs().isEmpty() and spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
-def test_a_scope_releases_all_it_kept(spark, sf, tmp_path):
+def test_a_scope_releases_all_it_kept(spark, sf, tmp_path, monkeypatch):
     spark.catalog.clearCache()
+    monkeypatch.setattr(R, "_FIT_CACHE", {})  # models that other tests fitted are theirs
     risk, raw = R.risk(spark, sf), raw_loans(spark, sf)
     folder = str(tmp_path / "between")
     with kept.scope(spark):
