@@ -161,9 +161,10 @@ def asked(chunks: DataFrame, sent: DataFrame, decide: Callable, name: str) -> Da
     return joined(chunks, sent.groupBy("bucket").applyInArrow(decide, "chunk long, bucket long, bits binary"), name)
 
 
-def joined(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+def joined(chunks: DataFrame, answers: DataFrame, name: str, hint: str | None = None) -> DataFrame:
+    """``chunks`` with all their answers as a column ``name``."""
     per_chunk = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias(name))
-    return chunks.join(per_chunk, "chunk", "left")
+    return chunks.join(per_chunk.hint(hint) if hint else per_chunk, "chunk", "left")
 
 
 def shared_mask(hashes: np.ndarray, buckets: int, answers, plane: int = 0) -> np.ndarray:

@@ -400,13 +400,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     crowded = (answers.agg(F.sum("crowded")).first()[0] or 0) * (window - GRAM + 1)
     crowd_buckets = n_buckets(crowded / 4, 2)
     schema = "kind int, bucket long, chunk long, regions binary, lengths binary, hashes binary, many binary"
-    marked = joined(chunks, answers.select("chunk", "bucket", "bits"), "names").mapInArrow(mark, schema)
+    # one plan at every size: neither names nor runs of all chunks are broadcast
+    marked = joined(chunks, answers.select("chunk", "bucket", "bits"), "names", "merge").mapInArrow(mark, schema)
     path = kept_folder(docs.sparkSession, shared_path(docs, "marks"))
     marked.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     marks = docs.sparkSession.read.schema(schema).parquet(path)
     runs = marks.filter("kind = 0").select("chunk", F.col("regions").alias("runs"), F.col("hashes").alias("starts"))
     counted = marks.filter("kind = 2").select("bucket", "chunk", "hashes", "many")
     regions_sent = marks.filter("kind = 1").select("bucket", "chunk", "regions", "lengths")
-    whole = asked(asked(chunks.join(runs, "chunk"), counted, answer(2), "crowded"), regions_sent, _decide(window), "repeats")
+    whole = asked(asked(chunks.join(runs.hint("merge"), "chunk"), counted, answer(2), "crowded"), regions_sent, _decide(window), "repeats")
     return whole.mapInArrow(
         finish, f"key {key_type}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("key", key)
