@@ -42,7 +42,7 @@ PREFIX = 5
 TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 24_000, 60 << 20, 1 << 20
 #: Batches of BATCH rows, and passes over the rows: STEPS batches in all, but
 #: no fewer and no more passes than these.
-BATCH, STEPS, FEWEST, MOST = 128, 1000, 5, 12
+BATCH, STEPS, FEWEST, MOST = 256, 400, 4, 12
 #: Steps of the additive weights and of the vectors, and their penalties.
 RATE, VECTOR_RATE, L1, L2, VECTOR_L2, SEED = 1.0, 0.1, 0.2, 0.01, 0.05, 3
 #: Widths of the priors: rows that halve one, deviations of full evidence, and
@@ -152,16 +152,25 @@ def train(sets: list[np.ndarray], labels: np.ndarray, n_terms: int) -> dict:
             if not indptr[-1]:
                 continue
             at = terms[np.repeat(bound[rows] - indptr[:-1], size) + np.arange(indptr[-1])]
-            used, place = np.unique(at, return_inverse=True)
+            # one sort gives the terms of the batch, and each occurrence's place
+            by_term = np.argsort(at, kind="stable")
+            ranked = at[by_term]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            used = ranked[first]
+            place = np.empty(len(at), np.int64)
+            place[by_term] = np.repeat(np.arange(len(used)), np.diff(np.append(first, len(at))))
             x = width[used]
-            scaled = {"b": b, "w": w[used] * x, "v": v[used] * x[:, None]}
-            error = (_sigmoid(raw_score(scaled, indptr, place)) - labels[rows]).astype(np.float32)
-            sums, _ = _interactions(scaled["v"], indptr, place)
+            own = (v[used] * x[:, None])[place]
+            some = size > 0
+            sums, squares = np.zeros((len(rows), FACTORS), np.float32), np.zeros((len(rows), FACTORS), np.float32)
+            sums[some] = np.add.reduceat(own, indptr[:-1][some], axis=0)
+            squares[some] = np.add.reduceat(own * own, indptr[:-1][some], axis=0)
+            added = np.concatenate([[0.0], np.cumsum((w[used] * x)[place], dtype=np.float64)])[indptr]
+            log_odds = b + np.diff(added) + 0.5 * (sums**2 - squares).sum(1)
+            error = (_sigmoid(log_odds) - labels[rows]).astype(np.float32)
             each = np.repeat(error, size) * x[place]
-            by_term = np.argsort(place, kind="stable")
-            first = np.searchsorted(place[by_term], np.arange(len(used)))
             dw = np.add.reduceat(each[by_term], first)
-            dv = np.add.reduceat((each[:, None] * (np.repeat(sums, size, axis=0) - scaled["v"][place]))[by_term], first, axis=0) + VECTOR_L2 * v[used]
+            dv = np.add.reduceat((each[:, None] * (np.repeat(sums, size, axis=0) - own))[by_term], first, axis=0) + VECTOR_L2 * v[used]
             db = float(error.sum())
             gb += db * db
             b -= RATE * db / np.sqrt(gb)
