@@ -75,11 +75,15 @@ def parse_loan_lines(lines: DataFrame, header: Sequence[str], schema: T.StructTy
     types = {f.name.lower(): f.dataType for f in schema.fields}
     fields = [f"f{i}" for i in range(len(header))]
     as_text = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, "broken"]])
-    parsed = lines.withColumn("_csv", F.from_csv("line", as_text.simpleString()[7:-1].replace(":", " "), {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
-    typed, reasons = [], [F.when(F.col("_csv.broken").isNotNull(), f"not {len(header)} fields")]
+    csv = F.from_csv("line", as_text.simpleString()[7:-1].replace(":", " "), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    # one row a line: filters are not moved below a generator, so each line is
+    # parsed once and not again for every field that a filter or a column reads
+    tags = [f"_csv_{f}" for f in as_text.names]
+    parsed = lines.select("*", F.inline(F.array(csv)).alias(*tags))
+    typed, reasons = [], [F.when(F.col("_csv_broken").isNotNull(), f"not {len(header)} fields")]
     for name, field in zip(header, fields):
-        text, want = F.col(f"_csv.{field}"), types.get(name.lower(), T.StringType())
+        text, want = F.col(f"_csv_{field}"), types.get(name.lower(), T.StringType())
         text = F.when(~text.isin(*NULL_FIELDS), text)
         value = text if isinstance(want, T.StringType) else text.try_cast(want)
         typed.append(value.alias(name))

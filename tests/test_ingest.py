@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.sources.loans import CSV_SCHEMA, ingest_loans_csv, load_loans_csv, with_row_ids
+from riskweave.sources.loans import (CSV_SCHEMA, ingest_loans_csv, load_loans_csv, parse_loan_lines,
+                                     split_good_and_rejected, with_row_ids)
 
 HEADER = ",".join(["" if f.name == "_c0" else f.name for f in CSV_SCHEMA.fields])
 
@@ -80,3 +81,15 @@ def test_parquet_rows_are_numbered_in_file_order(spark, tmp_path):
     spark.range(0, 5000, numPartitions=4).write.parquet(str(tmp_path / "t"))
     got = with_row_ids(spark.read.parquet(str(tmp_path / "t"))).collect()
     assert sorted((r.row_id, r.id) for r in got) == [(i, i) for i in range(5000)]
+
+
+def test_each_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([(0, _line(1)), (1, _line(2, age="old")), (2, "3,0"), (3, None), (4, '4,0,0.5,"41",0,0.8,NA,4,0,1,0,2')],
+                                  "place long, line string")
+    parsed = parse_loan_lines(lines, [f.name for f in CSV_SCHEMA.fields])
+    good, rejects = split_good_and_rejected(parsed, "place")
+    for out in (good, rejects):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert sorted((r.place, r._c0, r.age, r.MonthlyIncome) for r in good.collect() if r._c0) == [(0, 1, 40, 9120.5), (4, 4, 41, None)]
+    assert [r.place for r in good.collect() if r._c0 is None] == [3]
+    assert sorted((r.place, r.reason) for r in rejects.collect()) == [(1, "age: old is no bigint"), (2, "not 12 fields")]
