@@ -92,9 +92,10 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = LAB
     Within each class the rows are ordered by ``(hash(key), key)``; the first
     ``floor(test_fraction * n_class + 0.5)`` are the test rows, rows of an
     equal key staying together. The frame is never shuffled: counts per
-    class and hash give the hash at which a class's test rows end, counts per
-    key of that hash alone (a millionth of the class) the key, and each row
-    is compared with its class's two values.
+    class and range of hashes give the range in which a class's test rows end,
+    counts per hash of that range alone (a thousandth of the class) the hash,
+    counts per key of that hash alone the key, and each row is compared with
+    its class's two values.
 
     A NULL label is a class, and a NULL key comes before all others.
     ``label`` is a class label: the table of ends, one row per class, is a
@@ -104,25 +105,27 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = LAB
     keyed = df.withColumns({h: F.coalesce(split_key(key), F.lit(-1)),
                             group: F.coalesce(F.col(label).cast("string"), F.lit("null")),
                             k: F.coalesce(F.col(key), F.lit(-1))})
-    per_hash = keyed.groupBy(group, h).agg(F.count(F.lit(1)).alias("n"))
-    # prefix over 1024 ranges of hashes, then inside each range
-    part = F.floor(F.col(h) / (SPLIT_MODULUS // 1023)).cast("int")
-    per_part = per_hash.groupBy(group, part.alias("_part")).agg(F.sum("n").alias("n"))
+    # counts over 1024 ranges of hashes first, then inside the range that is reached
+    keyed = keyed.withColumn("_part", F.floor(F.col(h) / (SPLIT_MODULUS // 1023)).cast("int"))
+    per_part = keyed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("n"))
     in_class = Window.partitionBy(group)
     parts = per_part.select(
         group, "_part",
         F.floor(F.sum("n").over(in_class) * F.lit(float(test_fraction)) + F.lit(0.5)).alias("test"),
         (F.sum("n").over(in_class.orderBy("_part")) - F.col("n")).alias("_before"), "n")
-    last = parts.filter("_before < test and test <= _before + n").drop("n")
+    last = parts.filter("_before < test and test <= _before + n").select(
+        F.col(group).alias("_class"), F.col("_part").alias("_in"), "test", "_before")
+    # null-safe equality: plain equality on computed columns sends the
+    # optimizer's constraint inference through every feature expression
+    same = F.col(group).eqNullSafe(F.col("_class"))
+    per_hash = (keyed.select(group, h, "_part")
+                .join(F.broadcast(last), same & F.col("_part").eqNullSafe(F.col("_in")))
+                .groupBy(group, "_part", h, "test", "_before").agg(F.count(F.lit(1)).alias("n")))
     upto = (F.col("_before") + F.sum("n").over(Window.partitionBy(group, "_part").orderBy(h)))
-    ends = (per_hash.withColumn("_part", part).join(F.broadcast(last), [group, "_part"])
-            .withColumn("_upto", upto)
+    ends = (per_hash.withColumn("_upto", upto)
             .filter((F.col("_upto") - F.col("n") < F.col("test")) & (F.col("test") <= F.col("_upto")))
             .select(group, F.col(h).alias("_h_end"),
                     (F.col("test") - F.col("_upto") + F.col("n")).alias("_left")))
-    # null-safe equality: plain equality on computed columns sends the
-    # optimizer's constraint inference through every feature expression
-    same = F.col(group).eqNullSafe(F.col("_class"))
     ends = ends.withColumnRenamed(group, "_class")
     tied = keyed.select(group, h, k).join(
         F.broadcast(ends), same & F.col(h).eqNullSafe(F.col("_h_end")))
@@ -333,6 +336,25 @@ def score_table(test: DataFrame, lr_model: PipelineModel, gbt_model: PipelineMod
     ).withColumn("ml_risk_segment", ml_segment("pd_score_xgb"))
 
 
+#: Training rows a partition at least, where the cluster has cores for them, and at most.
+FIT_ROWS, MOST_FIT_ROWS = 20_000, 1_000_000
+
+
+def training_rows(train: DataFrame) -> DataFrame:
+    """The train rows in partitions for the fits, kept. A fit runs two stages
+    a tree level, so every partition costs as many tasks: a few thousand rows
+    a task take less time than the task itself. There is one partition a core,
+    fewer if that leaves them under FIT_ROWS, more if they would hold more than
+    MOST_FIT_ROWS: the frame's are put together without a shuffle, or where it
+    has fewer, its rows are dealt by key."""
+    rows, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(cores, -(-rows // FIT_ROWS)), -(-rows // MOST_FIT_ROWS))
+    if train.rdd.getNumPartitions() >= n:
+        return cached(train.coalesce(n))
+    # sorted, as the trees sample rows by their place in a partition
+    return cached(train.repartition(n, KEY).sortWithinPartitions(KEY, *FEATURES, LABEL))
+
+
 def cached_frame(df: DataFrame) -> DataFrame:
     """Keep the split frame for the two fits and the scoring (spills to
     disk; a lost block is recomputed from lineage) until the scope ends."""

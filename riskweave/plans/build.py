@@ -68,7 +68,7 @@ def train_and_score(risk: DataFrame, trees: int = M.GBT_TREES) -> dict:
     frame = M.cached_frame(frame)
     split = M.cached_frame(M.stratified_split(frame))
     train, test = (split.filter(F.col("split") == name) for name in ("train", "test"))
-    lr, gbt = M.fit_models(train, trees=trees)
+    lr, gbt = M.fit_models(M.training_rows(train), trees=trees)
     scores = M.cached_frame(M.score_table(test, lr, gbt))
     return dict(report=report, frame=frame, split=split, train=train, test=test, lr=lr, gbt=gbt,
                 scores=scores)

@@ -95,3 +95,24 @@ def test_row_numbers_take_as_many_buckets_as_the_input_asks_for(spark, sf, monke
     assert prefix.FEWEST_BUCKETS < prefix.buckets_for(raw) <= prefix.MOST_BUCKETS
     rows = prefix.global_row_number(raw.select("customer_id"), "customer_id").collect()
     assert sorted((r.customer_id, r.row_num) for r in rows) == [(r.customer_id, i) for i, r in enumerate(sorted(rows, key=lambda r: r.customer_id), 1)]
+
+
+def test_fits_take_no_more_partitions_than_the_rows_need(spark):
+    row = "id as customer_id, id % 2 as is_default, " + ", ".join(f"id * {i + 1} % 97 as {c}" for i, c in enumerate(M.FEATURES))
+    wide = spark.range(0, 3000, 1, 64).selectExpr(*row.split(", "))
+    narrow = spark.range(0, 50_000, 1, 1).selectExpr(*row.split(", "))
+    cores = spark.sparkContext.defaultParallelism
+    for train, parts in ((wide, 1), (narrow, min(cores, 3))):
+        kept = M.training_rows(train)
+        assert kept.rdd.getNumPartitions() == parts
+        assert kept.exceptAll(train).isEmpty() and kept.count() == train.count()
+        kept.unpersist()
+
+
+def test_split_reads_one_kept_table(spark, sf):
+    from riskweave.sources.kept import scope
+    with scope(spark):
+        for split in (R._split(spark, sf), R._test_rule_scored(spark, sf)):
+            plan = split._jdf.queryExecution().withCachedData().toString()
+            assert "InMemoryRelation" in plan
+            assert not [x for x in plan.split("InMemoryRelation")[0].splitlines() if "Relation [" in x and "parquet" in x]
