@@ -722,14 +722,18 @@ score_counts AS (
 
 def _split(spark, sf) -> DataFrame:
     frame, _ = M.model_frame(risk(spark, sf))
-    return M.stratified_split(frame)
+    # the split counts the frame before it marks the rows: keep it once
+    return M.stratified_split(M.cached_frame(frame))
 
 
-def _test_rule_scored(spark, sf) -> DataFrame:
-    """Test rows with ``score`` = rule score / 100 (no fitted model needed)."""
-    split = M.stratified_split(risk(spark, sf))
-    return split.filter(F.col("split") == "test") \
-        .withColumn("score", F.col("rule_risk_score") / 100)
+def _test_rule_scored(spark, sf, rows: DataFrame | None = None) -> DataFrame:
+    """Test rows with ``score`` = rule score / 100 (no fitted model needed).
+    ``rows`` may hold the kept risk table; key, label and score are kept once,
+    as the split and the metrics read them several times."""
+    if rows is None:
+        rows = M.cached_frame(risk(spark, sf).select(M.KEY, M.LABEL, "rule_risk_score"))
+    test = M.stratified_split(rows).filter(F.col("split") == "test")
+    return M.cached_frame(test.select(M.KEY, M.LABEL, (F.col("rule_risk_score") / 100).alias("score")))
 
 
 @register("m1_assemble", O.with_layers(
@@ -853,7 +857,7 @@ moments AS (SELECT COUNT(*)::DOUBLE AS n, (COUNT(*) FILTER (WHERE is_default = 1
 def m12_gradient(spark, sf):
     """The gradient of the logistic regression's objective at fixed coefficients."""
     from ..operators.newton import logistic_gradient
-    train = _split(spark, sf).filter(F.col("split") == "train")
+    train = M.cached_frame(_split(spark, sf)).filter(F.col("split") == "train")
     beta = [_AT[0]] + [_AT[1]] * len(M.FEATURES)
     return logistic_gradient(train, beta).select("term", sql_round(F.col("gradient"), 4).alias("gradient"))
 
@@ -936,9 +940,9 @@ m AS (SELECT 'Logistic Regression' AS model, auc, gini FROM ({_AUC_SQL}) a
       SELECT 'Gradient Boosted Trees', 1 - auc, 2 * (1 - auc) - 1 FROM ({_AUC_SQL}) b)"""
 
 
-def _rule_metrics(spark, sf) -> DataFrame:
+def _rule_metrics(spark, sf, rows: DataFrame | None = None) -> DataFrame:
     """AUC and Gini of the rule score, and of its complement as a second model."""
-    one = EV.auc(_test_rule_scored(spark, sf), "is_default", "score").select("auc")
+    one = EV.auc(_test_rule_scored(spark, sf, rows), "is_default", "score").select("auc")
     a = F.col("auc")
     return one.select(F.inline(F.array(
         F.struct(F.lit("Logistic Regression").alias("model"), a.alias("auc"), (a * 2 - 1).alias("gini")),
@@ -972,9 +976,11 @@ SELECT (SELECT COUNT(*) FROM risk_segments) AS dataset_rows,
        MAX(gini) FILTER (WHERE model = 'Gradient Boosted Trees') AS gbt_gini
 FROM m""", SPLIT_SQL, _TWO_MODELS_SQL))
 def m19_training_summary_rule_score(spark, sf):
-    frame, report = M.model_frame(risk(spark, sf))
+    # the report, both splits and the metrics read one kept table
+    rows = M.cached_frame(risk(spark, sf).select(M.KEY, *M.FEATURES, M.LABEL, "rule_risk_score"))
+    frame, report = M.model_frame(rows)
     return EV.training_summary(report, M.split_summary(M.stratified_split(frame)),
-                               _rule_metrics(spark, sf), len(M.FEATURES))
+                               _rule_metrics(spark, sf, rows), len(M.FEATURES))
 
 
 @register("m14_class_weights", O.with_layers("""
