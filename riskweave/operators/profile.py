@@ -487,29 +487,36 @@ def profile_reports(df: DataFrame, want: Sequence[str] = REPORTS, cols: Sequence
 def _against_quartiles(df: DataFrame, want: set[str], stats: DataFrame, of: dict[str, DataFrame],
                        fenced: Sequence[str], column: str, by: str) -> dict[str, DataFrame]:
     """The reports that compare rows with quartiles, from one more scan. Each
-    row gives one fact per report (and fenced column): ``(report, key)`` and
-    what is summed; keys are columns, classes or bands, so the counts are few.
+    row gives one fact per report: ``(report, key)`` and what is summed; keys are
+    classes or bands, so the counts are few.
     Quartiles of the fixed columns are scalars of ``stats``; those of classes
     are a joined table, broadcast if its rows are counted and few."""
     label = F.col("is_default")
     null = F.lit(None)
 
-    def fact(report: str, key: Column, value=null, out=null, low=null, high=null) -> Column:
+    fenced = list(fenced) if "iqr_outliers" in want else []
+
+    def fact(report: str, key: Column, value=null, out=null, low=null, high=null, beyond=()) -> Column:
+        beyond = [*beyond, *[null] * (len(fenced) - len(beyond))]
         return F.struct(F.lit(report).alias("report"), key.cast("string").alias("key"), value.cast("double").alias("value"),
-                        out.cast("boolean").alias("out"), low.cast("double").alias("low"), high.cast("double").alias("high"))
+                        out.cast("boolean").alias("out"), low.cast("double").alias("low"), high.cast("double").alias("high"),
+                        *[b.cast("boolean").alias(f"beyond{i}") for i, b in enumerate(beyond)])
 
     def fences(q: Column) -> tuple[Column, Column]:
         return q[0] - IQR * (q[2] - q[0]), q[2] + IQR * (q[2] - q[0])
 
     src, facts = df, []
     if "iqr_outliers" in want:
-        # one map of a fixed list of columns
-        src = src.withColumn("_qs", stats.filter(F.col("column_name").isin(list(fenced))).agg(
-            F.map_from_entries(F.collect_list(F.struct("column_name", "q")))).scalar())
-        for c in fenced:
-            lo, hi = fences(F.try_element_at("_qs", F.lit(c)))
-            v = F.col(c).cast("double")
-            facts.append(fact("iqr_outliers", F.lit(c), out=(v < lo) | (v > hi)))
+        # one fact a row for all columns, whose fences are one row of named values
+        q = F.col("q")
+        ends = [F.max(F.when(F.col("column_name") == c, end)).alias(f"{side}{i}") for i, c in enumerate(fenced)
+                for side, end in zip(("lo", "hi"), fences(q))]
+        src = src.withColumn("_fences", stats.filter(F.col("column_name").isin(fenced)).agg(*ends).select(F.struct("*")).scalar())
+        beyond = []
+        for i, c in enumerate(fenced):
+            v, lo, hi = F.col(c).cast("double"), F.col(f"_fences.lo{i}"), F.col(f"_fences.hi{i}")
+            beyond.append((v < lo) | (v > hi))
+        facts.append(fact("iqr_outliers", F.lit("all"), beyond=beyond))
     if "rate_by_income_band" in want:
         src = src.withColumn("_median", of["monthly_income"].agg(F.max(F.col("q")[1])).scalar())
         facts.append(fact("rate_by_income_band", cut_order(F.coalesce("monthly_income", "_median"), INCOME_CUT_EDGES), label))
@@ -529,15 +536,16 @@ def _against_quartiles(df: DataFrame, want: set[str], stats: DataFrame, of: dict
         facts.append(fact("box_stats", F.col(by), out=(v < lo) | (v > hi), low=F.when(v >= lo, v), high=F.when(v <= hi, v)))
     table = src.select(F.inline(F.array(*facts))).groupBy("report", "key").agg(
         F.count("value").alias("values"), F.sum("value").alias("total"), F.count_if("out").alias("n_outliers"),
-        F.min("low").alias("low"), F.max("high").alias("high"))
+        F.min("low").alias("low"), F.max("high").alias("high"), *[F.count_if(f"beyond{i}").alias(f"beyond{i}") for i in range(len(fenced))])
     if len(want) > 1:
         table = cached(table)
     rate = (F.col("total") / F.col("values") * 100).alias("default_rate_pct")
     out = {}
     if "iqr_outliers" in want:
         q1, q3 = F.col("q")[0], F.col("q")[2]
-        out["iqr_outliers"] = stats.filter(F.col("column_name").isin(list(fenced))).join(
-            table.filter("report = 'iqr_outliers'").select(F.col("key").alias("column_name"), "n_outliers"), "column_name").select(
+        outliers = table.filter("report = 'iqr_outliers'").select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(f"beyond{i}").alias("n_outliers")) for i, c in enumerate(fenced)])))
+        out["iqr_outliers"] = stats.filter(F.col("column_name").isin(fenced)).join(outliers, "column_name").select(
             "column_name", "min", "max", _r(q1).alias("q1"), _r(q3).alias("q3"), _r(q3 + IQR * (q3 - q1)).alias("iqr_upper"),
             "n_outliers", even_round(F.col("n_outliers") / F.col("_rows") * 100, 2).alias("outlier_pct"))
     if "rate_by_income_band" in want:

@@ -15,9 +15,9 @@ Only the second pass orders values, those inside the intervals: one task gets
 ``12 / ACCURACY`` of a pair's distinct values at most, and a value that a
 third of the rows hold is one row a task. All pairs share both passes.
 
-The table of bounds (a row a pair) is broadcast where the pairs are a fixed
-list; with a ``by`` column, whose groups nobody bounds, it is kept and counted
-first, and joined without broadcast above ``MAX_GROUPS`` rows.
+The table of bounds (a row a pair) is kept; it is broadcast where the pairs are a fixed
+list; with a ``by`` column, whose groups nobody bounds, it is counted first,
+and joined without broadcast above ``MAX_GROUPS`` rows.
 """
 
 from __future__ import annotations
@@ -71,10 +71,9 @@ def select_quantiles(df: DataFrame, targets: Sequence[Target], probs: Sequence[f
     around = [p + d * 2 / accuracy for d in (-1, 1) for p in probs]
     sketch = F.percentile_approx("x", F.array(*[F.lit(min(1.0, max(0.0, p))) for p in around]), F.lit(accuracy))
     bounds = stacked.groupBy("_t", "_g").agg(F.count("x").alias("n"), sketch.alias("_s"), *stats)
-    broadcast = True
-    if any(t.by is not None for t in targets):
-        bounds = cached(bounds)
-        broadcast = bounds.count() <= MAX_GROUPS
+    # both passes and the result read it: kept, or each would scan ``df`` for its own columns
+    bounds = cached(bounds)
+    broadcast = all(t.by is None for t in targets) or bounds.count() <= MAX_GROUPS
     few = F.col("n") <= 2 * accuracy
     ends = []
     for k, p in enumerate(around):

@@ -113,3 +113,18 @@ def test_approx_quantile_table_matches_on_few_distinct_values(spark):
         exact = {(r.column_name, *[r[c] for c in by]): r.q for r in
                  quantile_table(df, ["a", "b"], (0.0, 1.0), by=by).collect()}
         assert approx == exact
+
+
+def test_iqr_report_counts_all_columns_from_one_fact_a_row(spark):
+    from riskweave.operators.profile import iqr_outliers
+    from riskweave.sources.kept import scope
+    rows = [(float(i), i if i % 3 else None) for i in range(100)] + [(1e6, -5000), (None, None)]
+    df = spark.createDataFrame(rows, "u double, v long")
+    with scope(spark):
+        report = iqr_outliers(df, ["u", "v"])
+        plan = report._jdf.queryExecution().withCachedData().toString()
+        # the kept statistics aside, the rows are read once and not stacked by column
+        assert "beyond1" in plan and "InMemoryRelation" in plan
+        found = {r.column_name: (r.n_outliers, r.outlier_pct, r.q1, r.q3) for r in report.collect()}
+    assert found["u"] == (1, 0.98, 25.0, 75.0)
+    assert found["v"][0] == 1 and set(found) == {"u", "v"}
