@@ -20,6 +20,8 @@ from contextvars import ContextVar
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
+
 _SCOPE: ContextVar["Scope | None"] = ContextVar("riskweave_scope", default=None)
 
 
@@ -81,3 +83,13 @@ def kept_folder(spark: SparkSession, path: str) -> str:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     on_release(delete)
     return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Keep a table that many small jobs read in ``spark.checkpoint.dir``, its
+    partitions and their order as they are: unlike a cached table, it brings
+    no lineage into their tasks. Its folder is deleted when the open scope ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint()
+    kept_folder(df.sparkSession, out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return out

@@ -116,3 +116,25 @@ def test_split_reads_one_kept_table(spark, sf):
             plan = split._jdf.queryExecution().withCachedData().toString()
             assert "InMemoryRelation" in plan
             assert not [x for x in plan.split("InMemoryRelation")[0].splitlines() if "Relation [" in x and "parquet" in x]
+
+
+def test_fits_read_rows_without_lineage(spark, sf):
+    import os
+    from riskweave.sources.kept import scope
+    with scope(spark):
+        train = R._split(spark, sf).filter("split = 'train'")
+        kept = M.training_rows(train)
+        lineage = kept.rdd.toDebugString().decode()
+        assert "ReliableCheckpointRDD" in lineage
+        assert not [x for x in ("FileScanRDD", "ShuffledRowRDD", "InMemory") if x in lineage]
+        assert kept.exceptAll(train).isEmpty() and kept.count() == train.count()
+        folder = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_a_fit_of_few_rows_has_few_stages_an_iteration(spark):
+    # up to five partitions, an aggregate of the logistic fit takes two stages, not three
+    row = "id as customer_id, id % 2 as is_default, " + ", ".join(f"id * {i + 1} % 97 as {c}" for i, c in enumerate(M.FEATURES))
+    train = spark.range(0, 119_280, 1, 16).selectExpr(*row.split(", "))
+    assert M.training_rows(train).rdd.getNumPartitions() <= 5
