@@ -52,6 +52,8 @@ SHARD, SHARE = 2 << 20, 0.5
 #: Positions from which on a name is crowded: the regions of one with fewer have
 #: at most 2 * window - GRAM bytes each, 1.5 MB together.
 CROWD = 4096
+#: Values handled at once by a sliding minimum.
+SLIDE = 1 << 14
 
 
 # --- suffix arrays -----------------------------------------------------------
@@ -128,10 +130,7 @@ def words_at(t: np.ndarray) -> np.ndarray:
     zeros behind the end; 8 entries more than ``t``."""
     padded = np.zeros(len(t) + 16, np.uint8)
     padded[:len(t)] = t
-    out = np.zeros(len(t) + 8, np.uint64)
-    for b in range(8):
-        out |= padded[b:b + len(out)].astype(np.uint64) << np.uint64(8 * b)
-    return out
+    return np.ndarray(len(t) + 8, "<u8", padded, strides=(1,)).copy()
 
 
 def _same_bytes(x: np.ndarray) -> np.ndarray:
@@ -155,6 +154,15 @@ def common_prefix(eight: np.ndarray, i: np.ndarray, j: np.ndarray, cap: int, n:
     return np.minimum(np.minimum(out, cap), n - np.maximum(i, j))
 
 
+def ascending(keys: np.ndarray) -> np.ndarray:
+    """Places of the keys (int64, none negative) in order, equal keys by their
+    place: a sort of both in one number where they fit, as it is much faster."""
+    shift = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + shift > 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys << shift | np.arange(len(keys))) & ((1 << shift) - 1)
+
+
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of the bytes ``t``, in order for ``depth`` bytes at least."""
     n = len(t)
@@ -190,10 +198,10 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
             behind = np.zeros(len(lms), np.int64)
             behind[:-span] = name[span:] + 1
             both = name * (len(lms) + 1) + behind
-            order = np.argsort(both, kind="stable")
+            order = ascending(both)
             name[order] = np.concatenate([[0], np.cumsum(np.diff(both[order]) > 0)])
             span *= 2
-        lms = lms[np.argsort(name, kind="stable")]
+        lms = lms[ascending(name)]
     return induce(t, small, lms)
 
 
@@ -221,24 +229,33 @@ def repeated_windows(t: np.ndarray, room: np.ndarray, times: np.ndarray, window:
     the position's region; ``times``: how often that region occurs."""
     order = suffix_array(t, window)
     prefix = permuted_prefixes(t, order, window)
-    group = np.cumsum(prefix[order] < window)
     valid = room >= window
-    total = np.bincount(group, weights=np.where(valid, times, 0)[order])
     out = np.zeros(len(t), bool)
-    out[order] = total[group] >= 2
+    if len(t):
+        first = np.flatnonzero(prefix[order] < window)  # of suffixes that share a window
+        total = np.add.reduceat(np.where(valid, times, 0)[order], first)
+        out[order] = np.repeat(total >= 2, np.diff(np.append(first, len(t))))
     return out & valid
 
 
 # --- regions -----------------------------------------------------------------
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over x[i:i + width], for every start."""
+    """pick (minimum or maximum) over x[i:i + width], for every start: over 2,
+    4, 8, ... values, then two runs of them that overlap. In blocks that stay
+    in the processor's cache."""
     n = len(x) - width + 1
-    fill = np.full(-len(x) % width, x[-1], x.dtype)
-    blocks = np.concatenate([x, fill]).reshape(-1, width)
-    ahead = pick.accumulate(blocks, axis=1).ravel()
-    back = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return pick(back[:n], ahead[width - 1:width - 1 + n])
+    out = np.empty(n, x.dtype)
+    spare = [np.empty(SLIDE + width, x.dtype) for _ in range(2)]
+    for lo in range(0, n, SLIDE):
+        size = min(SLIDE, n - lo)
+        run, span = x[lo:lo + size + width - 1], 1
+        while 2 * span <= width:
+            spare.reverse()
+            run = pick(run[:-span], run[span:], out=spare[0][:len(run) - span])
+            span *= 2
+        pick(run[:size], run[width - span:width - span + size], out=out[lo:lo + size])
+    return out
 
 
 def named(data: np.ndarray, offsets: np.ndarray, window: int):
@@ -248,8 +265,7 @@ def named(data: np.ndarray, offsets: np.ndarray, window: int):
     if n < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums = BYTES.sums(BYTES.table[data])
-    at = np.arange(n - GRAM + 1)
-    piece = mix(BYTES.slices(sums, at, at + GRAM)) | np.uint64(1)
+    piece = mix((sums[GRAM:] - sums[:-GRAM]) * BYTES.inverse[:n - GRAM + 1]) | np.uint64(1)
     width = window - GRAM + 1
     least = _sliding(piece, width, np.minimum)
     end = np.repeat(offsets[1:], np.diff(offsets))
