@@ -48,8 +48,8 @@ RATE, VECTOR_RATE, L1, L2, VECTOR_L2, SEED = 1.0, 0.1, 0.2, 0.01, 0.05, 3
 #: Widths of the priors: rows that halve one, deviations of full evidence, and
 #: the share of all rows by which a term without any gets a third.
 FEW, EVIDENCE, FREQUENT = 3, 6.0, 2.0
-#: Bytes of text handled at once.
-BLOCK = 1 << 20
+#: Bytes of text, rows to count the terms of, and vectors drawn, at once.
+BLOCK, COUNTED, DRAWN = 1 << 20, 2048, 1 << 16
 
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 IS_WORD = np.array([chr(c).isdigit() and c < 128 or 0x61 <= c <= 0x7A or c >= 0x80 for c in range(256)])
@@ -85,7 +85,20 @@ def to_gaps(row: np.ndarray, term: np.ndarray, n_rows: int) -> list[bytes]:
 
 def from_gaps(blob: bytes) -> np.ndarray:
     gaps = np.frombuffer(blob, "<u2")
-    return np.cumsum(gaps, dtype=np.int64)[gaps != 0xFFFF]
+    return np.cumsum(gaps, dtype=np.int32)[gaps != 0xFFFF]
+
+
+def renumber(sets: list[np.ndarray]) -> np.ndarray:
+    """The terms that ``sets`` hold, sorted; each set's terms become their
+    places in them, a set at a time: all of them are never held twice."""
+    held, place = np.zeros(1 << HASH_BITS, bool), np.zeros(1 << HASH_BITS, np.int32)
+    for s in sets:
+        held[s] = True
+    held = np.flatnonzero(held)
+    place[held] = np.arange(len(held))
+    for k, s in enumerate(sets):
+        sets[k] = place[s]
+    return held
 
 
 def term_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -134,14 +147,20 @@ def train(sets: list[np.ndarray], labels: np.ndarray, n_terms: int) -> dict:
     below ``n_terms``. The weights returned hold the widths of their priors."""
     rng = np.random.default_rng(SEED)
     bound = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    terms = np.concatenate(sets).astype(np.int64)
+    terms = np.concatenate(sets).astype(np.int32, copy=False)
     share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
-    df = np.bincount(terms, minlength=n_terms)
-    bad = np.bincount(terms, weights=np.repeat(labels, np.diff(bound)), minlength=n_terms)
+    df, bad = np.zeros(n_terms, np.int64), np.zeros(n_terms)
+    for lo in range(0, len(sets), COUNTED):
+        ends = bound[lo:lo + COUNTED + 1]
+        part = terms[ends[0]:ends[-1]]
+        df += np.bincount(part, minlength=n_terms)
+        bad += np.bincount(part, weights=np.repeat(labels[lo:lo + COUNTED], np.diff(ends)), minlength=n_terms)
     width = prior_widths(df, bad, len(sets), share).astype(np.float32)
     b, gb = np.log(share / (1 - share)), 1e-8
     z, seen, w = (np.zeros(n_terms, np.float32) for _ in range(3))
-    v = rng.normal(0, 0.05, (n_terms, FACTORS)).astype(np.float32)
+    v = np.empty((n_terms, FACTORS), np.float32)
+    for lo in range(0, n_terms, DRAWN):
+        v[lo:lo + DRAWN] = rng.normal(0, 0.05, v[lo:lo + DRAWN].shape)
     gv = np.ones((n_terms, FACTORS), np.float32)
     for _ in range(int(np.clip(np.ceil(STEPS * BATCH / len(sets)), FEWEST, MOST))):
         order = rng.permutation(len(sets))
@@ -180,7 +199,9 @@ def train(sets: list[np.ndarray], labels: np.ndarray, n_terms: int) -> dict:
             w[used] = np.sign(z[used]) * np.maximum(np.abs(z[used]) - L1, 0) / -((1 + np.sqrt(seen[used])) / RATE + L2)
             gv[used] += dv * dv
             v[used] -= VECTOR_RATE * dv / np.sqrt(gv[used])
-    return {"b": float(b), "w": w * width, "v": v * width[:, None]}
+    w *= width
+    v *= width[:, None]
+    return {"b": float(b), "w": w, "v": v}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
@@ -191,10 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_
         table = pa.Table.from_batches(batches) if batches else None
         if table is None or len(set(table.column("label").to_pylist())) < 2:
             return
+        del batches
         table = table.sort_by("draw")
-        sets = [from_gaps(x) for x in table.column("terms").to_pylist()]
-        held, terms = np.unique(np.concatenate(sets), return_inverse=True)
-        model = train(np.split(terms, np.cumsum([len(s) for s in sets])[:-1]), table.column("label").to_numpy().astype(float), len(held))
+        labels = table.column("label").to_numpy().astype(float)
+        sets = [from_gaps(x.as_py()) for x in table.column("terms")]
+        del table
+        held = renumber(sets)
+        model = train(sets, labels, len(held))
         yield pa.RecordBatch.from_arrays([pa.array([model["b"]]), *[pa.array([x.tobytes()], pa.binary()) for x in (held, model["w"], model["v"])]],
                                          names=["b", "terms", "w", "v"])
 

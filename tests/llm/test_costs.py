@@ -1,12 +1,13 @@
-"""What the operators' own steps cost."""
+"""What the operators' own steps cost: memory of a fit, time of a pass."""
 
 from __future__ import annotations
 
 import time
+import tracemalloc
 
 import numpy as np
 
-from riskweave.llm import suffix
+from riskweave.llm import suffix, toxicity
 from riskweave.llm.common import mix
 
 
@@ -63,3 +64,35 @@ def test_suffix_array_slides_over_blocks(monkeypatch):
         x = rng.integers(0, 50, n).astype(np.uint64)
         for pick in (np.minimum, np.maximum):
             assert suffix._sliding(x, width, pick).tolist() == [pick.reduce(x[i:i + width]) for i in range(n - width + 1)]
+
+
+def test_toxicity_numbers_its_terms_once_in_memory():
+    rng = np.random.default_rng(5)
+    blobs = toxicity.to_gaps(*_rows_of(rng, 2000, 400), 2000)
+    held_bytes = 2000 * 400 * 4
+    tracemalloc.start()
+    sets = [toxicity.from_gaps(b) for b in blobs]
+    held = toxicity.renumber(sets)
+    model = toxicity.train(sets, rng.integers(0, 2, len(sets)).astype(float), len(held))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the sets and one copy of them, and what a term needs: about 140 bytes, two batches beside
+    assert peak < 2 * held_bytes + len(held) * 160 + (48 << 20)
+    assert len(model["w"]) == len(held)
+
+
+def test_toxicity_numbers_are_places_among_the_terms():
+    rng = np.random.default_rng(6)
+    rows, terms = _rows_of(rng, 50, 30)
+    sets = [toxicity.from_gaps(b) for b in toxicity.to_gaps(rows, terms, 52)]
+    before = [s.copy() for s in sets]
+    held, places = np.unique(np.concatenate(before), return_inverse=True)
+    assert toxicity.renumber(sets).tolist() == held.tolist()
+    assert np.concatenate(sets).tolist() == places.tolist()
+    assert [len(s) for s in sets] == [len(s) for s in before]
+
+
+def _rows_of(rng, n: int, size: int):
+    """Rows of ``size`` distinct sorted terms each."""
+    sets = [np.sort(rng.choice(1 << toxicity.HASH_BITS, size, replace=False)) for _ in range(n)]
+    return np.repeat(np.arange(n), size), np.concatenate(sets).astype(np.int64)
