@@ -16,6 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Matrices, Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,11 +163,18 @@ def scaler_stats(train: DataFrame, features: Sequence[str] = FEATURES) -> DataFr
                  F.col(f"{c}__std").alias("std")) for c in features])))
 
 
-def fit_scaler(train: DataFrame, features: Sequence[str] = FEATURES,
-               suffix: str = "_scaled") -> SQLTransformer:
-    """M4: standardization fitted on ``train`` as a persistable pipeline
-    stage; zero variance divides by 1. Only 2 x 16 numbers reach the driver."""
+def collect_scale(train: DataFrame, features: Sequence[str] = FEATURES) -> dict[str, tuple[float, float]]:
+    """M4: mean and std per feature on the driver, 2 x 16 numbers."""
     stats = {r["feature"]: (r["mean"], r["std"]) for r in scaler_stats(train, features).collect()}
+    return {c: stats[c] for c in features}
+
+
+def fit_scaler(train: DataFrame, features: Sequence[str] = FEATURES, suffix: str = "_scaled",
+               stats: dict[str, tuple[float, float]] | None = None) -> SQLTransformer:
+    """M4: standardization fitted on ``train`` as a persistable pipeline
+    stage; zero variance divides by 1. ``stats`` are those of
+    ``collect_scale`` where they are known."""
+    stats = stats or collect_scale(train, features)
     cols = []
     for c in features:
         mean, std = stats[c]
@@ -181,6 +189,8 @@ def fit_scaler(train: DataFrame, features: Sequence[str] = FEATURES,
 class ClassCounts:
     negatives: int
     positives: int
+    #: rows whose label is neither 0 nor 1
+    others: int = 0
 
     @property
     def total(self) -> int:
@@ -197,8 +207,9 @@ class ClassCounts:
 
 def class_counts(train: DataFrame, label: str = LABEL) -> ClassCounts:
     row = train.agg(F.count_if(F.col(label) == 0).alias("neg"),
-                    F.count_if(F.col(label) == 1).alias("pos")).first()
-    return ClassCounts(int(row["neg"]), int(row["pos"]))
+                    F.count_if(F.col(label) == 1).alias("pos"),
+                    F.count(F.lit(1)).alias("all")).first()
+    return ClassCounts(int(row["neg"]), int(row["pos"]), int(row["all"] - row["neg"] - row["pos"]))
 
 
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -226,19 +237,35 @@ def fit_lr(train: DataFrame, features: Sequence[str] = FEATURES,
     ``0.5 |w|^2 + sum_i s_i logloss_i``; Spark minimizes
     ``sum_i s_i logloss_i / sum_i s_i + regParam / 2 |w|^2`` and
     ``sum_i s_i = n``, so ``regParam = 1 / n`` gives the same optimum.
+
+    The optimum is found by Newton steps (``newton.newton_logistic``, a pass
+    over the rows each, some ten in all) and given to the Spark ML stage as the
+    bounds of its coefficients, so that it ends at once. Where there is none
+    (one class, labels besides 0 and 1, numbers that are not finite), its own
+    optimizer fits without bounds, in more than a hundred passes as a rule.
     """
+    from .newton import MAX_STEPS, newton_logistic
     counts = class_counts(train)
-    weighted = with_weight(train, counts.balanced(0), counts.balanced(1))
-    scaler = fit_scaler(train, features)
+    weights = counts.balanced(0), counts.balanced(1)
+    weighted = with_weight(train, *weights)
+    scale = collect_scale(train, features)
     scaled = [f"{c}_scaled" for c in features]
+    logistic = LogisticRegression(
+        featuresCol="features_scaled", labelCol=LABEL, weightCol="weight",
+        maxIter=max_iter, tol=LR_TOLERANCE, regParam=1.0 / max(counts.total, 1),
+        elasticNetParam=0.0, standardization=False, fitIntercept=True,
+        probabilityCol="lr_probability", rawPredictionCol="lr_raw", predictionCol="lr_prediction")
+    best = None
+    if counts.negatives and counts.positives and not counts.others:
+        best = newton_logistic(train, features, min(max_iter, MAX_STEPS), (scale, weights))
+    if best is not None:
+        at, intercept = Matrices.dense(1, len(features), best[1:]), Vectors.dense(best[:1])
+        logistic.setLowerBoundsOnCoefficients(at).setUpperBoundsOnCoefficients(at)
+        logistic.setLowerBoundsOnIntercepts(intercept).setUpperBoundsOnIntercepts(intercept)
     pipe = Pipeline(stages=[
-        scaler,
+        fit_scaler(train, features, stats=scale),
         VectorAssembler(inputCols=scaled, outputCol="features_scaled"),
-        LogisticRegression(featuresCol="features_scaled", labelCol=LABEL, weightCol="weight",
-                           maxIter=max_iter, tol=LR_TOLERANCE, regParam=1.0 / max(counts.total, 1),
-                           elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                           probabilityCol="lr_probability", rawPredictionCol="lr_raw",
-                           predictionCol="lr_prediction"),
+        logistic,
     ])
     return pipe.fit(weighted)
 
