@@ -7,13 +7,17 @@ other. Found for a whole chunk of texts at once:
 
 1. ``encode``: texts are encoded once; the ids of a chunk of about CHUNK bytes
    of text are one written row, in 16 bits each where the vocabulary allows.
-2. ``align``: all tokens of both are sorted by start (``lexsort``), the
+   GROUP_ROWS of these rows are one row group of the file, so a task that
+   reads or writes them holds as many, however many its partition has.
+2. ``Aligned``: all tokens of both are sorted by start (``lexsort``), the
    running maximum of their ends is taken, and a group breaks where a start
    reaches it. Within it the last started token of each side overlap, one link
    an elementary interval.
 3. A chunk names each linked pair of ids once, with the number of its
-   documents that hold it, so a pair that nearly all texts hold is one row a
-   chunk; sums per pair are the table of corpus-wide counts, their maxima per
+   documents that hold it, so a pair that nearly all texts hold is one entry a
+   chunk; these stand in the chunk's row, found before it is written, as a
+   Python task that reads chunks would get all those of its partition at once.
+   Sums per pair are the table of corpus-wide counts, their maxima per
    id of A at most one row an entry of its vocabulary.
 4. The counts return to the chunks that named the pair, and each chunk, aligned
    again from its ids, gives its documents' rows.
@@ -46,6 +50,8 @@ FILE_A, FILE_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 #: Bytes and rows of a chunk (a longer text is one of its own); bytes encoded
 #: and tokens aligned at once.
 CHUNK, CHUNK_ROWS, BLOCK, TOKENS = 2 << 20, 16384, 1 << 18, 1 << 17
+#: Chunks of a row group of the written file.
+GROUP_ROWS = 4
 
 
 def byte_characters() -> dict[str, int]:
@@ -175,22 +181,26 @@ def encode_texts(column: pa.Array, path_a: str, path_b: str):
 
 
 def encode(docs: DataFrame, key: str, text: str, path_a: str, path_b: str) -> DataFrame:
-    """The written chunks: chunk, keys, n_a, n_b (tokens of each text), a, b (ids)."""
+    """The written chunks: chunk, keys, n_a, n_b (tokens of each text), a, b (ids),
+    pairs (every linked pair of ids once, as a * (ids of B) + b), docs (how many
+    of its texts hold each)."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def rows(batches):
         number = TaskContext.get().partitionId() << 32
-        types = id_type(path_a), id_type(path_b)
+        types, lengths = (id_type(path_a), id_type(path_b)), (piece_lengths(path_a), piece_lengths(path_b))
         keys, counts, ids, held = [], [], [], 0
 
         def chunk():
             nonlocal number, keys, counts, ids, held
-            all_keys = pa.concat_arrays(keys)
+            n_a, n_b = np.array(counts, np.int32).T
+            a, b = (b"".join(i[s] for i in ids) for s in (0, 1))
+            pairs, docs = chunk_pairs(n_a, np.frombuffer(a, types[0]), n_b, np.frombuffer(b, types[1]), lengths)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.ListArray.from_arrays([0, len(all_keys)], all_keys),
-                 *[pa.array([[c[s] for c in counts]], pa.list_(pa.int32())) for s in (0, 1)],
-                 *[pa.array([b"".join(i[s] for i in ids)], pa.binary()) for s in (0, 1)]],
-                names=["chunk", "keys", "n_a", "n_b", "a", "b"])
+                [pa.array([number]), *[pa.ListArray.from_arrays([0, len(x)], x) for x in (pa.concat_arrays(keys), pa.array(n_a), pa.array(n_b))],
+                 pa.array([a], pa.binary()), pa.array([b], pa.binary()),
+                 *[pa.ListArray.from_arrays([0, len(x)], pa.array(x)) for x in (pairs, docs)]],
+                names=["chunk", "keys", "n_a", "n_b", "a", "b", "pairs", "docs"])
             number, keys, counts, ids, held = number + 1, [], [], [], 0
             return row
 
@@ -211,7 +221,8 @@ def encode(docs: DataFrame, key: str, text: str, path_a: str, path_b: str) -> Da
             yield chunk()
 
     return keep(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        tidy(rows), f"chunk long, keys array<{key_type}>, n_a array<int>, n_b array<int>, a binary, b binary"), "token-chunks")
+        tidy(rows), f"chunk long, keys array<{key_type}>, n_a array<int>, n_b array<int>, a binary, b binary, pairs array<long>, docs array<int>"),
+        "token-chunks", GROUP_ROWS)
 
 
 class Aligned:
@@ -264,16 +275,23 @@ def _written(n_a: int, n_b: int) -> pa.Array:
     return pa.array([f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, (",", ";", ""))) for mark in marks for i in range(n)], pa.large_string())
 
 
+def aligned(n_a, a, n_b, b, lengths):
+    """(first, end, alignment) of runs of texts, TOKENS tokens at once (or one
+    longer text)."""
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
+    at_a, at_b = _bounds(n_a), _bounds(n_b)
+    for lo, hi in cut_blocks(at_a + at_b, TOKENS):
+        yield lo, hi, Aligned(a[at_a[lo]:at_a[hi]].astype(np.int64), n_a[lo:hi], b[at_b[lo]:at_b[hi]].astype(np.int64), n_b[lo:hi], *lengths)
+
+
 def unpack(chunks, r: int, types, lengths):
-    """(keys, n_a, n_b, alignment) of runs of texts of row ``r`` of a batch of
-    chunks, TOKENS tokens at once (or one longer text)."""
+    """(keys, n_a, n_b, alignment) of runs of texts of row ``r`` of a table of
+    chunks."""
     keys = chunks.column("keys")[r].values
     n_a, n_b = (np.array(chunks.column(c)[r].values, np.int64) for c in ("n_a", "n_b"))
     a, b = (np.frombuffer(chunks.column(c)[r].as_buffer(), t) for c, t in zip("ab", types))
-    at_a, at_b = _bounds(n_a), _bounds(n_b)
-    for lo, hi in cut_blocks(at_a + at_b, TOKENS):
-        yield keys.slice(lo, hi - lo), n_a[lo:hi], n_b[lo:hi], Aligned(
-            a[at_a[lo]:at_a[hi]].astype(np.int64), n_a[lo:hi], b[at_b[lo]:at_b[hi]].astype(np.int64), n_b[lo:hi], *lengths)
+    for lo, hi, found in aligned(n_a, a, n_b, b, lengths):
+        yield keys.slice(lo, hi - lo), n_a[lo:hi], n_b[lo:hi], found
 
 
 def _pairs(found: Aligned, n_b_ids: int):
@@ -288,24 +306,14 @@ def _pairs(found: Aligned, n_b_ids: int):
     return pair[at], np.add.reduceat(new, at, dtype=np.int64) if len(at) else at
 
 
-def chunk_pairs(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(chunk, pair, docs): every linked pair of ids of a chunk once, as
-    a * (ids of B) + b, and how many of its texts hold it."""
-    def rows(batches):
-        types, lengths = (id_type(path_a), id_type(path_b)), (piece_lengths(path_a), piece_lengths(path_b))
-        for batch in batches:
-            for r in range(batch.num_rows):
-                parts = [_pairs(found, len(lengths[1])) for _, _, _, found in unpack(batch, r, types, lengths)]
-                pair, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-                docs = np.zeros(len(pair), np.int64)
-                np.add.at(docs, place, np.concatenate([n for _, n in parts]))
-                chunk = batch.column("chunk")[r].as_py()
-                for lo in range(0, len(pair), 1 << 16):
-                    some = pair[lo:lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some), pa.array(docs[lo:lo + (1 << 16)])],
-                                                     names=["chunk", "pair", "docs"])
-
-    return keep(chunks.select("chunk", "keys", "n_a", "n_b", "a", "b").mapInArrow(tidy(rows), "chunk long, pair long, docs long"), "token-pairs")
+def chunk_pairs(n_a, a, n_b, b, lengths) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct linked pairs of a chunk, sorted, and how many of its texts
+    hold each."""
+    parts = [_pairs(found, len(lengths[1])) for _, _, found in aligned(n_a, a, n_b, b, lengths)]
+    pair, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    docs = np.zeros(len(pair), np.int32)
+    np.add.at(docs, place, np.concatenate([n for _, n in parts]).astype(np.int32))
+    return pair, docs
 
 
 def pair_counts(pairs: DataFrame, n_b_ids: int) -> DataFrame:
@@ -322,11 +330,11 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", path_a: str
     count_sum, groups) of every document; counts: the table of
     ``pair_counts``, whose docs are the counts that rows refer to."""
     chunks = encode(docs, key, text, path_a, path_b)
-    pairs = chunk_pairs(chunks, path_a, path_b)
+    pairs = chunks.select(F.col("chunk").alias("of"), F.inline(F.arrays_zip(F.col("pairs").alias("pair"), "docs")))
     n_a_ids, n_b_ids = len(piece_lengths(path_a)), len(piece_lengths(path_b))
     counts = pair_counts(pairs, n_b_ids)
     # as many rows a pair as chunks name it: one for each CHUNK bytes at most
-    answers = pairs.select("chunk", "pair").join(counts.select("pair", "docs", "best"), "pair")
+    answers = pairs.select("of", "pair").join(counts.select("pair", "docs", "best"), "pair")
 
     def finish(held: pa.Table, told: pa.Table) -> pa.Table:
         types, lengths = (id_type(path_a), id_type(path_b)), (piece_lengths(path_a), piece_lengths(path_b))
@@ -344,6 +352,6 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", path_a: str
         return pa.concat_tables(parts)
 
     key_type = docs.schema[key].dataType.simpleString()
-    rows = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    rows = chunks.drop("pairs", "docs").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(
         finish, f"key {key_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
     return rows.withColumnRenamed("key", key), counts

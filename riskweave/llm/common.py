@@ -27,12 +27,15 @@ def shared_path(df_or_spark, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
+def keep(df: DataFrame, tag: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage
     with files that every executor sees, so a lost executor loses nothing.
-    Inside a ``scope`` the folder is deleted when that ends."""
+    Inside a ``scope`` the folder is deleted when that ends. Tasks hold whole
+    row groups, which by default are measured after 100 rows first: large rows
+    come in groups of ``group_rows`` at most."""
     path = kept_folder(df.sparkSession, shared_path(df, tag))
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.row.count.limit", group_rows) if group_rows else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Filter audit, token alignment and quality against brute force, on the
 smallest tables and on awkward rows."""
 
+import glob
 import os
 import re
 from bisect import bisect_right
@@ -9,6 +10,7 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -182,6 +184,21 @@ def test_alignment_small_chunks_change_nothing(spark, awkward, monkeypatch):
     assert _multi(_rows(alignment.align(awkward.coalesce(1))[0])) == want
 
 
+def test_alignment_holds_a_few_chunks_of_a_partition(spark, monkeypatch):
+    """A task holds whole row groups of what it reads and writes."""
+    monkeypatch.setattr(alignment, "CHUNK", 300)
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    texts = spark.range(60).selectExpr("id doc_id", "repeat(concat('word', id % 7, ' '), 40) text").coalesce(1)
+    rows, _ = alignment.align(texts)
+    assert rows.count() == 60
+    new = set(os.listdir(folder)) - before
+    assert {x.rsplit("-", 1)[0] for x in new} == {"token-chunks", "pair-counts"}  # no step reads chunks to write their pairs
+    files = [pq.ParquetFile(f).metadata for x in new if x.startswith("token-chunks") for f in glob.glob(f"{folder}/{x}/*.parquet")]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) >= 30 and max(groups) <= alignment.GROUP_ROWS
+
+
 def test_fast_encoding_is_that_of_the_file(documents):
     """Plain texts, and random ones of their characters, give the same ids."""
     t = alignment.tokenizer(alignment.FILE_A)
